@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, licenses, media, mixing, packing, tokens
+from . import ann, langid, licenses, linededup, media, mixing, packing, tokens
 from .common import table
 
 
@@ -30,10 +31,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup(table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_lines", "n_removed", "n_spans", sha)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path())
 
@@ -43,9 +54,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media_columns, op2_token_counts, op3_language_id, op5_license_scan, op7_best_fit_packing, op9_source_mixing)
+    found = (
+        op1_media_columns, op2_token_counts, op3_language_id, op4_line_dedup, op5_license_scan,
+        op6_nearest_neighbours, op7_best_fit_packing, op9_source_mixing,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle_sql()}
+    return {"op4_line_dedup": linededup.oracle_sql(), "op5_license_scan": licenses.oracle_sql()}
