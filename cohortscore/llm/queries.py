@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, linededup, media, mixing, packing, tokens
+from . import ann, langid, licenses, linededup, media, mixing, packing, suffixdedup, tokens
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,7 +60,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_media_columns, op2_token_counts, op3_language_id, op4_line_dedup, op5_license_scan,
-        op6_nearest_neighbours, op7_best_fit_packing, op9_source_mixing,
+        op6_nearest_neighbours, op7_best_fit_packing, op8_suffix_array_dedup, op9_source_mixing,
     )
     return {f.__name__: f for f in found}
 
