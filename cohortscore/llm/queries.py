@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, linededup, media, mixing, packing, suffixdedup, tokens
+from . import ann, jaccard, langid, licenses, linededup, media, mixing, packing, suffixdedup, tokens
 from .common import table
 
 
@@ -57,10 +57,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_media_columns, op2_token_counts, op3_language_id, op4_line_dedup, op5_license_scan,
-        op6_nearest_neighbours, op7_best_fit_packing, op8_suffix_array_dedup, op9_source_mixing,
+        op6_nearest_neighbours, op7_best_fit_packing, op8_suffix_array_dedup, op9_source_mixing, op10_jaccard_join,
     )
     return {f.__name__: f for f in found}
 
