@@ -104,7 +104,7 @@ def prefix_length(n: int) -> int:
 
 
 def _census(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, cls) and of tokens that are frequent in a task (token, its count in n; cls null)."""
+    """Rows of documents (doc_id, th, n, cls) and of tokens that are frequent in a task (token, its count in n; cls null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, often = [], 0, {}
@@ -130,15 +130,15 @@ def _census(docs: DataFrame) -> DataFrame:
                     if size > 2_000_000:
                         count()
                         size = 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.nulls(len(ns), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.nulls(len(ns), pa.int64())], names=names)
         if held:
             count()
         if often:
             k = len(often)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(list(often.values()), pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(often), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(often.values()), pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(often), pa.int64())], names=names)
 
-    names = ["doc_id", "n", "cls", "token"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, token long")
+    names = ["doc_id", "th", "n", "cls", "token"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, cls long, token long")
 
 
 def _stars(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
@@ -340,19 +340,13 @@ def _components(links: DataFrame) -> DataFrame:
         edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row.
-
-    Null text and texts without words have no shingles and link with nothing; their component is
-    their own doc_id.  Texts of one to four words are one shingle, the whole sequence.  Rows with a
-    null doc_id take part; a component's id is its smallest doc_id (null if it has none).  Repeated
-    rows are equal sets.  Other columns are not read; an empty table gives no rows.
-    """
+def _labelled(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, n, root`` of every row: a hash of its text, its number of shingles, its component (null without shingles)."""
     spark = docs.sparkSession
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     census = stored(_census(d), "census")
-    meta = census.where(F.col("cls").isNotNull()).select("doc_id", "n", "cls")
+    meta = census.where(F.col("cls").isNotNull()).select("doc_id", "th", "n", "cls")
     often = census.where(F.col("cls").isNull()).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= 16)
     heavy = [r["token"] for r in often.orderBy(F.desc("n"), "token").limit(HEAVY).select("token").collect()]
     stars = stored(_stars(d, np.array(heavy[::-1], np.int64).view(np.uint64), buckets), "stars")
@@ -407,6 +401,36 @@ def join(docs: DataFrame) -> DataFrame:
         links = links.unionByName(both.groupBy("bucket").applyInPandas(second, "a long, b long"))
 
     roots = _components(links)
-    labelled = meta.join(roots, "cls", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
+    return meta.join(roots, "cls", "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row.
+
+    Null text and texts without words have no shingles and link with nothing; their component is
+    their own doc_id.  Texts of one to four words are one shingle, the whole sequence.  Rows with a
+    null doc_id take part; a component's id is its smallest doc_id (null if it has none).  Repeated
+    rows are equal sets.  Other columns are not read; an empty table gives no rows.
+    """
+    labelled = stored(_labelled(docs), "labelled")
     ids = labelled.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(ids, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id (null last).
+
+    Rows without shingles all stay.  Of rows that repeat both doc_id and text one stays.
+    """
+    labelled = stored(_labelled(docs), "labelled")
+    row = F.struct("doc_id", "th")
+    grouped = labelled.where(F.col("root").isNotNull())
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), row.alias("row"))).alias("m")).select(F.col("m.row").alias("_row"))
+    loose = labelled.where(F.col("root").isNull()).select(row.alias("_row")).distinct()
+    here = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    kept = docs.join(first.unionByName(loose), here == F.col("_row"), "left_semi")
+    twice = grouped.groupBy("doc_id", "th").agg(F.count("*").alias("k")).where(F.col("k") > 1)
+    if twice.isEmpty():
+        return kept
+    many = twice.select(row.alias("_row"))
+    return kept.join(many, here == F.col("_row"), "left_anti").unionByName(kept.join(many, here == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"]))

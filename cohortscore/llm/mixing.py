@@ -93,7 +93,7 @@ def mix(
     for each ``shard_docs`` documents, by a hash of the id, so no window grows with a hot source.
     """
     sized = stored(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"))
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("th"))
         .withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
         .withColumn("h", F.xxhash64("doc_id", F.lit(seed))),
         "sizes",
@@ -129,4 +129,32 @@ def mix(
     runs = F.array(run(F.col("start") - F.col("shard_size"), F.col("start") + F.col("rest") - F.col("shard_size")), run(F.col("start"), F.col("start") + F.col("rest")))
     laid = laid.withColumn("runs", F.filter(runs, lambda x: x["to"] > x["from"]))
     partly = F.aggregate("runs", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
-    return laid.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + partly).alias("taken"), "passes", "runs")
+    return laid.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + partly).alias("taken"), "passes", "runs", "th")
+
+
+def mixed(docs: DataFrame, **parameters) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a row for each full pass and each run of words.
+
+    A run that is not the whole text is its words joined by blanks.  Rows that repeat both doc_id and
+    text are taken together.  Documents of which nothing is taken go.
+    """
+    row = F.struct("doc_id", F.col("th").alias("th"))
+    m = mix(docs, **parameters)
+    m = stored(
+        m.groupBy(row.alias("_row"), "size")
+        .agg(F.sum("passes").alias("_passes"), F.flatten(F.collect_list("runs")).alias("_runs"), F.count("*").alias("_k"), F.sum("taken").alias("_taken"))
+        .withColumnRenamed("size", "_size"),
+        "mix",
+    )
+    text = F.col("text").cast("string")
+    here = F.struct(F.col("doc_id"), F.xxhash64(text).alias("th"))
+    many = m.where("_k > 1").select("_row")
+    if not many.isEmpty():
+        docs = docs.join(many, here == F.col("_row"), "left_anti").unionByName(docs.join(many, here == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    d = docs.join(m.where("_taken > 0"), here == F.col("_row"))
+    whole = F.struct(F.lit(0).cast("long").alias("from"), F.col("_size").alias("to"))
+    d = d.withColumn("_take", F.explode(F.concat(F.array_repeat(whole, F.col("_passes").cast("int")), F.col("_runs"))))
+    some = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    first, last = F.col("_take.from").cast("int"), F.col("_take.to").cast("int")
+    cut = F.when((first == 0) & (last == F.col("_size")), text).otherwise(F.array_join(F.slice(some, first + 1, last - first), " "))
+    return d.select(*[cut.alias("text") if c == "text" else F.length(cut).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
