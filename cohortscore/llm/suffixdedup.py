@@ -375,7 +375,7 @@ def _spans(marked: DataFrame, buckets: int) -> DataFrame:
             "span": [got[lo:hi, 2:].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)],
         })
 
-    runs = marked.select("d1", "d2", "text", "places").mapInArrow(emit, "bucket long, lcp binary, lengths binary, rest binary, counts binary, refs binary")
+    runs = marked.select("d1", "d2", "text", "places", "no_id").mapInArrow(emit, "bucket long, lcp binary, lengths binary, rest binary, counts binary, refs binary")
     return runs.groupBy("bucket").applyInPandas(resolve, "d1 long, d2 long, span binary")
 
 
@@ -401,7 +401,8 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    d = d.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("d1"), F.xxhash64("text").alias("d2"))
+    # Both joins below take the same columns, so that the texts are exchanged once.
+    d = d.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("d1"), F.xxhash64("text").alias("d2"), F.col("doc_id").isNull().alias("no_id"))
     anchored = _repeated(d, buckets)
     marked = d.join(anchored, ["d1", "d2"])
     spans = _spans(marked, buckets).groupBy("d1", "d2").agg(F.collect_list("span").alias("spans"))
@@ -421,4 +422,4 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     names = [c.split()[0] for c in schema.split(", ")]
-    return d.join(spans, ["d1", "d2"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    return d.join(spans, ["d1", "d2"], "left").select(F.when(~F.col("no_id"), F.col("d1")).alias("doc_id"), "text", "spans").mapInArrow(cut, schema)
