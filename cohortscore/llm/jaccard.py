@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 WORDS = 5
 NUM, DEN = 75, 100  # linked when DEN * intersection >= NUM * union
@@ -40,7 +40,17 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(23).integers(0, 1 << 64, 256, np.uint64)
-_POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(4096, 0xD6E8FEB86659FD93, np.uint64)]))
+_BASE = 0xD6E8FEB86659FD93
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_LONG = 4096  # longer words are hashed one by one
+_P = _I = np.zeros(0, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,58 +59,115 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _word_hashes(b: np.ndarray) -> np.ndarray:
-    space = _SPACE[b]
-    solid = ~space
-    edge = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0, append=0))
+def _words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words, from differences of one running sum."""
+    global _P, _I
+    if len(_P) < len(b):
+        n = max(2 * SEGMENT, len(b))
+        _P, _I = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+    edge = np.flatnonzero(np.diff((~_SPACE[b]).view(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    first = np.zeros(len(b), np.int64)
-    first[starts] = starts
-    offset = np.arange(len(b)) - np.maximum.accumulate(first)
-    x = _TABLE[b] * _POWERS[np.minimum(offset, 4096)]
-    x[space] = 0
-    h = np.add.reduceat(x, starts)
-    for i in np.flatnonzero(ends - starts > 4096):
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_TABLE[b] * _P[: len(b)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _I[starts]
+    for i in np.flatnonzero(ends - starts > _LONG):
         h[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-    return _mix(h)
+    return starts, _mix(h)
+
+
+def _combined(w: np.ndarray, k: int) -> np.ndarray:
+    s = np.full(len(w) - k + 1, k, np.uint64)
+    for j in range(k):
+        s = s * np.uint64(0xA0761D6478BD642F) + w[j : len(w) - k + 1 + j]
+        s ^= s >> np.uint64(31)
+    return _mix(s)
 
 
-def shingles(raw: bytes | memoryview) -> np.ndarray:
-    """Sorted distinct hashes of the 5-word shingles; of the whole sequence, if it has fewer words."""
-    b = _LOWER[np.frombuffer(raw, np.uint8)]
+def _long_text(b: np.ndarray) -> np.ndarray:
+    """Word hashes of a long text, in segments that end at a blank (or inside no word)."""
     parts, at = [], 0
-    while at < len(b):  # segments end before a blank
+    while at < len(b):
         end = min(len(b), at + SEGMENT)
         while end < len(b) and not _SPACE[b[end]]:
             step = np.flatnonzero(_SPACE[b[end : end + SEGMENT]])
             end = end + int(step[0]) if len(step) else min(len(b), end + SEGMENT)
-        parts.append(_word_hashes(b[at:end]))
+        if end - at > 2 * SEGMENT:  # one word reaches beyond all segments
+            head = np.flatnonzero(_SPACE[b[at : at + SEGMENT]])
+            cut = at + int(head[-1]) + 1 if len(head) else at
+            if cut > at:
+                end = cut
+            else:
+                parts.append(_mix(np.array([int.from_bytes(hashlib.blake2b(b[at:end].tobytes(), digest_size=8).digest(), "little")], np.uint64)))
+                at = end
+                continue
+        parts.append(_words(b[at:end])[1])
         at = end
-    w = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    if not len(w):
-        return w
-    k = min(WORDS, len(w))
-    s = np.full(len(w) - k + 1, k, np.uint64)
-    for j in range(k):
-        s = s * np.uint64(0xA0761D6478BD642F) + w[j : len(w) - k + 1 + j]
-        s ^= s >> np.uint64(31)
-    return np.unique(_mix(s))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's 5-word shingles; of the whole sequence, if it has fewer words.
+
+    Short texts are hashed together, a megabyte at a time.
+    """
+    out: list[np.ndarray] = []
+    lo = 0
+    while lo < len(raws):
+        hi, size = lo, 0
+        while hi < len(raws) and (hi == lo or size + len(raws[hi]) < SEGMENT):
+            size += len(raws[hi]) + 1
+            hi += 1
+        group = raws[lo:hi]
+        lo = hi
+        if len(group) == 1 and len(group[0]) > SEGMENT:
+            w = _long_text(_LOWER[np.frombuffer(group[0], np.uint8)])
+            edges = [0, len(w)]
+        else:
+            starts, w = _words(_LOWER[np.frombuffer(b" ".join(group), np.uint8)])
+            edges = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in group])).tolist()
+        s = _combined(w, WORDS) if len(w) >= WORDS else w
+        for a, b in zip(edges, edges[1:], strict=False):
+            n = b - a
+            if n >= WORDS:
+                one = np.sort(s[a : b - WORDS + 1])
+                out.append(one[np.concatenate([[True], one[1:] != one[:-1]])])
+            else:
+                out.append(_combined(w[a:b], n) if n else np.zeros(0, np.uint64))
+    return out
+
+
+def shingles(raw: bytes) -> np.ndarray:
+    return shingle_sets([raw])[0]
+
+
+def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle sets of a column of texts, in order, some at a time."""
+    for lo in range(0, len(column), 512):
+        yield from shingle_sets([_bytes(x) for x in column.slice(lo, 512)])
 
 
 def _class(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _bytes(text: pa.Scalar) -> memoryview | bytes:
+def _bytes(text: pa.Scalar) -> bytes:
     buffer = text.as_buffer() if text.is_valid else None
-    return memoryview(buffer) if buffer else b""
+    return buffer.to_pybytes() if buffer else b""
+
+
+def extra(n: int) -> int:
+    """Tokens beyond the shortest prefix that must meet."""
+    return max(1, n // 10)
 
 
 def prefix_length(n: int) -> int:
-    """So many of its first tokens meet those of any set close to it."""
-    return n - -(-NUM * n // DEN) + 1
+    """Of their first tokens of this number, two close sets share ``extra`` of the smaller one at least."""
+    return min(n, n - -(-NUM * n // DEN) + extra(n))
+
+
+def least_shared(n):
+    """Fewest first tokens that a set of n shares with any close set (which has 3/4 n tokens at least)."""
+    return F.greatest(F.lit(1), F.floor(F.floor((n * NUM + DEN - 1) / DEN) / 10)).cast("long")
 
 
 def _census(docs: DataFrame) -> DataFrame:
@@ -120,8 +187,7 @@ def _census(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             ns, cs = [], []
-            for text in b.column(1):
-                s = shingles(_bytes(text))
+            for s in _sets(b.column(1)):
                 ns.append(len(s))
                 cs.append(_class(s) if len(s) else 0)
                 if len(s):
@@ -142,7 +208,7 @@ def _census(docs: DataFrame) -> DataFrame:
 
 
 def _stars(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
-    """``pivot, cls``: the sets that share a first token with a pivot; heavy: tokens, rarest first."""
+    """``pivot, cls, shared``: the sets that share first tokens with a pivot, and how many; heavy: tokens, rarest first."""
     spark = docs.sparkSession
     order = np.argsort(heavy)
     shared = spark.sparkContext.broadcast((heavy[order], order.astype(np.uint64)))
@@ -164,8 +230,7 @@ def _stars(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "t", "c"])
 
         for batch in batches:
-            for text in batch.column(0):
-                s = shingles(_bytes(text))
+            for s in _sets(batch.column(0)):
                 if not len(s) or (cls := _class(s)) in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -196,14 +261,17 @@ def _stars(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
         t, c = t[keep], c[keep]
         order_ = np.lexsort((c, t))
         t, c = t[order_], c[order_]
-        starts = np.flatnonzero(np.diff(t, prepend=~t[:1]) != 0)
-        pivot = np.repeat(c[starts], np.diff(np.append(starts, len(t))))
-        off = pivot != c
-        pairs = np.unique(np.column_stack([pivot[off], c[off]]), axis=0)
-        return pd.DataFrame({"pivot": pairs[:, 0], "cls": pairs[:, 1]})
+        first = np.ones(len(t), bool)  # a set's copies of a token count once
+        first[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        t, c = t[first], c[first]
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(t)))
+        pivot, keep = np.repeat(c[starts], sizes), np.repeat(sizes > 1, sizes)
+        pairs, shared_ = np.unique(np.column_stack([pivot[keep], c[keep]]), axis=0, return_counts=True)
+        return pd.DataFrame({"pivot": pairs[:, 0], "cls": pairs[:, 1], "shared": shared_.astype(np.int64)})
 
     runs = docs.select("text").mapInArrow(emit, "bucket long, t binary, c binary")
-    return runs.groupBy("bucket").applyInPandas(meet, "pivot long, cls long").distinct()
+    return runs.groupBy("bucket").applyInPandas(meet, "pivot long, cls long, shared long").groupBy("pivot", "cls").agg(F.sum("shared").alias("shared"))
 
 
 class _Union:
@@ -293,8 +361,7 @@ def _members(docs: DataFrame, want: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((pivots, chunks, classes, sets), kinds, strict=True)], names=["pivot", "chunk", "cls", "set"])
 
-            for text, cls, places in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                s = shingles(_bytes(text))
+            for s, cls, places in zip(_sets(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if _class(s) != cls:  # another row with this doc_id
                     continue
                 raw = s.tobytes()
@@ -314,13 +381,12 @@ def _members(docs: DataFrame, want: DataFrame) -> DataFrame:
 
 
 def _regions(pdf: pd.DataFrame) -> Iterator[tuple[int, int, list[int], list[np.ndarray]]]:
-    """Regions' chunks in a group of rows, each class once, the pivot first."""
+    """Regions' chunks in a group of rows, each class once, by class: the first is in all chunks of its region."""
     pdf = pdf.drop_duplicates(["pivot", "chunk", "cls"]).sort_values(["pivot", "chunk", "cls"])
     p, k, c, s = (pdf[x].to_numpy() for x in ("pivot", "chunk", "cls", "set"))
     edges = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1]), [True]])) if len(p) else []
     for lo, hi in zip(edges, edges[1:], strict=False):
-        at = sorted(range(lo, hi), key=lambda i: (c[i] != p[i], c[i]))
-        yield int(p[lo]), int(k[lo]), [int(c[i]) for i in at], [np.frombuffer(s[i], np.uint64) for i in at]
+        yield int(p[lo]), int(k[lo]), c[lo:hi].tolist(), [np.frombuffer(x, np.uint64) for x in s[lo:hi]]
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -351,14 +417,22 @@ def _labelled(docs: DataFrame) -> DataFrame:
     heavy = [r["token"] for r in often.orderBy(F.desc("n"), "token").limit(HEAVY).select("token").collect()]
     stars = stored(_stars(d, np.array(heavy[::-1], np.int64).view(np.uint64), buckets), "stars")
 
-    sizes = stars.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
-    dealt = stars.join(sizes, "pivot").select("cls", "pivot", F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), "chunks")
-    own = sizes.select(F.col("pivot").alias("cls"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "chunks")
-    places = dealt.unionByName(own)
-    reps = meta.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    # Close sets share least_shared tokens, under no more pivots than either has: in some region both
+    # have their share of them, least_shared / pivots. All other places are needless.
+    reps = meta.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    places_of = stars.groupBy("cls").agg(F.count("*").alias("pivots")).join(reps, "cls").select("cls", "pivots", "n")
+    needed = stars.join(places_of, "cls").where(F.col("shared") * F.col("pivots") >= least_shared(F.col("n"))).select("pivot", "cls")
+    sizes = needed.groupBy("pivot").agg(F.count("*").alias("k"), F.min("cls").alias("lead")).where(F.col("k") > 1)
+    needed = needed.join(sizes, "pivot").withColumn("chunks", F.ceil(F.col("k") / CHUNK).cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    places = stored(
+        needed.where("cls <> lead").select("cls", "pivot", F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), "chunks")
+        .unionByName(needed.where("cls = lead").select("cls", "pivot", every.alias("chunk"), "chunks")),
+        "places",
+    )
 
     def wanted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("cls").agg(F.collect_list(F.struct("pivot", "chunk")).alias("places")).join(reps, "cls")
+        return rows.groupBy("cls").agg(F.collect_list(F.struct("pivot", "chunk")).alias("places")).join(reps.select("cls", "doc_id"), "cls")
 
     def bucketed(rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.xxhash64("pivot", "chunk"), F.lit(buckets)))
@@ -376,7 +450,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     links = found.where(F.col("a") != F.col("b")).select("a", "b")
 
     # Boundary members of regions in several chunks meet the other chunks.
-    apart = found.where(F.col("a") == F.col("b")).join(sizes.where(F.col("chunks") > 1), "pivot")
+    apart = found.where(F.col("a") == F.col("b")).join(places.where(F.col("chunks") > 1).select("pivot", "chunks").distinct(), "pivot")
     apart = apart.select("pivot", F.col("chunk").alias("home"), F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).where(F.col("chunk") != F.col("home"))
     if not apart.isEmpty():
         there = places.join(apart.select("pivot", "chunk").distinct(), ["pivot", "chunk"], "left_semi").select("pivot", "chunk", "cls")
@@ -422,15 +496,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without shingles all stay.  Of rows that repeat both doc_id and text one stays.
     """
+    (key,) = fresh(docs, "doc_key")
     labelled = stored(_labelled(docs), "labelled")
     row = F.struct("doc_id", "th")
     grouped = labelled.where(F.col("root").isNotNull())
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), row.alias("row"))).alias("m")).select(F.col("m.row").alias("_row"))
-    loose = labelled.where(F.col("root").isNull()).select(row.alias("_row")).distinct()
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), row.alias("row"))).alias("m")).select(F.col("m.row").alias(key))
+    loose = labelled.where(F.col("root").isNull()).select(row.alias(key)).distinct()
     here = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
-    kept = docs.join(first.unionByName(loose), here == F.col("_row"), "left_semi")
+    kept = docs.join(first.unionByName(loose), here == F.col(key), "left_semi")
     twice = grouped.groupBy("doc_id", "th").agg(F.count("*").alias("k")).where(F.col("k") > 1)
     if twice.isEmpty():
         return kept
-    many = twice.select(row.alias("_row"))
-    return kept.join(many, here == F.col("_row"), "left_anti").unionByName(kept.join(many, here == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    many = twice.select(row.alias(key))
+    once = kept.join(many, here == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(many, here == F.col(key), "left_anti").unionByName(once)
