@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import col
 
 DIM = 4096
 UND = "und"
@@ -159,14 +162,13 @@ def fit(docs: DataFrame, sample_rows: int = 2048) -> Model | None:
     return Model(Vote.fit(x, families), {f: Vote.fit(x[families == f], labels[families == f]) for f in set(families)})
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, family_pred`` of every whole text, and the columns ``keep``.
+def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score, family_pred`` of every whole text.
 
-    ``und`` with score 0 if the text is null or holds no letter, or if there is no model.
+    ``und`` with score 0 if the text is null or holds no letter, or if there is no model.  With
+    ``keep``, ``row`` is a struct of all columns of ``docs``, so that their names clash with none here.
     """
-    keep = [c for c in keep or [] if c != "doc_id"]
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -184,11 +186,11 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                     f, s, p = m.predict(np.array(x))
                     for i, a, c, q in zip(at, f, s, p, strict=True):
                         family[i], lang[i], score[i] = a, c, q
-            cols = [b.column(0), b.column(1), pa.array(lang), pa.array(np.clip(score, 0.0, 1.0)), pa.array(family)]
-            yield pa.RecordBatch.from_arrays([*cols, *b.columns[3:]], schema=pa.schema(list(zip(names, [c.type for c in [*cols, *b.columns[3:]]], strict=True))))
-
-    source = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"), *[docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)])
-    kinds = dict(source.dtypes)
-    names = ["doc_id", "held_out", "lang_pred", "score", "family_pred", *[f"kept_{i}" for i in range(len(keep))]]
-    schema = f"doc_id {kinds['doc_id']}, held_out boolean, lang_pred string, score double, family_pred string" + "".join(f", kept_{i} {kinds[f'kept_{i}']}" for i in range(len(keep)))
-    return source.mapInArrow(run, schema).withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})
+            cols = [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(family, pa.string()), *b.columns[3:]]
+            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([(f"c{i}", c.type) for i, c in enumerate(cols)]))
+
+    row = [F.struct(*[col(c) for c in docs.columns]).alias("row")] if keep else []
+    source = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"), *row)
+    kinds = [source.schema["doc_id"].dataType, T.BooleanType(), T.StringType(), T.DoubleType(), T.StringType(), *([source.schema["row"].dataType] if keep else [])]
+    named = source.mapInArrow(run, T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
+    return named.toDF("doc_id", "held_out", "lang_pred", "score", "family_pred", *(["row"] if keep else []))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import col, fresh, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -138,23 +138,24 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     A run that is not the whole text is its words joined by blanks.  Rows that repeat both doc_id and
     text are taken together.  Documents of which nothing is taken go.
     """
-    row = F.struct("doc_id", F.col("th").alias("th"))
+    row, size, passes, runs, copies, taken, take = fresh(docs, "doc_key", "size", "passes", "runs", "copies", "taken", "take")
     m = mix(docs, **parameters)
     m = stored(
-        m.groupBy(row.alias("_row"), "size")
-        .agg(F.sum("passes").alias("_passes"), F.flatten(F.collect_list("runs")).alias("_runs"), F.count("*").alias("_k"), F.sum("taken").alias("_taken"))
-        .withColumnRenamed("size", "_size"),
+        m.groupBy(F.struct("doc_id", "th").alias(row), F.col("size").alias(size))
+        .agg(F.sum("passes").alias(passes), F.flatten(F.collect_list("runs")).alias(runs), F.count("*").alias(copies), F.sum("taken").alias(taken)),
         "mix",
     )
     text = F.col("text").cast("string")
     here = F.struct(F.col("doc_id"), F.xxhash64(text).alias("th"))
-    many = m.where("_k > 1").select("_row")
+    many = m.where(F.col(copies) > 1).select(row)
     if not many.isEmpty():
-        docs = docs.join(many, here == F.col("_row"), "left_anti").unionByName(docs.join(many, here == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"]))
-    d = docs.join(m.where("_taken > 0"), here == F.col("_row"))
-    whole = F.struct(F.lit(0).cast("long").alias("from"), F.col("_size").alias("to"))
-    d = d.withColumn("_take", F.explode(F.concat(F.array_repeat(whole, F.col("_passes").cast("int")), F.col("_runs"))))
+        once = docs.join(many, here == F.col(row), "left_semi").dropDuplicates(["doc_id", "text"])
+        docs = docs.join(many, here == F.col(row), "left_anti").unionByName(once)
+    d = docs.join(m.where(F.col(taken) > 0), here == F.col(row))
+    whole = F.struct(F.lit(0).cast("long").alias("from"), F.col(size).alias("to"))
+    d = d.withColumn(take, F.explode(F.concat(F.array_repeat(whole, F.col(passes).cast("int")), F.col(runs))))
     some = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    first, last = F.col("_take.from").cast("int"), F.col("_take.to").cast("int")
-    cut = F.when((first == 0) & (last == F.col("_size")), text).otherwise(F.array_join(F.slice(some, first + 1, last - first), " "))
-    return d.select(*[cut.alias("text") if c == "text" else F.length(cut).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    first, last = F.col(take)["from"].cast("int"), F.col(take)["to"].cast("int")
+    cut = F.when((first == 0) & (last == F.col(size)), text).otherwise(F.array_join(F.slice(some, first + 1, last - first), " "))
+    new = {"text": cut.alias("text"), "n_chars": F.length(cut).cast("long").alias("n_chars")}
+    return d.select(*[new.get(c, col(c)) for c in docs.columns])

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscore.llm import jaccard, langid, linededup, mixing, packing
-from cohortscore.llm.common import stored, table
+from cohortscore.llm.common import col, stored, table
 from cohortscore.llm.queries import bpe_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text, no letter) go; a missing ``lang`` is filled in."""
-    found = langid.identify(docs, langid.fit(docs), keep=docs.columns).where(F.col("lang_pred") != langid.UND)
-    return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    found = langid.identify(docs, langid.fit(docs), keep=True).where(F.col("lang_pred") != langid.UND)
+    rows = [F.col("row")[c].alias(c) for c in docs.columns if c != "lang"]
+    return found.select(*rows, F.coalesce(F.col("row")["lang"], F.col("lang_pred")).alias("lang")).select(*[col(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
