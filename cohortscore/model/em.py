@@ -65,7 +65,9 @@ def penalized_logit(rows: DataFrame, zero: np.ndarray, precision: np.ndarray, st
 def fit(rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.ndarray, b: np.ndarray, binary: bool = False, iterations: int = 30, tol: float = 1e-4) -> Fit:
     """Fit k covariates (intercept first) and p variants; no variants gives the covariates alone."""
     p = len(zero)
-    lam, delta, g = np.ones(p), (a + b) / 2.0, 0.1
+    lam, delta = np.ones(p), (a + b) / 2.0
+    # A start far below the effects' size would be a fixed point of its own: begin as if variants explained a quarter.
+    g = float(np.sqrt(0.25 / p) / np.sqrt(np.mean(baseline**2))) if p else 0.0
     alpha, beta, var = np.zeros(k), np.zeros(p), np.full(p, 1e-4)
     history: list[float] = []
     if not binary:
