@@ -34,6 +34,7 @@ EPS = 1 - NUM / DEN
 CHUNK = 512
 HEAVY = 200_000  # most tokens that are ordered by their count: 3.2 MB are broadcast
 SEGMENT = 1 << 20
+LINK, BOUNDARY, MEMBER = range(3)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -351,42 +352,43 @@ def join_region(sets: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[int
 
 
 def _members(docs: DataFrame, want: DataFrame) -> DataFrame:
-    """``pivot, chunk, cls, set`` for the rows (doc_id, places: pivot and chunk) of ``want``."""
+    """``pivot, chunk, chunks, cls, set`` for the rows (doc_id, places: pivot, chunk, chunks) of ``want``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pivots, chunks, classes, sets, size = [], [], [], [], 0
+            rows, size = [], 0
 
             def out() -> pa.RecordBatch:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((pivots, chunks, classes, sets), kinds, strict=True)], names=["pivot", "chunk", "cls", "set"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["pivot", "chunk", "chunks", "cls", "set"])
 
             for s, cls, places in zip(_sets(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if _class(s) != cls:  # another row with this doc_id
                     continue
                 raw = s.tobytes()
                 for p in places:
-                    pivots.append(p["pivot"])
-                    chunks.append(p["chunk"])
-                    classes.append(cls)
-                    sets.append(raw)
+                    rows.append((p["pivot"], p["chunk"], p["chunks"], cls, raw))
                     size += len(raw)
                     if size > 32 << 20:
                         yield out()
-                        pivots, chunks, classes, sets, size = [], [], [], [], 0
+                        rows, size = [], 0
             yield out()
 
     joined = docs.select("doc_id", "text").join(want, docs["doc_id"].eqNullSafe(want["doc_id"])).select("text", "cls", "places")
-    return joined.mapInArrow(run, "pivot long, chunk long, cls long, set binary")
+    return joined.mapInArrow(run, "pivot long, chunk long, chunks long, cls long, set binary")
 
 
-def _regions(pdf: pd.DataFrame) -> Iterator[tuple[int, int, list[int], list[np.ndarray]]]:
-    """Regions' chunks in a group of rows, each class once, by class: the first is in all chunks of its region."""
+def _regions(pdf: pd.DataFrame) -> Iterator[tuple[int, int, int, list[int], list[bytes]]]:
+    """(pivot, chunk, chunks, classes, sets) of each region's chunk in a group of rows.
+
+    Each class comes once, by class: the first is in all chunks of its region.
+    """
     pdf = pdf.drop_duplicates(["pivot", "chunk", "cls"]).sort_values(["pivot", "chunk", "cls"])
-    p, k, c, s = (pdf[x].to_numpy() for x in ("pivot", "chunk", "cls", "set"))
+    p, k, n, c, s = (pdf[x].to_numpy() for x in ("pivot", "chunk", "chunks", "cls", "set"))
     edges = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1]), [True]])) if len(p) else []
     for lo, hi in zip(edges, edges[1:], strict=False):
-        yield int(p[lo]), int(k[lo]), c[lo:hi].tolist(), [np.frombuffer(x, np.uint64) for x in s[lo:hi]]
+        yield int(p[lo]), int(k[lo]), int(n[lo]), c[lo:hi].tolist(), s[lo:hi].tolist()
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -432,35 +434,38 @@ def _labelled(docs: DataFrame) -> DataFrame:
     )
 
     def wanted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("cls").agg(F.collect_list(F.struct("pivot", "chunk")).alias("places")).join(reps.select("cls", "doc_id"), "cls")
+        return rows.groupBy("cls").agg(F.collect_list(F.struct("pivot", "chunk", "chunks")).alias("places")).join(reps.select("cls", "doc_id"), "cls")
 
     def bucketed(rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.xxhash64("pivot", "chunk"), F.lit(buckets)))
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for pivot, chunk, classes, sets in _regions(pdf):
-            links, apart = join_region(sets)
-            out += [(pivot, chunk, classes[a], classes[b]) for a, b in links]
-            out += [(pivot, chunk, classes[i], classes[i]) for i in apart]  # the boundary
-        return pd.DataFrame(out, columns=["pivot", "chunk", "a", "b"]).astype("int64")
-
-    found = bucketed(_members(d, wanted(places))).groupBy("bucket").applyInPandas(first, "pivot long, chunk long, a long, b long")
+        out: list[tuple] = []
+        for pivot, chunk, chunks, classes, sets in _regions(pdf):
+            links, apart = join_region([np.frombuffer(x, np.uint64) for x in sets])
+            out += [(pivot, chunk, classes[a], classes[b], LINK, None) for a, b in links]
+            if chunks > 1:
+                out += [(pivot, chunk, classes[i], chunks, BOUNDARY, sets[i]) for i in apart]
+                out += [(pivot, chunk, c, chunks, MEMBER, x) for c, x in zip(classes, sets, strict=True)]
+        return pd.DataFrame(out, columns=["pivot", "chunk", "a", "b", "kind", "set"]).astype({"pivot": "int64", "chunk": "int64", "a": "int64", "b": "int64", "kind": "int32"})
+
+    found = bucketed(_members(d, wanted(places))).groupBy("bucket").applyInPandas(first, "pivot long, chunk long, a long, b long, kind int, set binary")
     found = stored(found, "regions")
-    links = found.where(F.col("a") != F.col("b")).select("a", "b")
+    links = found.where(F.col("kind") == LINK).select("a", "b")
 
-    # Boundary members of regions in several chunks meet the other chunks.
-    apart = found.where(F.col("a") == F.col("b")).join(places.where(F.col("chunks") > 1).select("pivot", "chunks").distinct(), "pivot")
-    apart = apart.select("pivot", F.col("chunk").alias("home"), F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).where(F.col("chunk") != F.col("home"))
+    # Boundary members of regions in several chunks meet the members of the other chunks.
+    apart = found.where(F.col("kind") == BOUNDARY)
     if not apart.isEmpty():
-        there = places.join(apart.select("pivot", "chunk").distinct(), ["pivot", "chunk"], "left_semi").select("pivot", "chunk", "cls")
-        guests = apart.select("pivot", "chunk", "cls")
+        there = F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1))
+        guests = apart.select("pivot", F.col("chunk").alias("home"), there.alias("chunk"), F.col("a").alias("cls"), "set").where("chunk <> home").drop("home")
+        members = found.where(F.col("kind") == MEMBER).select("pivot", "chunk", F.col("a").alias("cls"), "set")
 
         def second(pdf: pd.DataFrame) -> pd.DataFrame:
             out = []
-            for part in (x for _, x in pdf.groupby(["pivot", "chunk"])):
+            for _, part in pdf.groupby(["pivot", "chunk"]):
                 home, away = part[part["guest"] == 0], part[part["guest"] == 1]
-                home = home.drop_duplicates("cls")
+                if not len(home) or not len(away):
+                    continue
                 region = _Region([np.frombuffer(x, np.uint64) for x in home["set"]])
                 names = home["cls"].to_numpy()
                 for cls, raw in zip(away["cls"].to_numpy(), away["set"], strict=True):
@@ -471,7 +476,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
                         out += [(int(cls), int(names[i])) for i in hit if names[i] != cls]
             return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-        both = bucketed(_members(d, wanted(there)).withColumn("guest", F.lit(0)).unionByName(_members(d, wanted(guests)).withColumn("guest", F.lit(1))))
+        both = bucketed(members.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1))))
         links = links.unionByName(both.groupBy("bucket").applyInPandas(second, "a long, b long"))
 
     roots = _components(links)
