@@ -15,14 +15,15 @@ UNION ALL SELECT d.sample_id, d.variant_id + 2000, CASE WHEN d.present AND d.dos
   SELECT s.sample_id, v.variant_id, c.dosage, c.sample_id IS NOT NULL AS present FROM {samples} s CROSS JOIN (SELECT DISTINCT variant_id FROM {calls} WHERE variant_id BETWEEN 5 AND 14) AS v
   LEFT JOIN {calls} c ON c.sample_id = s.sample_id AND c.variant_id = v.variant_id) AS d WHERE d.dosage IS NULL OR d.dosage < 2""")
 
-#: Samples by state as text; a signature names those of state 2, 1 and missing, so the flipped one swaps states 2 and 0.
-signatures = relation("signatures", """
-WITH states AS (SELECT variant_id, [[array_join(sort_array(collect_list(CASE WHEN dosage = 2 THEN sample_id END)), ',')|coalesce(string_agg(CASE WHEN dosage = 2 THEN CAST(sample_id AS VARCHAR) END, ',' ORDER BY sample_id), '')]] AS two,
-  [[array_join(sort_array(collect_list(CASE WHEN dosage = 1 THEN sample_id END)), ',')|coalesce(string_agg(CASE WHEN dosage = 1 THEN CAST(sample_id AS VARCHAR) END, ',' ORDER BY sample_id), '')]] AS one,
-  [[array_join(sort_array(collect_list(CASE WHEN dosage IS NULL THEN sample_id END)), ',')|coalesce(string_agg(CASE WHEN dosage IS NULL THEN CAST(sample_id AS VARCHAR) END, ',' ORDER BY sample_id), '')]] AS missing,
-  [[array_join(sort_array(array_except((SELECT collect_list(sample_id) FROM {samples}), collect_list(CASE WHEN dosage > 0 OR dosage IS NULL THEN sample_id END))), ',')|array_to_string(list_sort([x for x in (SELECT list(sample_id) FROM {samples}) if NOT list_contains(list(CASE WHEN dosage > 0 OR dosage IS NULL THEN sample_id END), x)]), ',')]] AS zero
-  FROM {tied_calls} GROUP BY variant_id)
-SELECT variant_id, [[sha2|sha256]](concat(two, '/', one, '/', missing, '/', zero)[[, 256|]]) AS plain, [[sha2|sha256]](concat(zero, '/', one, '/', missing, '/', two)[[, 256|]]) AS flipped FROM states""")
+#: Per state (2, 1, missing; 0 is the rest) a sum of 60-bit hashes of its samples: one row of constant size
+#: for each variant, summed on the map side. The flipped signature swaps states 2 and 0.
+_HASH = "CAST([[conv(substr(md5(CAST(sample_id AS STRING)), 1, 15), 16, 10)|CAST(concat('0x', substr(md5(CAST(sample_id AS VARCHAR)), 1, 15)) AS BIGINT)]] AS DECIMAL(38, 0))"
+_SUM = "coalesce(sum(CASE WHEN {when} THEN h END), 0)"
+signatures = relation("signatures", f"""
+SELECT variant_id, concat_ws('/', two, one, missing, total - two - one - missing) AS plain, concat_ws('/', total - two - one - missing, one, missing, two) AS flipped
+FROM (SELECT variant_id, {_SUM.format(when='dosage = 2')} AS two, {_SUM.format(when='dosage = 1')} AS one, {_SUM.format(when='dosage IS NULL')} AS missing FROM (
+  SELECT variant_id, dosage, {_HASH} AS h FROM {{tied_calls}}) AS c GROUP BY variant_id) AS v
+CROSS JOIN (SELECT sum({_HASH}) AS total FROM {{samples}}) AS t""")
 tie_map = relation("tie_map", """
 SELECT variant_id, min(variant_id) OVER (PARTITION BY canonical) AS group_id, side, first_value(side) OVER (PARTITION BY canonical ORDER BY variant_id) AS lead_side
 FROM (SELECT variant_id, least(plain, flipped) AS canonical, CASE WHEN plain <= flipped THEN 1 ELSE -1 END AS side FROM {signatures}) AS s""")

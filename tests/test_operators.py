@@ -152,3 +152,15 @@ def test_streaming_sums(spark, tmp_path):
     q.stop()
     got = {r["variant_id"]: tuple(r)[1:] for r in spark.table("sums").collect()}
     assert got == {7: (2, 4, 1, 1), 8: (1, 1, 1, 0)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from cohortscore import cli
+
+    from .conftest import SF
+
+    assert cli.main(["list-phenotypes"]) == 0 and "hypertension" in capsys.readouterr().out
+    assert cli.main(["doctor", SF]) == 0
+    assert cli.main(["run", "class_counts", SF, str(tmp_path / "out")]) == 0
+    assert spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).count() == 6
+    assert cli.main(["sweep", SF, str(tmp_path / "many"), "auc", "no_such_query"]) == 1
