@@ -15,8 +15,11 @@ bytes known to be equal are never compared again.
 
 Of the merged array the common prefixes give the tree of right extensions; merging children, smaller
 into larger, in the order of the left contexts gives each anchor its best left extension at every
-depth.  A pair whose extensions make up ``width`` bytes marks its span in both.  All comparisons are
-of bytes; hashes only choose and deal out anchors.
+depth.  A pair whose extensions make up ``width`` bytes marks its span in both.
+
+An anchor string with ``HOT`` occurrences or more could fill one task, so its windows are dealt out
+instead: each distinct context of a run sends the hashes of all its windows, equal windows of two
+contexts meet by hash, and what comes back is the first and last window of a context that repeats.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ WIDTH = 400
 KMER = 200
 STEP = 1 << 18
 FLUSH = 60_000  # anchors in a sorted run
+HOT = 5_000  # occurrences from which an anchor's windows are dealt out one by one
 PAD = b"\xff"  # never in UTF-8
 NO_ID = -(1 << 63)
 
@@ -238,7 +242,11 @@ def spans_of_group(strings: list[bytes], lcps: list[int], many: list[bool], widt
 
 
 def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
-    """``d1, d2, places``: of each document, the anchors whose hash occurs more than once (parts, little-endian uint32)."""
+    """``d1, d2, places, hot``: of each document, the anchors whose hash occurs more than once (parts, little-endian uint32).
+
+    ``hot`` are those with ``HOT`` occurrences or more, ``places`` the others.
+    """
+    limit = HOT
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, ps, owner, keys, held = [], [], [], [], 0
@@ -286,16 +294,23 @@ def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
         hs = h[order]
         same = np.zeros(len(hs) + 1, bool)
         same[1:-1] = hs[1:] == hs[:-1]
-        at = order[same[1:] | same[:-1]]
+        starts = np.flatnonzero(~same[:-1])
+        times = np.repeat(np.diff(np.append(starts, len(hs))), np.diff(np.append(starts, len(hs))))
+        at, hot = order[times > 1], times[times > 1] >= limit
         if not len(at):
-            return pd.DataFrame({"d1": [], "d2": [], "places": []})
-        at = at[np.argsort(o[at], kind="stable")]
+            return pd.DataFrame({"d1": [], "d2": [], "places": [], "hot": []})
+        by = np.argsort(o[at], kind="stable")
+        at, hot = at[by], hot[by]
         edges = np.flatnonzero(np.diff(o[at], prepend=-1, append=-1))
         who = o[at][edges[:-1]]
-        return pd.DataFrame({"d1": d[who, 0], "d2": d[who, 1], "places": [p[at[lo:hi]].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)]})
+        both = list(zip(edges, edges[1:], strict=False))
+        return pd.DataFrame({
+            "d1": d[who, 0], "d2": d[who, 1],
+            "places": [p[at[lo:hi][~hot[lo:hi]]].tobytes() for lo, hi in both], "hot": [p[at[lo:hi][hot[lo:hi]]].tobytes() for lo, hi in both],
+        })
 
     runs = docs.select("d1", "d2", "text").mapInArrow(emit, "bucket long, h binary, p binary, o binary, d binary")
-    return runs.groupBy("bucket").applyInPandas(count, "d1 long, d2 long, places binary").groupBy("d1", "d2").agg(F.collect_list("places").alias("places"))
+    return runs.groupBy("bucket").applyInPandas(count, "d1 long, d2 long, places binary, hot binary").groupBy("d1", "d2").agg(F.collect_list("places").alias("places"), F.collect_list("hot").alias("hot"))
 
 
 def _spans(marked: DataFrame, buckets: int) -> DataFrame:
@@ -375,10 +390,109 @@ def _spans(marked: DataFrame, buckets: int) -> DataFrame:
             "span": [got[lo:hi, 2:].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)],
         })
 
-    runs = marked.select("d1", "d2", "text", "places", "no_id").mapInArrow(emit, "bucket long, lcp binary, lengths binary, rest binary, counts binary, refs binary")
+    runs = marked.select("d1", "d2", "text", "places", "hot", "no_id").mapInArrow(emit, "bucket long, lcp binary, lengths binary, rest binary, counts binary, refs binary")
     return runs.groupBy("bucket").applyInPandas(resolve, "d1 long, d2 long, span binary")
 
 
+def windows(contexts: list[bytes], width: int = WIDTH, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all windows over each context's anchor, the context's index, and how far left of the anchor they start.
+
+    The hash takes in that offset: one window may hold several anchors, which must not meet each other.
+    """
+    side = width - k
+    raw = np.frombuffer(b"".join(c[: width - 1 - len(c) : -1] + c[:width] for c in contexts), np.uint8).reshape(len(contexts), side + width)
+    sums = np.zeros((len(contexts), side + width + 1), np.uint64)
+    np.cumsum(_TABLE[raw] * _P[: side + width], axis=1, out=sums[:, 1:])
+    h = (sums[:, width:] - sums[:, : side + 1]) * _I[: side + 1]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    lo, hi = reach(contexts, width, k)
+    d = side - np.arange(side + 1)
+    h += d.astype(np.uint64) * np.uint64(_BASE)
+    whole = (d[None, :] >= lo[:, None]) & (d[None, :] <= hi[:, None])
+    which, column = np.nonzero(whole)
+    return h[whole], which, d[column]
+
+
+def reach(contexts: list[bytes], width: int = WIDTH, k: int = KMER) -> tuple[np.ndarray, np.ndarray]:
+    """Least and most bytes left of the anchor at which a window lies within the text (none if least > most)."""
+    right = np.array([width - c[:width].count(PAD) for c in contexts])
+    left = np.array([width - k - c[width:].count(PAD) for c in contexts])
+    return width - right, left
+
+
+def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
+    """``d1, d2, span`` for the anchors of ``d1, d2, text, hot``."""
+    kept = marked.where(F.exists("hot", lambda x: F.length(x) > 0)).select("d1", "d2", "text", "places", "hot", "no_id")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[list[tuple[int, int, int]]]]]:
+        """Distinct contexts and their occurrences, a bounded number at a time."""
+        held: dict[bytes, list[tuple[int, int, int]]] = {}
+        n = 0
+        for batch in batches:
+            for d1, d2, text, _, places in zip(*(batch.column(i) for i in range(5)), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                for at in np.unique(np.frombuffer(b"".join(places.as_py()), np.uint32)).tolist():
+                    held.setdefault(context(raw, at), []).append((d1.as_py(), d2.as_py(), at))
+                    n += 1
+                    if n >= FLUSH:
+                        yield list(held), list(held.values())
+                        held, n = {}, 0
+        if held:
+            yield list(held), list(held.values())
+
+    def name(c: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors(np.zeros(WIDTH, np.uint8))  # fills the powers
+        for found, _ in contexts(batches):
+            names = np.array([name(c) for c in found], np.int64)
+            for lo in range(0, len(found), 1000):
+                h, which, d = windows(found[lo : lo + 1000])
+                b = _bucket(h, buckets)
+                order = np.argsort(b, kind="stable")
+                h, c, d, b = h[order], names[lo + which[order]], d[order].astype(np.uint16), b[order]
+                edges = np.flatnonzero(np.diff(b, prepend=-1, append=-1))
+                cols = [[int(b[i]) for i in edges[:-1]]] + [[x[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)] for x in (h, c, d)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["bucket", "h", "c", "d"])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, c, d = (np.concatenate([np.frombuffer(x, t) for x in pdf[n]]) for n, t in (("h", np.uint64), ("c", np.int64), ("d", np.uint16)))
+        order = np.lexsort((d, c, h))
+        h, c, d = h[order], c[order], d[order].astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.append(starts, len(h)))
+        keep = np.repeat(np.maximum.reduceat(c, starts) != np.minimum.reduceat(c, starts), sizes)  # two contexts at least
+        return pd.DataFrame({"c": c[keep], "lo": d[keep], "hi": d[keep]}).groupby("c", as_index=False).agg({"lo": "min", "hi": "max"})
+
+    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, refs in contexts(batches):
+            lo, hi = reach(found)
+            cols = [[name(c) for c in found], [len(r) for r in refs], lo.tolist(), hi.tolist(), [np.array(r, np.int64).tobytes() for r in refs]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (*[pa.int64()] * 4, pa.binary()), strict=True)], names=["c", "n", "least", "most", "refs"])
+
+    spread = kept.mapInArrow(deal, "bucket long, h binary, c binary, d binary").groupBy("bucket").applyInPandas(meet, "c long, lo long, hi long")
+    spread = spread.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    refs = kept.mapInArrow(refer, "c long, n long, least long, most long, refs binary")
+    many = refs.groupBy("c").agg(F.sum("n").alias("times"))
+    whole = (F.col("times") > 1) & (F.col("least") <= F.col("most"))
+    joined = refs.join(many, "c").join(spread, "c", "left").select(F.when(whole, F.col("least")).otherwise(F.col("lo")).alias("lo"), F.when(whole, F.col("most")).otherwise(F.col("hi")).alias("hi"), "refs").where("lo IS NOT NULL")
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d1, d2, spans = [], [], []
+            for lo, hi, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for ref in np.frombuffer(raw, np.int64).reshape(-1, 3).tolist():
+                    d1.append(ref[0])
+                    d2.append(ref[1])
+                    spans.append(np.array([ref[2] - hi, ref[2] - lo + WIDTH], np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(spans, pa.binary())], names=["d1", "d2", "span"])
+
+    return joined.mapInArrow(spell, "d1 long, d2 long, span binary")
+
+
 def union_spans(parts: list[bytes]) -> np.ndarray:
     """Maximal spans (rows: from, to) of little-endian int64 pairs; touching ones are joined."""
     x = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
@@ -405,7 +519,7 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     d = d.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("d1"), F.xxhash64("text").alias("d2"), F.col("doc_id").isNull().alias("no_id"))
     anchored = _repeated(d, buckets)
     marked = d.join(anchored, ["d1", "d2"])
-    spans = _spans(marked, buckets).groupBy("d1", "d2").agg(F.collect_list("span").alias("spans"))
+    spans = _spans(marked, buckets).unionByName(_hot_spans(marked, buckets)).groupBy("d1", "d2").agg(F.collect_list("span").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -284,7 +284,9 @@ def test_suffix_dedup(spark, odd, empty):
     assert suffixdedup.repeats(empty).count() == 0
 
 
-def test_suffix_dedup_of_planted_repeats(spark):
+@pytest.mark.parametrize("hot", [5000, 2, 3])
+def test_suffix_dedup_of_planted_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
     rng = np.random.default_rng(9)
 
     def text(n):
