@@ -145,3 +145,37 @@ def anderson(step, x: np.ndarray, memory: int = 5, iterations: int = 100, tol: f
         else:
             x = f
     return x, iterations
+
+
+def log_determinant(apply, n: int, probes: int = 32, steps: int = 40, seed: int = 0) -> float:
+    """log det of an SPD operator by stochastic Lanczos quadrature; exact (a dense factor) up to 256 rows."""
+    if n <= 256:
+        return float(np.linalg.slogdet(np.column_stack([apply(e) for e in np.eye(n)]))[1])
+    rng, total = np.random.default_rng(seed), 0.0
+    for _ in range(probes):
+        q = rng.choice([-1.0, 1.0], n) / np.sqrt(n)
+        basis, a, b = [q], [], []
+        for k in range(min(steps, n)):
+            w = apply(basis[-1])
+            a.append(float(w @ basis[-1]))
+            for v in basis:  # full reorthogonalization
+                w = w - (w @ v) * v
+            norm = float(np.linalg.norm(w))
+            if norm < 1e-12 or k == steps - 1:
+                break
+            b.append(norm)
+            basis.append(w / norm)
+        values, vectors = np.linalg.eigh(np.diag(a) + np.diag(b[: len(a) - 1], 1) + np.diag(b[: len(a) - 1], -1))
+        total += n * float((vectors[0] ** 2) @ np.log(np.maximum(values, 1e-300)))
+    return total / probes
+
+
+def forcing_tolerance(gradient_norm: float, most: float = 0.5, least: float = 1e-8, exponent: float = 0.5) -> float:
+    """How exactly an inner solve needs to be done at this distance from the optimum."""
+    return float(np.clip(gradient_norm**exponent, least, most)) if gradient_norm > 0 else least
+
+
+def iteration_cap(tolerance: float, base: int, least: int = 5, floor: float = 1e-8) -> int:
+    """Inner iterations in proportion to the digits asked for, out of those down to ``floor``."""
+    share = np.log(max(min(tolerance, 1.0), floor)) / np.log(floor)
+    return int(max(least, np.ceil(base * share)))

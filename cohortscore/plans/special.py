@@ -53,6 +53,14 @@ def scan_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vcf.calls(vcf_text(spark, sf_dir)).select("variant_id", F.col("sample_index").cast("long").alias("sample_index"), "dosage")
 
 
+def scan_bim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variant records parsed from .bim lines of the variants."""
+    v = build(spark, sf_dir, "variants")
+    alleles = F.when(F.col("variant_id") % 3 == 0, "A G").when(F.col("variant_id") % 3 == 1, "<DUP> N").otherwise("AT A")
+    line = F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.concat(F.lit("v"), "variant_id"), F.lit("0"), F.col("pos").cast("string"), alleles)
+    return bed.bim(v.select(line.alias("value"))).select("chrom", "variant_id", "pos", "variant_class")
+
+
 def pack_2bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls packed two bits each and unpacked again."""
     made: dict[str, DataFrame] = {}
@@ -91,6 +99,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 relation("sample_places", "SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS ordinal FROM {samples}")
 relation("scan_vcf_oracle", "SELECT concat('v', c.variant_id) AS variant_id, CAST(p.ordinal AS BIGINT) AS sample_index, c.dosage FROM {calls} c JOIN {sample_places} p ON p.sample_id = c.sample_id WHERE c.variant_id < 20")
+relation("scan_bim_oracle", "SELECT concat('chr', chrom) AS chrom, concat('v', variant_id) AS variant_id, pos, CASE variant_id % 3 WHEN 0 THEN 'snv' WHEN 1 THEN 'duplication_short' ELSE 'small_indel' END AS variant_class FROM {variants}")
 relation("pack_2bit_oracle", "SELECT c.variant_id, CAST(p.ordinal AS BIGINT) AS ordinal, c.dosage FROM {calls} c JOIN {sample_places} p ON p.sample_id = c.sample_id WHERE c.variant_id < 20")
 relation("run_summary_oracle", "SELECT (SELECT count(*) FROM {samples}) AS n_samples, (SELECT count(*) FROM {maf_filter}) AS n_variants, auc FROM {auc}")
 
@@ -109,9 +118,10 @@ def special_sql() -> dict[str, str]:
         "sv_event_clusters": _clusters_sql("SELECT variant_id, cluster, representative FROM lab JOIN best USING (cluster)"),
         "sv_representatives": _clusters_sql("SELECT representative AS variant_id FROM best"),
         "scan_vcf": oracle("scan_vcf_oracle"),
+        "scan_bim": oracle("scan_bim_oracle"),
         "pack_2bit": oracle("pack_2bit_oracle"),
         "run_summary": oracle("run_summary_oracle"),
     }
 
 
-SPECIAL = {f.__name__: f for f in (sv_event_clusters, sv_representatives, scan_vcf, pack_2bit, fit_quantitative, fit_binary, run_summary)}
+SPECIAL = {f.__name__: f for f in (sv_event_clusters, sv_representatives, scan_vcf, scan_bim, pack_2bit, fit_quantitative, fit_binary, run_summary)}

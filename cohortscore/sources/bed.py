@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 #: The file's magic bytes, and the dosage of the first allele for the codes 0..3 (-1: missing).
 MAGIC = b"\x6c\x1b\x01"
 DOSAGE_OF_CODE = np.array([2, -1, 1, 0], np.int8)
+SYMBOLIC = "DEL|DUP|INS|INV|BND|STR|VNTR|ME"
 CODE_OF_DOSAGE = np.array([3, 2, 0, 1], np.uint8)  # for 0, 1, 2 and missing (-1 or 3)
 
 
@@ -119,3 +120,34 @@ def unpack_calls(packed: DataFrame, n: int) -> DataFrame:
                 )
 
     return packed.mapInArrow(run, "variant_id long, ordinal long, dosage int")
+
+
+def bim(text: DataFrame) -> DataFrame:
+    """Variant records of .bim lines (six fields, any white space); short lines raise."""
+    f = text.where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("f"))
+    f = f.where(F.when(F.size("f") < 6, F.raise_error(F.lit("a .bim line has fewer than 6 fields"))).otherwise(True))
+    a1, a2 = F.element_at("f", 5), F.element_at("f", 6)
+    token = F.when(F.upper(a1).rlike(SYMBOLIC), F.upper(a1)).when(F.upper(a2).rlike(SYMBOLIC), F.upper(a2))
+    kind = (
+        F.when(token.contains("DEL"), "deletion_short").when(token.rlike("DUP|CNV"), "duplication_short").when(token.rlike("INS|ME"), "insertion_mei")
+        .when(token.rlike("INV|BND"), "inversion_bnd_complex").when(token.rlike("STR|VNTR"), "str_vntr_repeat").when(token.isNotNull(), "other_complex_sv")
+        .when((F.length(a1) == 1) & (F.length(a2) == 1), "snv").otherwise("small_indel")
+    )
+    return f.select(F.element_at("f", 1).alias("chrom"), F.element_at("f", 2).alias("variant_id"), F.element_at("f", 4).cast("long").alias("pos"), a1.alias("a1"), a2.alias("a2"), kind.alias("variant_class"), F.lit(1.0).alias("length"))
+
+
+def fam(text: DataFrame) -> DataFrame:
+    """Sample ids of .fam lines: the second field."""
+    return text.where(F.trim("value") != "").select(F.element_at(F.split(F.trim("value"), r"\s+"), 2).alias("sample_id"))
+
+
+def sample_layout(available: list[str], wanted: list[str] | None = None, order: list[str] | None = None) -> list[int]:
+    """Places in the file of the samples to write, in the order asked for; unknown or repeated ids raise."""
+    if len(set(available)) != len(available):
+        raise ValueError("sample ids repeat")
+    keep = set(wanted) if wanted is not None else set(available)
+    ids = [s for s in (order if order is not None else available) if s in keep]
+    at = {s: i for i, s in enumerate(available)}
+    if lost := [s for s in [*keep, *ids] if s not in at]:
+        raise ValueError(f"unknown samples: {', '.join(sorted(set(lost)))}")
+    return [at[s] for s in ids]

@@ -143,6 +143,23 @@ def test_solvers():
     assert fast * 3 <= it
 
 
+def test_log_determinant_and_forcing():
+    rng = np.random.default_rng(3)
+    d = rng.uniform(1, 5, 400)
+    assert em.log_determinant(lambda v: d * v, 400) == pytest.approx(np.log(d).sum(), rel=0.02)
+    assert em.log_determinant(lambda v: d[:50] * v, 50) == pytest.approx(np.log(d[:50]).sum())
+    assert em.forcing_tolerance(4.0) == 0.5 and em.forcing_tolerance(1e-4) == pytest.approx(1e-2)
+    assert em.iteration_cap(1e-8, 100) == 100 and em.iteration_cap(0.5, 100) < 10
+
+
+def test_sample_files(spark):
+    f = spark.createDataFrame([("f1 s1 0 0 1 -9",), ("f2\ts2 0 0 2 -9",)], "value string")
+    assert [r[0] for r in bed.fam(f).collect()] == ["s1", "s2"]
+    assert bed.sample_layout(["a", "b", "c"], ["c", "a"], ["c", "b", "a"]) == [2, 0]
+    with pytest.raises(ValueError):
+        bed.sample_layout(["a"], ["z"])
+
+
 def test_streaming_sums(spark, tmp_path):
     calls = spark.createDataFrame([(1, 7, 2), (2, 7, None), (3, 8, 1)], "sample_id long, variant_id long, dosage int")
     calls.write.parquet(str(tmp_path / "in"))
