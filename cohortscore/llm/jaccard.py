@@ -34,6 +34,7 @@ EPS = 1 - NUM / DEN
 CHUNK = 512
 HEAVY = 200_000  # most tokens that are ordered by their count: 3.2 MB are broadcast
 SEGMENT = 1 << 20
+HELD = 500_000  # tokens in a task's memory at once
 LINK, BOUNDARY, MEMBER = range(3)
 
 _SPACE = np.zeros(256, bool)
@@ -194,7 +195,7 @@ def _census(docs: DataFrame) -> DataFrame:
                 if len(s):
                     held.append(s)
                     size += len(s)
-                    if size > 2_000_000:
+                    if size > HELD:
                         count()
                         size = 0
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.nulls(len(ns), pa.int64())], names=names)
@@ -234,7 +235,7 @@ def _stars(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
             for s in _sets(batch.column(0)):
                 if not len(s) or (cls := _class(s)) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(cls)
                 p = prefix_length(len(s))
                 if len(known):
@@ -245,7 +246,7 @@ def _stars(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
                 owner.append(np.full(p, len(classes), np.int64))
                 classes.append(cls)
                 held += p
-                if held > 2_000_000:
+                if held > HELD:
                     yield flush()
                     held = 0
         if held:
@@ -370,7 +371,7 @@ def _members(docs: DataFrame, want: DataFrame) -> DataFrame:
                 for p in places:
                     rows.append((p["pivot"], p["chunk"], p["chunks"], cls, raw))
                     size += len(raw)
-                    if size > 32 << 20:
+                    if size > 8 << 20:
                         yield out()
                         rows, size = [], 0
             yield out()
