@@ -516,3 +516,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     many = twice.select(row.alias(key))
     once = kept.join(many, here == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(many, here == F.col(key), "left_anti").unionByName(once)
+
+
+def oracle_sql() -> str:
+    """DuckDB: shingles as text, all pairs that share one, and reachability along links."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, ws, least({WORDS}, len(ws)) AS k FROM w WHERE len(ws) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS sh FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM k)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {DEN} * c >= {NUM} * (a.n + b.n - c)),
+ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, e.y FROM reach r JOIN ways e ON e.x = r.y)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = w.doc_id"""

@@ -70,4 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.oracle_sql(), "op5_license_scan": licenses.oracle_sql()}
+    return {
+        "op4_line_dedup": linededup.oracle_sql(),
+        "op5_license_scan": licenses.oracle_sql(),
+        "op8_suffix_array_dedup": suffixdedup.oracle_sql(),
+        "op10_jaccard_join": jaccard.oracle_sql(),
+    }

@@ -537,3 +537,20 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     names = [c.split()[0] for c in schema.split(", ")]
     return d.join(spans, ["d1", "d2"], "left").select(F.when(~F.col("no_id"), F.col("d1")).alias("doc_id"), "text", "spans").mapInArrow(cut, schema)
+
+
+def oracle_sql() -> str:
+    """DuckDB: digests of all windows of the hexadecimal text, those that occur twice, and their union."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(hx, 2 * i + 1, {2 * WIDTH})) AS m FROM (SELECT doc_id, hx, unnest(range(0, greatest(n - {WIDTH} + 1, 0))) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) r ON r.m = w.m),
+e AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM hit),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + {WIDTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM e),
+sp AS MATERIALIZED (SELECT doc_id, g, min(i) AS a, max(i) + {WIDTH} AS b FROM g GROUP BY doc_id, g),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM sp
+  UNION ALL SELECT d.doc_id, coalesce(max(sp.b), 0), max(d.n) FROM d LEFT JOIN sp ON sp.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT p.doc_id, string_agg(substr(d.hx, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS hx FROM pieces p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM sp GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.hx)) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN sums ON sums.doc_id = d.doc_id"""
