@@ -18,6 +18,11 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
+def seeded(*parts: Column) -> Column:
+    """A 60-bit hash of values as text (nulls are skipped), one that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def words(text: Column) -> Column:
     """Number of words, without an array of them."""
     return F.coalesce(F.length(F.translate(F.regexp_replace(text, WORD, "x"), SPACE, "")), F.lit(0)).cast("long")
@@ -95,7 +100,7 @@ def mix(
     sized = stored(
         docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("th"))
         .withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-        .withColumn("h", F.xxhash64("doc_id", F.lit(seed))),
+        .withColumn("h", seeded(F.lit(seed), F.col("doc_id"))),
         "sizes",
     )
     by_source = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -114,7 +119,7 @@ def mix(
     line = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size")
     laid = d.withColumn("c1", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).join(quotas, ["key", "shard"])
     has = F.greatest("shard_size", F.lit(1))
-    start = F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.floor((has - 1) / block) + 1) * block
+    start = F.pmod(seeded(F.lit("start"), F.lit(seed), F.col("key"), F.col("shard")), F.floor((has - 1) / block) + 1) * block
     laid = (
         laid.withColumn("c0", F.col("c1") - F.col("size"))
         .withColumn("passes", F.floor(F.col("quota_words") / has).cast("long"))
@@ -159,3 +164,34 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     cut = F.when((first == 0) & (last == F.col(size)), text).otherwise(F.array_join(F.slice(some, first + 1, last - first), " "))
     new = {"text": cut.alias("text"), "n_chars": F.length(cut).cast("long").alias("n_chars")}
     return d.select(*[new.get(c, col(c)) for c in docs.columns])
+
+
+def oracle_sql(seed: int = 20, share: float = 1.5, most: float = 2.0, block: int = 4, shard_docs: int = 20_000) -> str:
+    """DuckDB: the same mix, with all quotients ranked instead of those near the rounding."""
+    filled = "ORDER BY lim / weight, key"
+
+    def hashed(*parts: str) -> str:
+        return f"CAST(concat('0x', substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15)) AS BIGINT)"
+
+    return f"""
+WITH sized AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+  coalesce(concat('=', source), '') AS key, {hashed(f"'{seed}'", "CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+src AS (SELECT CASE WHEN source IS NULL THEN '' ELSE concat('=', source) END AS key, source, CAST(sum(size) AS BIGINT) AS z, count(*) AS nd FROM sized GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, {most}e0 * z AS lim FROM src),
+lv AS (SELECT *, row_number() OVER ({filled}) AS place, ({share}e0 * sum(z) OVER () - coalesce(sum(lim) OVER ({filled} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER ({filled} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+lam AS (SELECT arg_min(level, place) AS level FROM lv WHERE level * weight <= lim),
+aims AS MATERIALIZED (SELECT key, z, CAST(ceil(nd / {shard_docs}e0) AS BIGINT) AS shards, coalesce(least(lim, lam.level * weight), lim) AS target FROM lv CROSS JOIN lam),
+total AS (SELECT CAST(round(sum(target) / {block}) AS BIGINT) AS seats FROM aims),
+q AS (SELECT key, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, k, key) AS turn FROM (SELECT key, target, unnest(range(0, (SELECT seats FROM total))) AS k FROM aims WHERE target > 0)),
+won AS (SELECT key, count(*) AS seats FROM q WHERE turn <= (SELECT seats FROM total) GROUP BY key),
+d AS MATERIALIZED (SELECT s.*, a.z, a.target, a.shards, s.h % a.shards AS shard, coalesce(won.seats, 0) AS seats FROM sized s JOIN aims a ON a.key = s.key LEFT JOIN won ON won.key = s.key),
+sh AS (SELECT key, shard, CAST(sum(size) AS BIGINT) AS sz, max(seats) AS seats FROM d GROUP BY key, shard),
+q2 AS (SELECT key, shard, seats, row_number() OVER (PARTITION BY key ORDER BY sz * 1e0 / (2 * k + 1) DESC, k, shard) AS turn FROM (SELECT key, shard, sz, seats, unnest(range(0, seats)) AS k FROM sh WHERE sz > 0)),
+quota AS (SELECT sh.key, sh.shard, sz, least(coalesce(n, 0) * {block}, CAST(round({most}e0 * sz) AS BIGINT)) AS words FROM sh LEFT JOIN (
+  SELECT key, shard, count(*) AS n FROM q2 WHERE turn <= seats GROUP BY key, shard) AS c ON c.key = sh.key AND c.shard = sh.shard),
+laid AS (SELECT d.*, q.words, q.sz, CAST(sum(size) OVER (PARTITION BY d.key, d.shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c1 FROM d JOIN quota q ON q.key = d.key AND q.shard = d.shard),
+pos AS (SELECT *, c1 - size AS c0, greatest(sz, 1) AS has, words % greatest(sz, 1) AS rest,
+  {hashed("'start'", f"'{seed}'", "key", "CAST(shard AS VARCHAR)")} % (CAST(floor((greatest(sz, 1) - 1) / {block}e0) AS BIGINT) + 1) * {block} AS start FROM laid)
+SELECT doc_id, size, z AS source_size, target, CAST(floor(words * 1e0 / has) AS BIGINT) * size + greatest(least(c1, start + rest) - greatest(c0, start), 0)
+  + greatest(least(c1, start + rest - sz) - greatest(c0, start - sz), 0) AS taken FROM pos"""

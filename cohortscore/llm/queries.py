@@ -74,5 +74,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": linededup.oracle_sql(),
         "op5_license_scan": licenses.oracle_sql(),
         "op8_suffix_array_dedup": suffixdedup.oracle_sql(),
+        "op9_source_mixing": mixing.oracle_sql(),
         "op10_jaccard_join": jaccard.oracle_sql(),
     }
