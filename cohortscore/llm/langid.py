@@ -59,9 +59,9 @@ def features(text: str) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 30) -> np.ndarray:
     """Dual coordinate descent for the L2-loss linear SVM; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    diag = (x * x).sum(1) + 0.5 / cost
+    diag = np.einsum("ij,ij->i", x, x) + 0.5 / cost
     order = np.random.default_rng(7)
     for _ in range(epochs):
         most = 0.0
@@ -131,7 +131,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, sample_rows: int = 2048) -> Model | None:
+def fit(docs: DataFrame, sample_rows: int = 1024) -> Model | None:
     """Fit on at most ``sample_rows`` labelled rows (8 a language at least) that are not held out.
 
     The sample is balanced over languages and picked by a hash of the id.  Ids and labels are
@@ -158,6 +158,7 @@ def fit(docs: DataFrame, sample_rows: int = 2048) -> Model | None:
     rows.sort(key=lambda r: (r["lang"], r["r"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows])
     labels = np.array([r["lang"] for r in rows], object)
+    del rows
     families = np.array([family_of(s) for s in labels], object)
     return Model(Vote.fit(x, families), {f: Vote.fit(x[families == f], labels[families == f]) for f in set(families)})
 
