@@ -175,11 +175,12 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFr
         m = shared.value
         for b in batches:
             n = b.num_rows
+            texts = b.column(2).field(place) if keep else b.column(2)
             lang, family, score = [UND] * n, [UND] * n, np.zeros(n)
             for lo in range(0, n, 256):
                 at, x = [], []
                 for i in range(lo, min(n, lo + 256)):
-                    t = b.column(2)[i].as_py()
+                    t = texts[i].as_py()
                     if m and t and any(c.isalpha() for c in t):
                         at.append(i)
                         x.append(features(t))
@@ -187,11 +188,14 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFr
                     f, s, p = m.predict(np.array(x))
                     for i, a, c, q in zip(at, f, s, p, strict=True):
                         family[i], lang[i], score[i] = a, c, q
-            cols = [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(family, pa.string()), *b.columns[3:]]
+            cols = [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(family, pa.string()), *b.columns[2:][: int(keep)]]
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([(f"c{i}", c.type) for i, c in enumerate(cols)]))
 
-    row = [F.struct(*[col(c) for c in docs.columns]).alias("row")] if keep else []
-    source = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"), *row)
+    # The text travels once: as itself, or within the row.
+    place = docs.columns.index("text")
+    text = F.col("text").cast("string").alias("text")
+    sent = F.struct(*[text if c == "text" else col(c) for c in docs.columns]).alias("row") if keep else text
+    source = docs.select("doc_id", held_out().alias("held_out"), sent)
     kinds = [source.schema["doc_id"].dataType, T.BooleanType(), T.StringType(), T.DoubleType(), T.StringType(), *([source.schema["row"].dataType] if keep else [])]
     named = source.mapInArrow(run, T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
     return named.toDF("doc_id", "held_out", "lang_pred", "score", "family_pred", *(["row"] if keep else []))
