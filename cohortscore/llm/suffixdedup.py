@@ -241,6 +241,44 @@ def spans_of_group(strings: list[bytes], lcps: list[int], many: list[bool], widt
     return [(left[i], right[i]) if left[i] >= 0 else None for i in range(m)]
 
 
+def _packed(part: np.ndarray, **cols: np.ndarray) -> dict[str, list]:
+    """One row for each part: ``part`` and its slice of every column, as bytes."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else np.zeros(1, np.int64)
+    both = list(zip(edges, edges[1:], strict=False))
+    return {"part": [int(part[lo]) for lo, _ in both]} | {k: [v[order][lo:hi].tobytes() for lo, hi in both] for k, v in cols.items()}
+
+
+def _packed_batch(rows: dict[str, list]) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.binary()] * (len(rows) - 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+
+def _joined(parts, dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype) for x in parts]) if len(parts) else np.zeros(0, dtype)
+
+
+def _spans_by_part(spans: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Rows d1, d2, from, to, packed by document."""
+    key = spans[:, 0].view(np.uint64) * np.uint64(_BASE) ^ spans[:, 1].view(np.uint64)
+    key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return pd.DataFrame(_packed(_bucket(key, buckets), spans=spans))
+
+
+def _by_document(parts: DataFrame) -> DataFrame:
+    """``d1, d2, spans`` of packed spans: one row a document."""
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _joined(pdf["spans"].to_list(), np.int64).reshape(-1, 4)
+        x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], np.any(x[1:, :2] != x[:-1, :2], axis=1)])), len(x))
+        both = list(zip(edges, edges[1:], strict=False))
+        return pd.DataFrame({"d1": x[edges[:-1], 0], "d2": x[edges[:-1], 1], "spans": [union_spans([x[lo:hi, 2:].tobytes()]).tobytes() for lo, hi in both]})
+
+    return parts.groupBy("part").applyInPandas(gather, "d1 long, d2 long, spans binary")
+
+
 def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
     """``d1, d2, places, hot``: of each document, the anchors whose hash occurs more than once (parts, little-endian uint32).
 
@@ -314,7 +352,7 @@ def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _spans(marked: DataFrame, buckets: int) -> DataFrame:
-    """``d1, d2, span``: repeated spans (from, to) around the anchors of ``d1, d2, text, places``."""
+    """Packed repeated spans around the anchors of ``d1, d2, text, places``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, int, int, int]] = []
@@ -382,16 +420,10 @@ def _spans(marked: DataFrame, buckets: int) -> DataFrame:
             owners.append([(run, i)])
         if strings:
             close()
-        got = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        got = got[np.lexsort((got[:, 2], got[:, 1], got[:, 0]))]
-        edges = np.flatnonzero(np.any(np.diff(got[:, :2], axis=0, prepend=got[:1, :2] - 1, append=got[-1:, :2] + 1) != 0, axis=1)) if len(got) else np.zeros(1, int)
-        return pd.DataFrame({
-            "d1": got[edges[:-1], 0], "d2": got[edges[:-1], 1],
-            "span": [got[lo:hi, 2:].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)],
-        })
+        return _spans_by_part(np.concatenate(out) if out else np.zeros((0, 4), np.int64), max(1, buckets // 2))
 
     runs = marked.select("d1", "d2", "text", "places", "hot", "no_id").mapInArrow(emit, "bucket long, lcp binary, lengths binary, rest binary, counts binary, refs binary")
-    return runs.groupBy("bucket").applyInPandas(resolve, "d1 long, d2 long, span binary")
+    return runs.groupBy("bucket").applyInPandas(resolve, "part long, spans binary")
 
 
 def windows(contexts: list[bytes], width: int = WIDTH, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -423,74 +455,103 @@ def reach(contexts: list[bytes], width: int = WIDTH, k: int = KMER) -> tuple[np.
 
 
 def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
-    """``d1, d2, span`` for the anchors of ``d1, d2, text, hot``."""
+    """Packed repeated spans around the anchors of ``d1, d2, text, hot``."""
+    parts = max(1, buckets // 2)
     kept = marked.where(F.exists("hot", lambda x: F.length(x) > 0)).select("d1", "d2", "text", "places", "hot", "no_id")
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[list[tuple[int, int, int]]]]]:
-        """Distinct contexts and their occurrences, a bounded number at a time."""
-        held: dict[bytes, list[tuple[int, int, int]]] = {}
-        n = 0
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+        """Distinct contexts, their names, and the occurrences (d1, d2, place) with their context's index; so many at a time."""
+        held: dict[bytes, int] = {}
+        refs: list[tuple[int, int, int, int]] = []
+
+        def out() -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+            names = [int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True) for c in held]
+            x = np.array(refs, np.int64)
+            return list(held), np.array(names, np.int64), x[:, :3], x[:, 3]
+
         for batch in batches:
             for d1, d2, text, _, places in zip(*(batch.column(i) for i in range(5)), strict=True):
-                raw = text.as_buffer().to_pybytes()
+                d1, d2, raw = d1.as_py(), d2.as_py(), text.as_buffer().to_pybytes()
                 for at in np.unique(np.frombuffer(b"".join(places.as_py()), np.uint32)).tolist():
-                    held.setdefault(context(raw, at), []).append((d1.as_py(), d2.as_py(), at))
-                    n += 1
-                    if n >= FLUSH:
-                        yield list(held), list(held.values())
-                        held, n = {}, 0
-        if held:
-            yield list(held), list(held.values())
-
-    def name(c: bytes) -> int:
-        return int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True)
+                    refs.append((d1, d2, at, held.setdefault(context(raw, at), len(held))))
+                    if len(refs) >= FLUSH:
+                        yield out()
+                        held, refs = {}, []
+        if refs:
+            yield out()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors(np.zeros(WIDTH, np.uint8))  # fills the powers
-        for found, _ in contexts(batches):
-            names = np.array([name(c) for c in found], np.int64)
-            for lo in range(0, len(found), 1000):
-                h, which, d = windows(found[lo : lo + 1000])
-                b = _bucket(h, buckets)
-                order = np.argsort(b, kind="stable")
-                h, c, d, b = h[order], names[lo + which[order]], d[order].astype(np.uint16), b[order]
-                edges = np.flatnonzero(np.diff(b, prepend=-1, append=-1))
-                cols = [[int(b[i]) for i in edges[:-1]]] + [[x[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)] for x in (h, c, d)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["bucket", "h", "c", "d"])
+        for found, names, _, _ in contexts(batches):
+            for lo in range(0, len(found), 2000):
+                h, which, d = windows(found[lo : lo + 2000])
+                yield _packed_batch(_packed(_bucket(h, parts), h=h, c=names[lo + which], d=d.astype(np.uint16)))
+
+    def by_name(c: np.ndarray) -> np.ndarray:
+        return _bucket(c.view(np.uint64), parts)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, c, d = (np.concatenate([np.frombuffer(x, t) for x in pdf[n]]) for n, t in (("h", np.uint64), ("c", np.int64), ("d", np.uint16)))
+        h, c, d = (_joined(pdf[n].to_list(), t) for n, t in (("h", np.uint64), ("c", np.int64), ("d", np.uint16)))
         order = np.lexsort((d, c, h))
-        h, c, d = h[order], c[order], d[order].astype(np.int64)
+        h, c, d = h[order], c[order], d[order]
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.append(starts, len(h)))
         keep = np.repeat(np.maximum.reduceat(c, starts) != np.minimum.reduceat(c, starts), sizes)  # two contexts at least
-        return pd.DataFrame({"c": c[keep], "lo": d[keep], "hi": d[keep]}).groupby("c", as_index=False).agg({"lo": "min", "hi": "max"})
+        c, lo, hi = _extremes(c[keep], d[keep], d[keep])
+        return pd.DataFrame(_packed(by_name(c), c=c, lo=lo, hi=hi))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, names, _, which in contexts(batches):
+            least, most = reach(found)
+            times = np.bincount(which, minlength=len(found)).astype(np.int64)
+            yield _packed_batch(_packed(by_name(names), c=names, times=times, least=least.astype(np.int64), most=most.astype(np.int64)))
+
+    def judge(told: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        """First and last repeated window of every context: all, if it occurs more than once."""
+        c, times, least, most = (_joined(told[n].to_list(), np.int64) for n in ("c", "times", "least", "most"))
+        if not len(c):
+            return pd.DataFrame({"part": [], "c": [], "first": [], "last": []})
+        order = np.argsort(c, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]]))
+        names, many = c[order][starts], np.add.reduceat(times[order], starts) > 1
+        first, last = np.full(len(names), WIDTH, np.int64), np.full(len(names), -1, np.int64)
+        mc, lo, hi = _extremes(_joined(met["c"].to_list(), np.int64), _joined(met["lo"].to_list(), np.uint16), _joined(met["hi"].to_list(), np.uint16))
+        place = np.searchsorted(names, mc)
+        first[place], last[place] = lo, hi
+        first[many], last[many] = least[order][starts][many], most[order][starts][many]
+        return pd.DataFrame({"part": [int(told["part"].iloc[0])], "c": [names.tobytes()], "first": [first.tobytes()], "last": [last.tobytes()]})
 
     def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, refs in contexts(batches):
-            lo, hi = reach(found)
-            cols = [[name(c) for c in found], [len(r) for r in refs], lo.tolist(), hi.tolist(), [np.array(r, np.int64).tobytes() for r in refs]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (*[pa.int64()] * 4, pa.binary()), strict=True)], names=["c", "n", "least", "most", "refs"])
-
-    spread = kept.mapInArrow(deal, "bucket long, h binary, c binary, d binary").groupBy("bucket").applyInPandas(meet, "c long, lo long, hi long")
-    spread = spread.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    refs = kept.mapInArrow(refer, "c long, n long, least long, most long, refs binary")
-    many = refs.groupBy("c").agg(F.sum("n").alias("times"))
-    whole = (F.col("times") > 1) & (F.col("least") <= F.col("most"))
-    joined = refs.join(many, "c").join(spread, "c", "left").select(F.when(whole, F.col("least")).otherwise(F.col("lo")).alias("lo"), F.when(whole, F.col("most")).otherwise(F.col("hi")).alias("hi"), "refs").where("lo IS NOT NULL")
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d1, d2, spans = [], [], []
-            for lo, hi, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for ref in np.frombuffer(raw, np.int64).reshape(-1, 3).tolist():
-                    d1.append(ref[0])
-                    d2.append(ref[1])
-                    spans.append(np.array([ref[2] - hi, ref[2] - lo + WIDTH], np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(spans, pa.binary())], names=["d1", "d2", "span"])
+        for _, names, refs, which in contexts(batches):
+            yield _packed_batch(_packed(by_name(names[which]), name=names[which], refs=refs))
 
-    return joined.mapInArrow(spell, "d1 long, d2 long, span binary")
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.zeros((0, 4), np.int64)]
+            for name, refs, c, first, last in zip(*(b.column(i) for i in range(5)), strict=True):
+                x, c = np.frombuffer(refs.as_py(), np.int64).reshape(-1, 3), np.frombuffer(c.as_py(), np.int64)
+                at = np.searchsorted(c, np.frombuffer(name.as_py(), np.int64))
+                lo, hi = np.frombuffer(first.as_py(), np.int64)[at], np.frombuffer(last.as_py(), np.int64)[at]
+                found.append(np.column_stack([x[:, :2], x[:, 2] - hi, x[:, 2] - lo + WIDTH])[lo <= hi])
+            rows = _spans_by_part(np.concatenate(found), parts)
+            yield pa.RecordBatch.from_pandas(rows, schema=pa.schema([("part", pa.int64()), ("spans", pa.binary())]), preserve_index=False)
+
+    met = kept.mapInArrow(deal, "part long, h binary, c binary, d binary").groupBy("part").applyInPandas(meet, "part long, c binary, lo binary, hi binary")
+    told = kept.mapInArrow(tell, "part long, c binary, times binary, least binary, most binary")
+    verdict = told.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(judge, "part long, c binary, first binary, last binary")
+    # One row of verdicts for a part meets a row of occurrences for each run: the occurrences of a context are never in one place.
+    refs = kept.mapInArrow(refer, "part long, name binary, refs binary")
+    return refs.join(verdict, "part").select("name", "refs", "c", "first", "last").mapInArrow(apply, "part long, spans binary")
+
+
+def _extremes(c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each name once, with its least lo and its greatest hi."""
+    if not len(c):
+        return c, lo, hi
+    order = np.argsort(c, kind="stable")
+    c, lo, hi = c[order], lo[order], hi[order]
+    starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    return c[starts], np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)
 
 
 def union_spans(parts: list[bytes]) -> np.ndarray:
@@ -512,21 +573,22 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     are hashed in steps.  Kept bytes need not be whole characters, so ``kept`` is binary.  Other
     columns are not read; an empty table gives no rows.
     """
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Tasks send a row of packed arrays to each bucket: twice the partitions keep groups small and rows few.
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # Both joins below take the same columns, so that the texts are exchanged once.
     d = d.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("d1"), F.xxhash64("text").alias("d2"), F.col("doc_id").isNull().alias("no_id"))
     anchored = _repeated(d, buckets)
     marked = d.join(anchored, ["d1", "d2"])
-    spans = _spans(marked, buckets).unionByName(_hot_spans(marked, buckets)).groupBy("d1", "d2").agg(F.collect_list("span").alias("spans"))
+    spans = _by_document(_spans(marked, buckets).unionByName(_hot_spans(marked, buckets)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, parts in zip(batch.column(1), batch.column(2), strict=True):
                 raw = text.as_buffer().to_pybytes() if len(text.as_py()) else b""
-                gone = union_spans(parts.as_py() or [])
+                gone = np.frombuffer(parts.as_py() or b"", np.int64).reshape(-1, 2)
                 edges = [0, *gone.reshape(-1).tolist(), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
