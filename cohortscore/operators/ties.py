@@ -7,22 +7,21 @@ complement share ``least`` of both spellings, so no pairs are compared and no gr
 
 from cohortscore.plans.relation import relation
 
-#: Calls with copies of some variants (+1000) and complements of others (+2000); absent rows are 0, so a complement lists every sample.
-tied_calls = relation("tied_calls", """
-SELECT sample_id, variant_id, dosage FROM {calls} WHERE variant_id < 30
-UNION ALL SELECT sample_id, variant_id + 1000, dosage FROM {calls} WHERE variant_id < 10
-UNION ALL SELECT d.sample_id, d.variant_id + 2000, CASE WHEN d.present AND d.dosage IS NULL THEN NULL ELSE 2 - coalesce(d.dosage, 0) END FROM (
-  SELECT s.sample_id, v.variant_id, c.dosage, c.sample_id IS NOT NULL AS present FROM {samples} s CROSS JOIN (SELECT DISTINCT variant_id FROM {calls} WHERE variant_id BETWEEN 5 AND 14) AS v
-  LEFT JOIN {calls} c ON c.sample_id = s.sample_id AND c.variant_id = v.variant_id) AS d WHERE d.dosage IS NULL OR d.dosage < 2""")
-
 #: Per state (2, 1, missing; 0 is the rest) a sum of 60-bit hashes of its samples: one row of constant size
 #: for each variant, summed on the map side. The flipped signature swaps states 2 and 0.
 _HASH = "CAST([[conv(substr(md5(CAST(sample_id AS STRING)), 1, 15), 16, 10)|CAST(concat('0x', substr(md5(CAST(sample_id AS VARCHAR)), 1, 15)) AS BIGINT)]] AS DECIMAL(38, 0))"
 _SUM = "coalesce(sum(CASE WHEN {when} THEN h END), 0)"
+states = relation("states", f"""
+SELECT variant_id, {_SUM.format(when='dosage = 2')} AS two, {_SUM.format(when='dosage = 1')} AS one, {_SUM.format(when='dosage IS NULL')} AS missing FROM (
+  SELECT variant_id, dosage, {_HASH} AS h FROM {{calls}}) AS c GROUP BY variant_id""")
+#: All variants, with a copy (+1000) and the complement (+2000) of each: a complement has the sums of the states 2 and 0 swapped.
+tied_states = relation("tied_states", f"""
+SELECT variant_id, two, one, missing FROM {{states}}
+UNION ALL SELECT variant_id + 1000, two, one, missing FROM {{states}}
+UNION ALL SELECT v.variant_id + 2000, t.total - v.two - v.one - v.missing, v.one, v.missing FROM {{states}} v CROSS JOIN (SELECT sum({_HASH}) AS total FROM {{samples}}) AS t""")
 signatures = relation("signatures", f"""
 SELECT variant_id, concat_ws('/', two, one, missing, total - two - one - missing) AS plain, concat_ws('/', total - two - one - missing, one, missing, two) AS flipped
-FROM (SELECT variant_id, {_SUM.format(when='dosage = 2')} AS two, {_SUM.format(when='dosage = 1')} AS one, {_SUM.format(when='dosage IS NULL')} AS missing FROM (
-  SELECT variant_id, dosage, {_HASH} AS h FROM {{tied_calls}}) AS c GROUP BY variant_id) AS v
+FROM {{tied_states}} AS v
 CROSS JOIN (SELECT sum({_HASH}) AS total FROM {{samples}}) AS t""")
 tie_map = relation("tie_map", """
 SELECT variant_id, min(variant_id) OVER (PARTITION BY canonical) AS group_id, side, first_value(side) OVER (PARTITION BY canonical ORDER BY variant_id) AS lead_side
