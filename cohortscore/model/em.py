@@ -25,6 +25,7 @@ class Fit:
     global_scale: float
     local_scale: np.ndarray
     history: list[float] = field(default_factory=list)
+    converged: bool = False
 
 
 def closed_form_scale(second: np.ndarray, baseline: np.ndarray, local: np.ndarray, lo: float = 1e-8, hi: float = 1e8) -> float:
@@ -70,6 +71,7 @@ def fit(rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.n
     g = float(np.sqrt(0.25 / p) / np.sqrt(np.mean(baseline**2))) if p else 0.0
     alpha, beta, var = np.zeros(k), np.zeros(p), np.full(p, 1e-4)
     history: list[float] = []
+    converged = False
     if not binary:
         m, v, yy, n = moments(rows, zero)
         err = max(float(yy / n - (v[0] / n) ** 2), 1e-12)
@@ -95,9 +97,10 @@ def fit(rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.n
             second = beta**2 + var
             lam, delta = local_step(second, (g * baseline) ** 2, delta, a, b)
             g = closed_form_scale(second, baseline, lam)
-        if it > 2 and np.max(np.abs(x - before)) < tol * (1 + np.max(np.abs(x))):
+        converged = bool(it > 2 and np.max(np.abs(x - before)) < tol * (1 + np.max(np.abs(x))))
+        if converged:
             break
-    return Fit(alpha, beta, var, err, g, lam, history)
+    return Fit(alpha, beta, var, err, g, lam, history, converged)
 
 
 def expected_precision(second: np.ndarray, base2: np.ndarray, delta: np.ndarray, a: np.ndarray) -> np.ndarray:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,9 @@ def _matrix(b: pa.RecordBatch, zero: np.ndarray) -> tuple[np.ndarray, np.ndarray
     c = np.array(b.column("c").to_pylist(), float)
     x = np.hstack([c, np.tile(zero, (len(c), 1))])
     k = c.shape[1]
-    for i, (at, z) in enumerate(zip(b.column("at").to_pylist(), b.column("z").to_pylist(), strict=True)):
-        if at:
-            x[i, k + np.array(at)] = z
+    at, z = b.column("at"), b.column("z")
+    row = np.repeat(np.arange(len(c)), pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False))
+    x[row, k + at.flatten().to_numpy()] = z.flatten().to_numpy()
     return x, b.column("y").to_numpy(zero_copy_only=False).astype(float)
 
 

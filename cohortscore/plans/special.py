@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortscore.model import em
@@ -27,6 +31,11 @@ CLASS_PRIORS = {
     "other_complex_sv": (-3.3, 0.6, 0.4),
 }
 
+#: The fit's MAF filter (the reference's default; the query maf_filter has its own), and when a fit that meets no tolerance raises.
+MINIMUM_MAF, MOST_ITERATIONS = 0.01, 1000
+#: Sample ids whose places are ranked together.
+PLACE_RANGE = 4096
+
 
 def sv_event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     made: dict[str, DataFrame] = {}
@@ -37,13 +46,31 @@ def sv_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sv_event_clusters(spark, sf_dir).select(F.col("representative").alias("variant_id")).distinct()
 
 
+def places(samples: DataFrame) -> DataFrame:
+    """``sample_id, ordinal``: places from 0 by id; ids are counted by ranges, and ranked within one."""
+    ids = samples.select("sample_id", F.floor(F.col("sample_id") / PLACE_RANGE).alias("range"))
+    counts = ids.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("sample_id"))
+    return ids.join(before, "range").select("sample_id", (F.col("before") + rank - 1).alias("ordinal"))
+
+
 def vcf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call-file lines of the first twenty variants (the inverse of the scan)."""
+    """Call-file lines of all variants (the inverse of the scan); a line is filled from its carriers and missing calls."""
     made: dict[str, DataFrame] = {}
-    calls, samples = build(spark, sf_dir, "calls", made).where("variant_id < 20"), build(spark, sf_dir, "samples", made)
-    grid = calls.select("variant_id").distinct().join(samples.select("sample_id")).join(calls, ["variant_id", "sample_id"], "left").join(calls.select("variant_id", "sample_id", F.lit(1).alias("called")), ["variant_id", "sample_id"], "left")
-    token = F.when(F.col("called").isNotNull() & F.col("dosage").isNull(), "./.:0").when(F.col("dosage") == 2, "1|1:9").when(F.col("dosage") == 1, "0/1:9").otherwise("0/0:9")
-    body = grid.groupBy("variant_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sample_id", token.alias("t")))), lambda x: x["t"]), "\t").alias("body"))
+    calls, samples = build(spark, sf_dir, "calls", made), build(spark, sf_dir, "samples", made)
+    token = F.when(F.col("dosage").isNull(), "./.:0").when(F.col("dosage") == 2, "1|1:9").when(F.col("dosage") == 1, "0/1:9").otherwise("0/0:9")
+    called = calls.join(places(samples), "sample_id").groupBy("variant_id").agg(F.collect_list("ordinal").alias("at"), F.collect_list(token).alias("token"))
+    n = samples.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v, at, tokens in zip(*b.columns, strict=True):
+                body = np.full(n, "0/0:9", object)
+                body[at.values.to_numpy()] = tokens.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([v.as_py()], pa.int64()), pa.array(["\t".join(body)])], names=["variant_id", "body"])
+
+    body = called.mapInArrow(run, "variant_id long, body string")
     line = F.concat_ws("\t", F.lit("1"), (F.col("variant_id") + 1).cast("string"), F.concat(F.lit("v"), "variant_id"), F.lit("A"), F.lit("G"), F.lit("50"), F.lit("PASS"), F.lit("AF=0.1"), F.lit("GT:DP"), "body")
     return body.select(line.alias("value"))
 
@@ -64,20 +91,31 @@ def scan_bim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_2bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls packed two bits each and unpacked again."""
     made: dict[str, DataFrame] = {}
-    calls, samples = build(spark, sf_dir, "calls", made).where("variant_id < 20"), RELATIONS["sample_places"](spark, samples=build(spark, sf_dir, "samples", made))
+    calls, samples = build(spark, sf_dir, "calls", made), places(build(spark, sf_dir, "samples", made))
     return bed.unpack_calls(bed.pack_calls(calls, samples), samples.count())
 
 
+def reduced_variants(spark: SparkSession, sf_dir: str, made: dict[str, DataFrame]) -> DataFrame:
+    """``variant_id, mean, scale`` of the variants to fit: those that pass the MAF filter, one of each tie group."""
+    common = build(spark, sf_dir, "maf", made).where(F.col("maf") >= MINIMUM_MAF).select("variant_id")
+    states = build(spark, sf_dir, "states", made).join(common, "variant_id", "left_semi")
+    signatures = RELATIONS["signatures"](spark, tied_states=states, samples=build(spark, sf_dir, "samples", made))
+    lead = RELATIONS["tie_map"](spark, signatures=signatures).where("variant_id = group_id").select("variant_id")
+    return build(spark, sf_dir, "standardization", made).join(lead, "variant_id", "left_semi")
+
+
 def _fit(spark: SparkSession, sf_dir: str, target: str, covariates: list[str], binary: bool) -> DataFrame:
     made: dict[str, DataFrame] = {}
-    few = build(spark, sf_dir, "standardization", made).where("variant_id < 40")
+    few = reduced_variants(spark, sf_dir, made)
     samples = build(spark, sf_dir, "samples", made).withColumn("y_scaled", F.col("y") / 1000)
     rows, ids, zero = design(build(spark, sf_dir, "calls", made), few, samples, covariates, target)
     rows = rows.persist()
     base = np.array([np.exp(CLASS_PRIORS["snv" if v % 2 else "deletion_short"][0]) for v in ids])
     a, b = (np.array([CLASS_PRIORS["snv" if v % 2 else "deletion_short"][i] for v in ids]) for i in (1, 2))
-    got = em.fit(rows, zero, 1 + len(covariates), base, a, b, binary=binary, iterations=8 if binary else 30)
+    got = em.fit(rows, zero, 1 + len(covariates), base, a, b, binary=binary, iterations=MOST_ITERATIONS)
     rows.unpersist()
+    if not got.converged:
+        raise RuntimeError(f"the fit of {target} did not meet its tolerance in {MOST_ITERATIONS} iterations")
     return spark.createDataFrame([(int(v), float(x), float(s)) for v, x, s in zip(ids, got.beta, got.beta_variance, strict=True)], "variant_id long, beta double, beta_variance double")
 
 
@@ -98,9 +136,9 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 relation("sample_places", "SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS ordinal FROM {samples}")
-relation("scan_vcf_oracle", "SELECT concat('v', c.variant_id) AS variant_id, CAST(p.ordinal AS BIGINT) AS sample_index, c.dosage FROM {calls} c JOIN {sample_places} p ON p.sample_id = c.sample_id WHERE c.variant_id < 20")
+relation("scan_vcf_oracle", "SELECT concat('v', c.variant_id) AS variant_id, CAST(p.ordinal AS BIGINT) AS sample_index, c.dosage FROM {calls} c JOIN {sample_places} p ON p.sample_id = c.sample_id")
 relation("scan_bim_oracle", "SELECT concat('chr', chrom) AS chrom, concat('v', variant_id) AS variant_id, pos, CASE variant_id % 3 WHEN 0 THEN 'snv' WHEN 1 THEN 'duplication_short' ELSE 'small_indel' END AS variant_class FROM {variants}")
-relation("pack_2bit_oracle", "SELECT c.variant_id, CAST(p.ordinal AS BIGINT) AS ordinal, c.dosage FROM {calls} c JOIN {sample_places} p ON p.sample_id = c.sample_id WHERE c.variant_id < 20")
+relation("pack_2bit_oracle", "SELECT c.variant_id, CAST(p.ordinal AS BIGINT) AS ordinal, c.dosage FROM {calls} c JOIN {sample_places} p ON p.sample_id = c.sample_id")
 relation("run_summary_oracle", "SELECT (SELECT count(*) FROM {samples}) AS n_samples, (SELECT count(*) FROM {maf_filter}) AS n_variants, auc FROM {auc}")
 
 

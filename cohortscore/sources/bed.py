@@ -92,15 +92,14 @@ def pack_calls(calls: DataFrame, samples: DataFrame) -> DataFrame:
     ``samples`` (sample_id, ordinal from 0) gives the number of samples; a variant's carriers are one row.
     """
     n = samples.count()
-    placed = calls.join(samples, "sample_id").groupBy("variant_id").agg(F.collect_list(F.struct("ordinal", F.coalesce("dosage", F.lit(-1)).alias("dosage"))).alias("c"))
+    placed = calls.join(samples, "sample_id").groupBy("variant_id").agg(F.collect_list("ordinal").alias("at"), F.collect_list(F.coalesce("dosage", F.lit(-1))).alias("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for c in b.column(1):
+            for at, dosages in zip(b.column(1), b.column(2), strict=True):
                 d = np.zeros(n, np.int64)
-                for x in c.as_py():
-                    d[x["ordinal"]] = x["dosage"]
+                d[at.values.to_numpy()] = dosages.values.to_numpy()
                 out.append(pack(d))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["variant_id", "packed"])
 
