@@ -167,7 +167,8 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFr
     """``doc_id, held_out, lang_pred, score, family_pred`` of every whole text.
 
     ``und`` with score 0 if the text is null or holds no letter, or if there is no model.  With
-    ``keep``, ``row`` is a struct of all columns of ``docs``, so that their names clash with none here.
+    ``keep``, ``row`` is a struct of all columns of ``docs``, so that their names clash with none here,
+    and ``has_letter`` says whether the text is not null and holds a letter, with or without a model.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -176,19 +177,20 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFr
         for b in batches:
             n = b.num_rows
             texts = b.column(2).field(place) if keep else b.column(2)
-            lang, family, score = [UND] * n, [UND] * n, np.zeros(n)
+            lang, family, score, letter = [UND] * n, [UND] * n, np.zeros(n), np.zeros(n, bool)
             for lo in range(0, n, 256):
                 at, x = [], []
                 for i in range(lo, min(n, lo + 256)):
                     t = texts[i].as_py()
-                    if m and t and any(c.isalpha() for c in t):
+                    letter[i] = bool(t) and any(c.isalpha() for c in t)
+                    if m and letter[i]:
                         at.append(i)
                         x.append(features(t))
                 if at:
                     f, s, p = m.predict(np.array(x))
                     for i, a, c, q in zip(at, f, s, p, strict=True):
                         family[i], lang[i], score[i] = a, c, q
-            cols = [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(family, pa.string()), *b.columns[2:][: int(keep)]]
+            cols = [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(family, pa.string()), *([b.column(2), pa.array(letter)] if keep else [])]
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([(f"c{i}", c.type) for i, c in enumerate(cols)]))
 
     # The text travels once: as itself, or within the row.
@@ -196,6 +198,6 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFr
     text = F.col("text").cast("string").alias("text")
     sent = F.struct(*[text if c == "text" else col(c) for c in docs.columns]).alias("row") if keep else text
     source = docs.select("doc_id", held_out().alias("held_out"), sent)
-    kinds = [source.schema["doc_id"].dataType, T.BooleanType(), T.StringType(), T.DoubleType(), T.StringType(), *([source.schema["row"].dataType] if keep else [])]
+    kinds = [source.schema["doc_id"].dataType, T.BooleanType(), T.StringType(), T.DoubleType(), T.StringType(), *([source.schema["row"].dataType, T.BooleanType()] if keep else [])]
     named = source.mapInArrow(run, T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
-    return named.toDF("doc_id", "held_out", "lang_pred", "score", "family_pred", *(["row"] if keep else []))
+    return named.toDF("doc_id", "held_out", "lang_pred", "score", "family_pred", *(["row", "has_letter"] if keep else []))

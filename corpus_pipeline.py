@@ -15,10 +15,15 @@ from cohortscore.llm.queries import bpe_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text, no letter) go; a missing ``lang`` is filled in."""
-    found = langid.identify(docs, langid.fit(docs), keep=True).where(F.col("lang_pred") != langid.UND)
+    """Documents of null text or without a letter go; a missing ``lang`` is filled in.
+
+    Where no row is labelled there is no model: all documents with a letter stay, and ``lang`` stays null.
+    """
+    model = langid.fit(docs)
+    found = langid.identify(docs, model, keep=True).where("has_letter")
+    lang = F.coalesce(F.col("row")["lang"], F.col("lang_pred")) if model else F.col("row")["lang"]
     rows = [F.col("row")[c].alias(c) for c in docs.columns if c != "lang"]
-    return found.select(*rows, F.coalesce(F.col("row")["lang"], F.col("lang_pred")).alias("lang")).select(*[col(c) for c in docs.columns])
+    return found.select(*rows, lang.alias("lang")).select(*[col(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
