@@ -63,9 +63,10 @@ survey_split = relation("survey_split", """
 SELECT p.person_id, 1 AS positive FROM (SELECT DISTINCT person_id FROM {survey}) p [[LEFT SEMI|SEMI]] JOIN {survey_positive} s ON s.person_id = CAST(p.person_id AS [[STRING|VARCHAR]])
 UNION ALL SELECT p.person_id, 0 FROM (SELECT DISTINCT person_id FROM {survey}) p [[LEFT ANTI|ANTI]] JOIN {survey_positive} s ON s.person_id = CAST(p.person_id AS [[STRING|VARCHAR]])""")
 survey_diagnostic = relation("survey_diagnostic", """
-SELECT source, lang, substr(text, 1, 12) AS prefix, n_chars % 7 AS answer_id, count(DISTINCT doc_id) AS n_people FROM {documents} WHERE lower(text) LIKE '%the%'
-GROUP BY source, lang, substr(text, 1, 12), n_chars % 7 ORDER BY n_people DESC, source, lang, prefix, answer_id LIMIT 30""")
-eval_pool = relation("eval_pool", "SELECT sample_id FROM {samples} WHERE target = 0 UNION SELECT CAST(person_id AS BIGINT) FROM {persons} WHERE person_id % 7 = 0")
+SELECT source, lang, text AS answer, count(DISTINCT doc_id) AS n_people FROM {documents} WHERE lower(text) LIKE '%the%'
+GROUP BY source, lang, text ORDER BY n_people DESC, source NULLS LAST, lang NULLS LAST, answer LIMIT 30""")
+#: Controls, and persons whose phenotype is missing.
+eval_pool = relation("eval_pool", "SELECT sample_id FROM {samples} WHERE target = 0 UNION SELECT CAST(person_id AS BIGINT) FROM {cohort} WHERE target IS NULL")
 dedupe_first = relation("dedupe_first", """
 SELECT chrom, pos, variant_id, source FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos, variant_id ORDER BY source, ordinal) AS rn FROM (
   SELECT chrom, pos, variant_id, 0 AS source, variant_id AS ordinal FROM {variants} WHERE variant_id % 2 = 0 UNION ALL SELECT chrom, pos, variant_id, 1, variant_id FROM {variants}) AS u) AS r WHERE rn = 1""")
