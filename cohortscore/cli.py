@@ -1,4 +1,4 @@
-"""Command line: list phenotypes and queries, run a query, fit and score, check a folder of tables."""
+"""Command line: list phenotypes and queries, run one query or several, check a folder of tables."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Two-bit genotype files: codec, a Python data source with a partition for each range of variants, and a writer."""
+"""Two-bit genotype files: codec, a Python data source with a partition for each range of variants, and packing of calls into rows."""
 
 from __future__ import annotations
 
