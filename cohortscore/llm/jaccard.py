@@ -1,18 +1,21 @@
 """Exact Jaccard join of word-shingle sets as a metric-space join.
 
-Jaccard distance is a metric, so documents are dealt into Voronoi-like regions around pivots and the
-triangle inequality says which of them can be close.  Two sets within distance ``EPS`` share one of
-their first tokens in any common order (a quarter of each set, rare tokens first), so the smallest
-set among those that share such a token is the pivot of them all: both sets of every close pair lie
-in the region of at least one common pivot, and a region is a star, never a list of pairs.
-
-A region is joined recursively: distances from its pivot are exact; a pair whose distances from any
-pivot taken so far differ by more than ``EPS`` is out, one in a component already is done, and what
-is left takes its next member as pivot.  Regions of more than ``CHUNK`` members are joined in chunks
-that all hold the pivot; only members that the pivot's component does not reach (the boundary) are
-replicated to the other chunks.  Links are folded into components by alternating stars.
-
-Sets equal to each other are one class from the start.  Shingles and classes are 64-bit hashes.
+Jaccard distance is a metric, but of most pairs it is exactly 1, and then a window around a Voronoi
+cell holds everything.  So the space is first cut where distances are 1: two sets within ``EPS`` share
+one of their first tokens in any common order (a quarter of each set, rare tokens first), and the sets
+that share one form a root region.  Stars of tokens, never pairs, say which.
+
+A region of more than ``CHUNK`` members is split into Voronoi cells around ``FAN`` of its members, its
+pivots.  Every member goes to the cell of its nearest pivot, and as a guest to those cells before its
+own in which it can have a close home member: its distance from the pivot is at most the cell's radius
+plus ``EPS``, and at most 2 ``EPS`` more than the distance from its own pivot.  Cells are regions and
+are split again, until they are small.  A cell that holds nearly all of its region (all distances
+alike) is joined in pairs of blocks instead.  Members known to be connected are never compared, and of
+its links a task puts out a spanning forest only.  Links are folded into components by alternating
+stars.
+
+Sets equal to each other are one class from the start: a class is a 128-bit hash of the set, a shingle
+a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, stored
@@ -31,11 +34,17 @@ from .common import fresh, stored
 WORDS = 5
 NUM, DEN = 75, 100  # linked when DEN * intersection >= NUM * union
 EPS = 1 - NUM / DEN
-CHUNK = 512
-HEAVY = 200_000  # most tokens that are ordered by their count: 3.2 MB are broadcast
+CHUNK = 1024  # members, and
+CHUNK_TOKENS = 2_000_000  # tokens of a region that is joined in one piece
+FAN = 16  # pivots of a region
+SHRINK = 0.75  # a cell with a larger share of its region's members is not split again
+HEAVY = 200_000  # most tokens that are ordered by their count: 6.4 MB are broadcast
+HOT = 4096  # from this count on, tokens have their region named by the census
 SEGMENT = 1 << 20
 HELD = 500_000  # tokens in a task's memory at once
-LINK, BOUNDARY, MEMBER = range(3)
+SENT = 8 << 20  # bytes of sets in a batch that leaves Python
+LINK, MOVE = range(2)
+MEMBER, PIVOT = range(2)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -148,8 +157,8 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
         yield from shingle_sets([_bytes(x) for x in column.slice(lo, 512)])
 
 
-def _class(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _class(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _bytes(text: pa.Scalar) -> bytes:
@@ -173,69 +182,103 @@ def least_shared(n):
 
 
 def _census(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, th, n, cls) and of tokens that are frequent in a task (token, its count in n; cls null)."""
+    """Rows of documents (doc_id, th, n, cls), and of tokens that are frequent in a task (token, its count in n, a class that holds it in cls)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, often = [], 0, {}
+        held, names, size = [], [], 0
+        often: dict[int, tuple[int, bytes]] = {}
 
         def count() -> None:
-            t, n = np.unique(np.concatenate(held), return_counts=True)
-            for k, v in zip(t[n >= 8].view(np.int64).tolist(), n[n >= 8].tolist(), strict=True):
-                often[k] = often.get(k, 0) + v
+            flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(s) for s in held])
+            order = np.argsort(flat, kind="stable")
+            t, first, n = np.unique(flat[order], return_index=True, return_counts=True)
+            for k, at, v in zip(t[n >= 8].view(np.int64).tolist(), first[n >= 8].tolist(), n[n >= 8].tolist(), strict=True):
+                before, name = often.get(k, (0, names[owner[order[at]]]))
+                often[k] = before + v, name
             if len(often) > HEAVY:
-                for k in sorted(often, key=lambda x: (-often[x], x))[HEAVY // 2 :]:
+                for k in sorted(often, key=lambda x: (-often[x][0], x))[HEAVY // 2 :]:
                     del often[k]
             held.clear()
+            names.clear()
 
         for b in batches:
             ns, cs = [], []
             for s in _sets(b.column(1)):
                 ns.append(len(s))
-                cs.append(_class(s) if len(s) else 0)
+                cs.append(_class(s) if len(s) else b"")
                 if len(s):
                     held.append(s)
+                    names.append(cs[-1])
                     size += len(s)
                     if size > HELD:
                         count()
                         size = 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.nulls(len(ns), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(cs, pa.binary()), pa.nulls(len(ns), pa.int64())], names=columns)
         if held:
             count()
         if often:
             k = len(often)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(often.values()), pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(often), pa.int64())], names=names)
+            n, c = zip(*often.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(list(often), pa.int64())], names=columns)
 
-    names = ["doc_id", "th", "n", "cls", "token"]
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, cls long, token long")
+    columns = ["doc_id", "th", "n", "cls", "token"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, cls binary, token long")
 
 
-def _stars(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
-    """``pivot, cls, shared``: the sets that share first tokens with a pivot, and how many; heavy: tokens, rarest first."""
-    spark = docs.sparkSession
-    order = np.argsort(heavy)
-    shared = spark.sparkContext.broadcast((heavy[order], order.astype(np.uint64)))
+def _pairs(region: np.ndarray, member: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    """Distinct rows of two columns of 16-byte names, and how often each comes."""
+    both = np.ascontiguousarray(np.hstack([region, member])).view("V32").reshape(-1)
+    found, n = np.unique(both, return_counts=True)
+    raw = [x.tobytes() for x in found]
+    return [x[:16] for x in raw], [x[16:] for x in raw], n.astype(np.int64)
+
+
+def _stars(docs: DataFrame, heavy: list[tuple[int, int, bytes]], buckets: int) -> DataFrame:
+    """``region, cls, shared``: the sets that share first tokens, and how many.
+
+    ``heavy``: tokens, their counts and a class that holds each, most frequent first.  A hot token's
+    region is named by that class, so its occurrences need not meet; that of any other token by the
+    smallest class that has it among its first tokens.
+    """
+    tokens_ = np.array([t for t, _, _ in heavy], np.int64).view(np.uint64)
+    order = np.argsort(tokens_)
+    names = np.frombuffer(b"".join(c for _, _, c in heavy), np.uint8).reshape(-1, 16)[order]
+    hot_ = np.array([n >= HOT for _, n, _ in heavy], bool)[order]
+    shared = docs.sparkSession.sparkContext.broadcast((tokens_[order], (len(order) - order).astype(np.uint64), names, hot_))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = shared.value
-        tokens, owner, classes, seen, held = [], [], [], set(), 0
+        known, place, name, hot = shared.value
+        tokens, owner, classes, seen, held, sent = [], [], [], set(), 0, 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal sent
             t, o = np.concatenate(tokens), np.concatenate(owner)
+            c = np.frombuffer(b"".join(classes), np.uint8).reshape(-1, 16)
+            rows = []
+            if len(known):
+                at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+                direct = (known[at] == t) & hot[at]
+                if direct.any():
+                    for lo in range(0, int(direct.sum()), 1 << 16):
+                        part = np.flatnonzero(direct)[lo : lo + (1 << 16)]
+                        sent += 1
+                        rows.append((int(_mix(t[part[:1]] + np.uint64(sent))[0] % np.uint64(buckets)), None, c[o[part]].tobytes(), name[at[part]].tobytes()))
+                    t, o = t[~direct], o[~direct]
             b = (_mix(t) % np.uint64(buckets)).astype(np.int64)
             order_ = np.lexsort((t, b))
             t, o, b = t[order_], o[order_], b[order_]
-            edges = np.flatnonzero(np.diff(b, prepend=-1, append=-1))
-            c = np.array(classes, np.int64)
-            rows = [(int(b[lo]), t[lo:hi].tobytes(), c[o[lo:hi]].tobytes()) for lo, hi in zip(edges, edges[1:], strict=False)]
+            edges = np.flatnonzero(np.diff(b, prepend=-1, append=-1)) if len(b) else []
+            rows += [(int(b[lo]), t[lo:hi].tobytes(), c[o[lo:hi]].tobytes(), None) for lo, hi in zip(edges, edges[1:], strict=False)]
             for x in (tokens, owner, classes):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "t", "c"])
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "t", "c", "region"])
 
         for batch in batches:
             for s in _sets(batch.column(0)):
                 if not len(s) or (cls := _class(s)) in seen:
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 200_000:  # saves work only: what comes twice counts once below
                     seen.add(cls)
                 p = prefix_length(len(s))
                 if len(known):
@@ -253,27 +296,32 @@ def _stars(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
             yield flush()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["t"]])
-        c = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["c"]])
-        order_ = np.argsort(t, kind="stable")
-        t, c = t[order_], c[order_]
-        same = np.zeros(len(t) + 1, bool)
-        same[1:-1] = t[1:] == t[:-1]
-        keep = same[1:] | same[:-1]
-        t, c = t[keep], c[keep]
-        order_ = np.lexsort((c, t))
-        t, c = t[order_], c[order_]
-        first = np.ones(len(t), bool)  # a set's copies of a token count once
-        first[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        t, c = t[first], c[first]
-        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(t)))
-        pivot, keep = np.repeat(c[starts], sizes), np.repeat(sizes > 1, sizes)
-        pairs, shared_ = np.unique(np.column_stack([pivot[keep], c[keep]]), axis=0, return_counts=True)
-        return pd.DataFrame({"pivot": pairs[:, 0], "cls": pairs[:, 1], "shared": shared_.astype(np.int64)})
-
-    runs = docs.select("text").mapInArrow(emit, "bucket long, t binary, c binary")
-    return runs.groupBy("bucket").applyInPandas(meet, "pivot long, cls long, shared long").groupBy("pivot", "cls").agg(F.sum("shared").alias("shared"))
+        met = pdf["region"].isna()
+        straight = pdf[~met]
+        regions = [np.frombuffer(x, np.uint8).reshape(-1, 16) for x in straight["region"]]
+        members = [np.frombuffer(x, np.uint8).reshape(-1, 16) for x in straight["c"]]
+        pdf = pdf[met]
+        if len(pdf):
+            t = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["t"]])
+            c = np.concatenate([np.frombuffer(x, ">u8").reshape(-1, 2) for x in pdf["c"]]).astype(np.uint64)
+            order_ = np.lexsort((c[:, 1], c[:, 0], t))
+            t, c = t[order_], c[order_]
+            first = np.ones(len(t), bool)  # a set's copies of a token count once
+            first[1:] = (t[1:] != t[:-1]) | np.any(c[1:] != c[:-1], axis=1)
+            t, c = t[first], c[first]
+            starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, len(t)))
+            keep = np.repeat(sizes > 1, sizes)
+            raw = np.ascontiguousarray(c.astype(">u8")).view(np.uint8).reshape(-1, 16)
+            regions.append(np.repeat(raw[starts], sizes, axis=0)[keep])
+            members.append(raw[keep])
+        if not regions:
+            return pd.DataFrame({"region": [], "cls": [], "shared": []}).astype({"shared": "int64"})
+        r, c, n = _pairs(np.concatenate(regions), np.concatenate(members))
+        return pd.DataFrame({"region": r, "cls": c, "shared": n})
+
+    runs = docs.select("text").mapInArrow(emit, "bucket long, t binary, c binary, region binary")
+    return runs.groupBy("bucket").applyInPandas(meet, "region binary, cls binary, shared long").groupBy("region", "cls").agg(F.sum("shared").alias("shared"))
 
 
 class _Union:
@@ -291,110 +339,230 @@ class _Union:
         self.up[max(a, b)] = min(a, b)
         return a != b
 
+    def roots(self) -> np.ndarray:
+        return np.array([self.find(i) for i in range(len(self.up))])
 
-class _Region:
-    """Sets side by side, and distances from one of them to all."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets, self.n = sets, np.array([len(s) for s in sets])
-        self.flat, self.starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(self.n)[:-1]])
-
-    def overlaps(self, s: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
-        """Intersection sizes of ``s`` with all members (or some, by index)."""
-        if some is not None and len(some) <= 8:
-            return np.array([len(np.intersect1d(s, self.sets[i], assume_unique=True)) for i in some])
-        if some is None:
-            flat, starts = self.flat, self.starts
-        else:
-            parts = [self.sets[i] for i in some]
-            flat, starts = np.concatenate(parts), np.concatenate([[0], np.cumsum(self.n[some])[:-1]])
-        at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
-        return np.add.reduceat((s[at] == flat).astype(np.int64), starts)
+def _forest(links: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of links."""
+    places: dict[bytes, int] = {}
+    union = _Union(2 * len(links))
+    return [(a, b) for a, b in links if union.join(places.setdefault(a, len(places)), places.setdefault(b, len(places)))]
 
 
-def _linked(both: np.ndarray, a: int, n: np.ndarray) -> np.ndarray:
-    return DEN * both >= NUM * (a + n - both)
+class _Index:
+    """Which sets hold each token, for the overlaps of one of them with all."""
 
-
-def join_region(sets: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that connect all close members (the first is the pivot), and members not connected to it.
-
-    Exact: a pair is left out only if it is in one component already, its sizes are too far apart, or
-    its distances from some pivot differ by more than EPS.
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
+        order = np.argsort(flat, kind="stable")
+        self.holders = owner[order]
+        new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+        self.first, self.many = np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(flat)))
+        self.ids = np.empty(len(flat), np.int64)
+        self.ids[order] = np.cumsum(new) - 1
+        self.starts = np.concatenate([[0], np.cumsum(self.n)])
+
+    def overlaps(self, q: int) -> np.ndarray:
+        """Intersection sizes of set ``q`` with all sets."""
+        ids = self.ids[self.starts[q] : self.starts[q + 1]]
+        many = self.many[ids]
+        at = np.repeat(self.first[ids] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        return np.bincount(self.holders[at], minlength=len(self.n))
+
+    def distances(self, q: int) -> np.ndarray:
+        both = self.overlaps(q)
+        return 1 - both / (self.n[q] + self.n - both)
+
+
+def join_region(sets: list[np.ndarray], marks: list | None = None, guests: np.ndarray | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all close members: a spanning forest.
+
+    Members with equal ``marks`` are connected already.  Two ``guests`` are not compared, nor two
+    members of the same side if there are two ``sides``.  Exact: a pair is left out only if it is in
+    one component already, its sizes are too far apart, or its distances from some member differ by
+    more than EPS.
     """
-    region, m = _Region(sets), len(sets)
+    index, m = _Index(sets), len(sets)
     union, links = _Union(m), []
+    if marks is not None:
+        first: dict = {}
+        for i, x in enumerate(marks):
+            union.join(first.setdefault(x, i), i)
+    roots, every = union.roots(), np.arange(m)
     distances: list[np.ndarray] = []
+    n = index.n
     for q in range(m - 1):
-        rest = np.arange(q + 1, m)
-        if q:
-            root = union.find(q)
-            rest = rest[[union.find(i) != root for i in rest]]
-            small, large = np.minimum(region.n[rest], region.n[q]), np.maximum(region.n[rest], region.n[q])
-            rest = rest[DEN * small >= NUM * large]
-            for d in distances:
-                if len(rest):
-                    rest = rest[np.abs(d[rest] - d[q]) <= EPS + 1e-9]
-            if not len(rest):
-                continue
-        some = rest if q else None
-        both = region.overlaps(sets[q], some)
-        if q == 0:
-            distances.append(1 - both / (region.n[0] + region.n - both))
-            both = both[1:]
-        elif len(rest) > m // 2 and len(distances) < 16:
-            whole = region.overlaps(sets[q])
-            distances.append(1 - whole / (region.n[q] + region.n - whole))
-        for i in rest[_linked(both, len(sets[q]), region.n[rest])].tolist():
+        rest = every[q + 1 :]
+        rest = rest[roots[rest] != roots[q]]
+        rest = rest[(DEN * np.minimum(n[rest], n[q]) >= NUM * np.maximum(n[rest], n[q]))]
+        if guests is not None and guests[q]:
+            rest = rest[~guests[rest]]
+        if sides is not None:
+            rest = rest[sides[rest] != sides[q]]
+        for d in distances:
+            rest = rest[np.abs(d[rest] - d[q]) <= EPS + 1e-9]
+        if not len(rest):
+            continue
+        both = index.overlaps(q)
+        if len(distances) < FAN and len(rest) > 8:
+            distances.append(1 - both / (n[q] + n - both))
+        hit = rest[DEN * both[rest] >= NUM * (n[q] + n[rest] - both[rest])]
+        for i in hit.tolist():
+            if union.join(q, i):
+                links.append((q, i))
+        if len(hit):
+            roots = union.roots()
+    return links
+
+
+def deal(sets: list[np.ndarray], pivots: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Distances of all sets from the first ``pivots`` of them, and links that connect those within EPS."""
+    index, union, links = _Index(sets), _Union(len(sets)), []
+    d = np.array([index.distances(q) for q in range(pivots)]).T
+    for q in range(pivots):
+        both = index.overlaps(q)
+        for i in np.flatnonzero(DEN * both >= NUM * (index.n[q] + index.n - both)).tolist():
             if union.join(q, i):
                 links.append((q, i))
-    root = union.find(0)
-    return links, [i for i in range(m) if union.find(i) != root]
+    return d, links
+
+
+_PLACED = "region binary, chunk long, chunks long, role int, cls binary, mark binary, guest boolean, k long, set binary"
+_FOUND = "kind int, a binary, b binary, region binary, chunk long, cls binary, mark binary, guest boolean, k long, home int, d array<double>, set binary"
 
 
 def _members(docs: DataFrame, want: DataFrame) -> DataFrame:
-    """``pivot, chunk, chunks, cls, set`` for the rows (doc_id, places: pivot, chunk, chunks) of ``want``."""
+    """Rows of ``_PLACED`` for ``want`` (cls, doc_id, places: region, chunk, chunks, role, k)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.binary())
         for b in batches:
             rows, size = [], 0
 
             def out() -> pa.RecordBatch:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["pivot", "chunk", "chunks", "cls", "set"])
+                cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=names)
 
             for s, cls, places in zip(_sets(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if _class(s) != cls:  # another row with this doc_id
                     continue
                 raw = s.tobytes()
                 for p in places:
-                    rows.append((p["pivot"], p["chunk"], p["chunks"], cls, raw))
+                    rows.append((p["region"], p["chunk"], p["chunks"], p["role"], cls, cls, False, p["k"], raw))
                     size += len(raw)
-                    if size > 8 << 20:
+                    if size > SENT:
                         yield out()
                         rows, size = [], 0
             yield out()
 
+    names = [c.split()[0] for c in _PLACED.split(", ")]
     joined = docs.select("doc_id", "text").join(want, docs["doc_id"].eqNullSafe(want["doc_id"])).select("text", "cls", "places")
-    return joined.mapInArrow(run, "pivot long, chunk long, chunks long, cls long, set binary")
+    return joined.mapInArrow(run, _PLACED)
 
 
-def _regions(pdf: pd.DataFrame) -> Iterator[tuple[int, int, int, list[int], list[bytes]]]:
-    """(pivot, chunk, chunks, classes, sets) of each region's chunk in a group of rows.
+def _bucketed(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(_buckets(rows))))
+
+
+def _buckets(rows: DataFrame) -> int:
+    return 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Each class comes once, by class: the first is in all chunks of its region.
-    """
-    pdf = pdf.drop_duplicates(["pivot", "chunk", "cls"]).sort_values(["pivot", "chunk", "cls"])
-    p, k, n, c, s = (pdf[x].to_numpy() for x in ("pivot", "chunk", "chunks", "cls", "set"))
-    edges = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1]), [True]])) if len(p) else []
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        yield int(p[lo]), int(k[lo]), int(n[lo]), c[lo:hi].tolist(), s[lo:hi].tolist()
+
+def _runs(pdf: pd.DataFrame, key: list[str], order: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows by ``key``, each class once, in ``order``."""
+    for _, part in pdf.groupby(key, sort=True):
+        yield part.sort_values([*order, "cls"]).drop_duplicates("cls")
+
+
+def _found(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _FOUND.split(", ")]).astype({"kind": "int32"})
+
+
+def _voronoi(placed: DataFrame) -> DataFrame:
+    """``_FOUND`` rows: links of small regions; links to pivots and a MOVE row for each member of large ones."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links: list[tuple[bytes, bytes]] = []
+        out: list[tuple] = []
+        for part in _runs(pdf[pdf["chunks"] == 1], ["region"], []):
+            sets, names = [np.frombuffer(x, np.uint64) for x in part["set"]], part["cls"].tolist()
+            links += [(names[a], names[b]) for a, b in join_region(sets)]
+        for _, part in pdf[pdf["chunks"] > 1].groupby(["region", "chunk"]):
+            out += moves(part, links)
+        return _found([(LINK, a, b, *[None] * 9) for a, b in _forest(links)] + out)
+
+    def moves(part: pd.DataFrame, found: list[tuple[bytes, bytes]]) -> list[tuple]:
+        pivots = part[part["role"] == PIVOT].drop_duplicates("cls").sort_values("cls")
+        rest = part[part["role"] == MEMBER].drop_duplicates("cls")
+        p = len(pivots)
+        names, marks = [*pivots["cls"], *rest["cls"]], [*pivots["mark"], *rest["mark"]]
+        d, links = deal([np.frombuffer(x, np.uint64) for x in [*pivots["set"], *rest["set"]]], p)
+        found += [(names[a], names[b]) for a, b in links]
+        out = []
+        region, chunk, k = (part[x].iloc[0] for x in ("region", "chunk", "k"))
+        for i, (guest, raw) in enumerate(zip(rest["guest"], rest["set"], strict=True), p):
+            home = int(d[i].argmin())
+            mark = marks[home] if d[i, home] <= EPS - 1e-9 else marks[i]
+            out.append((MOVE, None, None, region, int(chunk), names[i], mark, bool(guest), int(k), p if guest else home, d[i].tolist(), raw))
+        return out
+
+    return _bucketed(placed, ["region", "chunk"]).groupBy("bucket").applyInPandas(run, _FOUND)
+
+
+def _cells(moves: DataFrame) -> DataFrame:
+    """``region`` (new), cls, mark, guest, k (of the region that was split), n, set``: members and guests of every cell."""
+    there = lambda j: F.element_at("d", j + 1)
+    radii = moves.where(~F.col("guest")).groupBy("region", "home").agg(F.max(there(F.col("home"))).alias("r")).groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("home", "r"))).alias("radius"))
+    own = F.when(F.col("guest"), F.lit(2.0)).otherwise(there(F.least("home", F.size("d") - 1)))
+
+    def near(j: Column) -> Column:
+        r = F.try_element_at("radius", j)
+        return (j < F.col("home")) & r.isNotNull() & (there(j) <= r + (EPS + 1e-9)) & (there(j) <= own + (2 * EPS + 1e-9))
+
+    visits = F.transform(F.filter(F.sequence(F.lit(0), F.size("d") - 1), near), lambda j: F.struct(j.alias("j"), F.lit(True).alias("guest")))
+    stays = F.when(F.col("guest"), F.array().cast("array<struct<j:int,guest:boolean>>")).otherwise(F.array(F.struct(F.col("home").alias("j"), F.lit(False).alias("guest"))))
+    to = moves.join(radii, "region").withColumn("to", F.explode(F.concat(stays, visits)))
+    name = F.unhex(F.substring(F.sha2(F.concat("region", F.encode(F.col("to.j").cast("string"), "utf-8")), 256), 1, 32))
+    return to.select(name.alias("region"), "cls", "mark", F.col("to.guest").alias("guest"), F.col("k").alias("was"), (F.length("set") / 8).cast("long").alias("n"), "set")
+
+
+def _pieces(k: Column, n: Column) -> Column:
+    return F.greatest(F.ceil(k / CHUNK), F.ceil(n / CHUNK_TOKENS)).cast("long")
+
+
+def _placed(cells: DataFrame, level: int) -> DataFrame:
+    """Members of cells that are split again, dealt to chunks, and their pivots (home members) in every chunk."""
+    chunk = F.pmod(F.xxhash64("cls"), F.col("chunks"))
+    leads = cells.where(~F.col("guest")).groupBy("region", F.pmod(F.xxhash64(F.lit(level), "cls"), F.lit(FAN))).agg(F.min("cls").alias("cls")).select("region", "cls")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    cols = ["region", "chunk", "chunks", "role", "cls", "mark", "guest", "k", "set"]
+    pivots = cells.join(leads, ["region", "cls"]).withColumn("chunk", every).withColumn("role", F.lit(PIVOT))
+    return cells.withColumn("chunk", chunk).withColumn("role", F.lit(MEMBER)).select(cols).unionByName(pivots.select(cols))
+
+
+def _blocks(cells: DataFrame) -> DataFrame:
+    """``a, b``: links of cells that are not split again, in pairs of blocks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for part in _runs(pdf, ["region", "i", "j"], ["guest"]):
+            names, marks = part["cls"].tolist(), part["mark"].tolist()
+            sides = part["block"].to_numpy() if part["i"].iloc[0] != part["j"].iloc[0] else None
+            for a, b in join_region([np.frombuffer(x, np.uint64) for x in part["set"]], marks, part["guest"].to_numpy(bool), sides):
+                out.append((names[a], names[b]))
+        return pd.DataFrame(_forest(out), columns=["a", "b"])
+
+    block = cells.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+    pair = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = pair.select("region", "i", "j", "block", "cls", "mark", "guest", "set")
+    return _bucketed(rows, ["region", "i", "j"]).groupBy("bucket").applyInPandas(run, "a binary, b binary")
 
 
 def _components(links: DataFrame) -> DataFrame:
     """``cls, root`` of all linked classes: alternating large and small stars until nothing changes."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -409,78 +577,47 @@ def _components(links: DataFrame) -> DataFrame:
         edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
+def _links(d: DataFrame, stars: DataFrame, reps: DataFrame) -> DataFrame:
+    """``a, b``: links that connect all classes within EPS."""
+    # Close sets share least_shared tokens, in no more regions than either is in: in some region both
+    # have their share of them, least_shared / regions. All other places are needless.
+    places_of = stars.groupBy("cls").agg(F.count("*").alias("regions")).join(reps, "cls").select("cls", "regions", "n")
+    needed = stars.join(places_of, "cls").where(F.col("shared") * F.col("regions") >= least_shared(F.col("n"))).select("region", "cls", "n")
+    sizes = needed.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("tokens")).where(F.col("k") > 1)
+    needed = needed.join(sizes, "region").withColumn("chunks", _pieces(F.col("k"), F.col("tokens"))).drop("tokens", "n")
+    needed = stored(needed, "regions")
+    leads = needed.where("chunks > 1").groupBy("region", "chunks", "k", F.pmod(F.xxhash64("cls"), F.lit(FAN))).agg(F.min("cls").alias("cls"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    cols = ["cls", "region", "chunk", "chunks", "role", "k"]
+    places = needed.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))).withColumn("role", F.lit(MEMBER)).select(cols)
+    places = places.unionByName(leads.withColumn("chunk", every).withColumn("role", F.lit(PIVOT)).select(cols))
+    want = places.groupBy("cls").agg(F.collect_list(F.struct(cols[1:])).alias("places")).join(reps.select("cls", "doc_id"), "cls")
+
+    found = stored(_voronoi(_members(d, want)), "cells")
+    links = found.where(F.col("kind") == LINK).select("a", "b")
+    level = 0
+    while not (moves := found.where(F.col("kind") == MOVE)).isEmpty():
+        level += 1
+        cells = stored(_cells(moves), "cells")
+        sizes = cells.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"), F.max("was").alias("was"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
+        open_ = sizes.where("lo <> hi").withColumn("chunks", _pieces(F.col("k"), F.col("tokens")))
+        cells = cells.drop("was", "n").join(open_.select("region", "k", "chunks", ((F.col("chunks") > 1) & (F.col("k") <= SHRINK * F.col("was"))).alias("again")), "region")
+        links = links.unionByName(stored(_blocks(cells.where(~F.col("again"))), "links"))
+        found = stored(_voronoi(_placed(cells.where("again"), level)), "cells")
+        links = links.unionByName(found.where(F.col("kind") == LINK).select("a", "b"))
+    return links
+
+
 def _labelled(docs: DataFrame) -> DataFrame:
     """``doc_id, th, n, root`` of every row: a hash of its text, its number of shingles, its component (null without shingles)."""
-    spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     census = stored(_census(d), "census")
-    meta = census.where(F.col("cls").isNotNull()).select("doc_id", "th", "n", "cls")
-    often = census.where(F.col("cls").isNull()).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= 16)
-    heavy = [r["token"] for r in often.orderBy(F.desc("n"), "token").limit(HEAVY).select("token").collect()]
-    stars = stored(_stars(d, np.array(heavy[::-1], np.int64).view(np.uint64), buckets), "stars")
-
-    # Close sets share least_shared tokens, under no more pivots than either has: in some region both
-    # have their share of them, least_shared / pivots. All other places are needless.
+    meta = census.where(F.col("token").isNull()).select("doc_id", "th", "n", "cls")
+    often = census.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n"), F.min("cls").alias("cls")).where(F.col("n") >= 16)
+    heavy = [(r["token"], r["n"], bytes(r["cls"])) for r in often.orderBy(F.desc("n"), "token").limit(HEAVY).collect()]
+    stars = stored(_stars(d, heavy, _buckets(d)), "stars")
     reps = meta.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    places_of = stars.groupBy("cls").agg(F.count("*").alias("pivots")).join(reps, "cls").select("cls", "pivots", "n")
-    needed = stars.join(places_of, "cls").where(F.col("shared") * F.col("pivots") >= least_shared(F.col("n"))).select("pivot", "cls")
-    sizes = needed.groupBy("pivot").agg(F.count("*").alias("k"), F.min("cls").alias("lead")).where(F.col("k") > 1)
-    needed = needed.join(sizes, "pivot").withColumn("chunks", F.ceil(F.col("k") / CHUNK).cast("long"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    places = stored(
-        needed.where("cls <> lead").select("cls", "pivot", F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), "chunks")
-        .unionByName(needed.where("cls = lead").select("cls", "pivot", every.alias("chunk"), "chunks")),
-        "places",
-    )
-
-    def wanted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("cls").agg(F.collect_list(F.struct("pivot", "chunk", "chunks")).alias("places")).join(reps.select("cls", "doc_id"), "cls")
-
-    def bucketed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64("pivot", "chunk"), F.lit(buckets)))
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        for pivot, chunk, chunks, classes, sets in _regions(pdf):
-            links, apart = join_region([np.frombuffer(x, np.uint64) for x in sets])
-            out += [(pivot, chunk, classes[a], classes[b], LINK, None) for a, b in links]
-            if chunks > 1:
-                out += [(pivot, chunk, classes[i], chunks, BOUNDARY, sets[i]) for i in apart]
-                out += [(pivot, chunk, c, chunks, MEMBER, x) for c, x in zip(classes, sets, strict=True)]
-        return pd.DataFrame(out, columns=["pivot", "chunk", "a", "b", "kind", "set"]).astype({"pivot": "int64", "chunk": "int64", "a": "int64", "b": "int64", "kind": "int32"})
-
-    found = bucketed(_members(d, wanted(places))).groupBy("bucket").applyInPandas(first, "pivot long, chunk long, a long, b long, kind int, set binary")
-    found = stored(found, "regions")
-    links = found.where(F.col("kind") == LINK).select("a", "b")
-
-    # Boundary members of regions in several chunks meet the members of the other chunks.
-    apart = found.where(F.col("kind") == BOUNDARY)
-    if not apart.isEmpty():
-        there = F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1))
-        guests = apart.select("pivot", F.col("chunk").alias("home"), there.alias("chunk"), F.col("a").alias("cls"), "set").where("chunk <> home").drop("home")
-        members = found.where(F.col("kind") == MEMBER).select("pivot", "chunk", F.col("a").alias("cls"), "set")
-
-        def second(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for _, part in pdf.groupby(["pivot", "chunk"]):
-                home, away = part[part["guest"] == 0], part[part["guest"] == 1]
-                if not len(home) or not len(away):
-                    continue
-                region = _Region([np.frombuffer(x, np.uint64) for x in home["set"]])
-                names = home["cls"].to_numpy()
-                for cls, raw in zip(away["cls"].to_numpy(), away["set"], strict=True):
-                    s = np.frombuffer(raw, np.uint64)
-                    near = np.flatnonzero(DEN * np.minimum(region.n, len(s)) >= NUM * np.maximum(region.n, len(s)))
-                    if len(near):
-                        hit = near[_linked(region.overlaps(s, near), len(s), region.n[near])]
-                        out += [(int(cls), int(names[i])) for i in hit if names[i] != cls]
-            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-        both = bucketed(members.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1))))
-        links = links.unionByName(both.groupBy("bucket").applyInPandas(second, "a long, b long"))
-
-    roots = _components(links)
+    roots = _components(_links(d, stars, reps))
     return meta.join(roots, "cls", "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
 
 

@@ -393,7 +393,7 @@ def _check_join(got, rows):
     assert Counter(tuple(r) for r in got) == want
 
 
-@pytest.mark.parametrize("chunk", [512, 2])
+@pytest.mark.parametrize("chunk", [1024, 8])
 def test_jaccard_join(spark, odd, empty, monkeypatch, chunk):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     d = documents()
@@ -402,6 +402,38 @@ def test_jaccard_join(spark, odd, empty, monkeypatch, chunk):
     assert jaccard.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1024, 64])
+def test_jaccard_join_of_many_near_copies(spark, monkeypatch, chunk):
+    """One region of alike distances: split, replicated and joined in blocks, without putting out all links."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    folded, counts = jaccard._components, []
+    monkeypatch.setattr(jaccard, "_components", lambda links: (counts.append(links.count()), folded(links))[1])
+    rng, rows = np.random.default_rng(3), []
+    for n in range(400):
+        w = [f"w{i}" for i in range(60)]
+        for i in rng.integers(0, 60, rng.integers(1, 4)):
+            w[i] = f"n{rng.integers(10**9)}"
+        rows.append((n, " ".join(w)))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    _check_join(got, rows)
+    size = Counter(r["component_id"] for r in got)
+    assert counts[-1] <= 12 * sum(n for n in size.values() if n > 1)
+
+
+def test_regions_join_and_deal_exactly():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        base = rng.integers(0, 60, 30)
+        sets = [np.unique(np.concatenate([base[rng.random(30) < 0.9], rng.integers(0, 10**6, rng.integers(0, 5))])).astype(np.uint64) for _ in range(12)]
+        close = [[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets]
+        for links in (jaccard.join_region(sets), jaccard.deal(sets, 12)[1]):
+            up = jaccard._Union(12)
+            for a, b in links:
+                assert close[a][b] >= 0.75 and up.join(a, b)
+            assert all(up.find(a) == up.find(b) for a in range(12) for b in range(12) if close[a][b] >= 0.75)
+        assert np.allclose(jaccard.deal(sets, 5)[0], 1 - np.array(close)[:, :5])
+
+
 def test_jaccard_join_of_graded_copies(spark):
     rng = np.random.default_rng(8)
     rows, n = [], 0
