@@ -27,15 +27,16 @@ variant_defaults = relation("variant_defaults", f"""
 SELECT CASE WHEN id = '.' THEN concat(chrom, ':', pos, ':', ref, ':', alt) ELSE id END AS variant_id, chrom, pos, sv_length AS length,
   CASE WHEN is_snp THEN 'snv' WHEN plain AND svtype IS NULL THEN 'small_indel' ELSE {_CLASS} END AS variant_class,
   coalesce(try_cast(af AS DOUBLE), -1e0) AS allele_frequency, try_cast(qual AS DOUBLE) AS quality FROM {{variant_lengths}}""")
-positional_ids = relation("positional_ids", "SELECT pos, CASE WHEN id = '.' THEN concat_ws(':', chrom, CAST(pos AS [[STRING|VARCHAR]]), CAST(row_number() OVER (ORDER BY pos) - 1 AS [[STRING|VARCHAR]])) ELSE id END AS variant_id FROM {vcf_rows}")
-sv_class = relation("sv_class", f"SELECT token, sv_length, {_CLASS} AS variant_class FROM (VALUES ('DEL', 999e0), ('DEL', 1000e0), ('DUP:TANDEM', 50e0), ('CNV', 5000e0), ('INS', 3e2), ('LINE_ME', 1e0), ('INV', 1e0), ('BND', 1e0), ('VNTR', 1e0), ('STR', 1e0), ('XYZ', 1e0)) AS t(token, sv_length)")
+#: Ids by place within a chromosome.
+positional_ids = relation("positional_ids", "SELECT pos, CASE WHEN id = '.' THEN concat_ws(':', chrom, CAST(pos AS [[STRING|VARCHAR]]), CAST(row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS [[STRING|VARCHAR]])) ELSE id END AS variant_id FROM {vcf_rows}")
+sv_class = relation("sv_class", f"SELECT variant_id, token, sv_length, {_CLASS} AS variant_class FROM {{sv_tokens}}")
 infer_class_bim = relation("infer_class_bim", f"""
-SELECT a1, a2, CASE WHEN token IS NOT NULL THEN {_CLASS} WHEN length(a1) = 1 AND length(a2) = 1 THEN 'snv' ELSE 'small_indel' END AS variant_class
-FROM (SELECT a1, a2, 1e0 AS sv_length, CASE WHEN regexp_extract(upper(a1), '(DEL|DUP|INS|INV|BND|STR|VNTR|ME)', 1) <> '' THEN upper(a1) WHEN regexp_extract(upper(a2), '(DEL|DUP|INS|INV|BND|STR|VNTR|ME)', 1) <> '' THEN upper(a2) END AS token
-  FROM (VALUES ('A', 'G'), ('A', 'AT'), ('<DEL>', 'N'), ('N', '<DUP>'), ('N', '<INS:ME>'), ('C', '<INV>')) AS t(a1, a2)) AS x""")
+SELECT variant_id, a1, a2, CASE WHEN token IS NOT NULL THEN {_CLASS} WHEN length(a1) = 1 AND length(a2) = 1 THEN 'snv' ELSE 'small_indel' END AS variant_class
+FROM (SELECT variant_id, a1, a2, 1e0 AS sv_length, CASE WHEN regexp_extract(upper(a1), '(DEL|DUP|INS|INV|BND|STR|VNTR|ME)', 1) <> '' THEN upper(a1) WHEN regexp_extract(upper(a2), '(DEL|DUP|INS|INV|BND|STR|VNTR|ME)', 1) <> '' THEN upper(a2) END AS token
+  FROM {{allele_rows}}) AS x""")
 norm_chrom = relation("norm_chrom", """
-SELECT chrom, CASE WHEN s = 'X' THEN 23 WHEN s = 'Y' THEN 24 WHEN s IN ('M', 'MT') THEN 25 WHEN try_cast(s AS INT) BETWEEN 1 AND 22 THEN try_cast(s AS INT) END AS chrom_id
-FROM (SELECT chrom, regexp_replace(upper(trim(chrom)), '^CHR', '') AS s FROM (VALUES ('chr1'), ('1'), ('CHR22'), (' X '), ('chrY'), ('MT'), ('chrM'), ('0'), ('foo')) AS t(chrom)) AS u""")
+SELECT variant_id, chrom, CASE WHEN s = 'X' THEN 23 WHEN s = 'Y' THEN 24 WHEN s IN ('M', 'MT') THEN 25 WHEN try_cast(s AS INT) BETWEEN 1 AND 22 THEN try_cast(s AS INT) END AS chrom_id
+FROM (SELECT variant_id, chrom, regexp_replace(upper(trim(chrom)), '^CHR', '') AS s FROM {chrom_labels}) AS u""")
 parse_bool = relation("parse_bool", """
 SELECT variant_id, CASE WHEN lower(trim(flag_text)) IN ('1', 'true', 't', 'yes') THEN 1 WHEN lower(trim(flag_text)) IN ('0', 'false', 'f', 'no') THEN 0 END AS flag FROM {annotations}""")
 parse_numeric = relation("parse_numeric", "SELECT variant_id, try_cast(split_part(number_text, ',', 1) AS DOUBLE) AS number, try_cast(split_part(flag_text, ',', 1) AS BIGINT) AS maybe FROM {annotations}")
@@ -55,8 +56,7 @@ FROM (SELECT 'flag_text' AS name, flag_text AS v FROM {annotations} UNION ALL SE
   UNION ALL SELECT 'path_text', path_text FROM {annotations} UNION ALL SELECT 'level_text', level_text FROM {annotations}) AS a WHERE trim(v) <> '' GROUP BY name""")
 extract_chrom = relation("extract_chrom", "SELECT variant_id, regexp_extract(variant_id, 'chr([0-9]+)', 1) AS chrom FROM (SELECT concat('chr', chrom, ':', pos) AS variant_id FROM {variants}) AS v")
 resolve_alias = relation("resolve_alias", """
-SELECT q.asked, d.canonical FROM (VALUES ('HTN'), (' high blood pressure '), ('t2d'), ('Sleep Apnea'), ('nothing')) AS q(asked)
-LEFT JOIN (VALUES ('htn', 'hypertension'), ('high_blood_pressure', 'hypertension'), ('t2d', 'type2_diabetes'), ('sleep_apnea', 'sleep_apnea')) AS d(name, canonical) ON d.name = replace(lower(trim(q.asked)), ' ', '_')""")
+SELECT q.person_id, q.asked, d.canonical FROM {asked_names} q LEFT JOIN {phenotype_names} d ON d.name = replace(replace(lower(trim(q.asked)), ' ', '_'), '-', '_')""")
 unpack_2bit = relation("unpack_2bit", """
 SELECT b.code AS byte_value, k.k AS slot, CASE CAST(floor(b.code / k.p) AS BIGINT) % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS dosage
 FROM (SELECT DISTINCT p_partkey % 256 AS code FROM {part}) AS b CROSS JOIN (VALUES (0, 1e0), (1, 4e0), (2, 16e0), (3, 64e0)) AS k(k, p)""")
@@ -64,7 +64,8 @@ sigmoid = relation("sigmoid", """
 SELECT sample_id, round(CASE WHEN score >= 0 THEN 1 / (1 + exp(-score)) ELSE exp(score) / (1 + exp(score)) END, 6) AS p, round(greatest(score, 0e0) + ln(1 + exp(-abs(score))), 6) AS log1pexp,
   round(least(score, 0e0) - ln(1 + exp(-abs(score))), 6) AS log_sigmoid FROM {predictions_in}""")
 jj_lambda = relation("jj_lambda", "SELECT sample_id, round(CASE WHEN abs(score) < 1e-6 THEN 125e-3 ELSE ((exp(score / 2) - exp(-score / 2)) / (exp(score / 2) + exp(-score / 2))) / (4 * score) END, 6) AS jj FROM {predictions_in}")
+#: A run may be taken up again if all of its settings are those wanted, nulls included.
 run_metadata_match = relation("run_metadata_match", """
-SELECT a.name, CASE WHEN a.v IS NOT DISTINCT FROM b.v THEN 1 ELSE 0 END AS same FROM (VALUES ('disease', 'asthma'), ('n_pcs', '10'), ('seed', NULL)) AS a(name, v) JOIN (VALUES ('disease', 'asthma'), ('n_pcs', '16'), ('seed', NULL)) AS b(name, v) ON a.name = b.name""")
+SELECT run_id, count(*) AS n_settings, CAST(bool_and(wanted IS NOT DISTINCT FROM found) AS INT) AS same FROM {run_settings} GROUP BY run_id""")
 run_status = relation("run_status", """
-SELECT run_id, CASE WHEN summary = 1 THEN 'COMPLETE' WHEN checkpoints > 0 THEN 'IN-PROGRESS' ELSE 'NOT-STARTED' END AS status FROM (VALUES (1, 1, 3), (2, 0, 2), (3, 0, 0)) AS t(run_id, summary, checkpoints)""")
+SELECT run_id, CASE WHEN summary = 1 THEN 'COMPLETE' WHEN checkpoints > 0 THEN 'IN-PROGRESS' ELSE 'NOT-STARTED' END AS status FROM {runs}""")

@@ -9,12 +9,13 @@ WHERE target IS NOT NULL AND NOT isnan(target) AND covariate IS NOT NULL AND NOT
 sample_join = relation("sample_join", """
 SELECT g.sample_id, g.source_ordinal, s.target, s.covariate FROM {genotyped} g JOIN {sample_filter} s ON s.sample_id = g.sample_id""")
 sample_duplicates = relation("sample_duplicates", "SELECT sample_id, count(*) AS n FROM {sample_join} GROUP BY sample_id HAVING count(*) > 1")
-#: Most matches; ties go to sample_id, then research_id.
+#: Most matches; ties go to sample_id, then research_id, then person_id.
 resolve_key = relation("resolve_key", """
 SELECT min_by(k.name, k.place) AS key_column, max(k.n) AS matches FROM (
   SELECT name, place, n, max(n) OVER () AS best FROM (
     SELECT 'sample_id' AS name, 1 AS place, count(*) AS n FROM {raw_samples} r [[LEFT SEMI|SEMI]] JOIN {genotyped} g ON g.sample_id = r.sample_id
-    UNION ALL SELECT 'research_id', 2, count(*) FROM {raw_samples} r [[LEFT SEMI|SEMI]] JOIN {genotyped} g ON g.sample_id = r.research_id) AS c) AS k WHERE n = best""")
+    UNION ALL SELECT 'research_id', 2, count(*) FROM {raw_samples} r [[LEFT SEMI|SEMI]] JOIN {genotyped} g ON g.sample_id = r.research_id
+    UNION ALL SELECT 'person_id', 3, count(*) FROM {raw_samples} r [[LEFT SEMI|SEMI]] JOIN {genotyped} g ON g.sample_id = r.person_id) AS c) AS k WHERE n = best""")
 align_samples = relation("align_samples", """
 SELECT g.sample_id, r.ordinal, CASE WHEN r.sample_id IS NULL THEN 1 ELSE 0 END AS missing FROM {genotyped} g LEFT JOIN {raw_samples} r ON r.sample_id = g.sample_id""")
 sample_intersection = relation("sample_intersection", """
@@ -26,19 +27,20 @@ metadata_orphans = relation("metadata_orphans", "SELECT a.variant_id FROM {annot
 merge_pcs = relation("merge_pcs", """
 SELECT s.sample_id, s.y, round(try_cast(split_part(translate(a.pca_text, '[]', ''), ',', 1) AS DOUBLE), 6) AS pc1, round(try_cast(split_part(translate(a.pca_text, '[]', ''), ',', 2) AS DOUBLE), 6) AS pc2
 FROM {samples} s LEFT JOIN {annotations} a ON a.variant_id = s.sample_id""")
-concept_closure = relation("concept_closure", "SELECT DISTINCT descendant_id FROM {ancestors} WHERE concept_name IN ('ASIA', 'EUROPE')")
+concept_closure = relation("concept_closure", "SELECT DISTINCT descendant_id FROM {ancestors} WHERE concept_name IN (:root, :second_root)", root="ASIA", second_root="EUROPE")
 
 #: The cohort query: people with a record period, their visits, matched conditions and consent.
 cohort = relation("cohort", """
-WITH aggregated AS (SELECT person_id, count(*) AS n_conditions, min(condition_date) AS first_condition_date FROM {conditions} GROUP BY person_id),
+WITH aggregated AS (SELECT person_id, count(*) AS n_conditions, min(condition_date) AS first_condition_date
+  FROM {conditions} c [[LEFT SEMI|SEMI]] JOIN {concept_closure} k ON k.descendant_id = c.concept_id GROUP BY person_id),
 visit_counts AS (SELECT person_id, count(*) AS n_visits FROM {visits} GROUP BY person_id),
 consent AS (SELECT person_id, min(observation_date) AS primary_consent_date FROM {consents} GROUP BY person_id)
 SELECT p.person_id, coalesce(a.n_conditions, 0) AS phenotype_occurrence_count,
-  CASE WHEN coalesce(a.n_conditions, 0) >= 2 THEN 1 WHEN coalesce(a.n_conditions, 0) = 0 THEN 0 END AS target,
+  CASE WHEN coalesce(a.n_conditions, 0) >= :least_conditions THEN 1 WHEN coalesce(a.n_conditions, 0) = 0 THEN 0 END AS target,
   a.first_condition_date, p.start_date, p.end_date, c.primary_consent_date, year(p.start_date) - r.year_of_birth AS age,
   [[datediff(p.end_date, p.start_date)|date_diff('day', p.start_date, p.end_date)]] AS observation_days, coalesce(v.n_visits, 0) AS n_visits, r.gender_concept_id
 FROM {periods} p JOIN {persons} r ON r.person_id = p.person_id LEFT JOIN visit_counts v ON v.person_id = p.person_id
-LEFT JOIN aggregated a ON a.person_id = p.person_id LEFT JOIN consent c ON c.person_id = p.person_id""")
+LEFT JOIN aggregated a ON a.person_id = p.person_id LEFT JOIN consent c ON c.person_id = p.person_id""", least_conditions=2)
 cohort_query = relation("cohort_query", """
 SELECT CAST(person_id AS [[STRING|VARCHAR]]) AS sample_id, target, phenotype_occurrence_count, CAST(first_condition_date AS [[STRING|VARCHAR]]) AS first_condition_date,
   CAST(start_date AS [[STRING|VARCHAR]]) AS observation_start_date, CAST(end_date AS [[STRING|VARCHAR]]) AS observation_end_date,
@@ -72,4 +74,4 @@ SELECT chrom, pos, variant_id, source FROM (SELECT *, row_number() OVER (PARTITI
   SELECT chrom, pos, variant_id, 0 AS source, variant_id AS ordinal FROM {variants} WHERE variant_id % 2 = 0 UNION ALL SELECT chrom, pos, variant_id, 1, variant_id FROM {variants}) AS u) AS r WHERE rn = 1""")
 #: First 16 hex digits below the fraction's: 0.2 of 2^64.
 hash_split = relation("hash_split", """
-SELECT sample_id, CASE WHEN substr([[sha2|sha256]](concat('cohort/split/seed=42|', CAST(sample_id AS [[STRING|VARCHAR]]))[[, 256|]]), 1, 16) < '3333333333333333' THEN 'test' ELSE 'train' END AS part FROM {samples}""")
+SELECT sample_id, CASE WHEN substr([[sha2|sha256]](concat(:seed, CAST(sample_id AS [[STRING|VARCHAR]]))[[, 256|]]), 1, 16) < :threshold THEN 'test' ELSE 'train' END AS part FROM {samples}""", seed="cohort/split/seed=42|", threshold="3333333333333333")

@@ -1,12 +1,19 @@
 """Evaluation of scores: ranks, AUC, losses, precision, tails and groups."""
 
-from cohortscore.plans.relation import relation
+from cohortscore.plans.relation import ranged, relation
 
-avg_rank = relation("avg_rank", "SELECT sample_id, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS avg_rank FROM {predictions_in}")
-#: Distinct scores are counted first, so the ranking window runs over them and not over people.
-auc_counts = relation("auc_counts", """
-SELECT score, pos, neg, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS below FROM (
-  SELECT score, sum(target) AS pos, count(*) - sum(target) AS neg FROM {predictions_in} GROUP BY score) AS s""")
+#: Distinct scores are counted first and ranked by ranges, so no window holds all people or all scores.
+score_counts = relation("score_counts", "SELECT score, sum(target) AS pos, count(*) - sum(target) AS neg FROM {predictions_in} GROUP BY score")
+ranged("scores_up", "score_counts", "score", "pos + neg")
+ranged("scores_up_neg", "score_counts", "score", "neg")
+ranged("scores_down_pos", "score_counts", "-score", "pos")
+ranged("scores_down_neg", "score_counts", "-score", "neg")
+avg_rank = relation("avg_rank", """
+SELECT p.sample_id, r.below + (r.n + 1) / 2e0 AS avg_rank FROM {predictions_in} p JOIN (
+  SELECT score, pos + neg AS n, before + sum(pos + neg) OVER (PARTITION BY bucket ORDER BY score ROWS UNBOUNDED PRECEDING) - pos - neg AS below FROM {scores_up}) AS r ON r.score = p.score""",
+    check="SELECT sample_id, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS avg_rank FROM {predictions_in}")
+auc_counts = relation("auc_counts", "SELECT score, pos, neg, before + sum(neg) OVER (PARTITION BY bucket ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS below FROM {scores_up_neg}",
+    check="SELECT score, pos, neg, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS below FROM {score_counts}")
 auc = relation("auc", "SELECT CASE WHEN sum(pos + neg) < 20 OR sum(pos) = 0 OR sum(neg) = 0 THEN NULL ELSE round(sum(pos * (below + neg / 2e0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 6) END AS auc FROM {auc_counts}")
 auc_two_group = relation("auc_two_group", """
 SELECT n_pos, n_neg, CASE WHEN n_pos < 10 OR n_neg < 10 THEN NULL ELSE a.auc END AS auc, round(mean_pos, 6) AS mean_pos, round(mean_neg, 6) AS mean_neg FROM (
@@ -19,15 +26,27 @@ SELECT {group}, CASE WHEN sum(pos + neg) < 20 OR sum(pos) = 0 OR sum(neg) = 0 TH
 auc_by_group = relation("auc_by_group", _GROUPED.format(group="ancestry_group", source="SELECT CASE WHEN lower(ancestry) IN ('eur', 'european') THEN 'eur' ELSE 'other' END AS ancestry_group, score, target FROM {predictions_in}"))
 auc_components = relation("auc_components", _GROUPED.format(group="component", source="SELECT 'genetic' AS component, round(genetic_score, 6) AS score, target FROM {score} UNION ALL SELECT 'covariate', round(covariate_score, 6), target FROM {score}"))
 binary_metrics = relation("binary_metrics", """
-SELECT round(avg(-(target * ln(p) + (1 - target) * ln(1 - p))), 6) AS log_loss, round(avg(CASE WHEN (p >= 5e-1) = (target = 1) THEN 1e0 ELSE 0e0 END), 6) AS accuracy
-FROM (SELECT target, least(greatest(1 / (1 + exp(-score)), 1e-15), 1 - 1e-15) AS p FROM {predictions_in}) AS q""")
+SELECT round(avg(-(target * ln(p) + (1 - target) * ln(1 - p))), 6) AS log_loss, round(avg(CASE WHEN (p >= :threshold) = (target = 1) THEN 1e0 ELSE 0e0 END), 6) AS accuracy
+FROM (SELECT target, least(greatest(1 / (1 + exp(-score)), 1e-15), 1 - 1e-15) AS p FROM {predictions_in}) AS q""", threshold=0.5)
 regression_metrics = relation("regression_metrics", """
-SELECT round(1 - sum((y - f) * (y - f)) / sum((y - m) * (y - m)), 6) AS r2, round(sqrt(avg((y - f) * (y - f))), 6) AS rmse FROM (SELECT y, score * 1e3 + 4e3 AS f, avg(y) OVER () AS m FROM {predictions_in}) AS q""")
+SELECT round(1 - sum((y - f) * (y - f)) / sum((y - m) * (y - m)), 6) AS r2, round(sqrt(avg((y - f) * (y - f))), 6) AS rmse
+FROM (SELECT y, score * 1e3 + 4e3 AS f, m FROM {predictions_in} CROSS JOIN (SELECT avg(y) AS m FROM {predictions_in}) AS t) AS q""")
 average_precision = relation("average_precision", """
 SELECT round(sum(pos * above_pos / (above_pos + above_neg)) / sum(pos), 6) AS average_precision FROM (
-  SELECT pos, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) * 1e0 AS above_pos, sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) * 1e0 AS above_neg FROM {auc_counts}) AS t""")
+  SELECT p.pos, p.before + sum(p.pos) OVER (PARTITION BY p.bucket ORDER BY p.score DESC ROWS UNBOUNDED PRECEDING) * 1e0 AS above_pos,
+    n.before + sum(p.neg) OVER (PARTITION BY p.bucket ORDER BY p.score DESC ROWS UNBOUNDED PRECEDING) * 1e0 AS above_neg FROM {scores_down_pos} p JOIN {scores_down_neg} n ON n.score = p.score) AS t""",
+    check="""
+SELECT round(sum(pos * above_pos / (above_pos + above_neg)) / sum(pos), 6) AS average_precision FROM (
+  SELECT pos, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) * 1e0 AS above_pos, sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) * 1e0 AS above_neg FROM {score_counts}) AS t""")
+ranged("people_down", "predictions_in", "-score")
+#: The best ``share`` of the people, at least one; ties go by id.
 top_tail = relation("top_tail", """
+SELECT count(*) AS n_top, round(avg(target * 1e0) / max(base), 6) AS enrichment, round((avg(y) - max(mean_y)) / max(std_y), 6) AS shift FROM (
+  SELECT target, y, before + row_number() OVER (PARTITION BY bucket ORDER BY score DESC, sample_id) AS rn FROM {people_down}) AS q
+CROSS JOIN (SELECT avg(target * 1e0) AS base, avg(y) AS mean_y, stddev_pop(y) AS std_y, count(*) AS n FROM {predictions_in}) AS t
+WHERE rn <= greatest(1, ceil(n * :share))""",
+    check="""
 SELECT count(*) AS n_top, round(avg(target * 1e0) / max(base), 6) AS enrichment, round((avg(y) - max(mean_y)) / max(std_y), 6) AS shift FROM (
   SELECT target, y, avg(target * 1e0) OVER () AS base, avg(y) OVER () AS mean_y, stddev_pop(y) OVER () AS std_y, row_number() OVER (ORDER BY score DESC, sample_id) AS rn, count(*) OVER () AS n FROM {predictions_in}) AS q
-WHERE rn <= greatest(1, ceil(n * 1e-1))""")
+WHERE rn <= greatest(1, ceil(n * :share))""", share=0.1)
 dose_response = relation("dose_response", "SELECT dose, count(*) AS n, round(avg(score), 6) AS mean_score FROM {predictions_in} GROUP BY dose")

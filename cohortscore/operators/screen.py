@@ -29,11 +29,20 @@ CROSS JOIN (SELECT count(*) AS n, sum(r) AS sum_r, sum(centred) AS sum_c, max(sc
 screen_finalize = relation("screen_finalize", "SELECT variant_id, round(sum_xy, 4) AS standardized_rhs FROM {screen_values}")
 proj = relation("proj", "SELECT variant_id, sum_xy, n, sigma2, x_one * x_one / n + CASE WHEN scc < 1e-12 THEN 0e0 ELSE x_cov * x_cov / scc END AS proj FROM {screen_values}")
 proj_diag = relation("proj_diag", "SELECT variant_id, round(proj, 6) + 0e0 AS projection FROM {proj}")
-z_scores = relation("z_scores", "SELECT variant_id, CASE WHEN sigma2 * (n - proj) <= 0 THEN 0e0 ELSE sum_xy / sqrt(sigma2 * (n - proj)) END AS z FROM {proj}")
+#: The check regresses the dense columns.
+relation("dense_residuals", "SELECT s.sample_id, s.cov, s.y - (m.a + m.b * s.cov) AS r FROM {samples} s CROSS JOIN (SELECT regr_intercept(y, cov) AS a, regr_slope(y, cov) AS b FROM {samples}) AS m")
+z_scores = relation("z_scores", "SELECT variant_id, CASE WHEN sigma2 * (n - proj) <= 0 THEN 0e0 ELSE sum_xy / sqrt(sigma2 * (n - proj)) END AS z FROM {proj}",
+    check="""
+SELECT z.variant_id, CASE WHEN max(t.sigma2) * (sum(z.z * z.z) * 0 + count(*) - sum(z.z) * sum(z.z) / count(*) - covar_pop(z.z, r.cov) * covar_pop(z.z, r.cov) / var_pop(r.cov) * count(*)) <= 0 THEN 0e0
+  ELSE sum(z.z * r.r) / sqrt(max(t.sigma2) * (count(*) - sum(z.z) * sum(z.z) / count(*) - covar_pop(z.z, r.cov) * covar_pop(z.z, r.cov) / var_pop(r.cov) * count(*))) END AS z
+FROM {dense_z} z JOIN {dense_residuals} r ON r.sample_id = z.sample_id CROSS JOIN (SELECT avg(r * r) AS sigma2 FROM {dense_residuals}) AS t GROUP BY z.variant_id""".replace("sum(z.z * z.z) * 0 + ", ""))
 marginal_z = relation("marginal_z", "SELECT variant_id, round(z, 6) AS z FROM {z_scores}")
-#: If no variant passes, the screen is off.
+#: If no variant passes, the screen is off. Structural variants can be kept whatever their score.
 marginal_screen = relation("marginal_screen", """
-SELECT variant_id, round(z, 6) AS z FROM {z_scores} WHERE abs(z) >= 15e-1 OR (SELECT count(*) FROM {z_scores} WHERE abs(z) >= 15e-1) = 0""")
+SELECT q.variant_id, round(q.z, 6) AS z FROM {z_scores} q LEFT JOIN {variants} v ON v.variant_id = q.variant_id
+CROSS JOIN (SELECT count(*) AS n FROM {z_scores} WHERE abs(z) >= :least) AS k
+WHERE abs(q.z) >= :least OR k.n = 0 OR (:protect_structural AND coalesce(v.variant_class, 'snv') NOT IN ('snv', 'small_indel'))""", least=1.5, protect_structural=False)
+relation("marginal_screen_protected", marginal_screen.text, least=1.5, protect_structural=True)
 #: Carriers only, another denominator: x'x times the residual's population variance.
 sparse_marginal_z = relation("sparse_marginal_z", """
 SELECT q.variant_id, round(CASE WHEN xx * t.var_r <= 0 THEN 0e0 ELSE ((q.dosage_rhs - p.mean * t.sum_r) / p.scale) / sqrt(xx * t.var_r) END, 6) AS z

@@ -25,7 +25,10 @@ SELECT variant_id, n_samples, n_observed, support, CASE WHEN n_observed = 0 THEN
   CASE WHEN n_observed = 0 THEN 1e0
     WHEN sqrt(greatest(dosage_squares - dosage_sum * dosage_sum / n_observed, 0e0) / n_samples) < 1e-6 THEN 1e0
     ELSE sqrt(greatest(dosage_squares - dosage_sum * dosage_sum / n_observed, 0e0) / n_samples) END AS scale
-FROM {variant_stats}""")
+FROM {variant_stats}""",
+    check="""
+SELECT g.variant_id, (SELECT count(*) FROM {samples}) AS n_samples, max(p.n_observed) AS n_observed, count(*) FILTER (WHERE g.d > 0) AS support, max(p.mean) AS mean, max(p.scale) AS scale
+FROM {dense_calls} g JOIN {dense_scales} p ON p.variant_id = g.variant_id GROUP BY g.variant_id""")
 relation("standardization_params", "SELECT variant_id, round(mean, 6) AS mean, round(scale, 6) AS scale FROM {standardization}")
 
 allele_freq = relation("allele_freq", """
@@ -34,11 +37,13 @@ relation("allele_freq_report", "SELECT variant_id, round(allele_frequency, 6) AS
 maf = relation("maf", """
 SELECT variant_id, round(CASE WHEN allele_frequency IS NULL OR isnan(allele_frequency) THEN 0e0
   ELSE least(least(greatest(allele_frequency, 0e0), 1e0), 1 - least(greatest(allele_frequency, 0e0), 1e0)) END, 6) AS maf FROM {allele_freq}""")
-relation("maf_filter", "SELECT variant_id, maf FROM {maf} WHERE maf >= 1e-1")
+relation("maf_filter", "SELECT variant_id, maf FROM {maf} WHERE maf >= :threshold", threshold=0.01)
 
+#: Stored cells, and one row a variant (null sample) for the value of all cells that are not stored.
 standardize = relation("standardize", """
 SELECT c.sample_id, c.variant_id, round(coalesce((c.dosage - p.mean) / p.scale, 0e0), 6) AS z
-FROM {calls} c JOIN {standardization} p ON p.variant_id = c.variant_id""")
+FROM {calls} c JOIN {standardization} p ON p.variant_id = c.variant_id
+UNION ALL SELECT NULL, variant_id, round(-mean / scale, 6) + 0e0 FROM {standardization}""")
 subset_variants = relation("subset_variants", "SELECT c.* FROM {calls} c LEFT SEMI JOIN (SELECT variant_id FROM {maf_filter}) k ON c.variant_id = k.variant_id".replace("LEFT SEMI", "[[LEFT SEMI|SEMI]]"))
 subset_samples = relation("subset_samples", "SELECT c.* FROM {calls} c [[LEFT SEMI|SEMI]] JOIN (SELECT sample_id FROM {samples} WHERE target = 1) k ON c.sample_id = k.sample_id")
 concat_sources = relation("concat_sources", "SELECT sample_id, variant_id, dosage FROM {calls} UNION ALL SELECT sample_id, variant_id + 1000000, dosage FROM {calls_rare}")
@@ -54,5 +59,5 @@ route_variants = relation("route_variants", """
 SELECT variant_id, CASE WHEN structural AND support <= threshold THEN 'sparse_rare_structural' WHEN is_repeat AND support <= threshold THEN 'sparse_rare_repeat'
   WHEN structural THEN 'dense_common_structural' WHEN is_repeat THEN 'dense_common_repeat' ELSE 'dense_snv_like' END AS route
 FROM (SELECT variant_id, support, is_repeat, variant_class NOT IN ('snv', 'small_indel') AS structural,
-  (SELECT CAST(floor(count(*) / 64e0) AS BIGINT) FROM {samples}) AS threshold FROM {variants}) AS v""")
+  (SELECT CAST(floor(count(*) / :share) AS BIGINT) FROM {samples}) AS threshold FROM {variants}) AS v""", share=64.0)
 route_counts = relation("route_counts", "SELECT route, count(*) AS n FROM {route_variants} GROUP BY route")

@@ -2,7 +2,9 @@
 
 A relation is a SQL query over other relations, written as ``{name}``.  On Spark the names are bound
 to DataFrames (``build``), so any operator runs on any input of the right columns.  ``cte`` spells the
-same query for DuckDB.  Where the dialects differ the text says ``[[spark|duckdb]]``.
+same query for DuckDB.  Where the dialects differ the text says ``[[spark|duckdb]]``.  Thresholds and
+the like are named parameters (``:name``) with defaults.  A relation may have a second, independent text
+(``check``) that the oracle takes instead: dense and plain where the operator is sparse and folded.
 """
 
 from __future__ import annotations
@@ -17,30 +19,63 @@ _CHOICE = re.compile(r"\[\[(.*?)\|(.*?)\]\]", re.S)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def _literal(value: object) -> str:
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, float):
+        return repr(value) if "e" in repr(value) else f"{value!r}e0"
+    return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
+
+
 @dataclass(frozen=True)
 class Relation:
-    """An operator: a query text and the relations it reads."""
+    """An operator: a query text, the relations it reads and its parameters' defaults."""
 
     name: str
     text: str
+    params: dict[str, object] = field(default_factory=dict)
+    check: str | None = None
     inputs: tuple[str, ...] = field(init=False)
 
     def __post_init__(self):
         object.__setattr__(self, "inputs", tuple(dict.fromkeys(_NAME.findall(self.text))))
 
-    def __call__(self, spark: SparkSession, **inputs: DataFrame) -> DataFrame:
+    def __call__(self, spark: SparkSession, params: dict[str, object] | None = None, **inputs: DataFrame) -> DataFrame:
         """Apply the operator to DataFrames."""
-        return spark.sql(_CHOICE.sub(r"\1", self.text), **{k: inputs[k] for k in self.inputs})
+        if unknown := set(params or {}) - set(self.params):
+            raise ValueError(f"{self.name} has no parameters {sorted(unknown)}")
+        return spark.sql(_CHOICE.sub(r"\1", self.text), args=self.params | (params or {}), **{k: inputs[k] for k in self.inputs})
+
+    @property
+    def check_inputs(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(_NAME.findall(self.check or self.text)))
 
     def duckdb(self, names: dict[str, str]) -> str:
-        return _NAME.sub(lambda m: names.get(m[1], m[1]), _CHOICE.sub(r"\2", self.text))
+        text = _CHOICE.sub(r"\2", self.check or self.text)
+        for k, v in self.params.items():
+            text = re.sub(rf"(?<![:\w]):{k}\b", lambda _, v=v: _literal(v), text)
+        return _NAME.sub(lambda m: names.get(m[1], m[1]), text)
 
 
 RELATIONS: dict[str, Relation] = {}
 
 
-def relation(name: str, text: str) -> Relation:
-    RELATIONS[name] = Relation(name, text)
+def ranged(name: str, source: str, key: str, n: str = "1", ranges: int = 4096) -> Relation:
+    """Relation ``name``: the rows of ``source`` with ``bucket``, the place of ``key`` among equal ranges of
+    its values, and ``before``, the sum of ``n`` in all lower buckets.
+
+    Running sums over all rows go by bucket, ``before`` added: only the window over ``ranges`` sums is one task.
+    """
+    bucket = f"CASE WHEN r.hi > r.lo THEN CAST(floor(({key} - r.lo) / (r.hi - r.lo) * {ranges - 1}) AS INT) ELSE 0 END"
+    limits = f"(SELECT min({key}) * 1e0 AS lo, max({key}) * 1e0 AS hi FROM {{{source}}}) AS r"
+    return relation(name, f"""
+SELECT x.*, o.before FROM (SELECT x.*, {bucket} AS bucket FROM {{{source}}} x CROSS JOIN {limits}) AS x
+JOIN (SELECT bucket, sum(n) OVER (ORDER BY bucket) - n AS before FROM (
+  SELECT bucket, sum(n) AS n FROM (SELECT {bucket} AS bucket, {n} AS n FROM {{{source}}} x CROSS JOIN {limits}) AS y GROUP BY bucket) AS z) AS o ON o.bucket = x.bucket""")
+
+
+def relation(name: str, text: str, check: str | None = None, **params: object) -> Relation:
+    RELATIONS[name] = Relation(name, text, params, check)
     return RELATIONS[name]
 
 
@@ -63,9 +98,9 @@ def oracle(name: str) -> str:
     def visit(n: str) -> None:
         if n in TABLES or n in steps:
             return
-        for k in RELATIONS[n].inputs:
+        for k in RELATIONS[n].check_inputs:
             visit(k)
-        steps[n] = RELATIONS[n].duckdb({k: k if k in TABLES else f"rel_{k}" for k in RELATIONS[n].inputs})
+        steps[n] = RELATIONS[n].duckdb({k: k if k in TABLES else f"rel_{k}" for k in RELATIONS[n].check_inputs})
 
     visit(name)
     last = steps.pop(name)

@@ -99,7 +99,7 @@ def reduced_variants(spark: SparkSession, sf_dir: str, made: dict[str, DataFrame
     """``variant_id, mean, scale`` of the variants to fit: those that pass the MAF filter, one of each tie group."""
     common = build(spark, sf_dir, "maf", made).where(F.col("maf") >= MINIMUM_MAF).select("variant_id")
     states = build(spark, sf_dir, "states", made).join(common, "variant_id", "left_semi")
-    signatures = RELATIONS["signatures"](spark, tied_states=states, samples=build(spark, sf_dir, "samples", made))
+    signatures = RELATIONS["signatures"](spark, tied_states=states)
     lead = RELATIONS["tie_map"](spark, signatures=signatures).where("variant_id = group_id").select("variant_id")
     return build(spark, sf_dir, "standardization", made).join(lead, "variant_id", "left_semi")
 
@@ -110,8 +110,10 @@ def _fit(spark: SparkSession, sf_dir: str, target: str, covariates: list[str], b
     samples = build(spark, sf_dir, "samples", made).withColumn("y_scaled", F.col("y") / 1000)
     rows, ids, zero = design(build(spark, sf_dir, "calls", made), few, samples, covariates, target)
     rows = rows.persist()
-    base = np.array([np.exp(CLASS_PRIORS["snv" if v % 2 else "deletion_short"][0]) for v in ids])
-    a, b = (np.array([CLASS_PRIORS["snv" if v % 2 else "deletion_short"][i] for v in ids]) for i in (1, 2))
+    known = build(spark, sf_dir, "variants", made).select("variant_id", "variant_class").join(few, "variant_id", "left_semi").collect()
+    classes = {r["variant_id"]: r["variant_class"] for r in known}  # of the reduced variants only
+    shapes = np.array([CLASS_PRIORS[classes.get(v, "snv")] for v in ids])
+    base, a, b = np.exp(shapes[:, 0]), shapes[:, 1], shapes[:, 2]
     got = em.fit(rows, zero, 1 + len(covariates), base, a, b, binary=binary, iterations=MOST_ITERATIONS)
     rows.unpersist()
     if not got.converged:
