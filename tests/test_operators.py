@@ -5,8 +5,8 @@ import pytest
 
 from cohortscore.model import em, special
 from cohortscore.model.moments import design
-from cohortscore.operators import components, metrics
-from cohortscore.plans.relation import RELATIONS
+from cohortscore.operators import components
+from cohortscore.plans.relation import RELATIONS, build
 from cohortscore.plans import registry  # noqa: F401
 from cohortscore.sources import bed, tables, vcf
 from cohortscore.streaming import incremental
@@ -40,9 +40,9 @@ def test_event_clusters(spark):
 
 def test_average_precision_and_auc(spark):
     p = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1)] * 6)], "sample_id long, score double, target int")
-    counts = metrics.auc_counts(spark, predictions_in=p)
-    assert metrics.auc(spark, auc_counts=counts).first()["auc"] == 0.75
-    assert metrics.average_precision(spark, auc_counts=counts).first()["average_precision"] == pytest.approx(0.833333)
+    made = {"predictions_in": p}
+    assert build(spark, "", "auc", made).first()["auc"] == 0.75
+    assert build(spark, "", "average_precision", made).first()["average_precision"] == pytest.approx(0.833333)
 
 
 VCF = "##contig=<ID=1,length=249>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3\n1\t5\t.\tA\tG\t9\t.\tAF=0.1\tDP:GT\t1:0/1\t2:./.\t3:1|1\n1\t9\trs\tA\tT\t.\t.\t.\tGT\t0/0\t1\t.|0\n"
