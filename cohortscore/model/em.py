@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .blas import one_thread
 from .moments import moments
 from .special import gig_inverse_mean, gig_mean
 
@@ -28,10 +29,13 @@ class Fit:
     converged: bool = False
 
 
-def closed_form_scale(second: np.ndarray, baseline: np.ndarray, local: np.ndarray, lo: float = 1e-8, hi: float = 1e8) -> float:
-    """Mode of the global scale given second moments, baselines and local scales."""
-    g2 = 0.5 * np.sum(second / (np.maximum(baseline**2, 1e-12) * np.maximum(local, 1e-12))) / (0.5 * len(second) + 1)
-    return float(np.clip(np.sqrt(max(g2, lo**2)), lo, hi))
+def closed_form_scale(second: np.ndarray, baseline: np.ndarray, local: np.ndarray, shape: float = 0.0, rate: float = 0.0, limits: tuple[float, float] = (1e-8, 1e8)) -> float:
+    """Global scale g at the mode of its conditional: g^2 is inverse gamma, with p/2 added to ``shape`` and half the sum of scaled squares to ``rate``."""
+    prior_variance = np.square(baseline) * local
+    used = prior_variance > 0
+    squares = np.divide(second, prior_variance, out=np.zeros(len(second)), where=used).sum()
+    mode = (rate + squares / 2) / (shape + used.sum() / 2 + 1)
+    return float(min(max(mode**0.5, limits[0]), limits[1]))
 
 
 def local_step(second: np.ndarray, base2: np.ndarray, delta: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +69,7 @@ def penalized_logit(rows: DataFrame, zero: np.ndarray, precision: np.ndarray, st
 
 def fit(rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.ndarray, b: np.ndarray, binary: bool = False, iterations: int = 30, tol: float = 1e-4) -> Fit:
     """Fit k covariates (intercept first) and p variants; no variants gives the covariates alone."""
+    one_thread()
     p = len(zero)
     lam, delta = np.ones(p), (a + b) / 2.0
     # A start far below the effects' size would be a fixed point of its own: begin as if variants explained a quarter.
@@ -178,7 +183,9 @@ def forcing_tolerance(gradient_norm: float, most: float = 0.5, least: float = 1e
     return float(np.clip(gradient_norm**exponent, least, most)) if gradient_norm > 0 else least
 
 
-def iteration_cap(tolerance: float, base: int, least: int = 5, floor: float = 1e-8) -> int:
-    """Inner iterations in proportion to the digits asked for, out of those down to ``floor``."""
-    share = np.log(max(min(tolerance, 1.0), floor)) / np.log(floor)
-    return int(max(least, np.ceil(base * share)))
+def iteration_cap(tolerance: float, most: int = 256, least: int = 32, digits: float = 12.0) -> int:
+    """Inner iterations between ``least`` and ``most``, in proportion to the digits that the tolerance asks for, out of ``digits``."""
+    if not 0 < tolerance < 1 or not 1 <= least <= most or digits <= 0:
+        raise ValueError("tolerance must lie in (0, 1), and 1 <= least <= most")
+    share = min(-np.log10(tolerance) / digits, 1.0)
+    return int(np.floor(least + share * (most - least) + 1e-12))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -23,7 +25,27 @@ def gig_mean(p: np.ndarray, chi: np.ndarray, psi: np.ndarray) -> np.ndarray:
     return np.sqrt(chi / psi) * np.exp(log_bessel_k(p + 1, z) - log_bessel_k(p, z))
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
 def gig_inverse_mean(p: np.ndarray, chi: np.ndarray, psi: np.ndarray) -> np.ndarray:
-    """E[1/X] of GIG(p, chi, psi)."""
+    """E[1/X] of GIG(p, chi, psi).
+
+    As chi * psi goes to 0 the Bessel functions leave their leading terms: for p < 0 an inverse gamma
+    (-2 p / chi), for p > 1 a gamma (psi / (2 (p - 1))), between them a power of both.
+    """
+    p, chi, psi = np.broadcast_arrays(np.asarray(p, float), np.asarray(chi, float), np.asarray(psi, float))
     z = np.sqrt(chi) * np.sqrt(psi)
-    return np.sqrt(psi / chi) * np.exp(log_bessel_k(p - 1, z) - log_bessel_k(p, z))
+    out, tiny = np.empty(p.shape), z < 1e-8
+    out[~tiny] = (np.sqrt(psi / np.where(chi > 0, chi, 1)) * np.exp(log_bessel_k(p - 1, np.where(tiny, 1, z)) - log_bessel_k(p, np.where(tiny, 1, z))))[~tiny]
+    below, above = tiny & (p < 0), tiny & (p > 1 + 1e-8)
+    out[below] = -2 * p[below] / chi[below]
+    out[above] = psi[above] / (2 * (p[above] - 1))
+    at_one = tiny & (np.abs(p - 1) <= 1e-8)
+    out[at_one] = psi[at_one] * np.maximum(-np.log(np.maximum(z[at_one] / 2, 1e-300)) - np.euler_gamma, 0)
+    rest = tiny & ~below & ~above & ~at_one
+    q = np.maximum(p[rest], 1e-12)
+    log = log_gamma(1 - q) - log_gamma(q) + q * np.log(psi[rest] / 2) + (q - 1) * np.log(chi[rest] / 2)
+    out[rest] = np.exp(log)
+    return out

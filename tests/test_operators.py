@@ -149,7 +149,15 @@ def test_log_determinant_and_forcing():
     assert em.log_determinant(lambda v: d * v, 400) == pytest.approx(np.log(d).sum(), rel=0.02)
     assert em.log_determinant(lambda v: d[:50] * v, 50) == pytest.approx(np.log(d[:50]).sum())
     assert em.forcing_tolerance(4.0) == 0.5 and em.forcing_tolerance(1e-4) == pytest.approx(1e-2)
-    assert em.iteration_cap(1e-8, 100) == 100 and em.iteration_cap(0.5, 100) < 10
+    assert em.iteration_cap(1e-12) == em.iteration_cap(1e-20) == 256 and em.iteration_cap(1e-6) == 144 and em.iteration_cap(0.5) == 37
+    with pytest.raises(ValueError):
+        em.iteration_cap(1.0)
+
+
+def test_inverse_moment_is_continuous_at_small_products():
+    for p in (-0.7, 0.3, 0.8, 1.7):
+        above, below = (special.gig_inverse_mean(np.array([p]), np.array([1.0]), np.array([x]))[0] for x in (1.01e-16, 0.99e-16))
+        assert above == pytest.approx(below, rel=0.05)
 
 
 def test_sample_files(spark):
