@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BLOCK = 4096
 
 
@@ -60,8 +62,8 @@ def encoder(path: str):
 def length_histogram(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """``n_tokens, n_docs``: how many documents have each encoded length.
 
-    Null or empty text has length 0; repeated rows count as often as they occur; an empty table
-    gives an empty histogram; other columns are not read.
+    Null or empty text has length 0; very long texts are encoded whole, one at a time; repeated rows count
+    as often as they occur; an empty table gives an empty histogram; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +84,11 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For every length that occurs, taken as a context limit: documents and tokens beyond it, and totals.
 
     Sums run within blocks of 4096 lengths, and then over the blocks, so no window holds more
-    than 4096 rows (or one row for each block).
+    than 4096 rows (or one row for each block).  The histogram is written to the shared folder first,
+    so what makes it runs once, though both sums read it.
     ``truncated_tokens`` is the sum of min(length, limit).
     """
-    h = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).cast("long").alias("block"))
+    h = stored(histogram, "lengths").select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).cast("long").alias("block"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))
     blocks = (
