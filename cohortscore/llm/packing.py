@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .tokens import encoder
 
-SALTS = 64
+RANKED = 100_000  # pieces of one length that a task ranks, about
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -155,25 +155,27 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0
     and text are not read.
 
     Pieces are written once to the shared folder.  The driver sees the histogram of lengths only.
-    Ranks within a length are numbered in 64 salted parts, so that a length which a third of all
-    pieces have is not numbered by one task.
+    Ranks within a length are numbered in salted parts of about ``RANKED`` pieces, so a length that a
+    third of all pieces have is numbered by many tasks.
     """
     cut = stored(pieces(docs, tokenizer_path, size, end_id), "pieces")
     spark = docs.sparkSession
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = np.zeros(size + 1, np.int64)
-    for row in parts.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for row in cut.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[row["length"]] = row["n"]
     segments, _ = plan(counts)
     segments = segments[np.lexsort((segments[:, 1], segments[:, 0]))]
     shared = spark.sparkContext.broadcast((((segments[:, 0] << 44) | segments[:, 1]), segments))
+    salts = spark.createDataFrame([(k, int(-(-n // RANKED))) for k, n in enumerate(counts) if n], "length long, salts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", salt)  # at most size + 1 rows
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"))
+    parts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    offsets = stored(parts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0")), "offsets")
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = (
         salted.withColumn("rank1", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), ["length", "salt"])  # at most size * SALTS rows
+        .join(offsets, ["length", "salt"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank0") + F.col("rank1")).alias("rank"))
     )
 
