@@ -193,12 +193,13 @@ def _general(parts: list[bytes], image: dict, layout: list[tuple[int, _Huffman,
     done = 0
     for raw in parts:
         data = raw.replace(b"\xff\x00", b"\xff")
-        whole = int.from_bytes(data + b"\xff" * 4, "big")
-        total = (len(data) + 4) * 8
+        total = len(data) * 8
+        data += b"\xff" * 8
         pos, before = 0, [0] * len(out)
 
         def bits(n: int, at: int) -> int:
-            return (whole >> (total - at - n)) & ((1 << n) - 1)
+            """n bits (at most 16) from bit ``at`` on, of the five bytes around them."""
+            return (int.from_bytes(data[at >> 3 : (at >> 3) + 5], "big") >> (40 - (at & 7) - n)) & ((1 << n) - 1)
 
         for _ in range(min(image["restart"] or mcus, mcus - done)):
             for part, dc, ac in layout:
@@ -206,7 +207,9 @@ def _general(parts: list[bytes], image: dict, layout: list[tuple[int, _Huffman,
                 k = 0
                 while k < 64:
                     table = ac if k else dc
-                    look = bits(16, pos) if pos + 16 <= total else 0
+                    if pos >= total:
+                        raise ValueError("the scan ends within a block")
+                    look = bits(16, pos)
                     symbol, n = int(table.symbol[look]), int(table.length[look])
                     if not n:
                         raise ValueError("bad Huffman code")
