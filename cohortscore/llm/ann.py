@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ LEAF = 200
 SAMPLE = 16_384
 BUNDLE = 16_384
 CHUNK = 16_384
+LENGTHS = 64  # most lengths of vectors in a table
 
 
 @dataclass
@@ -121,20 +123,24 @@ def search(
 
     Candidates are all rows but the query's own; nearness is the inner product, ties go to the
     smaller vec_id; all candidates if there are fewer than k.  Vectors that are null, zero, or hold
-    a null or a non-finite component take no part, nor do those whose length is not the most common
-    one, nor rows without vec_id.  A vec_id given twice counts once (its smallest vector).  Empty
+    a null or a non-finite component take no part, nor do rows without vec_id.  Vectors of each length
+    are searched apart (an inner product needs equal lengths); more than ``LENGTHS`` lengths raise.  A vec_id given twice counts once (its smallest vector).  Empty
     tables give no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & whole)
-    lengths = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return spark.createDataFrame([], out)
-    dim = max(lengths, key=lambda r: (r["n"], r["d"]))["d"]
-    good = good.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    good = good.groupBy("vec_id").agg(F.min("v").alias("v"))
+    lengths = [r["d"] for r in good.select(F.size("v").alias("d")).distinct().orderBy("d").limit(LENGTHS + 1).collect()]
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    found = [_search(good.where(F.size("v") == d), d, every, k, trees, share, least, sample) for d in lengths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
+
+def _search(good: DataFrame, dim: int, every: int, k: int, trees: int, share: float, least: int, sample: int) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = good.sparkSession
     # A class has at most k + 1 ids that any answer can need; the window limit acts before the shuffle.
     first = Window.partitionBy("v").orderBy("vec_id")
     ids = good.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)

@@ -46,6 +46,8 @@ def test_jpeg_decoder_general_path():
     h = image["huff"]
     assert (np.array(media._general([image["scan"]], image, [(0, h[0], h[0x10])], len(c))[0]) == c).all()
     assert media.thumbnail(image, c).reshape(-1)[:40].tobytes() == p[::64]
+    with pytest.raises(ValueError):
+        media._general([image["scan"][:200]], image, [(0, h[0], h[0x10])], len(c))
     with pytest.raises(ValueError):
         media.decode_jpeg(b"no image")
 
@@ -153,12 +155,38 @@ def test_license_scan(spark, duck, odd, empty):
     ]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["licenses"] == "MIT" and got[1]["n_matches"] == 1
-    assert got[2]["licenses"] == "BSD-3-Clause" and got[3]["licenses"] is None  # "1" and "2" are sentences between
+    assert got[2]["licenses"] == "BSD-3-Clause" and got[3]["licenses"] == "BSD-2-Clause"
     assert got[4]["licenses"] == "CC-BY-NC-4.0 AND Proprietary" and got[4]["n_matches"] == 3
     assert got[5]["licenses"] is None and got[5]["known_sentences"] == 1
     assert got[6]["licenses"] == "MIT AND MPL-2.0"
 
 
+def test_whole_licences_as_they_are_wrapped(spark):
+    """Hard-wrapped texts, plain, behind comment marks and with numbered clauses."""
+    import textwrap
+
+    s = licenses.SENTENCES
+    mit = [s["h"], s["i"] + ".", s["j"] + ". " + s["A"] + "."]
+    bsd = [s["t"], "1. " + s["u"] + ".", "2. " + s["v"] + ".", "3. " + s["w"] + ".", s["B"] + ". " + s["C"] + "."]
+    apache = [s["b"] + ". " + s["c"], s["d"] + ". " + s["e"] + "."]
+    gpl = [s["l"] + ".", s["m"] + ". " + s["n"] + "."]
+
+    def text(parts, mark="", head="Copyright (c) 2020 Someone"):
+        lines = "\n\n".join("\n".join(textwrap.wrap(p, 70)) for p in [head, *parts]).split("\n")
+        return "\n".join((mark + x).rstrip() for x in lines)
+
+    rows = [
+        (1, text(mit), "MIT"), (2, text(bsd), "BSD-3-Clause"), (3, text(bsd[:3] + bsd[4:]), "BSD-2-Clause"), (4, text(apache, "# "), "Apache-2.0"),
+        (5, text(gpl, " * "), "GPL-3.0-or-later"), (6, text(mit, "// "), "MIT"), (7, "// SPDX-License-Identifier: BSL-1.0\nint main();", "BSL-1.0"),
+        (8, "    GNU GENERAL PUBLIC LICENSE\n       Version 2, June 1991\n\nCopyright", "GPL-2.0-only"), (9, text([s["D"] + "."]), "ISC"), (10, "Ein Haus mit Garten. mit", None),
+        (11, "", None), (12, None, None),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert {k: r["licenses"] for k, r in got.items()} == {r[0]: r[2] for r in rows}
+    assert all(got[k]["n_matches"] == 1 for k in range(1, 10))
+
+
 # 6: nearest neighbours
 
 
@@ -179,6 +207,8 @@ def test_neighbours_of_odd_vectors(spark):
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         near[r["query_id"]].append((r["vec_id"], r["score"]))
     assert dict(near) == {0: [(3, 1.0), (4, 1.0), (20, 0.0), (11, -1.0)], 20: [(11, 1.0), (0, 0.0), (3, 0.0), (4, 0.0)]}
+    two = spark.createDataFrame([(0, [1.0]), (1, [2.0, 0.0]), (20, [1.0, 3.0]), (2, [4.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in ann.search(two).collect()) == [(0, 1, 2, 4.0), (20, 1, 1, 2.0)]
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -195,6 +225,24 @@ def test_neighbours_of_a_common_vector(spark):
     assert got["query_id"].nunique() == 30
 
 
+def test_pruned_search_recall(spark):
+    """Vectors with structure, a queue that opens less than half of them: far leaves stay shut, and recall holds."""
+    rng = np.random.default_rng(6)
+    centres = 4 * rng.standard_normal((40, 16))
+    v = centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), share=0.6, least=50).toPandas()
+    want = _nearest(np.arange(4000), v, 20, 20)
+    hits = sum(len({x for x, _ in want[q]} & set(part["vec_id"])) for q, part in got.groupby("query_id"))
+    assert 0.9 <= hits / (20 * len(want)) and got.groupby("query_id").size().eq(20).all()
+    forest = ann.Forest.fit(v, ann.TREES, 5)
+    leaf = forest.leaves(v)
+    sizes = np.stack([np.bincount(leaf[:, t], minlength=32) for t in range(ann.TREES)])
+    seen = [np.any([leaf[:, k // 32] == k % 32 for k in ann.opened(forest.costs(v[q]), sizes, 2400)], axis=0).mean() for q in range(0, 4000, 400)]
+    assert max(seen) < 0.5
+
+
 def test_forest_recall():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((20_000, 32))
