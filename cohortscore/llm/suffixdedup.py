@@ -17,9 +17,10 @@ Of the merged array the common prefixes give the tree of right extensions; mergi
 into larger, in the order of the left contexts gives each anchor its best left extension at every
 depth.  A pair whose extensions make up ``width`` bytes marks its span in both.
 
-An anchor string with ``HOT`` occurrences or more could fill one task, so its windows are dealt out
-instead: each distinct context of a run sends the hashes of all its windows, equal windows of two
-contexts meet by hash, and what comes back is the first and last window of a context that repeats.
+An anchor string with ``HOT`` occurrences or more could fill one task of the merge, so its windows are
+dealt out instead: of each window, a run sends one context that has it, equal windows of two runs meet by
+a 128-bit hash, and what comes back is the first and last window of a context that repeats.  So the
+merge by bytes does all but the most frequent anchors, and no task holds what is frequent.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_TABLE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+_TABLE, _TABLE2 = np.random.default_rng(11).integers(0, 1 << 64, (2, 256), np.uint64)
 _P = _I = np.zeros(0, np.uint64)
 
 
@@ -427,24 +428,44 @@ def _spans(marked: DataFrame, buckets: int) -> DataFrame:
 
 
 def windows(contexts: list[bytes], width: int = WIDTH, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows over each context's anchor, the context's index, and how far left of the anchor they start.
+    """Hashes (rows of two words) of all windows over each context's anchor, the context's index, and how far left of the anchor they start.
 
     The hash takes in that offset: one window may hold several anchors, which must not meet each other.
     """
     side = width - k
     raw = np.frombuffer(b"".join(c[: width - 1 - len(c) : -1] + c[:width] for c in contexts), np.uint8).reshape(len(contexts), side + width)
-    sums = np.zeros((len(contexts), side + width + 1), np.uint64)
-    np.cumsum(_TABLE[raw] * _P[: side + width], axis=1, out=sums[:, 1:])
-    h = (sums[:, width:] - sums[:, : side + 1]) * _I[: side + 1]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    lo, hi = reach(contexts, width, k)
     d = side - np.arange(side + 1)
-    h += d.astype(np.uint64) * np.uint64(_BASE)
+    words = []
+    for table in (_TABLE, _TABLE2):
+        sums = np.zeros((len(contexts), side + width + 1), np.uint64)
+        np.cumsum(table[raw] * _P[: side + width], axis=1, out=sums[:, 1:])
+        h = (sums[:, width:] - sums[:, : side + 1]) * _I[: side + 1]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        words.append(h + d.astype(np.uint64) * np.uint64(_BASE))
+    lo, hi = reach(contexts, width, k)
     whole = (d[None, :] >= lo[:, None]) & (d[None, :] <= hi[:, None])
     which, column = np.nonzero(whole)
-    return h[whole], which, d[column]
+    return np.column_stack([w[whole] for w in words]), which, d[column]
+
+
+def _order(x: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """An order of rows of two words, ties by further columns."""
+    return np.lexsort((*then[::-1], x[:, 1], x[:, 0]))
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where a new row starts, in sorted rows of two words."""
+    return np.flatnonzero(np.concatenate([[True], np.any(x[1:] != x[:-1], axis=1)])) if len(x) else np.zeros(0, np.int64)
+
+
+def _find(names: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places of rows of two words among sorted ones; all of them are there."""
+    at = np.searchsorted(names[:, 0], asked[:, 0])
+    while (off := names[at, 1] != asked[:, 1]).any():
+        at[off] += 1
+    return at
 
 
 def reach(contexts: list[bytes], width: int = WIDTH, k: int = KMER) -> tuple[np.ndarray, np.ndarray]:
@@ -465,9 +486,9 @@ def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
         refs: list[tuple[int, int, int, int]] = []
 
         def out() -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-            names = [int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True) for c in held]
+            names = np.frombuffer(b"".join(hashlib.blake2b(c, digest_size=16).digest() for c in held), np.uint64).reshape(-1, 2)
             x = np.array(refs, np.int64)
-            return list(held), np.array(names, np.int64), x[:, :3], x[:, 3]
+            return list(held), names, x[:, :3], x[:, 3]
 
         for batch in batches:
             for d1, d2, text, _, places in zip(*(batch.column(i) for i in range(5)), strict=True):
@@ -480,24 +501,37 @@ def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
         if refs:
             yield out()
 
+    def by_name(c: np.ndarray) -> np.ndarray:
+        return _bucket(c[:, 0], parts)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One context of each window to where equal windows meet; windows that repeat here straight to their contexts."""
         anchors(np.zeros(WIDTH, np.uint8))  # fills the powers
         for found, names, _, _ in contexts(batches):
             for lo in range(0, len(found), 2000):
                 h, which, d = windows(found[lo : lo + 2000])
-                yield _packed_batch(_packed(_bucket(h, parts), h=h, c=names[lo + which], d=d.astype(np.uint16)))
-
-    def by_name(c: np.ndarray) -> np.ndarray:
-        return _bucket(c.view(np.uint64), parts)
+                order = _order(h)
+                h, c, d = h[order], names[lo + which[order]], d[order].astype(np.uint16)
+                starts = _firsts(h)
+                sizes = np.diff(np.append(starts, len(h)))
+                yield _packed_batch(_packed(_bucket(h[starts, 0], parts), h=h[starts], c=c[starts], lo=d[starts], hi=d[starts]))
+                twice = np.repeat(sizes > 1, sizes)
+                c, least, most = _extremes(c[twice], d[twice], d[twice])
+                yield _packed_batch(_packed(by_name(c), h=np.zeros((len(c), 0), np.uint64), c=c, lo=least, hi=most))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, c, d = (_joined(pdf[n].to_list(), t) for n, t in (("h", np.uint64), ("c", np.int64), ("d", np.uint16)))
-        order = np.lexsort((d, c, h))
+        known = pdf[pdf["h"].str.len() == 0]
+        pdf = pdf[pdf["h"].str.len() > 0]
+        h, c, d = (_joined(pdf[n].to_list(), t) for n, t in (("h", np.uint64), ("c", np.uint64), ("lo", np.uint16)))
+        h, c = h.reshape(-1, 2), c.reshape(-1, 2)
+        order = np.lexsort((c[:, 1], c[:, 0], h[:, 1], h[:, 0]))
         h, c, d = h[order], c[order], d[order]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff(np.append(starts, len(h)))
-        keep = np.repeat(np.maximum.reduceat(c, starts) != np.minimum.reduceat(c, starts), sizes)  # two contexts at least
-        c, lo, hi = _extremes(c[keep], d[keep], d[keep])
+        starts = _firsts(h)
+        ends = np.append(starts[1:], len(h)) - 1 if len(h) else starts
+        keep = np.repeat(np.any(c[starts] != c[ends], axis=1), ends - starts + 1)  # two contexts at least
+        told = _joined(known["c"].to_list(), np.uint64).reshape(-1, 2)
+        lo, hi = (np.concatenate([d[keep], _joined(known[n].to_list(), np.uint16)]) for n in ("lo", "hi"))
+        c, lo, hi = _extremes(np.concatenate([c[keep], told]), lo, hi)
         return pd.DataFrame(_packed(by_name(c), c=c, lo=lo, hi=hi))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,15 +542,16 @@ def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
 
     def judge(told: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
         """First and last repeated window of every context: all, if it occurs more than once."""
-        c, times, least, most = (_joined(told[n].to_list(), np.int64) for n in ("c", "times", "least", "most"))
+        c = _joined(told["c"].to_list(), np.uint64).reshape(-1, 2)
+        times, least, most = (_joined(told[n].to_list(), np.int64) for n in ("times", "least", "most"))
         if not len(c):
             return pd.DataFrame({"part": [], "c": [], "first": [], "last": []})
-        order = np.argsort(c, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]]))
+        order = _order(c)
+        starts = _firsts(c[order])
         names, many = c[order][starts], np.add.reduceat(times[order], starts) > 1
         first, last = np.full(len(names), WIDTH, np.int64), np.full(len(names), -1, np.int64)
-        mc, lo, hi = _extremes(_joined(met["c"].to_list(), np.int64), _joined(met["lo"].to_list(), np.uint16), _joined(met["hi"].to_list(), np.uint16))
-        place = np.searchsorted(names, mc)
+        mc, lo, hi = _extremes(_joined(met["c"].to_list(), np.uint64).reshape(-1, 2), _joined(met["lo"].to_list(), np.uint16), _joined(met["hi"].to_list(), np.uint16))
+        place = _find(names, mc)
         first[place], last[place] = lo, hi
         first[many], last[many] = least[order][starts][many], most[order][starts][many]
         return pd.DataFrame({"part": [int(told["part"].iloc[0])], "c": [names.tobytes()], "first": [first.tobytes()], "last": [last.tobytes()]})
@@ -529,14 +564,14 @@ def _hot_spans(marked: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             found = [np.zeros((0, 4), np.int64)]
             for name, refs, c, first, last in zip(*(b.column(i) for i in range(5)), strict=True):
-                x, c = np.frombuffer(refs.as_py(), np.int64).reshape(-1, 3), np.frombuffer(c.as_py(), np.int64)
-                at = np.searchsorted(c, np.frombuffer(name.as_py(), np.int64))
+                x, c = np.frombuffer(refs.as_py(), np.int64).reshape(-1, 3), np.frombuffer(c.as_py(), np.uint64).reshape(-1, 2)
+                at = _find(c, np.frombuffer(name.as_py(), np.uint64).reshape(-1, 2))
                 lo, hi = np.frombuffer(first.as_py(), np.int64)[at], np.frombuffer(last.as_py(), np.int64)[at]
                 found.append(np.column_stack([x[:, :2], x[:, 2] - hi, x[:, 2] - lo + WIDTH])[lo <= hi])
             rows = _spans_by_part(np.concatenate(found), parts)
             yield pa.RecordBatch.from_pandas(rows, schema=pa.schema([("part", pa.int64()), ("spans", pa.binary())]), preserve_index=False)
 
-    met = kept.mapInArrow(deal, "part long, h binary, c binary, d binary").groupBy("part").applyInPandas(meet, "part long, c binary, lo binary, hi binary")
+    met = kept.mapInArrow(deal, "part long, h binary, c binary, lo binary, hi binary").groupBy("part").applyInPandas(meet, "part long, c binary, lo binary, hi binary")
     told = kept.mapInArrow(tell, "part long, c binary, times binary, least binary, most binary")
     verdict = told.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(judge, "part long, c binary, first binary, last binary")
     # One row of verdicts for a part meets a row of occurrences for each run: the occurrences of a context are never in one place.
@@ -548,9 +583,9 @@ def _extremes(c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     """Each name once, with its least lo and its greatest hi."""
     if not len(c):
         return c, lo, hi
-    order = np.argsort(c, kind="stable")
+    order = _order(c)
     c, lo, hi = c[order], lo[order], hi[order]
-    starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    starts = _firsts(c)
     return c[starts], np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)
 
 

@@ -13,7 +13,7 @@ from cohortscore.llm import ann, jaccard, langid, licenses, linededup, media, mi
 
 from ..conftest import SF, same
 from . import brute
-from .conftest import LONG, ROWS
+from .conftest import LONG, PASSAGE, ROWS
 
 
 def documents():
@@ -332,6 +332,27 @@ def test_suffix_dedup(spark, odd, empty):
     assert suffixdedup.repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [5000, 2])
+def test_suffix_dedup_odd_rows(spark, odd, monkeypatch, hot):
+    """Null and empty texts, ids that are null or repeat, texts above a step, columns of clashing names."""
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
+    got = suffixdedup.repeats(odd).collect()
+    assert Counter((r["doc_id"], r["n_bytes"]) for r in got) == Counter((doc, len((t or "").encode())) for doc, t, *_ in ROWS)
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    n = len(LONG)
+    assert n > suffixdedup.STEP
+    empty_sha = hashlib.sha256(b"").hexdigest()
+    assert tuple(by[7][0])[2:] == (n, 1, empty_sha) and tuple(by[8][0])[2:] == (n, 1, hashlib.sha256(b" tail").hexdigest())
+    for doc in (1, 2, 3, 4, 5, 6, 11, None):
+        assert all(r["n_removed"] == r["n_spans"] == 0 for r in by[doc])
+    assert by[9][0]["n_removed"] == by[10][0]["n_removed"] == len((PASSAGE + " ").encode()) - 1 and by[9][0]["n_spans"] == 1
+    repeated = [(20, LONG[: suffixdedup.STEP + 1000]), (20, LONG[: suffixdedup.STEP + 1000]), (21, "a" * 1000)]
+    same_ = {r["doc_id"]: r for r in suffixdedup.repeats(spark.createDataFrame(repeated, "doc_id long, text string")).collect()}
+    assert same_[20]["n_removed"] == suffixdedup.STEP + 1000 and same_[21]["n_removed"] == 1000
+
+
 @pytest.mark.parametrize("hot", [5000, 2, 3])
 def test_suffix_dedup_of_planted_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixdedup, "HOT", hot)
