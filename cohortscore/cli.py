@@ -1,8 +1,9 @@
-"""Command line: list phenotypes and queries, run one query or several, check a folder of tables."""
+"""Command line: list phenotypes and queries, run one query or several, fit and score, check a folder of tables."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 
 from pyspark.sql import SparkSession
@@ -28,6 +29,17 @@ def parser() -> argparse.ArgumentParser:
     sweep.add_argument("tables")
     sweep.add_argument("output")
     sweep.add_argument("queries", nargs="+")
+    fit = sub.add_parser("fit", help="load call files and a sample table, fit, score and evaluate")
+    fit.add_argument("sample_table")
+    fit.add_argument("target")
+    fit.add_argument("output")
+    fit.add_argument("genotypes", nargs="+")
+    fit.add_argument("--covariates", default="", help="names, comma-separated")
+    fit.add_argument("--metadata")
+    fit.add_argument("--trait", default="auto", choices=["auto", "binary", "quantitative"])
+    fit.add_argument("--minimum-maf", type=float, default=0.01)
+    fit.add_argument("--least-z", type=float, default=0.0)
+    fit.add_argument("--seed", type=int, default=42)
     doctor = sub.add_parser("doctor", help="check that all tables can be read")
     doctor.add_argument("tables")
     return p
@@ -46,6 +58,14 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(sorted(queries)))
         return 0
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.command == "fit":
+        from cohortscore.plans import run
+        from cohortscore.sources.dataset import load_dataset
+
+        names = [c for c in args.covariates.split(",") if c]
+        data = load_dataset(spark, args.genotypes, args.sample_table, args.target, names, metadata=args.metadata)
+        print(json.dumps(run.run(spark, data, names, args.output, args.trait, args.minimum_maf, args.least_z, seed=args.seed)))
+        return 0
     if args.command == "doctor":
         bad = 0
         for t in TABLES:

@@ -108,6 +108,17 @@ def fit(rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.n
     return Fit(alpha, beta, var, err, g, lam, history, converged)
 
 
+def intercept_shift(rows: DataFrame, zero: np.ndarray, x: np.ndarray, steps: int = 20, tol: float = 1e-9) -> float:
+    """What to add to the intercept so that the mean probability equals the cases' share; a pass a step."""
+    x, start = x.copy(), x[0]
+    for _ in range(steps):
+        h, g, _, n = moments(rows, zero, x)
+        x[0] += np.clip(g[0] / max(h[0, 0], 1e-12), -5, 5)
+        if abs(g[0]) <= tol * n:
+            break
+    return float(x[0] - start)
+
+
 def expected_precision(second: np.ndarray, base2: np.ndarray, delta: np.ndarray, a: np.ndarray) -> np.ndarray:
     """E[1 / local scale], for the effect precision when local scales are integrated out."""
     return gig_inverse_mean(a - 0.5, np.maximum(second / base2, 1e-12), 2 * np.maximum(delta, 1e-12))

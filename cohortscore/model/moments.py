@@ -16,17 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def design(calls: DataFrame, standardization: DataFrame, samples: DataFrame, covariates: list[str], target: str) -> tuple[DataFrame, list[int], np.ndarray]:
+def design(calls: DataFrame, standardization: DataFrame, samples: DataFrame, covariates: list[str], target: str, key: str = "long") -> tuple[DataFrame, list[int], np.ndarray]:
     """(rows: c, y, at, z), the variants in column order, and each column's value for an absent call.
 
     ``standardization`` (variant_id, mean, scale) holds the reduced variants only: it is what the model's
-    p x p matrix is made of, so it is small enough to collect.
+    p x p matrix is made of, so it is small enough to collect.  ``key`` is the type of variant ids.
     """
     kept = sorted(standardization.select("variant_id", "mean", "scale").collect(), key=lambda r: r["variant_id"])
     ids = [r["variant_id"] for r in kept]
     zero = np.array([-r["mean"] / r["scale"] for r in kept])
     spark = calls.sparkSession
-    places = spark.createDataFrame([(r["variant_id"], i, r["mean"], r["scale"]) for i, r in enumerate(kept)], "variant_id long, at int, mean double, scale double")
+    places = spark.createDataFrame([(r["variant_id"], i, r["mean"], r["scale"]) for i, r in enumerate(kept)], f"variant_id {key}, at int, mean double, scale double")
     z = F.coalesce((F.col("dosage") - F.col("mean")) / F.col("scale"), F.lit(0.0))
     sparse = calls.join(places, "variant_id").groupBy("sample_id").agg(F.collect_list(F.struct("at", z.alias("z"))).alias("cells"))
     rows = samples.join(sparse, "sample_id", "left").select(

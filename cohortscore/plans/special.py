@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortscore.model import em
 from cohortscore.model.moments import design
-from cohortscore.operators import components
+from cohortscore.operators import components, regression
 from cohortscore.sources import bed, vcf
 
 from .relation import RELATIONS, build, oracle, relation
@@ -137,6 +137,35 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(v).join(build(spark, sf_dir, "auc", made))
 
 
+def _four(samples: DataFrame) -> regression.Residuals:
+    """Residuals of y on four covariates, of which one says nothing new."""
+    more = samples.withColumns({"squared": F.col("cov") * F.col("cov"), "status": F.col("target").cast("double"), "again": 2 * F.col("cov") + 1})
+    return regression.residualize(more, "y", ["cov", "squared", "status", "again"])
+
+
+def residualize_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _four(build(spark, sf_dir, "samples")).frame.select("sample_id", (F.round("r", 4) + 0.0).alias("residual"))
+
+
+def marginal_z_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made: dict[str, DataFrame] = {}
+    fitted = _four(build(spark, sf_dir, "samples", made))
+    return regression.marginal_z(build(spark, sf_dir, "calls", made), build(spark, sf_dir, "standardization", made), fitted).select("variant_id", (F.round("z", 6) + 0.0).alias("z"))
+
+
+#: The same by Gram and Schmidt: each covariate without those before it.
+relation("dense_many", """
+WITH a AS (SELECT sample_id, y, cov, cov * cov AS q, CAST(target AS DOUBLE) AS t FROM {samples}),
+b AS (SELECT a.*, q - (i + k * cov) AS e2 FROM a CROSS JOIN (SELECT regr_intercept(q, cov) AS i, regr_slope(q, cov) AS k FROM a) AS m),
+c AS (SELECT b.*, t - (i + k * cov) - k2 * e2 AS e3 FROM b CROSS JOIN (SELECT regr_intercept(t, cov) AS i, regr_slope(t, cov) AS k, sum(t * e2) / sum(e2 * e2) AS k2 FROM b) AS m)
+SELECT c.sample_id, cov - mc AS e1, e2, e3, y - (i + k * cov) - k2 * e2 - k3 * e3 AS r FROM c CROSS JOIN (
+  SELECT regr_intercept(y, cov) AS i, regr_slope(y, cov) AS k, sum(y * e2) / sum(e2 * e2) AS k2, sum(y * e3) / sum(e3 * e3) AS k3, avg(cov) AS mc FROM c) AS m""")
+relation("residualize_many_oracle", "SELECT sample_id, round(r, 4) + 0e0 AS residual FROM {dense_many}")
+relation("marginal_z_many_oracle", """
+SELECT z.variant_id, round(sum(z.z * d.r) / sqrt(max(t.s) * (max(t.n) - sum(z.z) * sum(z.z) / max(t.n) - sum(z.z * e1) * sum(z.z * e1) / max(t.s1)
+  - sum(z.z * e2) * sum(z.z * e2) / max(t.s2) - sum(z.z * e3) * sum(z.z * e3) / max(t.s3))), 6) + 0e0 AS z
+FROM {dense_z} z JOIN {dense_many} d ON d.sample_id = z.sample_id
+CROSS JOIN (SELECT count(*) AS n, avg(r * r) AS s, sum(e1 * e1) AS s1, sum(e2 * e2) AS s2, sum(e3 * e3) AS s3 FROM {dense_many}) AS t GROUP BY z.variant_id""")
 relation("sample_places", "SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS ordinal FROM {samples}")
 relation("scan_vcf_oracle", "SELECT concat('v', c.variant_id) AS variant_id, CAST(p.ordinal AS BIGINT) AS sample_index, c.dosage FROM {calls} c JOIN {sample_places} p ON p.sample_id = c.sample_id")
 relation("scan_bim_oracle", "SELECT concat('chr', chrom) AS chrom, concat('v', variant_id) AS variant_id, pos, CASE variant_id % 3 WHEN 0 THEN 'snv' WHEN 1 THEN 'duplication_short' ELSE 'small_indel' END AS variant_class FROM {variants}")
@@ -161,7 +190,9 @@ def special_sql() -> dict[str, str]:
         "scan_bim": oracle("scan_bim_oracle"),
         "pack_2bit": oracle("pack_2bit_oracle"),
         "run_summary": oracle("run_summary_oracle"),
+        "residualize_many": oracle("residualize_many_oracle"),
+        "marginal_z_many": oracle("marginal_z_many_oracle"),
     }
 
 
-SPECIAL = {f.__name__: f for f in (sv_event_clusters, sv_representatives, scan_vcf, scan_bim, pack_2bit, fit_quantitative, fit_binary, run_summary)}
+SPECIAL = {f.__name__: f for f in (sv_event_clusters, sv_representatives, scan_vcf, scan_bim, pack_2bit, fit_quantitative, fit_binary, run_summary, residualize_many, marginal_z_many)}

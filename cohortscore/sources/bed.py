@@ -1,4 +1,4 @@
-"""Two-bit genotype files: codec, a Python data source with a partition for each range of variants, and packing of calls into rows."""
+"""Two-bit genotype files: codec, a Python data source with a partition for each range of variants, and packing of calls into rows (``dataset.write_trios`` writes them)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: The file's magic bytes, and the dosage of the first allele for the codes 0..3 (-1: missing).
 MAGIC = b"\x6c\x1b\x01"
@@ -103,7 +103,7 @@ def pack_calls(calls: DataFrame, samples: DataFrame) -> DataFrame:
                 out.append(pack(d))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["variant_id", "packed"])
 
-    return placed.mapInArrow(run, "variant_id long, packed binary")
+    return placed.mapInArrow(run, StructType([placed.schema["variant_id"], StructField("packed", BinaryType())]))
 
 
 def unpack_calls(packed: DataFrame, n: int) -> DataFrame:

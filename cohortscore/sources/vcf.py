@@ -11,8 +11,10 @@ def genotype_format(path: str) -> str:
     p = path.lower()
     if p.endswith(".bed"):
         return "plink1"
-    if p.endswith((".vcf", ".vcf.gz", ".vcf.bgz", ".bcf")):
+    if p.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
         return "vcf"
+    if p.endswith(".bcf"):
+        raise ValueError(f"binary call files are not read, convert to .vcf.gz: {path}")
     raise ValueError(f"unknown genotype format: {path}")
 
 
