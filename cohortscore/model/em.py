@@ -44,10 +44,13 @@ def local_step(second: np.ndarray, base2: np.ndarray, delta: np.ndarray, a: np.n
     return lam, (a + b) / (1 + lam)
 
 
-def penalized_logit(rows: DataFrame, zero: np.ndarray, precision: np.ndarray, start: np.ndarray, steps: int = 25, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
-    """Damped Newton; every step is one pass over the samples. Returns the mode, its Hessian and the objective."""
+def penalized_logit(rows: DataFrame, zero: np.ndarray, precision: np.ndarray, start: np.ndarray, steps: int = 25, tol: float = 1e-6, at: tuple | None = None) -> tuple[np.ndarray, np.ndarray, float, tuple]:
+    """Damped Newton; every step is one pass over the samples. Returns the mode, its Hessian, the objective and the moments there.
+
+    ``at``: the moments at ``start``, if they are known already.
+    """
     x = start.copy()
-    h, g, ll, _ = moments(rows, zero, x)
+    h, g, ll, _ = at or moments(rows, zero, x)
     obj = ll - 0.5 * float(precision @ (x * x))
     for _ in range(steps):
         hess = h + np.diag(precision) + 1e-9 * np.eye(len(x))
@@ -61,10 +64,10 @@ def penalized_logit(rows: DataFrame, zero: np.ndarray, precision: np.ndarray, st
                 break
             size /= 2
         done = np.max(np.abs(new - x)) < tol * (1 + np.max(np.abs(x)))
-        x, h, g, obj = new, h2, g2, obj2
+        x, h, g, ll, obj = new, h2, g2, ll2, obj2
         if done:
             break
-    return x, h + np.diag(precision), obj
+    return x, h + np.diag(precision), obj, (h, g, ll, 0)
 
 
 def fit(rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.ndarray, b: np.ndarray, binary: bool = False, iterations: int = 30, tol: float = 1e-4) -> Fit:
@@ -82,13 +85,14 @@ def fit(rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.n
         err = max(float(yy / n - (v[0] / n) ** 2), 1e-12)
     else:
         err = 1.0
-    x = np.zeros(k + p)
+    x, at = np.zeros(k + p), None
     for it in range(iterations):
         tau = np.maximum((g * baseline) ** 2 * lam, 1e-12)
         precision = np.concatenate([np.full(k, 1e-8), 1 / tau])
         before = x
         if binary:
-            x, hess, obj = penalized_logit(rows, zero, precision, x)
+            # Later iterations move the prior little: one Newton step each, from moments that are known.
+            x, hess, obj, at = penalized_logit(rows, zero, precision, x, steps=25 if it < 3 else 1, at=at)
             cov = np.linalg.inv(hess)
         else:
             cov = np.linalg.inv(m / err + np.diag(precision))
