@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark) -> None:
-    """Checkpoints go to the session's folder; only where none is set, to one of our own."""
-    import tempfile
-
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/cohortscore-checkpoints")
+    """Checkpoints go to the session's folder; on a local master without one, to one of our own."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
+        return
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/cohortscore-checkpoints")
 
 
 def min_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
