@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; on a local master where that is unset (tests), one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), "cohortscore-checkpoints")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
