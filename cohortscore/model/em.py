@@ -7,6 +7,7 @@ the data once; a binary fit once for each Newton step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from .blas import one_thread
 from .moments import moments
-from .special import gig_inverse_mean, gig_mean
+from .special import digamma, gig_inverse_mean, gig_mean, log_gamma
 
 
 @dataclass
@@ -27,6 +28,9 @@ class Fit:
     local_scale: np.ndarray
     history: list[float] = field(default_factory=list)
     converged: bool = False
+    losses: list[tuple[int, float]] = field(default_factory=list)
+    scale_theta: np.ndarray | None = None
+    shapes: np.ndarray | None = None
 
 
 def closed_form_scale(second: np.ndarray, baseline: np.ndarray, local: np.ndarray, shape: float = 0.0, rate: float = 0.0, limits: tuple[float, float] = (1e-8, 1e8)) -> float:
@@ -70,24 +74,56 @@ def penalized_logit(rows: DataFrame, zero: np.ndarray, precision: np.ndarray, st
     return x, h + np.diag(precision), obj, (h, g, ll, 0)
 
 
-def fit(rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.ndarray, b: np.ndarray, binary: bool = False, iterations: int = 30, tol: float = 1e-4) -> Fit:
-    """Fit k covariates (intercept first) and p variants; no variants gives the covariates alone."""
+def fit(
+    rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.ndarray, b: np.ndarray, binary: bool = False, iterations: int = 30, tol: float = 1e-4,
+    scale_design: np.ndarray | None = None, membership: np.ndarray | None = None, validation: DataFrame | None = None, holdout_only: bool = False, validate_every: int = 10,
+    state: dict | None = None, keep: Callable[[dict], None] | None = None, keep_every: int = 10,
+) -> Fit:
+    """Fit k covariates (intercept first) and p variants; no variants gives the covariates alone.
+
+    ``scale_design`` (p x q, no intercept: the global scale is one) makes prior scales ``baseline * exp(design @ theta)``
+    with theta learned; ``membership`` (p x classes, rows that sum to 1) makes each class's two shapes learned, from the
+    class's mean of ``a`` and ``b``.  ``validation`` rows are scored every ``validate_every`` iterations and at the end;
+    the iterate of the least loss is returned, but for ``holdout_only``, which scores and never selects.  A binary
+    iterate is scored with its intercept moved to the training cases' share.  ``keep`` is given what the next iteration
+    starts from every ``keep_every`` iterations; as ``state``, it goes on from there.
+    """
     one_thread()
     p = len(zero)
-    lam, delta = np.ones(p), (a + b) / 2.0
+    was = state or {}
+    lam, delta = np.asarray(was.get("lam", np.ones(p)), float), np.asarray(was.get("delta", (a + b) / 2.0), float)
     # A start far below the effects' size would be a fixed point of its own: begin as if variants explained a quarter.
-    g = float(np.sqrt(0.25 / p) / np.sqrt(np.mean(baseline**2))) if p else 0.0
+    g = was.get("g", float(np.sqrt(0.25 / p) / np.sqrt(np.mean(baseline**2))) if p else 0.0)
     alpha, beta, var = np.zeros(k), np.zeros(p), np.full(p, 1e-4)
-    history: list[float] = []
+    history: list[float] = list(was.get("history", []))
+    losses: list[tuple[int, float]] = [(int(i), float(x)) for i, x in was.get("losses", [])]
+    best = was.get("best")
+    theta = np.asarray(was.get("theta", np.zeros(0 if scale_design is None else scale_design.shape[1])), float)
+    shapes0 = None if membership is None else (membership.T @ np.column_stack([a, b])) / np.maximum(membership.sum(0), 1e-12)[:, None]
+    shapes = np.asarray(was["shapes"], float) if was.get("shapes") is not None else shapes0
     converged = False
     if not binary:
         m, v, yy, n = moments(rows, zero)
-        err = max(float(yy / n - (v[0] / n) ** 2), 1e-12)
+        err = was.get("err", max(float(yy / n - (v[0] / n) ** 2), 1e-12))
+        held = moments(validation, zero) if validation is not None else None
     else:
         err = 1.0
-    x, at = np.zeros(k + p), None
-    for it in range(iterations):
-        tau = np.maximum((g * baseline) ** 2 * lam, 1e-12)
+
+    def loss(x: np.ndarray) -> float:
+        if binary:
+            moved = x.copy()
+            moved[0] += intercept_shift(rows, zero, x)
+            *_, ll, count = moments(validation, zero, moved)
+            return -ll / count
+        vm, vv, vyy, count = held
+        return float(vyy - 2 * x @ vv + x @ vm @ x) / count
+
+    x, at = np.asarray(was.get("x", np.zeros(k + p)), float), None
+    for it in range(was.get("iteration", 0), iterations):
+        scales = baseline if scale_design is None else baseline * np.exp(scale_design @ theta)
+        if shapes is not None:
+            a, b = (membership @ shapes).T
+        tau = np.maximum((g * scales) ** 2 * lam, 1e-12)
         precision = np.concatenate([np.full(k, 1e-8), 1 / tau])
         before = x
         if binary:
@@ -102,14 +138,82 @@ def fit(rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.n
             err = max((ssr + float(np.sum(m * cov))) / n, 1e-12)
         alpha, beta, var = x[:k], x[k:], np.maximum(np.diag(cov)[k:], 1e-15)
         history.append(obj)
+        converged = bool(it > 2 and np.max(np.abs(x - before)) < tol * (1 + np.max(np.abs(x))))
+        if validation is not None and (converged or it + 1 == iterations or (it + 1) % validate_every == 0):
+            losses.append((it, loss(x)))
+            if best is None or losses[-1][1] < best["loss"]:
+                best = {"loss": losses[-1][1], "x": x.tolist(), "var": var.tolist(), "err": err, "g": g, "lam": lam.tolist(), "shapes": None if shapes is None else shapes.tolist(), "theta": theta.tolist()}
         if it >= 1 and p:  # hyperparameters move from the second iteration on
             second = beta**2 + var
-            lam, delta = local_step(second, (g * baseline) ** 2, delta, a, b)
-            g = closed_form_scale(second, baseline, lam)
-        converged = bool(it > 2 and np.max(np.abs(x - before)) < tol * (1 + np.max(np.abs(x))))
+            lam, delta = local_step(second, (g * scales) ** 2, delta, a, b)
+            g = closed_form_scale(second, scales, lam)
+            if scale_design is not None:
+                theta = scale_weights(scale_design, second / np.maximum((g * baseline) ** 2 * lam, 1e-300), theta)
+            if membership is not None:
+                shapes = class_shapes(lam, membership, shapes0, shapes)
         if converged:
             break
-    return Fit(alpha, beta, var, err, g, lam, history, converged)
+        if keep and (it + 1) % keep_every == 0:
+            keep({"iteration": it + 1, "x": x.tolist(), "lam": lam.tolist(), "delta": delta.tolist(), "g": g, "err": err, "theta": theta.tolist(),
+                  "shapes": None if shapes is None else shapes.tolist(), "history": history, "losses": losses, "best": best})
+    if best is not None and not holdout_only:
+        x, var, lam, theta = (np.asarray(best[name], float) for name in ("x", "var", "lam", "theta"))
+        alpha, beta, err, g = x[:k], x[k:], best["err"], best["g"]
+        shapes = None if best["shapes"] is None else np.asarray(best["shapes"], float)
+    return Fit(alpha, beta, var, err, g, lam, history, converged, losses, theta, shapes)
+
+
+def scale_weights(design: np.ndarray, ratio: np.ndarray, start: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
+    """theta of log prior scales ``design @ theta``: the mode of sum(-u - ratio exp(-2 u) / 2) - ridge |theta|^2 / 2, which is concave."""
+    theta = start.copy()
+
+    def value(t: np.ndarray) -> float:
+        u = design @ t
+        return float(-(u + 0.5 * ratio * np.exp(np.clip(-2 * u, -700, 700))).sum() - 0.5 * ridge * t @ t)
+
+    now = value(theta)
+    for _ in range(steps):
+        w = ratio * np.exp(np.clip(-2 * (design @ theta), -700, 700))
+        slope = design.T @ (w - 1) - ridge * theta
+        move = np.linalg.solve(2 * (design * w[:, None]).T @ design + ridge * np.eye(len(theta)), slope)
+        size = 1.0
+        while (new := value(theta + size * move)) < now and size > 1e-6:
+            size /= 2
+        if new <= now + 1e-12 * abs(now):
+            break
+        theta, now = theta + size * move, new
+    return theta
+
+
+def class_shapes(local: np.ndarray, membership: np.ndarray, prior: np.ndarray, start: np.ndarray, weight: float = 10.0, limits: tuple[float, float] = (0.05, 20.0), steps: int = 100) -> np.ndarray:
+    """The two shapes of each class (rows a, b) at the mode given local scales, which have density l^(a-1) (1+l)^-(a+b) / B(a, b).
+
+    A variant counts in each class by its membership; log shapes have normal priors around ``prior`` with precision
+    ``weight``, so a class without variants keeps its prior.  Projected gradient steps with halving, within ``limits``.
+    """
+    n, logs, tails = membership.sum(0), membership.T @ np.log(local), membership.T @ np.log1p(local)
+    low, high = np.log(limits)
+    centre = np.clip(np.log(prior), low, high)
+
+    def value(u: np.ndarray) -> np.ndarray:
+        a, b = np.exp(u).T
+        return (a - 1) * logs - (a + b) * tails - n * (log_gamma(a) + log_gamma(b) - log_gamma(a + b)) - 0.5 * weight * ((u - centre) ** 2).sum(1)
+
+    u = np.clip(np.log(start), low, high)
+    now, size = value(u), 1 / (n + weight)
+    for _ in range(steps):
+        a, b = np.exp(u).T
+        both = digamma(a + b)
+        slope = np.column_stack([a * (logs - tails - n * (digamma(a) - both)), b * (-tails - n * (digamma(b) - both))]) - weight * (u - centre)
+        new = np.clip(u + size[:, None] * slope, low, high)
+        got = value(new)
+        better = got >= now
+        moved = np.abs(new - u).max() if better.all() else np.inf
+        u, now = np.where(better[:, None], new, u), np.where(better, got, now)
+        size = np.where(better, 1.5 * size, size / 2)
+        if moved < 1e-8:
+            break
+    return np.exp(u)
 
 
 def intercept_shift(rows: DataFrame, zero: np.ndarray, x: np.ndarray, steps: int = 20, tol: float = 1e-9) -> float:

@@ -18,6 +18,9 @@ from cohortscore.sources.dataset import Dataset
 from .relation import RELATIONS, build
 from .special import CLASS_PRIORS
 
+#: Iterations between two kept states of a fit.
+KEEP_EVERY = 20
+
 
 def split(samples: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Training and test samples, by a hash of the id."""
@@ -26,9 +29,43 @@ def split(samples: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataF
     return samples.where(~test), samples.where(test)
 
 
+def carved(train: DataFrame, share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows to fit and rows to choose an iterate by, from the training samples alone: the test samples choose nothing."""
+    return split(train, share, seed + 1)
+
+
+def scale_design(classes: list[str], lengths: list[float]) -> np.ndarray:
+    """Columns of a variant's class (the most frequent one has none: no intercept) and its standardized log length."""
+    names = sorted(set(classes), key=lambda c: (-classes.count(c), c))[1:]
+    log = np.log(np.maximum(np.array(lengths, float), 1.0))
+    spread = log.std()
+    own = (log - log.mean()) / spread if spread > 0 else np.zeros(len(log))
+    return np.column_stack([np.array([[float(c == n) for n in names] for c in classes]).reshape(len(classes), len(names)), own])
+
+
+def keep_state(spark: SparkSession, path: str, settings: dict, state: dict) -> None:
+    """Write a fit's state to one of two places in turn, so that a whole one is always there."""
+    row = (tables.fingerprint(settings), state["iteration"], json.dumps(state))
+    spark.createDataFrame([row], "fingerprint string, iteration long, state string").coalesce(1).write.mode("overwrite").json(f"{path}/{state['iteration'] // KEEP_EVERY % 2}")
+
+
+def kept_state(spark: SparkSession, path: str, settings: dict) -> dict | None:
+    """The latest whole state of a fit with these settings."""
+    found = []
+    for place in (0, 1):
+        try:
+            found += spark.read.schema("fingerprint string, iteration long, state string").json(f"{path}/{place}").collect()
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    same = [r for r in found if r["fingerprint"] == tables.fingerprint(settings)]
+    return json.loads(max(same, key=lambda r: r["iteration"])["state"]) if same else None
+
+
 def history(spark: SparkSession, fitted: em.Fit) -> DataFrame:
-    """``iteration, objective``: one row an iteration."""
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(fitted.history)], "iteration int, objective double")
+    """``iteration, objective, validation_loss`` (null where none was taken): one row an iteration."""
+    losses = dict(fitted.losses)
+    return spark.createDataFrame([(i, float(x), losses.get(i)) for i, x in enumerate(fitted.history)], "iteration int, objective double, validation_loss double")
 
 
 def score(data: Dataset, standardization: DataFrame, coefficients: DataFrame, alpha: list[float], covariates: list[str], samples: DataFrame, binary: bool) -> DataFrame:
@@ -57,12 +94,24 @@ def evaluate(scored: DataFrame, binary: bool) -> DataFrame:
     return row
 
 
-def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str, trait: str = "auto", minimum_maf: float = 0.01, least_z: float = 0.0, iterations: int = 1000, seed: int = 42) -> dict:
+def evaluate_output(spark: SparkSession, output: str, test_only: bool = True) -> dict:
+    """Measures of a complete run's predictions, of its test samples or of all."""
+    summary = json.loads(spark.read.json(f"{output}/summary").first()["summary"])
+    kept = spark.read.csv(f"{output}/predictions", sep="\t", header=True)
+    numbers = [c for c in kept.columns if c != "sample_id"]
+    scored = kept.select("sample_id", *[F.col(c).cast("double").alias(c) for c in numbers])
+    row = evaluate(split(scored, seed=summary["seed"])[1] if test_only else scored, summary["binary"]).first()
+    return row.asDict() if row else {}
+
+
+def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str, trait: str = "auto", minimum_maf: float = 0.01, least_z: float = 0.0, iterations: int = 1000, seed: int = 42, validation_share: float = 0.0, learn_priors: bool = False) -> dict:
     """Fit on the training samples and write coefficients, scores, history, evaluation and, last, the summary to ``output``.
 
-    A summary with equal settings means that the run is complete: then nothing is done again.
+    A summary with equal settings means that the run is complete: then nothing is done again; a run that was broken
+    off goes on from its last kept state.  ``validation_share`` of the training samples choose the iterate;
+    ``learn_priors`` learns prior scales from class and length, and each class's shapes.
     """
-    settings = {"covariates": covariates, "trait": trait, "minimum_maf": minimum_maf, "least_z": least_z, "iterations": iterations, "seed": seed}
+    settings = {"covariates": covariates, "trait": trait, "minimum_maf": minimum_maf, "least_z": least_z, "iterations": iterations, "seed": seed, "validation_share": validation_share, "learn_priors": learn_priors}
     try:
         kept = spark.read.json(f"{output}/summary").first()
     except Exception as e:
@@ -72,6 +121,7 @@ def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str,
     if kept and kept["fingerprint"] == tables.fingerprint(settings):
         return json.loads(kept["summary"])
     train, test = split(data.samples, seed=seed)
+    train, chosen_by = carved(train, validation_share, seed) if validation_share > 0 else (train, None)
     binary = trait == "binary" or (trait == "auto" and data.samples.where(~F.col("target").isin(0.0, 1.0)).isEmpty())
     made = {"calls": data.calls.join(train.select("sample_id"), "sample_id", "left_semi"), "samples": train}
     standardization = build(spark, "", "standardization", made)
@@ -84,9 +134,22 @@ def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str,
     few = standardization.join(keep, "variant_id", "left_semi")
     rows, ids, zero = design(made["calls"], few, train, covariates, "target", key="string")
     rows = rows.persist()
-    known = {r["variant_id"]: r["variant_class"] for r in data.variants.join(few, "variant_id", "left_semi").select("variant_id", "variant_class").collect()}
-    shapes = np.array([CLASS_PRIORS[known.get(v, "snv")] for v in ids]).reshape(-1, 3)
-    fitted = em.fit(rows, zero, 1 + len(covariates), np.exp(shapes[:, 0]), shapes[:, 1], shapes[:, 2], binary=binary, iterations=iterations)
+    known = {r["variant_id"]: r for r in data.variants.join(few, "variant_id", "left_semi").select("variant_id", "variant_class", F.col("length").cast("double").alias("length")).collect()}
+    classes = [known[v]["variant_class"] or "snv" for v in ids]
+    shapes = np.array([CLASS_PRIORS[c] for c in classes]).reshape(-1, 3)
+    more = {}
+    if learn_priors and ids:
+        names = sorted(set(classes))
+        more = {"scale_design": scale_design(classes, [known[v]["length"] or 1.0 for v in ids]), "membership": np.array([[float(c == n) for n in names] for c in classes])}
+    if chosen_by is not None:
+        seen = data.calls.join(chosen_by.select("sample_id"), "sample_id", "left_semi")
+        more["validation"] = design(seen, few, chosen_by, covariates, "target", key="string")[0].persist()
+    fitted = em.fit(
+        rows, zero, 1 + len(covariates), np.exp(shapes[:, 0]), shapes[:, 1], shapes[:, 2], binary=binary, iterations=iterations, **more,
+        state=kept_state(spark, f"{output}/state", settings), keep=lambda s: keep_state(spark, f"{output}/state", settings, s), keep_every=KEEP_EVERY,
+    )
+    if "validation" in more:
+        more["validation"].unpersist()
     alpha = list(map(float, fitted.alpha))
     if binary:
         alpha[0] += em.intercept_shift(rows, zero, np.concatenate([fitted.alpha, fitted.beta]))
@@ -99,7 +162,7 @@ def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str,
     measures = evaluate(scored.join(test.select("sample_id"), "sample_id", "left_semi"), binary)
     measures.coalesce(1).write.mode("overwrite").json(f"{output}/evaluation")
     found = spark.read.json(f"{output}/evaluation").first()
-    summary = {"binary": binary, "n_train": train.count(), "n_test": test.count(), "n_variants": len(ids), "iterations": len(fitted.history), "converged": fitted.converged, "alpha": alpha, "test": found.asDict() if found else {}}
+    summary = {"binary": binary, "seed": seed, "n_train": train.count(), "n_test": test.count(), "n_variants": len(ids), "iterations": len(fitted.history), "converged": fitted.converged, "alpha": alpha, "test": found.asDict() if found else {}}
     done = spark.createDataFrame([(tables.fingerprint(settings), json.dumps(summary))], "fingerprint string, summary string")
     done.coalesce(1).write.mode("overwrite").json(f"{output}/summary")
     return summary

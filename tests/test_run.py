@@ -7,7 +7,7 @@ import pytest
 
 from cohortscore import cli
 from cohortscore.operators import regression
-from cohortscore.plans import special
+from cohortscore.plans import run, special
 from cohortscore.plans.relation import build
 from cohortscore.sources import dataset, vcf
 
@@ -82,3 +82,33 @@ def test_loading_refuses_what_does_not_fit(spark, tmp_path):
         dataset.described(variants, spark.createDataFrame([("v2", "9")], "variant_id string, length string"))
     with pytest.raises(ValueError, match="comes twice"):
         dataset.described(variants, m.unionByName(m))
+
+
+def test_run_with_validation_and_learned_priors(spark, tmp_path, capsys):
+    d, beta = _files(tmp_path)
+    out = str(tmp_path / "learned")
+    args = ["fit", str(tmp_path / "samples.tsv"), "y", out, str(tmp_path / "a.vcf"), str(tmp_path / "b.vcf"), "--covariates", "cov", "--validation-share", "0.2", "--learn-priors"]
+    assert cli.main(args) == 0
+    summary = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert summary["n_train"] + summary["n_test"] < len(d) and summary["test"]["r2"] > 0.5
+    history = spark.read.csv(f"{out}/history", sep="\t", header=True)
+    assert history.count() == summary["iterations"] and history.where("validation_loss IS NOT NULL").count() > 0
+    assert cli.main(["evaluate", out]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == pytest.approx(summary["test"])
+    assert cli.main(["evaluate", out, "--samples", "all"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["n"] == len(d)
+
+
+def test_kept_states_alternate(spark, tmp_path):
+    where, settings = str(tmp_path / "state"), {"seed": 1}
+    assert run.kept_state(spark, where, settings) is None
+    for i in (1, 2, 3):
+        run.keep_state(spark, where, settings, {"iteration": i * run.KEEP_EVERY, "x": [0.5 * i]})
+    assert run.kept_state(spark, where, settings) == {"iteration": 3 * run.KEEP_EVERY, "x": [1.5]}
+    assert run.kept_state(spark, where, {"seed": 2}) is None
+
+
+def test_scale_design_has_no_intercept():
+    got = run.scale_design(["snv", "snv", "deletion_short"], [1.0, 1.0, 100.0])
+    assert got.shape == (3, 2) and got[:, 0].tolist() == [0, 0, 1] and got[:, 1].mean() == pytest.approx(0)
+    assert run.scale_design(["snv", "snv"], [1.0, 1.0]).tolist() == [[0.0], [0.0]]
