@@ -1,6 +1,7 @@
 """Evaluation of scores: ranks, AUC, losses, precision, tails and groups."""
 
-from cohortscore.plans.relation import ranged, relation
+from cohortscore.operators import linalg  # noqa: F401  the scores that the suite copies
+from cohortscore.plans.relation import RELATIONS, ranged, relation
 
 #: Distinct scores are counted first and ranked by ranges, so no window holds all people or all scores.
 score_counts = relation("score_counts", "SELECT score, sum(target) AS pos, count(*) - sum(target) AS neg FROM {predictions_in} GROUP BY score")
@@ -50,3 +51,27 @@ SELECT count(*) AS n_top, round(avg(target * 1e0) / max(base), 6) AS enrichment,
   SELECT target, y, avg(target * 1e0) OVER () AS base, avg(y) OVER () AS mean_y, stddev_pop(y) OVER () AS std_y, row_number() OVER (ORDER BY score DESC, sample_id) AS rn, count(*) OVER () AS n FROM {predictions_in}) AS q
 WHERE rn <= greatest(1, ceil(n * :share))""", share=0.1)
 dose_response = relation("dose_response", "SELECT dose, count(*) AS n, round(avg(score), 6) AS mean_score FROM {predictions_in} GROUP BY dose")
+
+
+def _with_effects(tag: str, chain: tuple[str, ...]) -> None:
+    """Copies of a chain of relations, each over the copies of those before it, under names that end in ``tag``."""
+    def own(text: str | None) -> str | None:
+        for name in chain:
+            text = text and text.replace(f"{{{name}}}", f"{{{name}_{tag}}}")
+        return text
+
+    for name in chain[1:]:
+        r = RELATIONS[name]
+        relation(f"{name}_{tag}", own(r.text), own(r.check), **r.params)
+
+
+#: AUC and average precision of the whole predictor with all effects, and with those of small variants alone.
+relation("effects_all", "SELECT * FROM {effects}")
+relation("effects_small", "SELECT * FROM {effects} WHERE variant_class IN ('snv', 'small_indel')")
+for _tag in ("all", "small"):
+    _with_effects(_tag, ("effects", "score"))
+    relation(f"predictions_in_{_tag}", f"SELECT sample_id, target, round(genetic_score + covariate_score, 6) AS score FROM {{score_{_tag}}}")
+    _with_effects(_tag, ("predictions_in", "score_counts", "scores_up_neg", "scores_down_pos", "scores_down_neg", "auc_counts", "auc", "average_precision"))
+metrics_suite = relation("metrics_suite", """
+SELECT 'all' AS subset, a.auc, p.average_precision FROM {auc_all} a CROSS JOIN {average_precision_all} p
+UNION ALL SELECT 'small', a.auc, p.average_precision FROM {auc_small} a CROSS JOIN {average_precision_small} p""")

@@ -11,6 +11,7 @@ from cohortscore.functions import parse  # noqa: F401
 from cohortscore.operators import components, intervals, joins, linalg, metrics, report, screen, stats, ties  # noqa: F401
 
 from . import proxies  # noqa: F401
+from .files import FILES, files_sql
 from .relation import build, oracle
 from .special import SPECIAL, special_sql
 
@@ -24,7 +25,7 @@ tie_groups tie_groups_windowed collapse_ties tie_weights expand_coefficients ld_
 sample_filter sample_join sample_duplicates resolve_key align_samples sample_intersection metadata_join metadata_orphans merge_pcs concept_closure cohort_query cohort_features case_control cohort_counts
 one_hot one_hot_drop_majority infer_trait survey_positive survey_split survey_diagnostic eval_pool dedupe_first hash_split
 decode_gt parse_info_map validate_biallelic variant_defaults positional_ids sv_class infer_class_bim norm_chrom parse_bool parse_numeric parse_weighted parse_nested parse_pca annotation_kinds extract_chrom resolve_alias
-unpack_2bit sigmoid jj_lambda run_metadata_match run_status avg_rank auc auc_two_group auc_by_group auc_components binary_metrics regression_metrics average_precision top_tail dose_response
+unpack_2bit sigmoid jj_lambda run_metadata_match run_status avg_rank auc auc_two_group auc_by_group auc_components binary_metrics regression_metrics average_precision metrics_suite top_tail dose_response
 effects_by_class effects_by_chrom class_by_chrom effect_percentiles effect_quartiles length_by_class af_spectrum length_vs_effect af_vs_effect effect_histogram rank_curve cumulative_variance variance_milestones effect_cdf manhattan_offsets top_variants
 """.split()
 
@@ -34,8 +35,8 @@ def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: partial(_run, _ALIASES.get(k, k)) for k in KEYS} | SPECIAL
+    return {k: partial(_run, _ALIASES.get(k, k)) for k in KEYS} | SPECIAL | FILES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: oracle(_ALIASES.get(k, k)) for k in KEYS} | special_sql()
+    return {k: oracle(_ALIASES.get(k, k)) for k in KEYS} | special_sql() | files_sql()
