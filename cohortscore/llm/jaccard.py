@@ -627,7 +627,8 @@ def join(docs: DataFrame) -> DataFrame:
     Null text and texts without words have no shingles and link with nothing; their component is
     their own doc_id.  Texts of one to four words are one shingle, the whole sequence.  Rows with a
     null doc_id take part; a component's id is its smallest doc_id (null if it has none).  Repeated
-    rows are equal sets.  Other columns are not read; an empty table gives no rows.
+    rows are equal sets.  Very long texts are hashed in segments, so a task holds one text and its word
+    hashes; their sets are whole.  Other columns are not read; an empty table gives no rows.
     """
     labelled = stored(_labelled(docs), "labelled")
     ids = labelled.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))

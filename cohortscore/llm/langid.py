@@ -166,7 +166,9 @@ def fit(docs: DataFrame, sample_rows: int = 1024) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, family_pred`` of every whole text.
 
-    ``und`` with score 0 if the text is null or holds no letter, or if there is no model.  With
+    ``und`` with score 0 if the text is null or holds no letter, or if there is no model.  Equal scores go to
+    the first language in order.  Very long texts are counted whole, one at a time, into a vector of fixed
+    size; repeated rows stay repeated; an empty table gives no rows.  With
     ``keep``, ``row`` is a struct of all columns of ``docs``, so that their names clash with none here,
     and ``has_letter`` says whether the text is not null and holds a letter, with or without a model.
     """

@@ -273,10 +273,12 @@ def thumbnail(image: dict, coefficients: np.ndarray) -> np.ndarray:
     h, v = image["parts"][0][1] >> 4, image["parts"][0][1] & 15
     q = image["quant"][image["parts"][0][2]][0]
     level = np.clip(np.rint(coefficients[:, 0] * q / 8 + 128), 0, 255).astype(np.uint8)
-    if len(image["scan_parts"]) == 1 or (h, v) == (1, 1):
+    if len(image["scan_parts"]) == 1:
         return level.reshape(-1, across)
-    mcu = -(-image["width"] // (8 * h))
-    return level.reshape(-1, mcu, v, h).transpose(0, 2, 1, 3).reshape(-1, mcu * h)
+    widest, tallest = (max(f) for f in zip(*((p[1] >> 4, p[1] & 15) for p in image["parts"]), strict=True))
+    units = -(-image["width"] // (8 * widest))
+    whole = level.reshape(-1, units, v, h).transpose(0, 2, 1, 3).reshape(-1, units * h)
+    return whole[: -(-image["height"] * v // (8 * tallest)), : -(-image["width"] * h // (8 * widest))]
 
 
 def average_hash(pixels: np.ndarray, side: int = 8) -> str:
@@ -318,8 +320,9 @@ def describe(text: str | None) -> tuple:
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of media features for each document; map-only, one text in memory at a time.
 
-    Null or empty text: 64 zero bytes.  Repeated rows stay repeated; an empty table gives no rows;
-    other columns of the input are not read.
+    Null or empty text: 64 zero bytes.  Very long texts make one tall image each, up to the size limit in
+    the module's docstring.  Repeated rows stay repeated; an empty table gives no rows; other columns of
+    the input are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

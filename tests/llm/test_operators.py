@@ -34,6 +34,7 @@ def test_media_round_trip(spark, odd, empty):
         r = next(x for x in got[doc] if x["n_bytes"] == len(raw))
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert r["media_sha256"] == hashlib.sha256(media.encode_jpeg(p)).hexdigest()
+        assert r["feature"] == brute.media_feature(p, r["width"], r["height"]) and r["width"] * r["height"] >= len(p)
     assert got[1][0]["feature"] == got[2][0]["feature"] != got[7][0]["feature"]
 
 
@@ -52,6 +53,20 @@ def test_jpeg_decoder_general_path():
         media.decode_jpeg(b"no image")
 
 
+@pytest.mark.parametrize(("width", "height", "restart"), [(40, 24, 2), (16, 8, 0), (33, 9, 1), (200, 64, 3)])
+def test_jpeg_of_another_coder(width, height, restart):
+    data, first, step = brute.colour_jpeg(width, height, 5, restart)
+    image, c = media.decode_jpeg(data)
+    assert (c == np.array(first)).all() and (image["width"], image["height"]) == (width, height)
+    got = media.thumbnail(image, c)
+    across, down = -(-width // 8), -(-height // 8)
+    assert got.shape == (down, across)  # no blocks that only fill the last units
+    for y in range(down):
+        for x in range(across):
+            dc = first[2 * (y * -(-width // 16) + x // 2) + x % 2][0]
+            assert got[y, x] == min(max(round(float(dc) * step / 8 + 128), 0), 255)
+
+
 def test_media_query(spark):
     assert queries.op1_media_columns(spark, SF).count() == len(documents())
 
