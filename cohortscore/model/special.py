@@ -6,17 +6,22 @@ import math
 
 import numpy as np
 
+STEPS = 240
+
 
 def log_bessel_k(order: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """log K_order(z), from the trapezoid rule on exp(-z cosh t) cosh(order t), all in logarithms."""
+    """log K_order(z), from the trapezoid rule on exp(-z cosh t) cosh(order t), all in logarithms.
+
+    The rule converges geometrically for such an integrand: with 240 steps it differs from 1200 by rounding only.
+    """
     order, z = np.broadcast_arrays(np.abs(np.asarray(order, float)), np.asarray(z, float))
     reach = np.arccosh(1 + (800 + 60 * order) / z)
-    t = np.linspace(0, 1, 1201) * reach[..., None]
+    t = np.linspace(0, 1, STEPS + 1) * reach[..., None]
     o = order[..., None]
     log = -z[..., None] * np.cosh(t) + o * t + np.log1p(np.exp(-2 * o * t)) - np.log(2)
     log[..., 0] -= np.log(2)
     top = log.max(-1, keepdims=True)
-    return top[..., 0] + np.log(np.exp(log - top).sum(-1)) + np.log(reach / 1200)
+    return top[..., 0] + np.log(np.exp(log - top).sum(-1)) + np.log(reach / STEPS)
 
 
 def gig_mean(p: np.ndarray, chi: np.ndarray, psi: np.ndarray) -> np.ndarray:
