@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, licenses, linededup, media, mixing, packing, suffixdedup, tokens
+from . import ann, divergence, fim, jaccard, langid, licenses, linededup, media, mixing, packing, suffixdedup, tokens, warc
 from .common import table
 
 
@@ -61,10 +61,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_media_columns, op2_token_counts, op3_language_id, op4_line_dedup, op5_license_scan,
         op6_nearest_neighbours, op7_best_fit_packing, op8_suffix_array_dedup, op9_source_mixing, op10_jaccard_join,
+        op11_warc, op12_source_divergence, op13_fill_in_middle,
     )
     return {f.__name__: f for f in found}
 
@@ -76,4 +89,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_suffix_array_dedup": suffixdedup.oracle_sql(),
         "op9_source_mixing": mixing.oracle_sql(),
         "op10_jaccard_join": jaccard.oracle_sql(),
+        "op11_warc": warc.oracle_sql(),
+        "op12_source_divergence": divergence.oracle_sql(),
+        "op13_fill_in_middle": fim.oracle_sql(),
     }
