@@ -1,9 +1,9 @@
 """Source divergence audit: how the sources of a language differ in the words that the language keeps.
 
 Two passes.  The first counts document frequencies exactly, and leaves the texts behind in chunks of
-bounded size, words lower-cased and set apart by single spaces.  The second counts occurrences: a chunk
-meets those of its words that its language keeps, an Aho-Corasick automaton over them, each padded by
-the space on either side, runs over the chunk's texts.  An automaton thus holds a chunk's words at most,
+bounded size, words lower-cased and set apart by single spaces.  The second counts occurrences: a few chunks
+meet those of their words that the language keeps, an Aho-Corasick automaton over them, each padded by
+the space on either side, runs over the chunks' texts.  An automaton thus holds some chunks' words at most,
 however large the vocabulary is.
 
 Groups (lang, source) then are sparse postings of shares.  A pair's distance over all kept words is what
@@ -29,8 +29,8 @@ from .common import stored
 LEAST_DOCS, TOP, SMOOTH, UNIT = 30, 50, 5, 1_000_000_000
 #: Bytes of text in a chunk, and in one row of its texts (or one document).
 CHUNK, ROW = 16 << 20, 1 << 20
-#: Counts that a task holds before it passes them on; sources in a tile; postings in a block of words.
-HELD, TILE, BLOCK = 500_000, 128, 1 << 19
+#: Chunks that share an automaton; counts that a task holds before it passes them on; sources in a tile; postings in a block of words.
+SHARED, HELD, TILE, BLOCK = 4, 1_000_000, 128, 1 << 16
 
 #: Bytes of UTF-8 text: A-Z become a-z, all ASCII but letters becomes a space.
 _WORDS = bytes((b | 0x20 if chr(b).isalpha() else 0x20) if b < 0x80 else b for b in range(256))
@@ -89,15 +89,18 @@ def kept_terms(prepared: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     return stored(found.select("lang", "term"), "kept-terms")
 
 
-def occurrences(prepared: DataFrame, kept: DataFrame, held: int = HELD) -> DataFrame:
+def occurrences(prepared: DataFrame, kept: DataFrame, held: int = HELD, shared: int = SHARED) -> DataFrame:
     """The second pass, as a table: ``lang, source, term, n``, how often each kept term occurs in a group.
 
-    A chunk's kept terms come before its texts in the order of one sorted exchange.
+    About ``shared`` chunks of a language go together: their kept terms, each once, come before their texts in the
+    order of one sorted exchange, and what they count is added up before it is exchanged.
     """
-    terms = prepared.where(F.col("term").isNotNull()).select("chunk", "lang", "term").join(kept, ["lang", "term"], "left_semi")
-    terms = terms.select("chunk", "lang", F.lit(None).cast("string").alias("source"), F.lit(None).cast("binary").alias("body"), "term")
-    bodies = prepared.where(F.col("body").isNotNull()).select("chunk", "lang", "source", "body", F.lit(None).cast("string").alias("term"))
-    dealt = terms.unionByName(bodies).repartition("chunk", "lang").sortWithinPartitions("chunk", "lang", F.col("body").isNotNull())
+    units = max(1, -(-prepared.select(F.count_distinct("chunk")).first()[0] // shared))
+    unit = F.pmod(F.xxhash64("chunk"), F.lit(units)).cast("int").alias("unit")
+    terms = prepared.where(F.col("term").isNotNull()).select(unit, "lang", "term").join(kept, ["lang", "term"], "left_semi").distinct()
+    terms = terms.select("unit", "lang", F.lit(None).cast("string").alias("source"), F.lit(None).cast("binary").alias("body"), "term")
+    bodies = prepared.where(F.col("body").isNotNull()).select(unit, "lang", "source", "body", F.lit(None).cast("string").alias("term"))
+    dealt = terms.unionByName(bodies).repartition("unit", "lang").sortWithinPartitions("unit", "lang", F.col("body").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -109,12 +112,12 @@ def occurrences(prepared: DataFrame, kept: DataFrame, held: int = HELD) -> DataF
         def told() -> Iterator[pa.RecordBatch]:
             for (lang, source), found in counts.items():
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([source] * n), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["lang", "source", "term", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "source", "term", "n"])
 
         for b in batches:
-            for chunk, lang, source, body, term in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True):
-                if (chunk, lang) != at:
-                    at, own, automaton = (chunk, lang), [], None
+            for unit, lang, source, body, term in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True):
+                if (unit, lang) != at:
+                    at, own, automaton = (unit, lang), [], None
                 if term is not None:
                     own.append(term)
                     continue
