@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, shared_dir, stored
+from .common import shared_dir, stored
 
 #: Payloads of this many bytes or more are looked up among equal ones.
 LEAST = 1000
 #: Bytes of records after which a task begins another package, and that one range of records holds (or one record).
 PACKAGE, RANGE = 256 << 20, 4 << 20
+#: Tasks that packages or ranges are dealt out to at most; more of them go to each task then.
+MOST_TASKS = 100_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 #: Signatures of ZIP records, and the profile of a record that repeats another's payload.
@@ -141,24 +143,24 @@ def _wide(extra: bytes, fields: list[int]) -> list[int]:
 def members(f: Ranges, block: int = 1 << 20) -> Iterator[Member]:
     """All members, by the central directory, which is fetched in blocks."""
     start, size, n = _directory(f)
-    held, at, stop = b"", start, start + size
+    held, here, at, stop = b"", 0, start, start + size
     for _ in range(n):
         while True:
-            if len(held) >= 46:
-                if held[:4] != CENTRAL:
+            if len(held) - here >= 46:
+                if held[here : here + 4] != CENTRAL:
                     raise ValueError("the central directory is broken")
-                names, extras, comments = struct.unpack_from("<HHH", held, 28)
-                if len(held) >= (whole := 46 + names + extras + comments):
+                names, extras, comments = struct.unpack_from("<HHH", held, here + 28)
+                if len(held) - here >= (whole := 46 + names + extras + comments):
                     break
             if at >= stop:
                 raise ValueError("the central directory ends early")
             more = f.read(at, min(block, stop - at))
-            held, at = held + more, at + len(more)
-        method = struct.unpack_from("<H", held, 10)[0]
-        packed, plain, local = struct.unpack_from("<II", held, 20) + struct.unpack_from("<I", held, 42)
-        plain, packed, local = _wide(held[46 + names : 46 + names + extras], [plain, packed, local])
-        name = held[46 : 46 + names].decode("utf-8", "replace")
-        held = held[whole:]
+            held, here, at = held[here:] + more, 0, at + len(more)
+        entry, here = held[here : here + whole], here + whole
+        method = struct.unpack_from("<H", entry, 10)[0]
+        packed, plain, local = struct.unpack_from("<II", entry, 20) + struct.unpack_from("<I", entry, 42)
+        plain, packed, local = _wide(entry[46 + names : 46 + names + extras], [plain, packed, local])
+        name = entry[46 : 46 + names].decode("utf-8", "replace")
         head = f.read(local, 30)
         if head[:4] != LOCAL:
             raise ValueError(f"{name}: no local header where the directory says")
@@ -234,7 +236,7 @@ def with_references(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def write_packages(pages: DataFrame, path: str, least: int = LEAST, package: int = PACKAGE) -> DataFrame:
-    """Write every page as a record to packages below ``path``; ``path, n_records`` of each package, as a table.
+    """Write every page as a record to packages below ``path``; ``path, n_records, n_bytes`` of each package, as a table.
 
     A task writes packages of its own, under names of their own; only those that a task that succeeded has
     told of are in the table, so a lost executor leaves files that nobody reads, and no record twice.
@@ -253,7 +255,7 @@ def write_packages(pages: DataFrame, path: str, least: int = LEAST, package: int
             w.end()
             w.close()
             out.close()
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["path", "n_records"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64()), pa.array([w.at], pa.int64())], names=["path", "n_records", "n_bytes"])
 
         for b in batches:
             for page, url, n, sha1, refers, payload in zip(*b.columns, strict=True):
@@ -276,7 +278,7 @@ def write_packages(pages: DataFrame, path: str, least: int = LEAST, package: int
         if out is not None:
             yield finish()
 
-    return stored(pages.mapInArrow(run, "path string, n_records long"), "packages")
+    return stored(pages.mapInArrow(run, "path string, n_records long, n_bytes long"), "packages")
 
 
 def locate(packages: DataFrame, most: int = RANGE) -> DataFrame:
@@ -329,12 +331,14 @@ def _runs(path: str, m: Member, spans: list[tuple[int, int]], most: int) -> Iter
         lengths[-1].append(n)
         end, size = at + n, size + n
     if starts:
-        yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts)), pa.array(starts, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], names=["path", "offset", "lengths"])
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], names=["path", "offset", "lengths"])
 
 
-def read_records(ranges: DataFrame) -> DataFrame:
+def read_records(ranges: DataFrame, tasks: int | None = None) -> DataFrame:
     """``record_id, url, record_type, refers_to, payload_bytes, payload_digest, payload``: every record of the ranges, each fetched in one read.
 
+    Ranges are small rows that stand for many bytes, so they are dealt out to a number of tasks that is given: by default, one for each core.
+
     A response's length and digest are those of the payload that was read; a revisit has no payload here, and tells both.
     """
     kinds = [("record_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
@@ -352,7 +356,7 @@ def read_records(ranges: DataFrame) -> DataFrame:
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in zip(keys, kinds, strict=True)], names=[n for n, _ in kinds])
 
-    spread = ranges.repartition(F.xxhash64("path", "offset"))
+    spread = ranges.repartition(tasks or ranges.sparkSession.sparkContext.defaultParallelism, F.xxhash64("path", "offset"))
     return spread.mapInArrow(run, "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
 
 
@@ -370,7 +374,10 @@ def roundtrip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     too, are all responses, as are those of which every id is null.  Very long payloads are records like others, a
     range of their own.  Other columns are not read, whatever their names; an empty table gives no rows.
     """
-    got = read_records(locate(archive(pages, least=least)))
+    packages = archive(pages, least=least)
+    n, size = packages.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    got = read_records(locate(packages.repartition(max(1, min(n, MOST_TASKS)), "path")), max(cores, min(-(-size // (16 * RANGE)), MOST_TASKS)))
     number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
     return got.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
 
