@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("--least-z", type=float, default=0.0)
     fit.add_argument("--seed", type=int, default=42)
     fit.add_argument("--validation-share", type=float, default=0.0, help="of the training samples, to choose the iterate by")
+    fit.add_argument("--solver", default="auto", choices=["auto", "dense", "products"])
     fit.add_argument("--learn-priors", action="store_true", help="learn prior scales and class shapes")
     evaluate = sub.add_parser("evaluate", help="measures of the predictions of a complete run")
     evaluate.add_argument("output")
@@ -69,8 +70,9 @@ def main(argv: list[str] | None = None) -> int:
 
         names = [c for c in args.covariates.split(",") if c]
         data = load_dataset(spark, args.genotypes, args.sample_table, args.target, names, metadata=args.metadata)
-        print(json.dumps(run.run(spark, data, names, args.output, args.trait, args.minimum_maf, args.least_z, seed=args.seed, validation_share=args.validation_share, learn_priors=args.learn_priors)))
-        return 0
+        summary = run.run(spark, data, names, args.output, args.trait, args.minimum_maf, args.least_z, seed=args.seed, validation_share=args.validation_share, learn_priors=args.learn_priors, solver=args.solver)
+        print(json.dumps(summary))
+        return 0 if summary["converged"] else 3
     if args.command == "evaluate":
         from cohortscore.plans import run
 

@@ -1,8 +1,8 @@
 """Empirical-Bayes regression fitted from sufficient statistics.
 
 y = C a + Z b + e with b_j ~ N(0, (g s_j)^2 l_j).  Local scales l have generalized inverse-Gaussian
-posteriors given their auxiliary rates, the global scale g a closed form.  A quantitative fit touches
-the data once; a binary fit once for each Newton step.
+posteriors given their auxiliary rates, the global scale g a closed form.  A dense quantitative fit touches the
+data once, a dense binary one once for each Newton step; a fit by products once for each of these.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .blas import one_thread
+from .krylov import Mixing
 from .moments import moments
-from .special import digamma, gig_inverse_mean, gig_mean, log_gamma
+from .posterior import Dense, Sparse, gaussian
+from .products import Design
+from .special import digamma, gig_mean, log_gamma
 
 
 @dataclass
@@ -48,36 +51,11 @@ def local_step(second: np.ndarray, base2: np.ndarray, delta: np.ndarray, a: np.n
     return lam, (a + b) / (1 + lam)
 
 
-def penalized_logit(rows: DataFrame, zero: np.ndarray, precision: np.ndarray, start: np.ndarray, steps: int = 25, tol: float = 1e-6, at: tuple | None = None) -> tuple[np.ndarray, np.ndarray, float, tuple]:
-    """Damped Newton; every step is one pass over the samples. Returns the mode, its Hessian, the objective and the moments there.
-
-    ``at``: the moments at ``start``, if they are known already.
-    """
-    x = start.copy()
-    h, g, ll, _ = at or moments(rows, zero, x)
-    obj = ll - 0.5 * float(precision @ (x * x))
-    for _ in range(steps):
-        hess = h + np.diag(precision) + 1e-9 * np.eye(len(x))
-        move = np.linalg.solve(hess, g - precision * x)
-        size = 1.0
-        while True:
-            new = x + size * move
-            h2, g2, ll2, _ = moments(rows, zero, new)
-            obj2 = ll2 - 0.5 * float(precision @ (new * new))
-            if obj2 >= obj - 1e-9 or size < 1e-4:
-                break
-            size /= 2
-        done = np.max(np.abs(new - x)) < tol * (1 + np.max(np.abs(x)))
-        x, h, g, ll, obj = new, h2, g2, ll2, obj2
-        if done:
-            break
-    return x, h + np.diag(precision), obj, (h, g, ll, 0)
-
-
 def fit(
     rows: DataFrame, zero: np.ndarray, k: int, baseline: np.ndarray, a: np.ndarray, b: np.ndarray, binary: bool = False, iterations: int = 30, tol: float = 1e-4,
     scale_design: np.ndarray | None = None, membership: np.ndarray | None = None, validation: DataFrame | None = None, holdout_only: bool = False, validate_every: int = 10,
     state: dict | None = None, keep: Callable[[dict], None] | None = None, keep_every: int = 10,
+    products: bool = False, blocks: list[tuple[np.ndarray, np.ndarray]] = (), mixing: int = 0,
 ) -> Fit:
     """Fit k covariates (intercept first) and p variants; no variants gives the covariates alone.
 
@@ -87,6 +65,11 @@ def fit(
     the iterate of the least loss is returned, but for ``holdout_only``, which scores and never selects.  A binary
     iterate is scored with its intercept moved to the training cases' share.  ``keep`` is given what the next iteration
     starts from every ``keep_every`` iterations; as ``state``, it goes on from there.
+
+    ``products`` fits by products of the design alone, without a p x p matrix, preconditioned by ``blocks`` (places of
+    variants, their Gram matrix).  ``mixing`` so many past iterations accelerate the outer loop (Anderson); a jump after
+    which an iteration moves the scales twice as far as the one before is taken back.  (The local scales' steps climb
+    no objective that could be watched instead.)
     """
     one_thread()
     p = len(zero)
@@ -102,23 +85,22 @@ def fit(
     shapes0 = None if membership is None else (membership.T @ np.column_stack([a, b])) / np.maximum(membership.sum(0), 1e-12)[:, None]
     shapes = np.asarray(was["shapes"], float) if was.get("shapes") is not None else shapes0
     converged = False
-    if not binary:
-        m, v, yy, n = moments(rows, zero)
-        err = was.get("err", max(float(yy / n - (v[0] / n) ** 2), 1e-12))
-        held = moments(validation, zero) if validation is not None else None
-    else:
-        err = 1.0
+    posterior = Sparse(rows, zero, k, binary, list(blocks)) if products else Dense(rows, zero, k, binary)
+    err = was.get("err", posterior.first_error())
+    mix, plain, level = Mixing(mixing, was.get("mixing")), was.get("plain"), was.get("level") or np.inf
+    held = moments(validation, zero) if validation is not None and not binary and not products else None
 
     def loss(x: np.ndarray) -> float:
+        if held is not None:
+            vm, vv, vyy, count = held
+            return float(vyy - 2 * x @ vv + x @ vm @ x) / count
+        moved = x.copy()
         if binary:
-            moved = x.copy()
             moved[0] += intercept_shift(rows, zero, x)
-            *_, ll, count = moments(validation, zero, moved)
-            return -ll / count
-        vm, vv, vyy, count = held
-        return float(vyy - 2 * x @ vv + x @ vm @ x) / count
+        total, count = Design(validation, zero, k).loss(moved, binary)
+        return total / count
 
-    x, at = np.asarray(was.get("x", np.zeros(k + p)), float), None
+    x = np.asarray(was.get("x", np.zeros(k + p)), float)
     for it in range(was.get("iteration", 0), iterations):
         scales = baseline if scale_design is None else baseline * np.exp(scale_design @ theta)
         if shapes is not None:
@@ -126,17 +108,11 @@ def fit(
         tau = np.maximum((g * scales) ** 2 * lam, 1e-12)
         precision = np.concatenate([np.full(k, 1e-8), 1 / tau])
         before = x
-        if binary:
-            # Later iterations move the prior little: one Newton step each, from moments that are known.
-            x, hess, obj, at = penalized_logit(rows, zero, precision, x, steps=25 if it < 3 else 1, at=at)
-            cov = np.linalg.inv(hess)
-        else:
-            cov = np.linalg.inv(m / err + np.diag(precision))
-            x = cov @ (v / err)
-            ssr = float(yy - 2 * x @ v + x @ m @ x)
-            obj = -0.5 * (n * np.log(2 * np.pi * err) + ssr / err) - 0.5 * float(precision @ (x * x))
-            err = max((ssr + float(np.sum(m * cov))) / n, 1e-12)
-        alpha, beta, var = x[:k], x[k:], np.maximum(np.diag(cov)[k:], 1e-15)
+        # Later iterations move the prior little: one Newton step each, from what is known of the last point.
+        started = err
+        got = posterior.solve(precision, x, err, whole=it < 3)
+        x, obj, err = got.x, got.objective, got.error
+        alpha, beta, var = x[:k], x[k:], np.maximum(got.variance[k:], 1e-15)
         history.append(obj)
         converged = bool(it > 2 and np.max(np.abs(x - before)) < tol * (1 + np.max(np.abs(x))))
         if validation is not None and (converged or it + 1 == iterations or (it + 1) % validate_every == 0):
@@ -144,6 +120,7 @@ def fit(
             if best is None or losses[-1][1] < best["loss"]:
                 best = {"loss": losses[-1][1], "x": x.tolist(), "var": var.tolist(), "err": err, "g": g, "lam": lam.tolist(), "shapes": None if shapes is None else shapes.tolist(), "theta": theta.tolist()}
         if it >= 1 and p:  # hyperparameters move from the second iteration on
+            here = np.log(np.concatenate([lam, delta, [g], [started]]))
             second = beta**2 + var
             lam, delta = local_step(second, (g * scales) ** 2, delta, a, b)
             g = closed_form_scale(second, scales, lam)
@@ -151,11 +128,26 @@ def fit(
                 theta = scale_weights(scale_design, second / np.maximum((g * baseline) ** 2 * lam, 1e-300), theta)
             if membership is not None:
                 shapes = class_shapes(lam, membership, shapes0, shapes)
+            if mixing and it >= 2 and not converged:
+                image = np.log(np.concatenate([lam, delta, [g], [err]]))
+                off = float(np.linalg.norm(image - here))
+                if off > 2 * level and plain is not None:
+                    # The jump led away from the fixed point: on from the image before it, and the past is forgotten.
+                    image = np.asarray(plain)
+                    mix.forget()
+                    plain, level = None, np.inf
+                    jump = image
+                else:
+                    level, plain = off, image.tolist()
+                    jump = np.clip(mix.propose(here, image), image - 0.5, image + 0.5)
+                lam, delta, g = np.exp(jump[:p]), np.exp(jump[p : 2 * p]), float(np.exp(jump[-2]))
+                err = err if binary else float(np.exp(jump[-1]))
         if converged:
             break
         if keep and (it + 1) % keep_every == 0:
             keep({"iteration": it + 1, "x": x.tolist(), "lam": lam.tolist(), "delta": delta.tolist(), "g": g, "err": err, "theta": theta.tolist(),
-                  "shapes": None if shapes is None else shapes.tolist(), "history": history, "losses": losses, "best": best})
+                  "shapes": None if shapes is None else shapes.tolist(), "history": history, "losses": losses, "best": best,
+                  **({"mixing": mix.state(), "plain": plain, "level": level if np.isfinite(level) else None} if mixing else {})})
     if best is not None and not holdout_only:
         x, var, lam, theta = (np.asarray(best[name], float) for name in ("x", "var", "lam", "theta"))
         alpha, beta, err, g = x[:k], x[k:], best["err"], best["g"]
@@ -163,6 +155,26 @@ def fit(
     return Fit(alpha, beta, var, err, g, lam, history, converged, losses, theta, shapes)
 
 
+def bound(rows: DataFrame, zero: np.ndarray, x: np.ndarray, variance: np.ndarray, tau: np.ndarray, k: int, error: float | None = None) -> dict[str, float]:
+    """The variational bound of a fit: its data term, the effects' prior term, their entropy, and the sum.
+
+    With ``error`` the likelihood is Gaussian, without it logistic, at each sample's best local parameter; the
+    samples' predictors and their variances are computed where the rows lie.  ``variance`` and ``tau`` are of the p
+    variants; covariates count as known.
+    """
+    design = Design(rows, zero, k)
+    logistic, spread = design.bound(x, variance)
+    if error is None:
+        data = logistic
+    else:
+        squares, n = design.loss(x, binary=False)
+        data = gaussian(n, error, squares + spread)
+    used = variance > 0
+    prior = float(-0.5 * np.sum(np.log(2 * np.pi * tau) + (x[k:] ** 2 + variance) / tau))
+    entropy = float(0.5 * np.sum(np.log(2 * np.pi * np.e * variance[used])))
+    return {"data": data, "prior": prior, "entropy": entropy, "bound": data + prior + entropy}
+
+
 def scale_weights(design: np.ndarray, ratio: np.ndarray, start: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
     """theta of log prior scales ``design @ theta``: the mode of sum(-u - ratio exp(-2 u) / 2) - ridge |theta|^2 / 2, which is concave."""
     theta = start.copy()
@@ -219,92 +231,10 @@ def class_shapes(local: np.ndarray, membership: np.ndarray, prior: np.ndarray, s
 def intercept_shift(rows: DataFrame, zero: np.ndarray, x: np.ndarray, steps: int = 20, tol: float = 1e-9) -> float:
     """What to add to the intercept so that the mean probability equals the cases' share; a pass a step."""
     x, start = x.copy(), x[0]
+    design = Design(rows, zero, len(x) - len(zero))
     for _ in range(steps):
-        h, g, _, n = moments(rows, zero, x)
-        x[0] += np.clip(g[0] / max(h[0, 0], 1e-12), -5, 5)
+        g, _, w, n = design.slope(x)
+        x[0] += np.clip(g[0] / max(w * n, 1e-12), -5, 5)
         if abs(g[0]) <= tol * n:
             break
     return float(x[0] - start)
-
-
-def expected_precision(second: np.ndarray, base2: np.ndarray, delta: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """E[1 / local scale], for the effect precision when local scales are integrated out."""
-    return gig_inverse_mean(a - 0.5, np.maximum(second / base2, 1e-12), 2 * np.maximum(delta, 1e-12))
-
-
-def conjugate_gradient(apply, rhs: np.ndarray, tol: float = 1e-8, steps: int = 1000, preconditioner: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
-    """Solve an SPD system given by ``apply``; returns the solution and whether it converged."""
-    d = np.ones_like(rhs) if preconditioner is None else preconditioner
-    x, r = np.zeros_like(rhs), rhs.copy()
-    z = r / d
-    p, rz = z.copy(), float(r @ z)
-    for _ in range(steps):
-        if np.linalg.norm(r) <= tol * max(np.linalg.norm(rhs), 1e-300):
-            return x, True
-        q = apply(p)
-        step = rz / float(p @ q)
-        x, r = x + step * p, r - step * q
-        z = r / d
-        rz, old = float(r @ z), rz
-        p = z + rz / old * p
-    return x, False
-
-
-def anderson(step, x: np.ndarray, memory: int = 5, iterations: int = 100, tol: float = 1e-10) -> tuple[np.ndarray, int]:
-    """Fixed point of ``step`` with Anderson mixing; falls back to the plain step when the residual grows."""
-    xs: list[np.ndarray] = []
-    fs: list[np.ndarray] = []
-    for it in range(iterations):
-        f = step(x)
-        r = f - x
-        if np.linalg.norm(r) <= tol * (1 + np.linalg.norm(x)):
-            return f, it + 1
-        xs.append(x)
-        fs.append(f)
-        xs, fs = xs[-memory:], fs[-memory:]
-        if len(xs) > 1:
-            rs = np.array([b - a for a, b in zip(xs, fs, strict=True)])
-            dr, df = np.diff(rs, axis=0), np.diff(np.array(fs), axis=0)
-            gamma, *_ = np.linalg.lstsq(dr.T, rs[-1], rcond=1e-12)
-            x = f - df.T @ gamma
-            if not np.isfinite(x).all() or np.linalg.norm(x - f) > 1e3 * (1 + np.linalg.norm(r)):
-                x, xs, fs = f, [], []
-        else:
-            x = f
-    return x, iterations
-
-
-def log_determinant(apply, n: int, probes: int = 32, steps: int = 40, seed: int = 0) -> float:
-    """log det of an SPD operator by stochastic Lanczos quadrature; exact (a dense factor) up to 256 rows."""
-    if n <= 256:
-        return float(np.linalg.slogdet(np.column_stack([apply(e) for e in np.eye(n)]))[1])
-    rng, total = np.random.default_rng(seed), 0.0
-    for _ in range(probes):
-        q = rng.choice([-1.0, 1.0], n) / np.sqrt(n)
-        basis, a, b = [q], [], []
-        for k in range(min(steps, n)):
-            w = apply(basis[-1])
-            a.append(float(w @ basis[-1]))
-            for v in basis:  # full reorthogonalization
-                w = w - (w @ v) * v
-            norm = float(np.linalg.norm(w))
-            if norm < 1e-12 or k == steps - 1:
-                break
-            b.append(norm)
-            basis.append(w / norm)
-        values, vectors = np.linalg.eigh(np.diag(a) + np.diag(b[: len(a) - 1], 1) + np.diag(b[: len(a) - 1], -1))
-        total += n * float((vectors[0] ** 2) @ np.log(np.maximum(values, 1e-300)))
-    return total / probes
-
-
-def forcing_tolerance(gradient_norm: float, most: float = 0.5, least: float = 1e-8, exponent: float = 0.5) -> float:
-    """How exactly an inner solve needs to be done at this distance from the optimum."""
-    return float(np.clip(gradient_norm**exponent, least, most)) if gradient_norm > 0 else least
-
-
-def iteration_cap(tolerance: float, most: int = 256, least: int = 32, digits: float = 12.0) -> int:
-    """Inner iterations between ``least`` and ``most``, in proportion to the digits that the tolerance asks for, out of ``digits``."""
-    if not 0 < tolerance < 1 or not 1 <= least <= most or digits <= 0:
-        raise ValueError("tolerance must lie in (0, 1), and 1 <= least <= most")
-    share = min(-np.log10(tolerance) / digits, 1.0)
-    return int(np.floor(least + share * (most - least) + 1e-12))

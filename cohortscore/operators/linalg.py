@@ -94,6 +94,12 @@ FROM (SELECT beta, beta_variance, exp(-4e0 + length / 1e3) AS s, 5e-1 + support
 elbo_terms = relation("elbo_terms", """
 SELECT round(-5e-1 * sum(ln(t) + (beta * beta + beta_variance) / t), 4) AS effect_prior, round(5e-1 * sum(ln(beta_variance) + 1), 4) AS entropy
 FROM (SELECT beta, beta_variance, 1e-2 * (5e-1 + support / 1e2) AS t FROM {effects}) AS e""")
+#: Data terms of the variational bound at the scores' means and variances: Gaussian, and logistic at each sample's best local parameter.
+elbo_data = relation("elbo_data", """
+SELECT round(-5e-1 * (count(*) * ln(2 * 3.141592653589793e0 * :error) + sum((y / 1e3 - eta) * (y / 1e3 - eta) + variance) / :error), 4) AS gaussian,
+  round(sum((target - 5e-1) * eta - xi / 2 - ln(1 + exp(-xi))), 4) AS logistic, round(sum(variance), 4) AS spread
+FROM (SELECT s.target, s.y, s.genetic_score + s.covariate_score AS eta, v.variance, sqrt((s.genetic_score + s.covariate_score) * (s.genetic_score + s.covariate_score) + v.variance) AS xi
+  FROM {score} s JOIN {variance} v ON v.sample_id = s.sample_id) AS e""", error=4.0)
 prior_design = relation("prior_design", """
 SELECT variant_id, CAST(variant_class = 'deletion_short' AS INT) AS is_deletion_short, CAST(variant_class = 'deletion_long' AS INT) AS is_deletion_long,
   CAST(variant_class = 'duplication_short' AS INT) AS is_duplication_short, CAST(variant_class = 'insertion_mei' AS INT) AS is_insertion_mei,

@@ -3,16 +3,19 @@
 from cohortscore.operators import linalg  # noqa: F401  the scores that the suite copies
 from cohortscore.plans.relation import RELATIONS, ranged, relation
 
+#: People without a score are not ranked: their rank is null, and they count in no curve and no tail.
+relation("scored_people", "SELECT * FROM {predictions_in} WHERE score IS NOT NULL AND NOT isnan(score)")
 #: Distinct scores are counted first and ranked by ranges, so no window holds all people or all scores.
-score_counts = relation("score_counts", "SELECT score, sum(target) AS pos, count(*) - sum(target) AS neg FROM {predictions_in} GROUP BY score")
+score_counts = relation("score_counts", "SELECT score, sum(target) AS pos, count(*) - sum(target) AS neg FROM {predictions_in} WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY score")
 ranged("scores_up", "score_counts", "score", "pos + neg")
 ranged("scores_up_neg", "score_counts", "score", "neg")
 ranged("scores_down_pos", "score_counts", "-score", "pos")
 ranged("scores_down_neg", "score_counts", "-score", "neg")
 avg_rank = relation("avg_rank", """
-SELECT p.sample_id, r.below + (r.n + 1) / 2e0 AS avg_rank FROM {predictions_in} p JOIN (
+SELECT p.sample_id, r.below + (r.n + 1) / 2e0 AS avg_rank FROM {predictions_in} p LEFT JOIN (
   SELECT score, pos + neg AS n, before + sum(pos + neg) OVER (PARTITION BY bucket ORDER BY score ROWS UNBOUNDED PRECEDING) - pos - neg AS below FROM {scores_up}) AS r ON r.score = p.score""",
-    check="SELECT sample_id, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS avg_rank FROM {predictions_in}")
+    check="""SELECT p.sample_id, r.avg_rank FROM {predictions_in} p LEFT JOIN (
+  SELECT sample_id, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS avg_rank FROM {predictions_in} WHERE score IS NOT NULL AND NOT isnan(score)) AS r ON r.sample_id = p.sample_id""")
 auc_counts = relation("auc_counts", "SELECT score, pos, neg, before + sum(neg) OVER (PARTITION BY bucket ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS below FROM {scores_up_neg}",
     check="SELECT score, pos, neg, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS below FROM {score_counts}")
 auc = relation("auc", "SELECT CASE WHEN sum(pos + neg) < 20 OR sum(pos) = 0 OR sum(neg) = 0 THEN NULL ELSE round(sum(pos * (below + neg / 2e0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 6) END AS auc FROM {auc_counts}")
@@ -39,16 +42,16 @@ SELECT round(sum(pos * above_pos / (above_pos + above_neg)) / sum(pos), 6) AS av
     check="""
 SELECT round(sum(pos * above_pos / (above_pos + above_neg)) / sum(pos), 6) AS average_precision FROM (
   SELECT pos, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) * 1e0 AS above_pos, sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) * 1e0 AS above_neg FROM {score_counts}) AS t""")
-ranged("people_down", "predictions_in", "-score")
+ranged("people_down", "scored_people", "-score")
 #: The best ``share`` of the people, at least one; ties go by id.
 top_tail = relation("top_tail", """
 SELECT count(*) AS n_top, round(avg(target * 1e0) / max(base), 6) AS enrichment, round((avg(y) - max(mean_y)) / max(std_y), 6) AS shift FROM (
   SELECT target, y, before + row_number() OVER (PARTITION BY bucket ORDER BY score DESC, sample_id) AS rn FROM {people_down}) AS q
-CROSS JOIN (SELECT avg(target * 1e0) AS base, avg(y) AS mean_y, stddev_pop(y) AS std_y, count(*) AS n FROM {predictions_in}) AS t
+CROSS JOIN (SELECT avg(target * 1e0) AS base, avg(y) AS mean_y, stddev_pop(y) AS std_y, count(*) AS n FROM {scored_people}) AS t
 WHERE rn <= greatest(1, ceil(n * :share))""",
     check="""
 SELECT count(*) AS n_top, round(avg(target * 1e0) / max(base), 6) AS enrichment, round((avg(y) - max(mean_y)) / max(std_y), 6) AS shift FROM (
-  SELECT target, y, avg(target * 1e0) OVER () AS base, avg(y) OVER () AS mean_y, stddev_pop(y) OVER () AS std_y, row_number() OVER (ORDER BY score DESC, sample_id) AS rn, count(*) OVER () AS n FROM {predictions_in}) AS q
+  SELECT target, y, avg(target * 1e0) OVER () AS base, avg(y) OVER () AS mean_y, stddev_pop(y) OVER () AS std_y, row_number() OVER (ORDER BY score DESC, sample_id) AS rn, count(*) OVER () AS n FROM {predictions_in} WHERE score IS NOT NULL AND NOT isnan(score)) AS q
 WHERE rn <= greatest(1, ceil(n * :share))""", share=0.1)
 dose_response = relation("dose_response", "SELECT dose, count(*) AS n, round(avg(score), 6) AS mean_score FROM {predictions_in} GROUP BY dose")
 

@@ -20,7 +20,7 @@ _ALIASES = {"allele_freq": "allele_freq_report"}
 KEYS = """
 variant_stats variant_stats_float standardization_params allele_freq maf maf_filter standardize subset_variants subset_samples concat_sources validate_inputs
 class_counts is_structural route_variants route_counts residualize screen_partials screen_finalize proj_diag marginal_z marginal_screen marginal_screen_protected sparse_marginal_z
-matvec rmatvec block_matvec block_transpose_matvec block_gram block_partition score_samples predictor_variance posterior_logit predictions predictions_quantitative coefficient_table global_scale elbo_terms prior_design
+matvec rmatvec block_matvec block_transpose_matvec block_gram block_partition score_samples predictor_variance posterior_logit predictions predictions_quantitative coefficient_table global_scale elbo_terms elbo_data prior_design
 tie_groups tie_groups_windowed collapse_ties tie_weights expand_coefficients ld_block_join validate_blocks sv_event_edges restore_order region_filter split_regions
 sample_filter sample_join sample_duplicates resolve_key align_samples sample_intersection metadata_join metadata_orphans merge_pcs concept_closure cohort_query cohort_features case_control cohort_counts
 one_hot one_hot_drop_majority infer_trait survey_positive survey_split survey_diagnostic eval_pool dedupe_first hash_split

@@ -16,10 +16,11 @@ from cohortscore.sources import tables
 from cohortscore.sources.dataset import Dataset
 
 from .relation import RELATIONS, build
+from . import special
 from .special import CLASS_PRIORS
 
-#: Iterations between two kept states of a fit.
-KEEP_EVERY = 20
+#: Iterations between two kept states of a fit; variants up to which a fit is dense by itself.
+KEEP_EVERY, DENSE = 20, 4096
 
 
 def split(samples: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -104,14 +105,16 @@ def evaluate_output(spark: SparkSession, output: str, test_only: bool = True) ->
     return row.asDict() if row else {}
 
 
-def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str, trait: str = "auto", minimum_maf: float = 0.01, least_z: float = 0.0, iterations: int = 1000, seed: int = 42, validation_share: float = 0.0, learn_priors: bool = False) -> dict:
+def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str, trait: str = "auto", minimum_maf: float = 0.01, least_z: float = 0.0, iterations: int = 1000, seed: int = 42, validation_share: float = 0.0, learn_priors: bool = False, solver: str = "auto") -> dict:
     """Fit on the training samples and write coefficients, scores, history, evaluation and, last, the summary to ``output``.
 
-    A summary with equal settings means that the run is complete: then nothing is done again; a run that was broken
-    off goes on from its last kept state.  ``validation_share`` of the training samples choose the iterate;
-    ``learn_priors`` learns prior scales from class and length, and each class's shapes.
+    A summary of equal settings and inputs (target, call files, sample table, metadata) means that the run is complete:
+    then nothing is done again; a run that was broken off goes on from its last kept state.  ``validation_share`` of the training samples choose the iterate;
+    ``learn_priors`` learns prior scales from class and length, and each class's shapes.  ``solver`` is ``dense`` (the
+    matrix of all variants on the driver), ``products`` (none, but more passes over the samples) or ``auto``: dense up
+    to ``DENSE`` variants.
     """
-    settings = {"covariates": covariates, "trait": trait, "minimum_maf": minimum_maf, "least_z": least_z, "iterations": iterations, "seed": seed, "validation_share": validation_share, "learn_priors": learn_priors}
+    settings = {"covariates": covariates, "trait": trait, "minimum_maf": minimum_maf, "least_z": least_z, "iterations": iterations, "seed": seed, "validation_share": validation_share, "learn_priors": learn_priors, "solver": solver, "inputs": data.origin}
     try:
         kept = spark.read.json(f"{output}/summary").first()
     except Exception as e:
@@ -144,8 +147,11 @@ def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str,
     if chosen_by is not None:
         seen = data.calls.join(chosen_by.select("sample_id"), "sample_id", "left_semi")
         more["validation"] = design(seen, few, chosen_by, covariates, "target", key="string")[0].persist()
+    products = solver == "products" or (solver == "auto" and len(ids) > DENSE)
+    if products:
+        more["blocks"] = special.gram_blocks(spark, made["calls"], few, train, ids)
     fitted = em.fit(
-        rows, zero, 1 + len(covariates), np.exp(shapes[:, 0]), shapes[:, 1], shapes[:, 2], binary=binary, iterations=iterations, **more,
+        rows, zero, 1 + len(covariates), np.exp(shapes[:, 0]), shapes[:, 1], shapes[:, 2], binary=binary, iterations=iterations, products=products, mixing=special.MIXED, **more,
         state=kept_state(spark, f"{output}/state", settings), keep=lambda s: keep_state(spark, f"{output}/state", settings, s), keep_every=KEEP_EVERY,
     )
     if "validation" in more:
@@ -153,6 +159,8 @@ def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str,
     alpha = list(map(float, fitted.alpha))
     if binary:
         alpha[0] += em.intercept_shift(rows, zero, np.concatenate([fitted.alpha, fitted.beta]))
+    class_scale = np.exp(shapes[:, 0]) * (np.exp(more["scale_design"] @ fitted.scale_theta) if "scale_design" in more else 1.0)
+    elbo = em.bound(rows, zero, np.concatenate([alpha, fitted.beta]), fitted.beta_variance, np.maximum((fitted.global_scale * class_scale) ** 2 * fitted.local_scale, 1e-12), 1 + len(covariates), None if binary else fitted.sigma_error2)
     rows.unpersist()
     coefficients = spark.createDataFrame([(v, float(b), float(s)) for v, b, s in zip(ids, fitted.beta, fitted.beta_variance, strict=True)], "variant_id string, beta double, beta_variance double")
     tables.save_artifact(f"{output}/artifact", coefficients, settings | {"alpha": alpha})
@@ -162,7 +170,7 @@ def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str,
     measures = evaluate(scored.join(test.select("sample_id"), "sample_id", "left_semi"), binary)
     measures.coalesce(1).write.mode("overwrite").json(f"{output}/evaluation")
     found = spark.read.json(f"{output}/evaluation").first()
-    summary = {"binary": binary, "seed": seed, "n_train": train.count(), "n_test": test.count(), "n_variants": len(ids), "iterations": len(fitted.history), "converged": fitted.converged, "alpha": alpha, "test": found.asDict() if found else {}}
+    summary = {"binary": binary, "seed": seed, "n_train": train.count(), "n_test": test.count(), "n_variants": len(ids), "iterations": len(fitted.history), "converged": fitted.converged, "alpha": alpha, "elbo": elbo, "solver": "products" if products else "dense", "test": found.asDict() if found else {}}
     done = spark.createDataFrame([(tables.fingerprint(settings), json.dumps(summary))], "fingerprint string, summary string")
     done.coalesce(1).write.mode("overwrite").json(f"{output}/summary")
     return summary

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortscore.model import em
+from cohortscore.model import em, krylov
 from cohortscore.model.moments import design
+from cohortscore.model.posterior import Sparse
+from cohortscore.model.products import Design
 from cohortscore.operators import components, regression
 from cohortscore.sources import bed, vcf
 
@@ -33,6 +35,8 @@ CLASS_PRIORS = {
 
 #: The fit's MAF filter (the reference's default; the query maf_filter has its own), and when a fit that meets no tolerance raises.
 MINIMUM_MAF, MOST_ITERATIONS = 0.01, 1000
+#: Past iterations that accelerate a fit's outer loop.
+MIXED = 8
 #: Sample ids whose places are ranked together.
 PLACE_RANGE = 4096
 
@@ -104,23 +108,69 @@ def reduced_variants(spark: SparkSession, sf_dir: str, made: dict[str, DataFrame
     return build(spark, sf_dir, "standardization", made).join(lead, "variant_id", "left_semi")
 
 
-def _fit(spark: SparkSession, sf_dir: str, target: str, covariates: list[str], binary: bool) -> DataFrame:
+def gram_blocks(spark: SparkSession, calls: DataFrame, standardization: DataFrame, samples: DataFrame, ids: list, size: int = 20) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, Gram matrix) of each run of ``size`` variants in the order of ``ids``: a preconditioner's blocks, p x size numbers in all."""
+    kind = dict(standardization.dtypes)["variant_id"]
+    assigned = spark.createDataFrame([(v, i // size) for i, v in enumerate(ids)], f"variant_id {kind}, block_id long")
+    own = calls.join(assigned.select("variant_id"), "variant_id", "left_semi")
+    at = {v: i for i, v in enumerate(ids)}
+    blocks = [(np.arange(lo, min(lo + size, len(ids))), np.zeros((min(size, len(ids) - lo),) * 2)) for lo in range(0, len(ids), size)]
+    for u, v, g in RELATIONS["block_gram"](spark, calls=own, assigned=assigned, standardization=standardization, samples=samples).toLocalIterator():
+        i, j = at[u], at[v]
+        blocks[i // size][1][i % size, j % size] = blocks[i // size][1][j % size, i % size] = g
+    return blocks
+
+
+def _designed(spark: SparkSession, sf_dir: str, target: str, covariates: list[str]) -> tuple[DataFrame, list, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], list]:
+    """Rows, variants, constants, prior scales and shapes, and Gram blocks of the reduced variants."""
     made: dict[str, DataFrame] = {}
     few = reduced_variants(spark, sf_dir, made)
     samples = build(spark, sf_dir, "samples", made).withColumn("y_scaled", F.col("y") / 1000)
-    rows, ids, zero = design(build(spark, sf_dir, "calls", made), few, samples, covariates, target)
-    rows = rows.persist()
+    calls = build(spark, sf_dir, "calls", made)
+    rows, ids, zero = design(calls, few, samples, covariates, target)
     known = build(spark, sf_dir, "variants", made).select("variant_id", "variant_class").join(few, "variant_id", "left_semi").collect()
     classes = {r["variant_id"]: r["variant_class"] for r in known}  # of the reduced variants only
-    shapes = np.array([CLASS_PRIORS[classes.get(v, "snv")] for v in ids])
-    base, a, b = np.exp(shapes[:, 0]), shapes[:, 1], shapes[:, 2]
-    got = em.fit(rows, zero, 1 + len(covariates), base, a, b, binary=binary, iterations=MOST_ITERATIONS)
+    shapes = np.array([CLASS_PRIORS[classes.get(v, "snv")] for v in ids]).reshape(-1, 3)
+    return rows.persist(), ids, zero, (np.exp(shapes[:, 0]), shapes[:, 1], shapes[:, 2]), [calls, few, samples]
+
+
+def _fit(spark: SparkSession, sf_dir: str, target: str, covariates: list[str], binary: bool) -> DataFrame:
+    rows, ids, zero, (base, a, b), _ = _designed(spark, sf_dir, target, covariates)
+    got = em.fit(rows, zero, 1 + len(covariates), base, a, b, binary=binary, iterations=MOST_ITERATIONS, mixing=MIXED)
     rows.unpersist()
     if not got.converged:
         raise RuntimeError(f"the fit of {target} did not meet its tolerance in {MOST_ITERATIONS} iterations")
     return spark.createDataFrame([(int(v), float(x), float(s)) for v, x, s in zip(ids, got.beta, got.beta_variance, strict=True)], "variant_id long, beta double, beta_variance double")
 
 
+def cg_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Z'Z / 4 + 1 / scale^2) x = Z'r for three right sides r at once, by products: ``variant_id, of_y, of_cov, of_target, status``."""
+    rows, ids, zero, (base, _, _), inputs = _designed(spark, sf_dir, "y_scaled", ["cov"])
+    target = _designed(spark, sf_dir, "target", [])[0]
+    whole, plain = Design(rows, zero, 2), Design(target, zero, 1)
+    of_y, _, _ = whole.target()
+    of_cov = whole.gram(np.eye(whole.size, 2)[:, 1:])[:, 0]
+    of_target, _, _ = plain.target()
+    rhs = np.column_stack([of_y[2:], of_cov[2:], of_target[1:]])
+    ridge, blocks = 1 / base**2, gram_blocks(spark, *inputs, ids)
+    lift = lambda v: np.vstack([np.zeros((2, v.shape[1])), v])
+    m = krylov.BlockDiagonal(whole.squares() / 4 + ridge, [(at, g / 4 + np.diag(ridge[at])) for at, g in blocks])
+    got = krylov.block_cg(lambda v: whole.gram(lift(v))[2:] / 4 + ridge[:, None] * v, rhs, m, tol=1e-10)
+    rows.unpersist()
+    target.unpersist()
+    out = [(int(v), *map(float, x), max(got.status).name) for v, x in zip(ids, got.x, strict=True)]
+    return spark.createDataFrame(out, "variant_id long, of_y double, of_cov double, of_target double, status string")
+
+
+def posterior_logdet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log det of the effects' posterior precision at prior scales of 1, by stochastic quadrature over products, and its standard error: one row."""
+    rows, ids, zero, (base, _, _), inputs = _designed(spark, sf_dir, "target", ["cov"])
+    sparse = Sparse(rows, zero, 2, True, gram_blocks(spark, *inputs, ids))
+    value, error = sparse.log_determinant(np.concatenate([[1e-8, 1e-8], 1 / base**2]), np.zeros(sparse.design.size), probes=16, steps=12)
+    rows.unpersist()
+    return spark.createDataFrame([(len(ids), value, error)], "n_variants long, logdet double, standard_error double")
+
+
 def fit_quantitative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "y_scaled", ["cov"], binary=False)
 
@@ -195,4 +245,4 @@ def special_sql() -> dict[str, str]:
     }
 
 
-SPECIAL = {f.__name__: f for f in (sv_event_clusters, sv_representatives, scan_vcf, scan_bim, pack_2bit, fit_quantitative, fit_binary, run_summary, residualize_many, marginal_z_many)}
+SPECIAL = {f.__name__: f for f in (sv_event_clusters, sv_representatives, scan_vcf, scan_bim, pack_2bit, fit_quantitative, fit_binary, cg_solve, posterior_logdet, run_summary, residualize_many, marginal_z_many)}

@@ -7,7 +7,7 @@ sample table share, and a variant that several sources have comes from the first
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -20,16 +20,34 @@ from . import bed, tables, vcf
 
 @dataclass(frozen=True)
 class Dataset:
-    """``calls`` (sample_id, variant_id, dosage), ``samples`` (sample_id, target, covariates), ``variants`` (variant_id, chrom, pos, variant_class, length)."""
+    """``calls`` (sample_id, variant_id, dosage), ``samples`` (sample_id, target, covariates), ``variants`` (variant_id, chrom, pos, variant_class, length, ref, alt)."""
 
     calls: DataFrame
     samples: DataFrame
     variants: DataFrame
+    origin: dict = field(default_factory=dict)  #: what it was loaded from, so that another input is another run
+
+
+def stamps(spark: SparkSession, paths: list[str]) -> list[list]:
+    """Path, size and time of every file of ``paths``, in order; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length", F.col("modificationTime").cast("string").alias("time"))
+    return sorted([r["path"], r["length"], r["time"]] for r in found.collect())
+
+
+def contents(table: DataFrame) -> list:
+    """Rows and a sum of their hashes: equal for equal rows in any order."""
+    n, digest = table.agg(F.count("*"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)"))).first()
+    return [n, str(digest)]
 
 
 def _named(calls: DataFrame, names: list[str]) -> DataFrame:
-    """sample_index becomes sample_id: ids are an array literal, looked up, so nothing is shuffled."""
-    ids = F.array(*[F.lit(x) for x in names])
+    """sample_index becomes sample_id, by one array that all rows look up; nothing is shuffled.
+
+    The array is one literal (of one string), so planning does not grow with the number of names.
+    """
+    import json
+
+    ids = F.from_json(F.lit(json.dumps(names)), "array<string>")
     return calls.select(F.element_at(ids, F.col("sample_index").cast("int") + 1).alias("sample_id"), "variant_id", "dosage")
 
 
@@ -48,7 +66,7 @@ def _text_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
         .when(token.rlike("STR|VNTR"), F.lit("str_vntr_repeat")).when(token.startswith("<"), F.lit("other_complex_sv"))
         .when(snv, F.lit("snv")).otherwise(F.lit("small_indel"))
     )
-    variants = r.select("variant_id", "chrom", "pos", kind.alias("variant_class"), F.coalesce(size, length).alias("length"))
+    variants = r.select("variant_id", "chrom", "pos", kind.alias("variant_class"), F.coalesce(size, length).alias("length"), "ref", "alt")
     return _named(vcf.calls(text), names), variants, names
 
 
@@ -62,7 +80,8 @@ def _bed_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, l
     spark.dataSource.register(bed.BedSource)
     raw = spark.read.format("bed2bit").option("samples", len(names)).load(path)
     calls = raw.join(variants, "variant_index").select("variant_id", "sample_index", "dosage")
-    return _named(calls, names), fields.select("variant_id", "chrom", "pos", "variant_class", "length"), names
+    # The file counts its first allele.
+    return _named(calls, names), fields.select("variant_id", "chrom", "pos", "variant_class", "length", F.col("a2").alias("ref"), F.col("a1").alias("alt")), names
 
 
 def load_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -107,7 +126,18 @@ def load_dataset(
     variants = sourced.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     calls = reduce(DataFrame.unionByName, [c.withColumn("source", F.lit(i)) for i, (c, _, _) in enumerate(found)])
     calls = calls.join(samples.select("sample_id"), "sample_id", "left_semi").join(variants.select("variant_id", "source"), ["variant_id", "source"], "left_semi").drop("source")
-    return Dataset(calls.select("sample_id", "variant_id", "dosage"), samples, described(variants.drop("source"), tables.delimited(spark, metadata) if metadata else None))
+    more = tables.delimited(spark, metadata) if metadata else None
+    origin = {
+        "calls": [stamps(spark, [*beside(p)]) for p in paths], "samples": contents(table), "target": target, "covariates": covariates, "id": key,
+        "metadata": contents(more) if metadata else None,
+    }
+    return Dataset(calls.select("sample_id", "variant_id", "dosage"), samples, described(variants.drop("source"), more), origin)
+
+
+def beside(path: str) -> list[str]:
+    """A call file and those that belong to it."""
+    stem = path.removesuffix(".bed")
+    return [path] if stem == path else [path, f"{stem}.bim", f"{stem}.fam"]
 
 
 def described(variants: DataFrame, metadata: DataFrame | None) -> DataFrame:
@@ -128,14 +158,16 @@ def described(variants: DataFrame, metadata: DataFrame | None) -> DataFrame:
 def write_trios(calls: DataFrame, variants: DataFrame, samples: DataFrame, path: str, parts: int = 1) -> DataFrame:
     """Write ``path/part-N.bed`` with its .bim and .fam for each range of variants, and tell (part, n_variants).
 
-    ``samples`` (sample_id, ordinal from 0) is the order in the files.  Each part is a whole trio that its task
+    ``samples`` (sample_id, ordinal from 0) is the order in the files.  Variants keep their alleles (``alt`` first, as it
+    is counted, then ``ref``); those without are written as A and G.  Each part is a whole trio that its task
     writes alone, under a name of its own until it is complete, so a lost task is only run again.
     """
     ids = [r["sample_id"] for r in samples.orderBy("ordinal").select("sample_id").collect()]  # the .fam file's lines
     packed = bed.pack_calls(calls, samples)
     blank = bed.pack(np.zeros(len(ids), np.int64))
-    rows = variants.select("variant_id", "chrom", "pos").join(packed, "variant_id", "left").repartitionByRange(parts, "chrom", "pos", "variant_id").sortWithinPartitions("chrom", "pos", "variant_id")
-    rows = rows.select(F.spark_partition_id().alias("part"), F.col("chrom").cast("string").alias("chrom"), "pos", F.col("variant_id").cast("string").alias("variant_id"), "packed")
+    alleles = [F.coalesce(F.col(c).cast("string"), F.lit(d)).alias(c) if c in variants.columns else F.lit(d).alias(c) for c, d in (("alt", "A"), ("ref", "G"))]
+    rows = variants.select("variant_id", "chrom", "pos", *alleles).join(packed, "variant_id", "left").repartitionByRange(parts, "chrom", "pos", "variant_id").sortWithinPartitions("chrom", "pos", "variant_id")
+    rows = rows.select(F.spark_partition_id().alias("part"), F.col("chrom").cast("string").alias("chrom"), "pos", F.col("variant_id").cast("string").alias("variant_id"), "packed", "alt", "ref")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -148,10 +180,10 @@ def write_trios(calls: DataFrame, variants: DataFrame, samples: DataFrame, path:
         with fs.open_output_stream(f"{own}.bed") as calls_out, fs.open_output_stream(f"{own}.bim") as lines_out:
             calls_out.write(bed.MAGIC)
             for b in batches:
-                for p, chrom, pos, name, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for p, chrom, pos, name, raw, alt, ref in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     part, n = p, n + 1
                     calls_out.write(raw if raw is not None else blank)
-                    lines_out.write(f"{chrom}\t{name}\t0\t{pos}\tA\tG\n".encode())
+                    lines_out.write(f"{chrom}\t{name}\t0\t{pos}\t{alt}\t{ref}\n".encode())
         with fs.open_output_stream(f"{own}.fam") as f:
             f.write("".join(f"{x} {x} 0 0 0 -9\n" for x in ids).encode())
         for suffix in ("bed", "bim", "fam"):

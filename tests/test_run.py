@@ -112,3 +112,67 @@ def test_scale_design_has_no_intercept():
     got = run.scale_design(["snv", "snv", "deletion_short"], [1.0, 1.0, 100.0])
     assert got.shape == (3, 2) and got[:, 0].tolist() == [0, 0, 1] and got[:, 1].mean() == pytest.approx(0)
     assert run.scale_design(["snv", "snv"], [1.0, 1.0]).tolist() == [[0.0], [0.0]]
+
+
+def test_another_target_is_another_run(spark, tmp_path, capsys):
+    """Settings alone do not make a run complete: target, call files, sample table and metadata count."""
+    _files(tmp_path)
+    table = tmp_path / "samples.tsv"
+    rows = [line.split("\t") for line in table.read_text().splitlines()]
+    table.write_text("\n".join("\t".join([*r, "y2" if i == 0 else str(-2 * float(r[2]) if r[2] != "NaN" else 1)]) for i, r in enumerate(rows)) + "\n")
+    out, calls = str(tmp_path / "out"), [str(tmp_path / "a.vcf"), str(tmp_path / "b.vcf")]
+
+    def fit(target, *more):
+        assert cli.main(["fit", str(table), target, out, *calls, "--covariates", "cov", *more]) == 0
+        return json.loads(capsys.readouterr().out.splitlines()[-1])
+
+    first, second = fit("y"), fit("y2")
+    assert second["alpha"][1] == pytest.approx(-2 * first["alpha"][1], rel=0.2) and fit("y2") == second
+    kept = table.read_text()
+    table.write_text(kept.replace("S5\t", "S5x\t"))  # another sample table
+    assert fit("y2")["n_train"] + fit("y2")["n_test"] == second["n_train"] + second["n_test"] - 1
+    (tmp_path / "b.vcf").write_text((tmp_path / "b.vcf").read_text().replace("\tv11\t", "\tv12\t"))  # another call file
+    assert fit("y2") != second
+    found = {r["variant_id"] for r in spark.read.parquet(f"{out}/artifact/coefficients").collect()}
+    assert "v12" in found and "v11" not in found
+
+
+def test_run_by_products(spark, tmp_path, capsys):
+    _files(tmp_path)
+    args = ["fit", str(tmp_path / "samples.tsv"), "y", "", str(tmp_path / "a.vcf"), str(tmp_path / "b.vcf"), "--covariates", "cov", "--solver", ""]
+    got = {}
+    for solver in ("dense", "products"):
+        args[3], args[-1] = str(tmp_path / solver), solver
+        assert cli.main(args) == 0
+        got[solver] = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert got["products"]["solver"] == "products" and got["products"]["alpha"] == pytest.approx(got["dense"]["alpha"], abs=1e-3)
+    assert got["products"]["elbo"]["bound"] == pytest.approx(got["dense"]["elbo"]["bound"], rel=1e-3)
+
+
+def test_people_without_a_score_have_no_rank(spark):
+    people = [(i, i % 2, float(i), None if i % 10 == 0 else float("nan") if i % 10 == 1 else float(i // 2)) for i in range(100)]
+    made = {"predictions_in": spark.createDataFrame(people, "sample_id long, target int, y double, score double")}
+    ranks = {r["sample_id"]: r["avg_rank"] for r in build(spark, "", "avg_rank", dict(made)).collect()}
+    scored = sorted((s, i) for i, _, _, s in people if i % 10 > 1)
+    assert len(ranks) == 100 and all(ranks[i] is None for i, _, _, _ in people if i % 10 < 2)
+    for s, i in scored:
+        at = [k for k, (v, _) in enumerate(scored, 1) if v == s]
+        assert ranks[i] == sum(at) / len(at)
+    tail = build(spark, "", "top_tail", dict(made)).first()
+    assert tail["n_top"] == 8
+    auc = build(spark, "", "auc", dict(made)).first()[0]
+    pos, neg = [s for s, i in scored if i % 2], [s for s, i in scored if not i % 2]
+    assert auc == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)), abs=1e-6)
+
+
+def test_transcoded_files_keep_alleles_and_classes(spark, tmp_path):
+    lines = ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "A", "B", "C"])]
+    lines += ["1\t5\ts\tC\tT\t.\t.\t.\tGT\t0/0\t0/1\t1/1", "1\t9\ti\tC\tCTT\t.\t.\t.\tGT\t0/1\t./.\t1/1", "2\t3\td\tN\t<DEL>\t.\t.\tSVLEN=-50\tGT\t1/1\t0/1\t0/0"]
+    (tmp_path / "x.vcf").write_text("\n".join(lines) + "\n")
+    calls, variants, names = dataset.load_calls(spark, str(tmp_path / "x.vcf"))
+    order = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "sample_id string, ordinal long")
+    dataset.write_trios(calls, variants, order, str(tmp_path / "t")).collect()
+    again = dataset.load_calls(spark, str(tmp_path / "t" / "part-0.bed"))
+    cols = ["variant_id", "chrom", "pos", "variant_class", "ref", "alt"]
+    assert sorted(map(tuple, again[1].select(cols).collect())) == sorted(map(tuple, variants.select(cols).collect()))
+    assert sorted(map(tuple, again[0].collect()), key=str) == sorted(map(tuple, calls.collect()), key=str)
