@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscore.operators import components
-from cohortscore.sources import bed, dataset, tables
+from cohortscore.sources import bcf, bed, bgzf, dataset, tables, vcf
 
 from . import special
 from .relation import build, oracle, relation
@@ -63,6 +63,34 @@ def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.delimited(spark, path)
 
 
+#: Bytes of a compressed file that one task reads, so that even small tables are read by several.
+FILE_RANGE = 1 << 17
+
+
+def scan_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all variants from block-compressed call files, each read by ranges of blocks."""
+    made: dict[str, DataFrame] = {}
+    names = [r[0] for r in special.places(build(spark, sf_dir, "samples", made)).orderBy("ordinal").select(F.col("sample_id").cast("string")).collect()]  # the header line
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names]) + "\n"
+    told = dataset.write_blocks(special.vcf_text(spark, sf_dir), head, _folder(spark, "blocks").removeprefix("file:")).collect()  # a row a file
+    spark.dataSource.register(bgzf.BgzfText)
+    text = [spark.read.format("bgzftext").option("bytesPerPartition", FILE_RANGE).load(r["path"]) for r in told]
+    empty = spark.createDataFrame([], "value string")
+    return vcf.calls(reduce(DataFrame.unionByName, text, empty)).select("variant_id", F.col("sample_index").cast("long").alias("sample_index"), "dosage")
+
+
+def scan_bcf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all variants from binary call files, each read by ranges of blocks."""
+    made: dict[str, DataFrame] = {}
+    sites = build(spark, sf_dir, "placed_sites", made).select(F.concat(F.lit("v"), "variant_id").alias("variant_id"), "chrom", "pos", F.lit("A").alias("ref"), F.lit("G").alias("alt"))
+    calls = build(spark, sf_dir, "calls", made).withColumn("variant_id", F.concat(F.lit("v"), "variant_id"))
+    told = dataset.write_binary(calls, sites, special.places(build(spark, sf_dir, "samples", made)), _folder(spark, "binary").removeprefix("file:")).collect()  # a row a file
+    spark.dataSource.register(bcf.BcfSource)
+    empty = spark.createDataFrame([], "variant_id string, x struct<at:int,dosage:int>")
+    read = [spark.read.format("bcf2").option("bytesPerPartition", FILE_RANGE).load(r["path"]).select(F.col("id").alias("variant_id"), F.explode(F.arrays_zip("at", "dosage")).alias("x")) for r in told]
+    return reduce(DataFrame.unionAll, read, empty).select("variant_id", F.col("x.at").cast("long").alias("sample_index"), F.col("x.dosage").alias("dosage"))
+
+
 def load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of a text call file for the samples of a table with finite values, as the loader joins them."""
     made: dict[str, DataFrame] = {}
@@ -88,13 +116,15 @@ def artifact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 relation("placed_sites", "SELECT variant_id, CAST(variant_id % 22 + 1 AS INT) AS chrom, CAST(1000 + 15 * variant_id AS BIGINT) AS pos FROM {sites}")
 relation("site_order", "SELECT variant_id, row_number() OVER (ORDER BY chrom, pos, variant_id) - 1 AS place FROM {placed_sites}")
 relation("scan_bed_oracle", "SELECT CAST(v.place AS BIGINT) AS variant_index, CAST(p.ordinal AS BIGINT) AS sample_index, c.dosage FROM {calls} c JOIN {site_order} v ON v.variant_id = c.variant_id JOIN {sample_places} p ON p.sample_id = c.sample_id")
+relation("scan_bgzf_oracle", "SELECT * FROM {scan_vcf_oracle}")
+relation("scan_bcf_oracle", "SELECT * FROM {scan_vcf_oracle}")
 relation("transcode_oracle", "SELECT CAST(c.sample_id AS VARCHAR) AS sample_id, CAST(c.variant_id AS VARCHAR) AS variant_id, c.dosage FROM {calls} c JOIN {sites} v ON v.variant_id = c.variant_id JOIN {samples} s ON s.sample_id = c.sample_id")
 relation("scan_delimited_oracle", "SELECT sample_id, research_id, person_id, covariate_text FROM {raw_samples}")
 relation("load_dataset_oracle", """SELECT concat('S', c.sample_id) AS sample_id, concat('v', c.variant_id) AS variant_id, c.dosage FROM {calls} c
 JOIN {raw_samples} s ON s.ordinal = c.sample_id WHERE s.target_text NOT IN ('', 'NaN') AND s.covariate_text <> 'x'""")
 relation("artifact_roundtrip_oracle", "SELECT variant_id, beta, beta_variance FROM {effects}")
 
-FILES = {f.__name__: f for f in (scan_bed, transcode, scan_delimited, load_dataset, artifact_roundtrip)}
+FILES = {f.__name__: f for f in (scan_bed, scan_bgzf, scan_bcf, transcode, scan_delimited, load_dataset, artifact_roundtrip)}
 
 
 def files_sql() -> dict[str, str]:

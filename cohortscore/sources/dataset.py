@@ -12,10 +12,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bed, tables, vcf
+from . import bcf, bed, bgzf, tables, vcf
 
 
 @dataclass(frozen=True)
@@ -51,13 +51,11 @@ def _named(calls: DataFrame, names: list[str]) -> DataFrame:
     return calls.select(F.element_at(ids, F.col("sample_index").cast("int") + 1).alias("sample_id"), "variant_id", "dosage")
 
 
-def _text_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    text = vcf.lines(spark, path)
-    names, _ = vcf.header(text)
-    r = vcf.records(text)
+def described_alleles(r: DataFrame, svlen: Column) -> DataFrame:
+    """Variants of records with class and length by their alleles; ``svlen`` is text."""
     snv = (F.length("ref") == 1) & (F.length("alt") == 1)
     length = F.greatest(F.length("ref"), F.length("alt")).cast("double")
-    size = F.abs(F.regexp_extract(F.concat(F.lit(";"), "info"), ";SVLEN=([^;,]*)", 1).try_cast("double"))
+    size = F.abs(svlen.try_cast("double"))
     token = F.upper(F.col("alt"))
     kind = (
         F.when(token.contains("DEL"), F.when(size >= 1000, "deletion_long").otherwise("deletion_short"))
@@ -66,10 +64,25 @@ def _text_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
         .when(token.rlike("STR|VNTR"), F.lit("str_vntr_repeat")).when(token.startswith("<"), F.lit("other_complex_sv"))
         .when(snv, F.lit("snv")).otherwise(F.lit("small_indel"))
     )
-    variants = r.select("variant_id", "chrom", "pos", kind.alias("variant_class"), F.coalesce(size, length).alias("length"), "ref", "alt")
+    return r.select("variant_id", "chrom", "pos", kind.alias("variant_class"), F.coalesce(size, length).alias("length"), "ref", "alt")
+
+
+def _text_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    text = vcf.lines(spark, path)
+    names, _ = vcf.header(text)
+    variants = described_alleles(vcf.records(text), F.regexp_extract(F.concat(F.lit(";"), "info"), ";SVLEN=([^;,]*)", 1))
     return _named(vcf.calls(text), names), variants, names
 
 
+def _binary_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    spark.dataSource.register(bcf.BcfSource)
+    with bgzf.open_file(path) as f:
+        names = bcf.read_header(bgzf.Blocks(f, f.size()))[0].samples
+    r = spark.read.format("bcf2").load(path).withColumn("variant_id", F.coalesce("id", F.concat_ws(":", "chrom", "pos", "ref", "alt")))
+    calls = r.select("variant_id", F.explode(F.arrays_zip("at", "dosage")).alias("x")).select("variant_id", F.col("x.at").alias("sample_index"), "x.dosage")
+    return _named(calls, names), described_alleles(r, F.split_part(F.col("info")["SVLEN"], F.lit(","), F.lit(1))), names
+
+
 def _bed_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
     stem = path.removesuffix(".bed")
     names = [r["sample_id"] for r in bed.fam(spark.read.text(f"{stem}.fam").coalesce(1)).collect()]
@@ -86,7 +99,7 @@ def _bed_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, l
 
 def load_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Calls, variants and the file's sample ids in order, by the path's suffix."""
-    names_of = {"vcf": _text_source, "plink1": _bed_source}
+    names_of = {"vcf": _text_source, "bcf": _binary_source, "plink1": _bed_source}
     calls, variants, names = names_of[vcf.genotype_format(path)](spark, path)
     if len(set(names)) != len(names):
         raise ValueError(f"{path}: sample ids repeat")
@@ -195,3 +208,54 @@ def write_trios(calls: DataFrame, variants: DataFrame, samples: DataFrame, path:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())], names=["part", "n_variants"])
 
     return rows.mapInArrow(run, "part int, n_variants long")
+
+
+def write_blocks(lines: DataFrame, head: str, path: str) -> DataFrame:
+    """Write ``lines`` (value) as block-compressed call files below ``path``, one a task, each with ``head`` before; told as ``path``."""
+    return _files(lines.select("value"), path, "vcf.gz", lambda: head.encode(), lambda b: b"".join(x.encode() + b"\n" for x in b.column(0).to_pylist()))
+
+
+def write_binary(calls: DataFrame, variants: DataFrame, samples: DataFrame, path: str) -> DataFrame:
+    """Write calls as binary call files below ``path``, one a task; told as ``path``.
+
+    ``variants`` (variant_id, chrom, pos, ref, alt), ``samples`` (sample_id, ordinal from 0): the header's contigs and names.
+    """
+    contigs = sorted(str(r["chrom"]) for r in variants.select("chrom").distinct().collect())  # the header's lines
+    names = [str(r["sample_id"]) for r in samples.orderBy("ordinal").select("sample_id").collect()]
+    place, n = {c: i for i, c in enumerate(contigs)}, len(names)
+    rows = variants.join(bed.pack_calls(calls, samples), "variant_id", "left").select("chrom", "pos", "variant_id", "ref", "alt", "packed").select(F.col("chrom").cast("string"), F.col("pos").cast("long"), F.col("variant_id").cast("string"), "ref", "alt", "packed")
+
+    def body(b: pa.RecordBatch) -> bytes:
+        out = []
+        for chrom, pos, name, ref, alt, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            d = np.zeros(n, np.int8) if packed is None else bed.unpack(packed, n)
+            out.append(bcf.encode(place[chrom], pos, name, ref, alt, d, 1))
+        return b"".join(out)
+
+    return _files(rows, path, "bcf", lambda: bcf.file_head(contigs, names), body)
+
+
+def _files(rows: DataFrame, path: str, suffix: str, head, body) -> DataFrame:
+    """A block-compressed file of each task with rows, under a name of its own: only those that are told of are whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        import pyarrow.fs
+
+        fs, folder = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs.create_dir(folder)
+        name, out, held = f"{uuid.uuid4().hex}.{suffix}", None, b""
+        for b in batches:
+            if out is None:
+                out, held = fs.open_output_stream(f"{folder}/{name}", compression=None), head()
+            held += body(b)
+            while len(held) >= 65_280:
+                out.write(bgzf.deflate(held[:65_280]))
+                held = held[65_280:]
+        if out is not None:
+            out.write(bgzf.deflate(held) + bgzf.EMPTY)
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"])], names=["path"])
+
+    return rows.mapInArrow(run, "path string")

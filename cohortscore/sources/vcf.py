@@ -1,26 +1,36 @@
-"""Text call files (plain or gzip): header, records, and one row for each called sample."""
+"""Text call files (plain, gzip or block-compressed): header, records, and one row for each called sample."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bgzf
+
 
 def genotype_format(path: str) -> str:
-    """``vcf`` or ``plink1`` by the path's suffix."""
+    """``vcf``, ``bcf`` or ``plink1`` by the path's suffix."""
     p = path.lower()
     if p.endswith(".bed"):
         return "plink1"
     if p.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
         return "vcf"
     if p.endswith(".bcf"):
-        raise ValueError(f"binary call files are not read, convert to .vcf.gz: {path}")
+        return "bcf"
     raise ValueError(f"unknown genotype format: {path}")
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The text lines; plain files are split, gzip files are one task each."""
-    return spark.read.text(paths)
+    """The text lines; plain and block-compressed files are split, other gzip files are one task each."""
+    found = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        blocked = path.lower().endswith((".gz", ".bgz")) and bgzf.is_bgzf(path)
+        if blocked:
+            spark.dataSource.register(bgzf.BgzfText)
+        found.append(spark.read.format("bgzftext").load(path) if blocked else spark.read.text(path))
+    return reduce(DataFrame.unionByName, found)
 
 
 def header(text: DataFrame) -> tuple[list[str], list[tuple[str, int]]]:

@@ -73,8 +73,8 @@ def test_trios_round_trip(spark, tmp_path):
 
 def test_loading_refuses_what_does_not_fit(spark, tmp_path):
     _files(tmp_path)
-    with pytest.raises(ValueError, match="binary call files"):
-        vcf.genotype_format("x.bcf")
+    with pytest.raises(ValueError, match="unknown genotype format"):
+        vcf.genotype_format("x.pgen")
     variants = spark.createDataFrame([("v1", "snv", 1.0)], "variant_id string, variant_class string, length double")
     m = spark.createDataFrame([("v1", "9")], "variant_id string, length string")
     assert dataset.described(variants, m).first()["length"] == 9.0
