@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("genotypes", nargs="+")
     fit.add_argument("--covariates", default="", help="names, comma-separated")
     fit.add_argument("--metadata")
+    fit.add_argument("--annotations", help="a table of variant_id and columns of any kind, from which prior scales are learned")
     fit.add_argument("--trait", default="auto", choices=["auto", "binary", "quantitative"])
     fit.add_argument("--minimum-maf", type=float, default=0.01)
     fit.add_argument("--least-z", type=float, default=0.0)
@@ -70,7 +71,7 @@ def main(argv: list[str] | None = None) -> int:
 
         names = [c for c in args.covariates.split(",") if c]
         data = load_dataset(spark, args.genotypes, args.sample_table, args.target, names, metadata=args.metadata)
-        summary = run.run(spark, data, names, args.output, args.trait, args.minimum_maf, args.least_z, seed=args.seed, validation_share=args.validation_share, learn_priors=args.learn_priors, solver=args.solver)
+        summary = run.run(spark, data, names, args.output, args.trait, args.minimum_maf, args.least_z, seed=args.seed, validation_share=args.validation_share, learn_priors=args.learn_priors, solver=args.solver, annotations=tables.delimited(spark, args.annotations) if args.annotations else None)
         print(json.dumps(summary))
         return 0 if summary["converged"] else 3
     if args.command == "evaluate":

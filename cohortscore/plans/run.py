@@ -12,8 +12,9 @@ from cohortscore.functions import parse  # noqa: F401
 from cohortscore.model import em
 from cohortscore.model.moments import design
 from cohortscore.operators import joins, linalg, metrics, regression, stats  # noqa: F401
+from cohortscore.operators.annotations import dense_design
 from cohortscore.sources import tables
-from cohortscore.sources.dataset import Dataset
+from cohortscore.sources.dataset import Dataset, contents
 
 from .relation import RELATIONS, build
 from . import special
@@ -105,16 +106,17 @@ def evaluate_output(spark: SparkSession, output: str, test_only: bool = True) ->
     return row.asDict() if row else {}
 
 
-def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str, trait: str = "auto", minimum_maf: float = 0.01, least_z: float = 0.0, iterations: int = 1000, seed: int = 42, validation_share: float = 0.0, learn_priors: bool = False, solver: str = "auto") -> dict:
+def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str, trait: str = "auto", minimum_maf: float = 0.01, least_z: float = 0.0, iterations: int = 1000, seed: int = 42, validation_share: float = 0.0, learn_priors: bool = False, solver: str = "auto", annotations: DataFrame | None = None) -> dict:
     """Fit on the training samples and write coefficients, scores, history, evaluation and, last, the summary to ``output``.
 
     A summary of equal settings and inputs (target, call files, sample table, metadata) means that the run is complete:
     then nothing is done again; a run that was broken off goes on from its last kept state.  ``validation_share`` of the training samples choose the iterate;
-    ``learn_priors`` learns prior scales from class and length, and each class's shapes.  ``solver`` is ``dense`` (the
+    ``learn_priors`` learns prior scales from class and length, and each class's shapes; with ``annotations``
+    (variant_id and columns of any kind), from class and these instead.  ``solver`` is ``dense`` (the
     matrix of all variants on the driver), ``products`` (none, but more passes over the samples) or ``auto``: dense up
     to ``DENSE`` variants.
     """
-    settings = {"covariates": covariates, "trait": trait, "minimum_maf": minimum_maf, "least_z": least_z, "iterations": iterations, "seed": seed, "validation_share": validation_share, "learn_priors": learn_priors, "solver": solver, "inputs": data.origin}
+    settings = {"covariates": covariates, "trait": trait, "minimum_maf": minimum_maf, "least_z": least_z, "iterations": iterations, "seed": seed, "validation_share": validation_share, "learn_priors": learn_priors, "solver": solver, "inputs": data.origin, "annotations": contents(annotations) if annotations is not None else None}
     try:
         kept = spark.read.json(f"{output}/summary").first()
     except Exception as e:
@@ -141,9 +143,12 @@ def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str,
     classes = [known[v]["variant_class"] or "snv" for v in ids]
     shapes = np.array([CLASS_PRIORS[c] for c in classes]).reshape(-1, 3)
     more = {}
-    if learn_priors and ids:
+    if (learn_priors or annotations is not None) and ids:
         names = sorted(set(classes))
-        more = {"scale_design": scale_design(classes, [known[v]["length"] or 1.0 for v in ids]), "membership": np.array([[float(c == n) for n in names] for c in classes])}
+        features = scale_design(classes, [known[v]["length"] or 1.0 for v in ids])
+        if annotations is not None:
+            features = np.column_stack([features[:, :-1], dense_design(annotations, ids)[0]])
+        more = {"scale_design": features, "membership": np.array([[float(c == n) for n in names] for c in classes])}
     if chosen_by is not None:
         seen = data.calls.join(chosen_by.select("sample_id"), "sample_id", "left_semi")
         more["validation"] = design(seen, few, chosen_by, covariates, "target", key="string")[0].persist()

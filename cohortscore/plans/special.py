@@ -14,7 +14,7 @@ from cohortscore.model import em, krylov
 from cohortscore.model.moments import design
 from cohortscore.model.posterior import Sparse
 from cohortscore.model.products import Design
-from cohortscore.operators import components, regression
+from cohortscore.operators import annotations, components, regression
 from cohortscore.sources import bed, vcf
 
 from .relation import RELATIONS, build, oracle, relation
@@ -179,6 +179,22 @@ def fit_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "target", ["cov"], binary=True)
 
 
+def info_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values of INFO fields whose keys are data."""
+    return annotations.info_entries(build(spark, sf_dir, "info_rows"))
+
+
+def design_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored cells of the prior design of an annotation table."""
+    return annotations.design_cells(build(spark, sf_dir, "annotation_table")).withColumn("value", F.round("value", 6))
+
+
+def design_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The design's features with what centres and scales them."""
+    table = build(spark, sf_dir, "annotation_table")
+    return annotations.feature_scales(annotations.design_cells(table), table.count()).select("feature", "n_cells", F.round("mean", 6).alias("mean"), F.round("rms", 4).alias("rms"))
+
+
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of counts and scores of a run."""
     made: dict[str, DataFrame] = {}
@@ -240,9 +256,12 @@ def special_sql() -> dict[str, str]:
         "scan_bim": oracle("scan_bim_oracle"),
         "pack_2bit": oracle("pack_2bit_oracle"),
         "run_summary": oracle("run_summary_oracle"),
+        "info_entries": oracle("info_entries_oracle"),
+        "design_cells": oracle("design_cells_oracle"),
+        "design_features": oracle("design_features_oracle"),
         "residualize_many": oracle("residualize_many_oracle"),
         "marginal_z_many": oracle("marginal_z_many_oracle"),
     }
 
 
-SPECIAL = {f.__name__: f for f in (sv_event_clusters, sv_representatives, scan_vcf, scan_bim, pack_2bit, fit_quantitative, fit_binary, cg_solve, posterior_logdet, run_summary, residualize_many, marginal_z_many)}
+SPECIAL = {f.__name__: f for f in (sv_event_clusters, sv_representatives, scan_vcf, scan_bim, pack_2bit, fit_quantitative, fit_binary, cg_solve, posterior_logdet, info_entries, design_cells, design_features, run_summary, residualize_many, marginal_z_many)}
