@@ -1,11 +1,11 @@
 """Evaluation of scores: ranks, AUC, losses, precision, tails and groups."""
 
 from cohortscore.operators import linalg  # noqa: F401  the scores that the suite copies
-from cohortscore.plans.relation import RELATIONS, ranged, relation
+from cohortscore.plans.relation import RELATIONS, Ranged, ranged, relation
 
 #: People without a score are not ranked: their rank is null, and they count in no curve and no tail.
 relation("scored_people", "SELECT * FROM {predictions_in} WHERE score IS NOT NULL AND NOT isnan(score)")
-#: Distinct scores are counted first and ranked by ranges, so no window holds all people or all scores.
+#: Distinct scores are counted first and ranked by ranges of about equally many, so no window holds all people or all scores.
 score_counts = relation("score_counts", "SELECT score, sum(target) AS pos, count(*) - sum(target) AS neg FROM {predictions_in} WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY score")
 ranged("scores_up", "score_counts", "score", "pos + neg")
 ranged("scores_up_neg", "score_counts", "score", "neg")
@@ -65,6 +65,9 @@ def _with_effects(tag: str, chain: tuple[str, ...]) -> None:
 
     for name in chain[1:]:
         r = RELATIONS[name]
+        if isinstance(r, Ranged):
+            ranged(f"{name}_{tag}", f"{r.source}_{tag}", r.key, r.n)
+            continue
         relation(f"{name}_{tag}", own(r.text), own(r.check), **r.params)
 
 

@@ -43,10 +43,15 @@ k AS (SELECT variant_id, count(DISTINCT d) AS k, count(*) FILTER (WHERE d > 0) A
 SELECT r.variant_id, k.support, CASE WHEN max(k.k) <= 1 THEN 'one' ELSE string_agg(coalesce(CAST(place AS VARCHAR), '-'), '' ORDER BY sample_id) END AS plain,
   CASE WHEN max(k.k) <= 1 THEN 'one' ELSE string_agg(coalesce(CAST(k.k - 1 - place AS VARCHAR), '-'), '' ORDER BY sample_id) END AS flipped
 FROM r JOIN k ON k.variant_id = r.variant_id GROUP BY r.variant_id, k.support""")
+_SIDED = "SELECT variant_id, support, least(plain, flipped) AS canonical, CASE WHEN plain <= flipped THEN 1 ELSE -1 END AS side FROM {{{source}}}"
 _MAP = """
 SELECT variant_id, support, min(variant_id) OVER (PARTITION BY canonical) AS group_id, side, first_value(side) OVER (PARTITION BY canonical ORDER BY variant_id) AS lead_side
-FROM (SELECT variant_id, support, least(plain, flipped) AS canonical, CASE WHEN plain <= flipped THEN 1 ELSE -1 END AS side FROM {{{source}}}) AS s"""
-tie_map = relation("tie_map", _MAP.format(source="signatures"), check=_MAP.format(source="dense_columns"))
+FROM (""" + _SIDED + """) AS s"""
+_OWN = _SIDED.format(source="signatures")
+#: A group's lead is an aggregate, summed on the map side, so the one group of all monomorphic variants is no task's alone.
+tie_map = relation("tie_map", f"""
+SELECT s.variant_id, s.support, g.group_id, s.side, g.lead_side FROM ({_OWN}) AS s JOIN (
+  SELECT canonical, min(variant_id) AS group_id, min_by(side, variant_id) AS lead_side FROM ({_OWN}) AS o GROUP BY canonical) AS g ON g.canonical = s.canonical""", check=_MAP.format(source="dense_columns"))
 tie_groups = relation("tie_groups", "SELECT variant_id, group_id, side * lead_side AS sign, CASE WHEN variant_id = group_id THEN 1 ELSE 0 END AS is_representative FROM {tie_map}")
 #: Groups break where neighbours of equal support on a chromosome are more than ``window`` bases apart.
 tie_groups_windowed = relation("tie_groups_windowed", """

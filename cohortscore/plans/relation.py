@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,18 +61,58 @@ class Relation:
 RELATIONS: dict[str, Relation] = {}
 
 
-def ranged(name: str, source: str, key: str, n: str = "1", ranges: int = 4096) -> Relation:
-    """Relation ``name``: the rows of ``source`` with ``bucket``, the place of ``key`` among equal ranges of
-    its values, and ``before``, the sum of ``n`` in all lower buckets.
+#: Rows of a range at least, and ranges at most.
+RANGE_ROWS, RANGES = 50_000, 1024
 
-    Running sums over all rows go by bucket, ``before`` added: only the window over ``ranges`` sums is one task.
+
+@dataclass(frozen=True)
+class Ranged(Relation):
+    """The rows of a relation with ``bucket``, their place among ranges of about equally many rows in the order of
+    ``key``, and ``before``, the sum of ``n`` in all lower buckets: running sums over all rows go by bucket.
+
+    The cuts are approximate quantiles, which one job gets before the query is planned; however the values are spread,
+    a range holds about as many rows as others (rows of equal key stay together).  A window over the ranges' sums is
+    one task.  Few rows are one range, without a join.
     """
-    bucket = f"CASE WHEN r.hi > r.lo THEN CAST(floor(({key} - r.lo) / (r.hi - r.lo) * {ranges - 1}) AS INT) ELSE 0 END"
-    limits = f"(SELECT min({key}) * 1e0 AS lo, max({key}) * 1e0 AS hi FROM {{{source}}}) AS r"
-    return relation(name, f"""
-SELECT x.*, o.before FROM (SELECT x.*, {bucket} AS bucket FROM {{{source}}} x CROSS JOIN {limits}) AS x
-JOIN (SELECT bucket, sum(n) OVER (ORDER BY bucket) - n AS before FROM (
-  SELECT bucket, sum(n) AS n FROM (SELECT {bucket} AS bucket, {n} AS n FROM {{{source}}} x CROSS JOIN {limits}) AS y GROUP BY bucket) AS z) AS o ON o.bucket = x.bucket""")
+
+    source: str = ""
+    key: str = ""
+    n: str = "1"
+
+    def __call__(self, spark: SparkSession, params: dict[str, object] | None = None, **inputs: DataFrame) -> DataFrame:
+        own = {self.source: inputs[self.source]}
+        kept = self._cuts(spark, inputs[self.source])
+        if not kept:
+            return spark.sql(f"SELECT x.*, 0 AS bucket, ({self.n}) * 0 AS before FROM {{{self.source}}} x", **own)
+        # Binary search: the number of cuts below the key.
+        steps = ", ".join(str(1 << i) for i in reversed(range(len(kept).bit_length())))
+        array = ", ".join(f"{c!r}D" if "e" in repr(c) or "." in repr(c) else f"{c!r}e0" for c in kept)
+        bucket = f"aggregate(array({steps}), 0, (a, s) -> CASE WHEN a + s <= {len(kept)} AND get(array({array}), a + s - 1) < {self.key} THEN a + s ELSE a END)"
+        marked = spark.sql(f"SELECT x.*, {bucket} AS bucket FROM {{{self.source}}} x", **own)
+        return spark.sql(f"""
+SELECT x.*, o.before FROM {{marked}} x JOIN (SELECT bucket, sum(n) OVER (ORDER BY bucket) - n AS before FROM (
+  SELECT bucket, sum({self.n}) AS n FROM {{marked}} x GROUP BY bucket) AS z) AS o ON o.bucket = x.bucket""", marked=marked)
+
+
+    def _cuts(self, spark: SparkSession, source: DataFrame) -> list[float]:
+        """Up to ``RANGES`` - 1 cuts; relations over one DataFrame by one key, up or down, share a job."""
+        plain = self.key.removeprefix("-")
+        known = _CUTS.setdefault(source, {})
+        if plain not in known:
+            shares = ", ".join(repr(i / RANGES) for i in range(1, RANGES))
+            rows, cuts = spark.sql(f"SELECT count(k), percentile_approx(k, array({shares})) FROM (SELECT {plain} AS k FROM {{source}} x) AS k", source=source).first()
+            ranges = min(RANGES, -(-rows // RANGE_ROWS))
+            known[plain] = sorted({float(cuts[RANGES * i // ranges - 1]) for i in range(1, ranges)}) if ranges > 1 else []
+        return known[plain] if plain == self.key else [-c for c in reversed(known[plain])]
+
+
+_CUTS: WeakKeyDictionary[DataFrame, dict[str, list[float]]] = WeakKeyDictionary()
+
+
+def ranged(name: str, source: str, key: str, n: str = "1") -> Relation:
+    """A ``Ranged`` relation over ``source``; its text, for checks, has one range."""
+    RELATIONS[name] = Ranged(name, f"SELECT x.*, 0 AS bucket, ({n}) * 0 AS before FROM {{{source}}} x", source=source, key=key, n=n)
+    return RELATIONS[name]
 
 
 def relation(name: str, text: str, check: str | None = None, **params: object) -> Relation:
