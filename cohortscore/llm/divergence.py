@@ -43,11 +43,7 @@ def words(text: bytes) -> list[bytes]:
 
 def prepare(docs: DataFrame, chunk: int = CHUNK, row: int = ROW) -> DataFrame:
     """The first pass, as a table: ``chunk, lang, source, body`` (texts) and ``chunk, lang, term, df`` (documents of the chunk that have the term)."""
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()]
-
-    def rows(values: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(values), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*values[lo : lo + (1 << 16)], strict=True), kinds, strict=True)], names=["chunk", "lang", "source", "body", "term", "df"])
+    names = ["chunk", "lang", "source", "body", "term", "df"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = TaskContext.get().partitionId() << 32, 0
@@ -57,12 +53,20 @@ def prepare(docs: DataFrame, chunk: int = CHUNK, row: int = ROW) -> DataFrame:
 
         def body(group: tuple[str, str]) -> pa.RecordBatch:
             sizes.pop(group, None)
-            return next(rows([(number, *group, packed(b" ".join([b"", *texts.pop(group), b""])), None, None)]))
+            values = [number], [group[0]], [group[1]], [packed(b" ".join([b"", *texts.pop(group), b""]))], [None], [None]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()), strict=True)], names=names)
+
+        def terms(lang: str, found: list[bytes], df: list[int]) -> pa.RecordBatch:
+            n = len(found)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array([lang] * n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array(found, pa.string()), pa.array(df, pa.int64())], names=names)
 
         def finish() -> Iterator[pa.RecordBatch]:
             for group in list(texts):
                 yield body(group)
-            yield from rows([(number, lang, None, None, term.decode(), n) for lang, found in seen.items() for term, n in found.items()])
+            for lang, counted in seen.items():
+                found, df = list(counted), list(counted.values())
+                for lo in range(0, len(found), 1 << 16):
+                    yield terms(lang, found[lo : lo + (1 << 16)], df[lo : lo + (1 << 16)])
 
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
