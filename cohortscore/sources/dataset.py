@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bcf, bed, bgzf, tables, vcf
+from . import bcf, bed, bgzf, lines, tables, vcf
 
 
 @dataclass(frozen=True)
@@ -85,9 +85,8 @@ def _binary_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def _bed_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
     stem = path.removesuffix(".bed")
-    names = [r["sample_id"] for r in bed.fam(spark.read.text(f"{stem}.fam").coalesce(1)).collect()]
-    numbered = spark.read.text(f"{stem}.bim").coalesce(1).where(F.trim("value") != "")  # the file's order numbers its variants
-    indexed = numbered.select("value", F.monotonically_increasing_id().alias("variant_index"))
+    names = [r["sample_id"] for r in bed.fam(lines.numbered(spark, f"{stem}.fam").orderBy("number").select("value")).collect()]
+    indexed = lines.numbered(spark, f"{stem}.bim").select("value", F.col("number").alias("variant_index"))
     fields = bed.bim(indexed.select("value"))
     variants = indexed.select("variant_index", F.element_at(F.split(F.trim("value"), r"\s+"), 2).alias("variant_id"))
     spark.dataSource.register(bed.BedSource)
@@ -210,9 +209,9 @@ def write_trios(calls: DataFrame, variants: DataFrame, samples: DataFrame, path:
     return rows.mapInArrow(run, "part int, n_variants long")
 
 
-def write_blocks(lines: DataFrame, head: str, path: str) -> DataFrame:
-    """Write ``lines`` (value) as block-compressed call files below ``path``, one a task, each with ``head`` before; told as ``path``."""
-    return _files(lines.select("value"), path, "vcf.gz", lambda: head.encode(), lambda b: b"".join(x.encode() + b"\n" for x in b.column(0).to_pylist()))
+def write_blocks(text: DataFrame, head: str, path: str) -> DataFrame:
+    """Write ``text`` (value) as block-compressed call files below ``path``, one a task, each with ``head`` before; told as ``path``."""
+    return _files(text.select("value"), path, "vcf.gz", lambda: head.encode(), lambda b: b"".join(x.encode() + b"\n" for x in b.column(0).to_pylist()))
 
 
 def write_binary(calls: DataFrame, variants: DataFrame, samples: DataFrame, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import struct
 import numpy as np
 import pytest
 
-from cohortscore.sources import bcf, bgzf, dataset
+from cohortscore.sources import bcf, bgzf, dataset, lines
 
 
 
@@ -169,3 +169,19 @@ def test_written_files_are_whole(spark, tmp_path):
     assert len(told) == 3
     texts = [gzip.open(io.BytesIO(open(p, "rb").read()), "rt").read().splitlines() for p in told]
     assert all(t[0] == "head" for t in texts) and sorted(x for t in texts for x in t[1:]) == sorted(f"row {i}" for i in range(1000))
+
+
+@pytest.mark.parametrize("step", [1, 5, 1 << 20])
+def test_lines_by_ranges_of_bytes(step):
+    for text in TEXTS:
+        want = text.split(b"\n")
+        want = want[:-1] if want[-1] == b"" else want
+        for each in (1, 2, 7, 100, 5000):
+            assert _split(text, each, lambda lo, hi: lines.owned(_File(text), len(text), lo, hi, step)) == want, (text[:20], step, each)
+
+
+def test_numbered_lines(spark, tmp_path):
+    text = [f"row {i}" for i in range(3000)]
+    (tmp_path / "t").write_text("\n\n".join(text) + "\n  \n")
+    got = lines.numbered(spark, str(tmp_path / "t"), 1000).collect()
+    assert {r["number"]: r["value"] for r in got} == dict(enumerate(text)) and len(got) == 3000
