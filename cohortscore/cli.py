@@ -44,6 +44,19 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("--validation-share", type=float, default=0.0, help="of the training samples, to choose the iterate by")
     fit.add_argument("--solver", default="auto", choices=["auto", "dense", "products"])
     fit.add_argument("--learn-priors", action="store_true", help="learn prior scales and class shapes")
+    prepare = sub.add_parser("prepare", help="a phenotype's sample table from record tables (<name>.parquet below a folder)")
+    cohort = sub.add_parser("run-cohort", help="from record tables to scores, for one phenotype")
+    many = sub.add_parser("sweep-cohorts", help="the same for several phenotypes, going on past failures")
+    for p_ in (prepare, cohort, many):
+        p_.add_argument("records")
+        p_.add_argument("output")
+        p_.add_argument("--pcs", help="a table of sample_id and components")
+    for p_ in (prepare, cohort):
+        p_.add_argument("--phenotype", required=True, help="a name, an alias or a concept code")
+    many.add_argument("--phenotypes", required=True, help="comma-separated")
+    for p_ in (cohort, many):
+        p_.add_argument("--genotypes", required=True, nargs="+")
+        p_.add_argument("--solver", default="auto", choices=["auto", "dense", "products"])
     evaluate = sub.add_parser("evaluate", help="measures of the predictions of a complete run")
     evaluate.add_argument("output")
     evaluate.add_argument("--samples", default="test", choices=["test", "all"])
@@ -52,6 +65,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def code_of(asked: str) -> int:
+    """A phenotype's concept code, by name or alias; a number is a code."""
+    return int(asked) if asked.isdigit() else int(tables.PHENOTYPES[tables.resolve_alias(asked, {k: names for k, (_, names) in tables.PHENOTYPES.items()})][0])
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "version":
@@ -74,6 +92,29 @@ def main(argv: list[str] | None = None) -> int:
         summary = run.run(spark, data, names, args.output, args.trait, args.minimum_maf, args.least_z, seed=args.seed, validation_share=args.validation_share, learn_priors=args.learn_priors, solver=args.solver, annotations=tables.delimited(spark, args.annotations) if args.annotations else None)
         print(json.dumps(summary))
         return 0 if summary["converged"] else 3
+    if args.command in ("prepare", "run-cohort", "sweep-cohorts"):
+        from cohortscore.plans import cohort
+
+        records = {t: spark.read.parquet(f"{args.records}/{t}.parquet") for t in cohort.RECORDS}
+        pcs = tables.delimited(spark, args.pcs) if args.pcs else None
+
+        def one(name: str, output: str) -> dict:
+            if args.command == "prepare":
+                return cohort.prepare(spark, records, code_of(name), output, pcs=pcs)
+            return cohort.run_cohort(spark, records, code_of(name), args.genotypes, output, pcs=pcs, solver=args.solver)
+
+        if args.command != "sweep-cohorts":
+            print(json.dumps(one(args.phenotype, args.output)))
+            return 0
+        failed = 0
+        for name in args.phenotypes.split(","):
+            try:
+                one(name, os.path.join(args.output, name))
+                print(f"{name}: COMPLETE")
+            except Exception as e:
+                failed += 1
+                print(f"{name}: FAILED {type(e).__name__}: {e}")
+        return int(failed > 0)
     if args.command == "evaluate":
         from cohortscore.plans import run
 
