@@ -77,9 +77,10 @@ def calls(text: DataFrame, sample_ids: list[str] | None = None) -> DataFrame:
     """``variant_id, sample_index, dosage``: carriers and missing calls (an absent row is 0)."""
     r = records(text)
     at = F.array_position(F.split("format", ":"), "GT").cast("int")
-    long = r.select("variant_id", at.alias("gt"), F.posexplode("samples").alias("sample_index", "sample"))
-    # Most calls are of the reference; they go by a look at the token, before alleles are taken apart.
-    reference = (F.col("gt") == 1) & F.substring("sample", 1, 4).isin("0/0", "0|0", "0/0:", "0|0:")
-    long = long.where(~F.coalesce(reference, F.lit(False)))
+    # Most calls are of the reference; they go by a look at the token, before rows are made of the others.
+    placed = F.transform("samples", lambda x, i: F.struct(i.alias("sample_index"), x.alias("sample")))
+    other = F.filter(placed, lambda x: ~F.substring(x["sample"], 1, 4).isin("0/0", "0|0", "0/0:", "0|0:"))
+    left = r.select("variant_id", at.alias("gt"), F.explode(F.when(at == 1, other).otherwise(placed)).alias("x"))
+    long = left.select("variant_id", "gt", "x.sample_index", "x.sample")
     got = long.select("variant_id", "sample_index", dosage(F.when(F.col("gt") > 0, F.try_element_at(F.split("sample", ":"), F.col("gt")))).alias("dosage"))
     return got.where(F.col("dosage").isNull() | (F.col("dosage") > 0))
