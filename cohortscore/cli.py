@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("--validation-share", type=float, default=0.0, help="of the training samples, to choose the iterate by")
     fit.add_argument("--solver", default="auto", choices=["auto", "dense", "products"])
     fit.add_argument("--learn-priors", action="store_true", help="learn prior scales and class shapes")
-    prepare = sub.add_parser("prepare", help="a phenotype's sample table from record tables (<name>.parquet below a folder)")
+    prepare = sub.add_parser("prepare", help="a phenotype's sample table from record tables (<name>.parquet below a folder, or catalog:<schema>)")
     cohort = sub.add_parser("run-cohort", help="from record tables to scores, for one phenotype")
     many = sub.add_parser("sweep-cohorts", help="the same for several phenotypes, going on past failures")
     for p_ in (prepare, cohort, many):
@@ -95,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command in ("prepare", "run-cohort", "sweep-cohorts"):
         from cohortscore.plans import cohort
 
-        records = {t: spark.read.parquet(f"{args.records}/{t}.parquet") for t in cohort.RECORDS}
+        records = cohort.records_of(spark, args.records)
         pcs = tables.delimited(spark, args.pcs) if args.pcs else None
 
         def one(name: str, output: str) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +54,52 @@ def indicators(people: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
     return people.withColumns(own) if own else people, list(own)
 
 
-def prepare(spark: SparkSession, records: dict[str, DataFrame], code: int, path: str, least_conditions: int = 2, categories: tuple[str, ...] = ("gender_concept_id",), pcs: DataFrame | None = None) -> dict:
+def records_of(spark: SparkSession, where: str) -> dict[str, DataFrame]:
+    """The record tables of a folder (``<name>.parquet``) or, as ``catalog:<schema>``, of a schema of the session's catalog."""
+    if where.startswith("catalog:"):
+        schema = tables.identifier(where.removeprefix("catalog:"))
+        return {t: spark.table(f"{schema}.{t}") for t in RECORDS}
+    return {t: spark.read.parquet(f"{where}/{t}.parquet") for t in RECORDS}
+
+
+def components(table: DataFrame, samples: DataFrame, n: int = 10) -> DataFrame:
+    """``sample_id, pc1, pc2, ...``: up to n principal components of ``samples`` (sample_id) that the table has.
+
+    The id column is that of ``sample_id, research_id, person_id`` which matches most samples; none that matches is an
+    error.  Components are a list in ``pca_features``, or columns named PC and a number; rows of too few numbers raise.
+    """
+    ids = samples.select(F.col("sample_id").cast("string").alias("id")).distinct()
+    there = [c for c in ("sample_id", "research_id", "person_id") if c in table.columns]
+    found = {c: table.join(ids, F.col(c).cast("string") == F.col("id"), "left_semi").count() for c in there}
+    key = max(there, key=lambda c: found[c], default=None)
+    if key is None or not found[key]:
+        raise ValueError(f"no sample has components: none of {there or table.columns} matches")
+    named = sorted((c for c in table.columns if re.fullmatch(r"(?i)pc_?[0-9]+", c)), key=lambda c: int(re.sub(r"\D", "", c)))[:n]
+    own = table.select(F.col(key).cast("string").alias("sample_id"), *([F.col("pca_features").cast("string")] if "pca_features" in table.columns else named))
+    if "pca_features" in table.columns:
+        values = F.from_json("pca_features", "array<double>")
+        size = own.agg(F.min(F.coalesce(F.size(values), F.lit(0)))).first()[0]
+        n = min(n, max(size, 0))
+        parts = [F.get(values, i) for i in range(n)]
+    else:
+        parts = [F.col(c).try_cast("double") for c in named]
+    if not parts:
+        raise ValueError("no components: neither a list pca_features nor columns PC1, PC2, ...")
+    rows = own.select("sample_id", *[x.alias(f"pc{i + 1}") for i, x in enumerate(parts)]).join(ids, F.col("sample_id") == F.col("id"), "left_semi")
+    if bad := rows.where(" OR ".join(f"pc{i + 1} IS NULL OR isnan(pc{i + 1})" for i in range(len(parts)))).first():
+        raise ValueError(f"a component of sample {bad['sample_id']} is no number")
+    return rows
+
+
+def prepare(spark: SparkSession, records: dict[str, DataFrame], code: int, path: str, least_conditions: int = 2, categories: tuple[str, ...] = ("gender_concept_id",), pcs: DataFrame | None = None, n_pcs: int = 10) -> dict:
     """Sample table, query text and manifest of a phenotype below ``path``; nothing is done again for equal settings and records.
 
     Cases have ``least_conditions`` conditions among the descendants of ``code`` or more, controls none; people between
-    are counted and left out.  ``pcs`` (sample_id and columns) joins by id.
+    are counted and left out.  ``pcs`` is a table of principal components, see ``components``.
     """
     if lost := [t for t in RECORDS if t not in records]:
         raise ValueError(f"no table of {', '.join(lost)}")
-    settings = {"code": code, "least_conditions": least_conditions, "categories": list(categories)}
+    settings = {"code": code, "least_conditions": least_conditions, "categories": list(categories), "n_pcs": n_pcs}
     made_of = {t: contents(records[t]) for t in RECORDS} | {"pcs": contents(pcs) if pcs is not None else None}
     known = manifest(spark, path)
     if known and (known["settings"], known["made_of"]) == (settings, json.loads(json.dumps(made_of))):
@@ -82,9 +120,9 @@ def prepare(spark: SparkSession, records: dict[str, DataFrame], code: int, path:
     )
     covariates = ["age", "age_squared", "observation_days", "log1p_n_visits", *own]
     if pcs is not None:
-        more = [c for c in pcs.columns if c != "sample_id"]
-        sample = sample.join(pcs.withColumn("sample_id", F.col("sample_id").cast("string")), "sample_id")
-        covariates += more
+        known_pcs = components(pcs, sample, n_pcs)
+        sample = sample.join(known_pcs, "sample_id")
+        covariates += known_pcs.columns[1:]
     tables.write_table(sample, f"{path}/table")
     texts = [f"-- {name} {json.dumps(RELATIONS[name].params | more)}\n{RELATIONS[name].text.strip()}" for name, more in (("closure_of_code", {"code": code}), ("cohort", {"least_conditions": least_conditions}))]
     spark.createDataFrame([("\n\n".join(texts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/query")

@@ -106,6 +106,19 @@ def evaluate_output(spark: SparkSession, output: str, test_only: bool = True) ->
     return row.asDict() if row else {}
 
 
+def validate(data: Dataset, covariates: list[str]) -> None:
+    """Raise on what no fit can use: no samples, numbers that are not finite, calls without keys or beyond 0 to 2."""
+    numbers = ["target", *covariates]
+    bad = data.samples.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).alias(f"bad_{i}") for i, c in enumerate(numbers)]).first()
+    if not bad["n"]:
+        raise ValueError("no samples to fit")
+    if lost := [c for i, c in enumerate(numbers) if bad[f"bad_{i}"]]:
+        raise ValueError(f"not finite: {', '.join(lost)}")
+    calls = RELATIONS["validate_inputs"](data.calls.sparkSession, calls=data.calls).first()
+    if calls["n_bad_dosage"] or calls["n_null_keys"]:
+        raise ValueError(f"{calls['n_bad_dosage']} calls are beyond 0 to 2, {calls['n_null_keys']} have no sample or variant")
+
+
 def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str, trait: str = "auto", minimum_maf: float = 0.01, least_z: float = 0.0, iterations: int = 1000, seed: int = 42, validation_share: float = 0.0, learn_priors: bool = False, solver: str = "auto", annotations: DataFrame | None = None) -> dict:
     """Fit on the training samples and write coefficients, scores, history, evaluation and, last, the summary to ``output``.
 
@@ -125,6 +138,7 @@ def run(spark: SparkSession, data: Dataset, covariates: list[str], output: str,
         kept = None
     if kept and kept["fingerprint"] == tables.fingerprint(settings):
         return json.loads(kept["summary"])
+    validate(data, covariates)
     train, test = split(data.samples, seed=seed)
     train, chosen_by = carved(train, validation_share, seed) if validation_share > 0 else (train, None)
     binary = trait == "binary" or (trait == "auto" and data.samples.where(~F.col("target").isin(0.0, 1.0)).isEmpty())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,17 @@ def load_artifact(spark: SparkSession, path: str, config: dict | None = None) ->
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Tab-separated and gzipped, with a header; the _SUCCESS file marks it complete."""
-    df.write.mode("overwrite").option("compression", "gzip").csv(path, sep="\t", header=True, nullValue="")
+    """Tab-separated and gzipped, with a header, numbers to eight significant digits; the _SUCCESS file marks it complete."""
+    short = {c: F.when(F.abs(c) < float("inf"), F.format_string("%.7e", F.col(c)).try_cast("double")).otherwise(F.col(c)) for c, kind in df.dtypes if kind == "double"}
+    (df.withColumns(short) if short else df).write.mode("overwrite").option("compression", "gzip").csv(path, sep="\t", header=True, nullValue="")
+
+
+def identifier(name: str) -> str:
+    """A schema's name, quoted part by part; what could be anything but a name raises."""
+    parts = name.split(".")
+    if not 1 <= len(parts) <= 2 or not all(re.fullmatch(r"[A-Za-z_][A-Za-z0-9_-]*", x) for x in parts):
+        raise ValueError(f"no name of a schema: {name!r}")
+    return ".".join(f"`{x}`" for x in parts)
 
 
 def resolve_alias(asked: str, names: dict[str, list[str]]) -> str:

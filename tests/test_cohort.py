@@ -80,3 +80,46 @@ def test_from_records_to_scores(spark, tmp_path, capsys):
     assert cli.main(sweep) == 1
     said = capsys.readouterr().out
     assert "asthma: FAILED ValueError: 0 cases" in said and "htn: COMPLETE" in said
+
+
+def test_components_of_any_table(spark):
+    samples = spark.createDataFrame([("1",), ("2",), ("3",)], "sample_id string")
+    by_list = spark.createDataFrame([("x1", 1, "[0.5,-1,2]"), ("x2", 2, "[1,2,3]"), ("x9", 9, "[7,8,9]")], "research_id string, person_id long, pca_features string")
+    got = cohort.components(by_list, samples, 2)
+    assert got.columns == ["sample_id", "pc1", "pc2"] and sorted(map(tuple, got.collect())) == [("1", 0.5, -1.0), ("2", 1.0, 2.0)]
+    by_name = spark.createDataFrame([("3", "0.25", "9", "1")], "sample_id string, PC2 string, PC10 string, PC1 string")
+    got = cohort.components(by_name, samples, 2)
+    assert [tuple(r) for r in got.collect()] == [("3", 1.0, 0.25)]
+    for table, why in ((by_list.where("person_id = 9"), "matches"), (by_list.select("person_id"), "neither"), (by_name.select("sample_id", samples.sparkSession.createDataFrame([("x",)], "PC1 string").schema["PC1"].name).replace("1", "x", "PC1"), "no number")):
+        with pytest.raises(ValueError, match=why):
+            cohort.components(table, samples, 2)
+
+
+def test_names_of_schemas(spark):
+    assert cohort.tables.identifier("a_b.c-d") == "`a_b`.`c-d`"
+    for bad in ("", "a;b", "a.b.c", "a b", "a`b", "1a"):
+        with pytest.raises(ValueError, match="no name"):
+            cohort.tables.identifier(bad)
+
+
+def test_numbers_at_the_sink(spark, tmp_path):
+    values = [1 / 3, -123456789.123, 1e-12 / 7, 0.5, 0.0, None, float("nan")]
+    cohort.tables.write_table(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double"), str(tmp_path / "t"))
+    got = {int(r["i"]): r["v"] for r in spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).collect()}
+    assert got[5] is None and got[6] == "NaN"
+    assert [float(got[i]) for i in range(5)] == [float(f"{v:.8g}") for v in values[:5]]
+
+
+def test_runs_refuse_what_no_fit_can_use(spark):
+    from cohortscore.plans import run
+    from cohortscore.sources.dataset import Dataset
+
+    calls = spark.createDataFrame([("a", "v", 1)], "sample_id string, variant_id string, dosage int")
+    samples = spark.createDataFrame([("a", 1.0, 2.0)], "sample_id string, target double, cov double")
+    run.validate(Dataset(calls, samples, calls), ["cov"])
+    for data, why in (
+        (Dataset(calls, samples.where("false"), calls), "no samples"), (Dataset(calls, samples.selectExpr("sample_id", "target", "double('nan') AS cov"), calls), "not finite: cov"),
+        (Dataset(calls.selectExpr("sample_id", "variant_id", "3 AS dosage"), samples, calls), "1 calls are beyond"), (Dataset(calls.selectExpr("sample_id", "CAST(NULL AS STRING) AS variant_id", "dosage"), samples, calls), "1 have no sample"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            run.validate(data, ["cov"])
