@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +32,12 @@ CHAIN = 4
 class Header:
     strings: dict[int, str]
     contigs: dict[int, str]
-    samples: list[str]
+    samples: Sequence[str]
     lengths: list[tuple[str, int]]
 
 
-def parse_header(text: str) -> Header:
-    """Dictionaries in the order of the lines, unless a line gives its number (IDX); PASS is 0."""
+def parse_header(text: str, names: bool = True) -> Header:
+    """Dictionaries in the order of the lines, unless a line gives its number (IDX); PASS is 0. Without ``names``, samples are numbers."""
     strings, contigs, samples, lengths = {0: "PASS"}, {}, [], []
     place = {"PASS": 0}
     for line in text.splitlines():
@@ -50,7 +50,7 @@ def parse_header(text: str) -> Header:
                 place[fields["ID"]] = int(fields.get("IDX", max(strings) + 1))
                 strings[place[fields["ID"]]] = fields["ID"]
         elif line.startswith("#CHROM"):
-            samples = line.split("\t")[9:]
+            samples = line.split("\t")[9:] if names else range(max(0, line.count("\t") - 8))
     return Header(strings, contigs, samples, lengths)
 
 
@@ -103,7 +103,7 @@ class Values:
 def dosages(raw: np.ndarray, kind: int) -> np.ndarray:
     """Alternative alleles of each sample's call (-1: missing): all alleles alternative is 2, some 1; the row's end pads lower ploidy."""
     there = raw != MISSING[kind] + 1
-    allele = (raw.astype(np.int64) >> 1) - 1
+    allele = (raw >> 1) - 1
     missing = (there & ((allele < 0) | (raw == MISSING[kind]))).any(axis=1) | ~there.any(axis=1)
     alt = (there & (allele > 0)).sum(axis=1)
     return np.where(missing, -1, np.where(alt == 0, 0, np.where(alt == there.sum(axis=1), 2, 1))).astype(np.int8)
@@ -181,19 +181,25 @@ def encode(contig: int, pos: int, name: str, ref: str, alt: str, dosage: np.ndar
 
 def file_head(contigs: list[str], samples: list[str]) -> bytes:
     """The file's start for diploid calls without more: the dictionary has GT as 1."""
+    before, after = head_around(contigs, sum(len(s.encode()) + 1 for s in samples))
+    return before + "".join(f"\t{s}" for s in samples).encode() + after
+
+
+def head_around(contigs: list[str], size: int) -> tuple[bytes, bytes]:
+    """What stands before and after the samples' names in the file's start; ``size``: bytes of the names with a tab before each."""
     text = "\n".join([
         "##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="All filters passed",IDX=0>', *[f"##contig=<ID={c},IDX={i}>" for i, c in enumerate(contigs)],
-        '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype",IDX=1>', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples]), "\0",
-    ])
-    return MAGIC + struct.pack("<I", len(text.encode())) + text.encode()
+        '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype",IDX=1>', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]),
+    ]).encode()
+    return MAGIC + struct.pack("<I", len(text) + size + 2) + text, b"\n\0"
 
 
 # Reading
 
 
-def read_header(blocks: bgzf.Blocks) -> tuple[Header, int, int]:
+def read_header(blocks: bgzf.Blocks, names: bool = True) -> tuple[Header, int, int]:
     """The header, the block in which the first record starts, and where in that block's data."""
-    held, before = b"", 0
+    held, before = bytearray(), 0
     for place, data in blocks.read(0):
         held += data
         if len(held) >= 9:
@@ -201,10 +207,10 @@ def read_header(blocks: bgzf.Blocks) -> tuple[Header, int, int]:
                 raise ValueError("no binary call file of version 2")
             stop = 9 + struct.unpack_from("<I", held, 5)[0]
             if len(held) > stop or (len(held) == stop and not data):
-                return parse_header(held[9:stop].rstrip(b"\0").decode()), place, stop - before
+                return parse_header(held[9:stop].rstrip(b"\0").decode(), names), place, stop - before
         before = len(held)
     if len(held) >= 9 and len(held) == 9 + struct.unpack_from("<I", held, 5)[0]:
-        return parse_header(held[9:].rstrip(b"\0").decode()), blocks.size, 0
+        return parse_header(held[9:].rstrip(b"\0").decode(), names), blocks.size, 0
     raise ValueError("the header is cut off")
 
 
@@ -214,7 +220,7 @@ def records_of(blocks: bgzf.Blocks, header: Header, lo: int, hi: int, begin: tup
     start = begin[0] if known else blocks.first(lo)
     if start >= hi or start < begin[0]:
         return
-    data, at, edge, ended = b"", begin[1] if known else 0, None, False
+    data, at, edge, ended = bytearray(), begin[1] if known else 0, None, False
     stream = blocks.read(start)
 
     def more() -> bool:
@@ -230,19 +236,26 @@ def records_of(blocks: bgzf.Blocks, header: Header, lo: int, hi: int, begin: tup
         return True
 
     more()
+    mark = struct.pack("<I", len(header.samples))[:3]
     while not known:
-        # The first byte from which a chain of records goes on.
-        if edge is not None and at >= edge:
+        # The first byte from which a chain of records goes on; a record has its number of samples 28 bytes on.  The range's own
+        # blocks are all looked through before any beyond them is read, so ranges within a long record end early.
+        here = data.find(mark, at + 28) - 28
+        if edge is not None and (at >= edge or here >= edge):
             return
+        if here < 0:
+            at = max(at, len(data) - 30)
+            if not more():
+                return
+            continue
+        at = here
         answer = plausible(data, at, header, whole=ended)
+        if answer:
+            break
         if answer is None:
             more()
             continue
-        if answer:
-            break
         at += 1
-        if at >= len(data) and not more():
-            return
     while True:
         while len(data) < at + 8 and more():
             pass
@@ -255,10 +268,11 @@ def records_of(blocks: bgzf.Blocks, header: Header, lo: int, hi: int, begin: tup
         while len(data) < stop:
             if not more():
                 raise ValueError("a record is cut off")
-        yield decode(data[at + 8 : at + 8 + n_shared], data[at + 8 + n_shared : stop], header)
+        yield decode(bytes(data[at + 8 : at + 8 + n_shared]), bytes(data[at + 8 + n_shared : stop]), header)
         at = stop
         if at > 1 << 22:
-            data, edge, at = data[at:], None if edge is None else edge - at, 0
+            del data[:at]
+            edge, at = None if edge is None else edge - at, 0
 
 
 class _Reader(DataSourceReader):
@@ -268,8 +282,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         with bgzf.open_file(self.path) as f:
             blocks = bgzf.Blocks(f, f.size())
-            header, place, at = read_header(blocks)
-            return [InputPartition((lo, min(blocks.size, lo + self.each), header, (place, at))) for lo in range(0, blocks.size, self.each)]
+            # A partition's reader needs the samples' number alone: names in each would be names times ranges on the driver.
+            header, place, at = read_header(blocks, names=False)
+            return [InputPartition((lo, min(blocks.size, lo + self.each), header, (place, at))) for lo in range(place, blocks.size, self.each)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         lo, hi, header, begin = partition.value

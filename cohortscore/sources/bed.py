@@ -92,20 +92,42 @@ def pack_calls(calls: DataFrame, samples: DataFrame) -> DataFrame:
     ``samples`` (sample_id, ordinal from 0) gives the number of samples; a variant's carriers are one row.
     """
     n = samples.count()
-    placed = calls.join(samples, "sample_id").groupBy("variant_id").agg(F.collect_list("ordinal").alias("at"), F.collect_list(F.coalesce("dosage", F.lit(-1))).alias("d"))
+    placed = together(calls, samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for at, dosages in zip(b.column(1), b.column(2), strict=True):
-                d = np.zeros(n, np.int64)
-                d[at.values.to_numpy()] = dosages.values.to_numpy()
-                out.append(pack(d))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["variant_id", "packed"])
+        for v, d in filled(batches, n):
+            yield pa.RecordBatch.from_arrays([v, pa.array([pack(d)], pa.binary())], names=["variant_id", "packed"])
 
     return placed.mapInArrow(run, StructType([placed.schema["variant_id"], StructField("packed", BinaryType())]))
 
 
+def together(calls: DataFrame, samples: DataFrame) -> DataFrame:
+    """``variant_id, ordinal, dosage`` (-1: missing), a variant's rows one after another; no list of a variant's carriers is made."""
+    placed = calls.join(samples, "sample_id").select("variant_id", "ordinal", F.coalesce("dosage", F.lit(-1)).cast("byte").alias("dosage"))
+    return placed.repartition("variant_id").sortWithinPartitions("variant_id")
+
+
+def filled(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(variant, its n dosages) of the rows of ``together``, as they stream by: one variant is held."""
+    variant, row = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column(0)
+        nth = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.r_[True, nth[1:] != nth[:-1], True])
+        at, d = b.column(1).to_numpy(), b.column(2).to_numpy()
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = ids.slice(lo, 1)
+            if row is None or not own.equals(variant):
+                if row is not None:
+                    yield variant, row
+                variant, row = own, np.zeros(n, np.int8)
+            row[at[lo:hi]] = d[lo:hi]
+    if row is not None:
+        yield variant, row
+
+
 def unpack_calls(packed: DataFrame, n: int) -> DataFrame:
     """``variant_id, ordinal, dosage``: carriers and missing calls of packed variants."""
 

@@ -6,7 +6,7 @@ sample table share, and a variant that several sources have comes from the first
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -209,9 +209,42 @@ def write_trios(calls: DataFrame, variants: DataFrame, samples: DataFrame, path:
     return rows.mapInArrow(run, "part int, n_variants long")
 
 
-def write_blocks(text: DataFrame, head: str, path: str) -> DataFrame:
-    """Write ``text`` (value) as block-compressed call files below ``path``, one a task, each with ``head`` before; told as ``path``."""
-    return _files(text.select("value"), path, "vcf.gz", lambda: head.encode(), lambda b: b"".join(x.encode() + b"\n" for x in b.column(0).to_pylist()))
+def name_pieces(named: DataFrame, path: str) -> tuple[list[str], int]:
+    """Write the names of ``named`` (ordinal, name) in order below ``path``, a tab before each, and tell the files and their bytes in all.
+
+    A header line may have millions of names: they go from tasks to tasks through files of ranges, not through the driver.
+    """
+    rows = named.select("ordinal", F.concat(F.lit("\t"), F.col("name").cast("string")).alias("name")).repartitionByRange("ordinal").sortWithinPartitions("ordinal")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        import pyarrow.fs
+
+        fs, folder = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs.create_dir(folder)
+        first, size, name = None, 0, f"{uuid.uuid4().hex}.names"
+        with fs.open_output_stream(f"{folder}/{name}") as out:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                first = b.column(0)[0].as_py() if first is None else first
+                raw = "".join(b.column(1).to_pylist()).encode()
+                out.write(raw)
+                size += len(raw)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([f"{path}/{name}"]), pa.array([size], pa.int64())], names=["first", "path", "size"])
+
+    told = sorted(rows.mapInArrow(run, "first long, path string, size long").collect())  # a row a range
+    return [r["path"] for r in told], sum(r["size"] for r in told)
+
+
+def write_blocks(text: DataFrame, head: str | list[bytes | str], path: str) -> DataFrame:
+    """Write ``text`` (value) as block-compressed call files below ``path``, one a task, each with ``head`` before; told as ``path``.
+
+    ``head`` is a text, or a list of bytes and of paths of files that hold parts of it.
+    """
+    return _files(text.select("value"), path, "vcf.gz", [head.encode()] if isinstance(head, str) else head, lambda b: (x + b"\n" for x in b.column(0).cast(pa.binary()).to_pylist()))
 
 
 def write_binary(calls: DataFrame, variants: DataFrame, samples: DataFrame, path: str) -> DataFrame:
@@ -220,21 +253,20 @@ def write_binary(calls: DataFrame, variants: DataFrame, samples: DataFrame, path
     ``variants`` (variant_id, chrom, pos, ref, alt), ``samples`` (sample_id, ordinal from 0): the header's contigs and names.
     """
     contigs = sorted(str(r["chrom"]) for r in variants.select("chrom").distinct().collect())  # the header's lines
-    names = [str(r["sample_id"]) for r in samples.orderBy("ordinal").select("sample_id").collect()]
-    place, n = {c: i for i, c in enumerate(contigs)}, len(names)
+    names, size = name_pieces(samples.select("ordinal", F.col("sample_id").alias("name")), f"{path}-names")
+    place, n = {c: i for i, c in enumerate(contigs)}, samples.count()
+    before, after = bcf.head_around(contigs, size)
     rows = variants.join(bed.pack_calls(calls, samples), "variant_id", "left").select("chrom", "pos", "variant_id", "ref", "alt", "packed").select(F.col("chrom").cast("string"), F.col("pos").cast("long"), F.col("variant_id").cast("string"), "ref", "alt", "packed")
 
-    def body(b: pa.RecordBatch) -> bytes:
-        out = []
+    def body(b: pa.RecordBatch) -> Iterator[bytes]:
         for chrom, pos, name, ref, alt, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
             d = np.zeros(n, np.int8) if packed is None else bed.unpack(packed, n)
-            out.append(bcf.encode(place[chrom], pos, name, ref, alt, d, 1))
-        return b"".join(out)
+            yield bcf.encode(place[chrom], pos, name, ref, alt, d, 1)
 
-    return _files(rows, path, "bcf", lambda: bcf.file_head(contigs, names), body)
+    return _files(rows, path, "bcf", [before, *names, after], body)
 
 
-def _files(rows: DataFrame, path: str, suffix: str, head, body) -> DataFrame:
+def _files(rows: DataFrame, path: str, suffix: str, head: list[bytes | str], body: Callable[[pa.RecordBatch], Iterator[bytes]]) -> DataFrame:
     """A block-compressed file of each task with rows, under a name of its own: only those that are told of are whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,13 +277,25 @@ def _files(rows: DataFrame, path: str, suffix: str, head, body) -> DataFrame:
         fs, folder = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         fs.create_dir(folder)
         name, out, held = f"{uuid.uuid4().hex}.{suffix}", None, b""
+
+        def put(piece: bytes) -> None:
+            nonlocal held
+            whole = memoryview(held + piece if held else piece)
+            for at in range(0, len(whole) - 65_279, 65_280):
+                out.write(bgzf.deflate(whole[at : at + 65_280]))
+            held = bytes(whole[len(whole) // 65_280 * 65_280 :])
+
         for b in batches:
             if out is None:
-                out, held = fs.open_output_stream(f"{folder}/{name}", compression=None), head()
-            held += body(b)
-            while len(held) >= 65_280:
-                out.write(bgzf.deflate(held[:65_280]))
-                held = held[65_280:]
+                out = fs.open_output_stream(f"{folder}/{name}", compression=None)
+                for part in head:
+                    if isinstance(part, bytes):
+                        put(part)
+                        continue
+                    with bgzf.open_file(part) as f:
+                        put(f.read())
+            for piece in body(b):
+                put(piece)
         if out is not None:
             out.write(bgzf.deflate(held) + bgzf.EMPTY)
             out.close()

@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import pickle
 import struct
 
 import numpy as np
@@ -128,6 +129,15 @@ def test_records_by_ranges(n, step):
             assert (d == w[5]).all()
 
 
+def test_ranges_of_a_binary_file_know_no_names(tmp_path):
+    """What the driver holds of a range does not grow with the header's names."""
+    names = [f"a-name-of-sample-{i:06}" for i in range(20_000)]
+    record = bcf.encode(0, 5, "v", "A", "G", np.random.default_rng(0).choice([-1, 0, 1, 2], len(names)), 1)
+    (tmp_path / "x.bcf").write_bytes(bgzf.compress(bcf.file_head(["1"], names) + record * 20))
+    ranges = bcf.BcfSource({"path": str(tmp_path / "x.bcf"), "bytesPerPartition": "5000"}).reader(None).partitions()
+    assert len(ranges) > 10 and sum(len(pickle.dumps(r)) for r in ranges) < 1000 * len(ranges)
+
+
 def test_binary_refuses_what_it_cannot_tell():
     head = bcf.file_head(["1"], ["A"])
     record = bcf.encode(0, 5, "v", "A", "G", np.array([1]), 1)
