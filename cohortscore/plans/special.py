@@ -63,18 +63,15 @@ def vcf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call-file lines of all variants (the inverse of the scan); a line is filled from its carriers and missing calls."""
     made: dict[str, DataFrame] = {}
     calls, samples = build(spark, sf_dir, "calls", made), build(spark, sf_dir, "samples", made)
-    token = F.when(F.col("dosage").isNull(), "./.:0").when(F.col("dosage") == 2, "1|1:9").when(F.col("dosage") == 1, "0/1:9").otherwise("0/0:9")
-    called = calls.join(places(samples), "sample_id").groupBy("variant_id").agg(F.collect_list("ordinal").alias("at"), F.collect_list(token).alias("token"))
+    tokens = np.frombuffer(b"\t0/0:9\t0/1:9\t1|1:9\t./.:0", np.uint8).reshape(4, -1)  # of 0, 1, 2 and missing
     n = samples.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for v, at, tokens in zip(*b.columns, strict=True):
-                body = np.full(n, "0/0:9", object)
-                body[at.values.to_numpy()] = tokens.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([v.as_py()], pa.int64()), pa.array(["\t".join(body)])], names=["variant_id", "body"])
+        for v, d in bed.filled(batches, n):
+            body = pa.array([tokens[d].tobytes()[1:]], pa.string())
+            yield pa.RecordBatch.from_arrays([v.cast(pa.int64()), body], names=["variant_id", "body"])
 
-    body = called.mapInArrow(run, "variant_id long, body string")
+    body = bed.together(calls, places(samples)).mapInArrow(run, "variant_id long, body string")
     line = F.concat_ws("\t", F.lit("1"), (F.col("variant_id") + 1).cast("string"), F.concat(F.lit("v"), "variant_id"), F.lit("A"), F.lit("G"), F.lit("50"), F.lit("PASS"), F.lit("AF=0.1"), F.lit("GT:DP"), "body")
     return body.select(line.alias("value"))
 
