@@ -63,6 +63,8 @@ def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.delimited(spark, path)
 
 
+#: The header line's fields before the samples.
+HEAD = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
 #: Bytes of a compressed file that one task reads, so that even small tables are read by several.
 FILE_RANGE = 1 << 17
 
@@ -70,8 +72,8 @@ FILE_RANGE = 1 << 17
 def scan_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of all variants from block-compressed call files, each read by ranges of blocks."""
     made: dict[str, DataFrame] = {}
-    names = [r[0] for r in special.places(build(spark, sf_dir, "samples", made)).orderBy("ordinal").select(F.col("sample_id").cast("string")).collect()]  # the header line
-    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names]) + "\n"
+    names, _ = dataset.name_pieces(special.places(build(spark, sf_dir, "samples", made)).select("ordinal", F.col("sample_id").alias("name")), _folder(spark, "names").removeprefix("file:"))
+    head = [HEAD.encode(), *names, b"\n"]
     told = dataset.write_blocks(special.vcf_text(spark, sf_dir), head, _folder(spark, "blocks").removeprefix("file:")).collect()  # a row a file
     spark.dataSource.register(bgzf.BgzfText)
     text = [spark.read.format("bgzftext").option("bytesPerPartition", FILE_RANGE).load(r["path"]) for r in told]

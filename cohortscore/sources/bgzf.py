@@ -114,7 +114,7 @@ def lines_of(blocks: Blocks, lo: int, hi: int) -> Iterator[bytes]:
     break, but for the file's first range.  In turn it reads on beyond its last block until the line is complete
     that has begun by then, be it at the very end.
     """
-    start, skip, tail = blocks.first(lo), lo > 0, b""
+    start, skip, tail = blocks.first(lo), lo > 0, []  # tail: the pieces of the line that has begun
     if start >= hi:
         return
     for place, data in blocks.read(start):
@@ -122,17 +122,22 @@ def lines_of(blocks: Blocks, lo: int, hi: int) -> Iterator[bytes]:
             return  # one long line covers the whole range
         cut = data.find(b"\n") if place >= hi or skip else 0
         if cut < 0:
-            tail = b"" if skip else tail + data
+            if not skip:
+                tail.append(data)
             continue
         if place >= hi:
-            yield tail + data[:cut]
+            yield b"".join([*tail, data[:cut]])
             return
         if skip:
             data, skip = data[cut + 1 :], False
-        *whole, tail = (tail + data).split(b"\n")
-        yield from whole
-    if tail:
-        yield tail
+        first, *more = data.split(b"\n")
+        tail.append(first)
+        if more:
+            yield b"".join(tail)
+            yield from more[:-1]
+            tail = more[-1:]
+    if any(tail):
+        yield b"".join(tail)
 
 
 class _Reader(DataSourceReader):

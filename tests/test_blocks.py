@@ -55,6 +55,30 @@ def test_blocks_that_hold_other_blocks():
         assert _split(data, each, lambda lo, hi: bgzf.lines_of(_blocks(data), lo, hi)) == text.split(b"\n")
 
 
+class _Counted(bytes):
+    """Bytes that count what is added to them, piece by piece."""
+
+    added = 0
+
+    def __radd__(self, other):
+        _Counted.added += len(other) + len(self)
+        return _Counted(bytes(other) + bytes(self))
+
+    def __add__(self, other):
+        _Counted.added += len(other) + len(self)
+        return _Counted(bytes(self) + bytes(other))
+
+
+def test_a_long_line_is_put_together_once(monkeypatch):
+    """A line of many blocks is not copied again with each of them."""
+    text = b"a" * 50_000 + b"\n" + b"b" * 70_000 + b"\n"
+    data, whole = bgzf.compress(text, 100), bgzf.inflate
+    monkeypatch.setattr(bgzf, "inflate", lambda block: _Counted(whole(block)))
+    _Counted.added = 0
+    assert list(bgzf.lines_of(_blocks(data), 0, len(data))) == text.split(b"\n")[:2]
+    assert _Counted.added < 10 * len(text)
+
+
 def test_damage_raises():
     data = bgzf.compress(b"some text\n" * 50, 100)
     for bad in (data[:-40], data[:60] + b"\0\1\2" + data[63:]):
@@ -181,6 +205,17 @@ def test_written_files_are_whole(spark, tmp_path):
     assert all(t[0] == "head" for t in texts) and sorted(x for t in texts for x in t[1:]) == sorted(f"row {i}" for i in range(1000))
 
 
+def test_a_header_in_pieces(spark, tmp_path):
+    """Names are written by ranges, in order, and each file begins with all of them."""
+    named = spark.range(1000).selectExpr("999 - id AS ordinal", "concat('S', 999 - id) AS name").repartition(5)
+    pieces, size = dataset.name_pieces(named, str(tmp_path / "n"))
+    names = "".join(f"\tS{i}" for i in range(1000)).encode()
+    assert b"".join(open(p, "rb").read() for p in pieces) == names and size == len(names)
+    text = spark.createDataFrame([("x" * 200_000,), ("y",)], "value string").coalesce(1)
+    (told,) = dataset.write_blocks(text, [b"head", *pieces, b"\n"], str(tmp_path / "b")).collect()
+    assert gzip.decompress(open(told["path"], "rb").read()) == b"head" + names + b"\n" + b"x" * 200_000 + b"\ny\n"
+
+
 @pytest.mark.parametrize("step", [1, 5, 1 << 20])
 def test_lines_by_ranges_of_bytes(step):
     for text in TEXTS:
