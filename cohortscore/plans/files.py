@@ -65,6 +65,8 @@ def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The header line's fields before the samples.
 HEAD = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
+#: Names of a header line that are put together in one group.
+NAMES = 1 << 15
 #: Bytes of a compressed file that one task reads, so that even small tables are read by several.
 FILE_RANGE = 1 << 17
 
@@ -96,10 +98,12 @@ def scan_bcf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of a text call file for the samples of a table with finite values, as the loader joins them."""
     made: dict[str, DataFrame] = {}
-    order = special.places(build(spark, sf_dir, "samples", made)).orderBy("ordinal").select(F.concat(F.lit("S"), "sample_id")).collect()  # the header line
-    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *[r[0] for r in order]])
+    order = special.places(build(spark, sf_dir, "samples", made)).select("ordinal", F.concat(F.lit("S"), "sample_id").alias("name"))
+    joined = lambda of: F.array_join(F.transform(F.sort_array(F.collect_list(of)), lambda x: x["text"]), "\t")
+    parts = order.groupBy(F.floor(F.col("ordinal") / NAMES).alias("part")).agg(joined(F.struct("ordinal", F.col("name").alias("text"))).alias("text"))
+    head = parts.agg(F.concat_ws("\t", F.lit(HEAD), F.nullif(joined(F.struct("part", "text")), F.lit(""))).alias("value"))  # one line of a text file
     calls, table = f"{_folder(spark, 'calls')}.vcf", _folder(spark, "samples")
-    spark.createDataFrame([(head,)], "value string").coalesce(1).write.text(calls)
+    head.write.text(calls)
     special.vcf_text(spark, sf_dir).write.mode("append").text(calls)
     build(spark, sf_dir, "raw_samples", made).select("sample_id", "target_text", "covariate_text").write.csv(table, sep="\t", header=True)
     return dataset.load_dataset(spark, [calls], table, "target_text", ["covariate_text"]).calls

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortscore.operators import components
+
 from . import bcf, bed, bgzf, lines, tables, vcf
 
 
@@ -40,15 +42,9 @@ def contents(table: DataFrame) -> list:
     return [n, str(digest)]
 
 
-def _named(calls: DataFrame, names: list[str]) -> DataFrame:
-    """sample_index becomes sample_id, by one array that all rows look up; nothing is shuffled.
-
-    The array is one literal (of one string), so planning does not grow with the number of names.
-    """
-    import json
-
-    ids = F.from_json(F.lit(json.dumps(names)), "array<string>")
-    return calls.select(F.element_at(ids, F.col("sample_index").cast("int") + 1).alias("sample_id"), "variant_id", "dosage")
+def _named(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """sample_index becomes sample_id, by a join with ``names`` (sample_index, sample_id): no plan and no task holds them all."""
+    return calls.withColumn("sample_index", F.col("sample_index").cast("long")).join(names, "sample_index").select("sample_id", "variant_id", "dosage")
 
 
 def described_alleles(r: DataFrame, svlen: Column) -> DataFrame:
@@ -67,40 +63,58 @@ def described_alleles(r: DataFrame, svlen: Column) -> DataFrame:
     return r.select("variant_id", "chrom", "pos", kind.alias("variant_class"), F.coalesce(size, length).alias("length"), "ref", "alt")
 
 
-def _text_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
+def _text_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     text = vcf.lines(spark, path)
-    names, _ = vcf.header(text)
+    names = text.where(F.col("value").startswith("#CHROM")).distinct().select(F.posexplode(F.split(F.split("value", "\t", 10)[9], "\t")).alias("sample_index", "sample_id"))
     variants = described_alleles(vcf.records(text), F.regexp_extract(F.concat(F.lit(";"), "info"), ";SVLEN=([^;,]*)", 1))
-    return _named(vcf.calls(text), names), variants, names
+    return vcf.calls(text), variants, names
 
 
-def _binary_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
+def _binary_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark.dataSource.register(bcf.BcfSource)
-    with bgzf.open_file(path) as f:
-        names = bcf.read_header(bgzf.Blocks(f, f.size()))[0].samples
+
+    def header(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with bgzf.open_file(path) as f:
+            found = bcf.read_header(bgzf.Blocks(f, f.size()))[0].samples
+        for lo in range(0, len(found), 1 << 16):
+            own = found[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(own)), pa.int64()), pa.array(own, pa.string())], names=["sample_index", "sample_id"])
+
+    names = spark.range(0, 1, 1, 1).mapInArrow(header, "sample_index long, sample_id string")
     r = spark.read.format("bcf2").load(path).withColumn("variant_id", F.coalesce("id", F.concat_ws(":", "chrom", "pos", "ref", "alt")))
     calls = r.select("variant_id", F.explode(F.arrays_zip("at", "dosage")).alias("x")).select("variant_id", F.col("x.at").alias("sample_index"), "x.dosage")
-    return _named(calls, names), described_alleles(r, F.split_part(F.col("info")["SVLEN"], F.lit(","), F.lit(1))), names
+    return calls, described_alleles(r, F.split_part(F.col("info")["SVLEN"], F.lit(","), F.lit(1))), names
 
 
-def _bed_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
+def _bed_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     stem = path.removesuffix(".bed")
-    names = [r["sample_id"] for r in bed.fam(lines.numbered(spark, f"{stem}.fam").orderBy("number").select("value")).collect()]
+    names = lines.numbered(spark, f"{stem}.fam").select(F.col("number").alias("sample_index"), F.element_at(F.split(F.trim("value"), r"\s+"), 2).alias("sample_id"))
     indexed = lines.numbered(spark, f"{stem}.bim").select("value", F.col("number").alias("variant_index"))
     fields = bed.bim(indexed.select("value"))
     variants = indexed.select("variant_index", F.element_at(F.split(F.trim("value"), r"\s+"), 2).alias("variant_id"))
     spark.dataSource.register(bed.BedSource)
-    raw = spark.read.format("bed2bit").option("samples", len(names)).load(path)
+    raw = spark.read.format("bed2bit").option("samples", names.count()).load(path)
     calls = raw.join(variants, "variant_index").select("variant_id", "sample_index", "dosage")
     # The file counts its first allele.
-    return _named(calls, names), fields.select("variant_id", "chrom", "pos", "variant_class", "length", F.col("a2").alias("ref"), F.col("a1").alias("alt")), names
+    return calls, fields.select("variant_id", "chrom", "pos", "variant_class", "length", F.col("a2").alias("ref"), F.col("a1").alias("alt")), names
 
 
 def load_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Calls, variants and the file's sample ids in order, by the path's suffix."""
-    names_of = {"vcf": _text_source, "bcf": _binary_source, "plink1": _bed_source}
-    calls, variants, names = names_of[vcf.genotype_format(path)](spark, path)
-    if len(set(names)) != len(names):
+    """Calls, variants and the file's sample ids in order, by the path's suffix; for files whose ids a list can hold."""
+    calls, variants, names = _opened(spark, path)
+    return _named(calls, names), variants, [r["sample_id"] for r in names.orderBy("sample_index").collect()]
+
+
+def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls by sample_index, variants and ``sample_index, sample_id``, which are read once and kept in the shared folder."""
+    source_of = {"vcf": _text_source, "bcf": _binary_source, "plink1": _bed_source}
+    calls, variants, names = source_of[vcf.genotype_format(path)](spark, path)
+    components.shared_dir(spark)
+    names = names.select(F.col("sample_index").cast("long").alias("sample_index"), "sample_id").checkpoint()
+    n, places, ids = names.agg(F.count("*"), F.count_distinct("sample_index"), F.count_distinct("sample_id")).first()
+    if places != n:
+        raise ValueError(f"{path}: its header lines differ")
+    if ids != n:
         raise ValueError(f"{path}: sample ids repeat")
     return calls, variants, names
 
@@ -116,11 +130,10 @@ def load_dataset(
     """
     if not paths:
         raise ValueError("no call files")
-    found = [load_calls(spark, p) for p in paths]
-    common = set(found[0][2]).intersection(*[names for _, _, names in found[1:]])
+    found = [_opened(spark, p) for p in paths]
+    ids = reduce(lambda a, b: a.join(b, "id", "left_semi"), [names.select(F.col("sample_id").alias("id")) for _, _, names in found])
     table = tables.delimited(spark, sample_table)
     tables.require_columns(table, [target, *covariates], sample_table)
-    ids = spark.createDataFrame([(x,) for x in sorted(common)], "id string")
     key = sample_id
     if key is None:
         there = [c for c in ("sample_id", "research_id", "person_id") if c in table.columns]
@@ -136,8 +149,10 @@ def load_dataset(
     sourced = reduce(DataFrame.unionByName, [v.withColumn("source", F.lit(i)) for i, (_, v, _) in enumerate(found)])
     first = Window.partitionBy("chrom", "pos", "variant_id").orderBy("source")
     variants = sourced.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    calls = reduce(DataFrame.unionByName, [c.withColumn("source", F.lit(i)) for i, (c, _, _) in enumerate(found)])
-    calls = calls.join(samples.select("sample_id"), "sample_id", "left_semi").join(variants.select("variant_id", "source"), ["variant_id", "source"], "left_semi").drop("source")
+    # Names of samples that stay, so that calls of all others go in the same join.
+    named = [_named(c, names.join(samples.select("sample_id"), "sample_id", "left_semi")) for c, _, names in found]
+    calls = reduce(DataFrame.unionByName, [c.withColumn("source", F.lit(i)) for i, c in enumerate(named)])
+    calls = calls.join(variants.select("variant_id", "source"), ["variant_id", "source"], "left_semi").drop("source")
     more = tables.delimited(spark, metadata) if metadata else None
     origin = {
         "calls": [stamps(spark, [*beside(p)]) for p in paths], "samples": contents(table), "target": target, "covariates": covariates, "id": key,

@@ -176,3 +176,18 @@ def test_transcoded_files_keep_alleles_and_classes(spark, tmp_path):
     cols = ["variant_id", "chrom", "pos", "variant_class", "ref", "alt"]
     assert sorted(map(tuple, again[1].select(cols).collect())) == sorted(map(tuple, variants.select(cols).collect()))
     assert sorted(map(tuple, again[0].collect()), key=str) == sorted(map(tuple, calls.collect()), key=str)
+
+
+def test_names_of_samples_stay_out_of_the_plan(spark, tmp_path):
+    """Ids are joined, not spelled out in a plan that the driver holds; header lines of one source must agree."""
+    names = [f"a-long-name-of-sample-{i}" for i in range(500)]
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
+    body = "1\t5\tv1\tA\tG\t.\t.\t.\tGT\t" + "\t".join("0/1" if i % 3 else "0/0" for i in range(500))
+    (tmp_path / "a.vcf").write_text("\t".join([head, *names]) + "\n" + body + "\n")
+    (tmp_path / "samples.tsv").write_text("sample_id\ty\n" + "".join(f"{x}\t{i if i % 2 else 'NaN'}\n" for i, x in enumerate(names)))
+    data = dataset.load_dataset(spark, [str(tmp_path / "a.vcf")], str(tmp_path / "samples.tsv"), "y", [])
+    assert sorted(r["sample_id"] for r in data.calls.collect()) == sorted(names[i] for i in range(500) if i % 3 and i % 2)
+    assert names[7] not in data.calls._jdf.queryExecution().logical().toString() and names[7] not in data.calls._jdf.queryExecution().optimizedPlan().toString()
+    (tmp_path / "b.vcf").write_text("\t".join([head, *names]) + "\n" + "\t".join([head, *names[:3]]) + "\n" + body + "\n")
+    with pytest.raises(ValueError, match="header lines differ"):
+        dataset.load_calls(spark, str(tmp_path / "b.vcf"))
