@@ -8,6 +8,8 @@ import pytest
 from cohortscore.plans import relation
 from cohortscore.plans.relation import RELATIONS, build
 
+from .conftest import SF
+
 
 def _heavy(n=4000):
     rng = np.random.default_rng(0)
@@ -63,3 +65,9 @@ def test_rankings_of_heavy_tails(spark, monkeypatch, rows):
 def test_ties_meet_without_a_window(spark):
     plan = RELATIONS["tie_map"]
     assert "OVER" not in plan.text and "min_by" in plan.text
+
+
+def test_what_is_ranged_is_made_once(spark):
+    """The scores are made once; the query that ranks them reads no calls again."""
+    made = build(spark, SF, "auc_all")
+    assert not [f for f in made.inputFiles() if "lineitem" in f]
