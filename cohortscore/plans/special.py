@@ -121,7 +121,9 @@ def gram_blocks(spark: SparkSession, calls: DataFrame, standardization: DataFram
 def _designed(spark: SparkSession, sf_dir: str, target: str, covariates: list[str]) -> tuple[DataFrame, list, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], list]:
     """Rows, variants, constants, prior scales and shapes, and Gram blocks of the reduced variants."""
     made: dict[str, DataFrame] = {}
-    few = reduced_variants(spark, sf_dir, made)
+    # Statistics, ties, rows and Gram blocks all start from the calls, and each reads the reduced variants: both are made once.
+    made["calls"] = components.kept(build(spark, sf_dir, "calls", made))
+    few = components.kept(reduced_variants(spark, sf_dir, made))
     samples = build(spark, sf_dir, "samples", made).withColumn("y_scaled", F.col("y") / 1000)
     calls = build(spark, sf_dir, "calls", made)
     rows, ids, zero = design(calls, few, samples, covariates, target)
@@ -142,19 +144,16 @@ def _fit(spark: SparkSession, sf_dir: str, target: str, covariates: list[str], b
 
 def cg_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(Z'Z / 4 + 1 / scale^2) x = Z'r for three right sides r at once, by products: ``variant_id, of_y, of_cov, of_target, status``."""
-    rows, ids, zero, (base, _, _), inputs = _designed(spark, sf_dir, "y_scaled", ["cov"])
-    target = _designed(spark, sf_dir, "target", [])[0]
-    whole, plain = Design(rows, zero, 2), Design(target, zero, 1)
+    k = 3  # the target goes as a covariate, so that one design has all three right sides
+    rows, ids, zero, (base, _, _), inputs = _designed(spark, sf_dir, "y_scaled", ["cov", "target"])
+    whole = Design(rows, zero, k)
     of_y, _, _ = whole.target()
-    of_cov = whole.gram(np.eye(whole.size, 2)[:, 1:])[:, 0]
-    of_target, _, _ = plain.target()
-    rhs = np.column_stack([of_y[2:], of_cov[2:], of_target[1:]])
+    rhs = np.column_stack([of_y[k:], whole.gram(np.eye(whole.size, k)[:, 1:])[k:]])
     ridge, blocks = 1 / base**2, gram_blocks(spark, *inputs, ids)
-    lift = lambda v: np.vstack([np.zeros((2, v.shape[1])), v])
+    lift = lambda v: np.vstack([np.zeros((k, v.shape[1])), v])
     m = krylov.BlockDiagonal(whole.squares() / 4 + ridge, [(at, g / 4 + np.diag(ridge[at])) for at, g in blocks])
-    got = krylov.block_cg(lambda v: whole.gram(lift(v))[2:] / 4 + ridge[:, None] * v, rhs, m, tol=1e-10)
+    got = krylov.block_cg(lambda v: whole.gram(lift(v))[k:] / 4 + ridge[:, None] * v, rhs, m, tol=1e-10)
     rows.unpersist()
-    target.unpersist()
     out = [(int(v), *map(float, x), max(got.status).name) for v, x in zip(ids, got.x, strict=True)]
     return spark.createDataFrame(out, "variant_id long, of_y double, of_cov double, of_target double, status string")
 
