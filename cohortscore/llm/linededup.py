@@ -3,13 +3,14 @@
 DataFrame functions only.  The sequence is the documents' line ids, a break after each document.
 Lines that occur once are breaks too: no repeat crosses them.  Suffixes start with the rank of
 their line among all repeated lines; a round of prefix doubling splits every class of equal ranks
-by the rank 2^k lines on, so that ranks order suffixes by their first 2^(k+1) lines.  A class at
-some depth is an interval of the suffix array whose longest common prefix is that deep.  Two
-overlapping ranks name the prefix of any length in between.
-
-From each position the run reaches as many lines as make up ``min_chars``; the positions that
-share this prefix form a longest-common-prefix interval, its first position stays, the others are
-later copies.  Their union over all positions gives the maximal repeated runs that are deleted.
+by the rank 2^k lines on, so that ranks order suffixes by their first 2^(k+1) lines.  A rank is the
+first place of its class in the suffix array, and the array is kept by classes.
+
+From each position the run reaches as many lines as make up ``min_chars``.  Neighbours in the array
+are compared line by line: their longest common prefix.  Where it is shorter than the run, a new
+interval of the array starts; the suffixes of an interval share their run.  The first position of an
+interval stays, the others are later copies.  Their union gives the maximal repeated runs that are
+deleted.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .common import col, fresh, stored
 
 MIN_CHARS = 20
 RANGE = 1 << 16  # ranks that a window over successors holds at most
+PLACES = 1 << 13  # places of the suffix array that a window over neighbours holds at most
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -42,14 +44,20 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _ranked(lines: DataFrame) -> DataFrame:
-    """Repeated lines only, with ``rank``: their line's first place among all repeated lines, by id."""
+    """Repeated lines only, with ``line, rank``: their line's first place among all repeated lines, by id.
+
+    ``reach``: so many repeated lines follow each other from here; ``need`` is null if these are too few.
+    """
     ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     ids = stored(ids.withColumn("bucket", F.shiftrightunsigned("h1", 64 - 12).cast("int")), "line-ids")
     before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = ids.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("bucket").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
-    ids = ids.join(F.broadcast(base), "bucket").select("h1", "h2", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("rank"))  # base: at most 4096 rows
-    return lines.join(ids, ["h1", "h2"]).select("doc", "pos", "need", "rank").dropDuplicates(["doc", "pos"])
+    ids = ids.join(F.broadcast(base), "bucket").select("h1", "h2", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("line"))  # base: at most 4096 rows
+    s = lines.join(ids, ["h1", "h2"]).select("doc", "pos", "need", "line").dropDuplicates(["doc", "pos"])
+    s = s.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("doc").orderBy("pos")))
+    s = s.withColumn("reach", F.max("pos").over(Window.partitionBy("doc", "island")) - F.col("pos") + 1)
+    return s.select("doc", "pos", F.when(F.col("need") <= F.col("reach"), F.col("need")).alias("need"), "reach", "line", F.col("line").alias("rank"))
 
 
 def _ahead(column: str, lines: int) -> Column:
@@ -58,15 +66,16 @@ def _ahead(column: str, lines: int) -> Column:
     return F.max(column).over(at)
 
 
-def suffix_ranks(suffixes: DataFrame, depth: int) -> DataFrame:
-    """Adds ``ranks``: an array of the suffix ranks at depths 1, 2, 4, ... up to ``depth`` lines.
+def suffix_array(suffixes: DataFrame, depth: int) -> DataFrame:
+    """Sets ``rank`` to the first place, in the array of all suffixes, of those that share ``depth`` lines with this one.
 
     Stops early when a round splits no class: then no later one does.
     """
-    s = stored(suffixes.withColumn("ranks", F.array("rank")), "suffixes")
+    s = suffixes
     k, classes = 1, s.select(F.count_distinct("rank")).first()[0]
-    while 2 * k <= depth:
-        s = s.withColumn("next", F.coalesce(_ahead("rank", k), F.lit(-1).cast("long")))
+    while k < depth:
+        ahead = F.when(F.col("reach") > k, _ahead("rank", k))
+        s = s.withColumn("next", F.coalesce(ahead, F.lit(-1).cast("long")))
         pairs = stored(s.groupBy("rank", "next").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("next") / RANGE).cast("long")), f"pairs-{2 * k}")
         # A common line has successors without number: they are summed by ranges, then within one.
         ranges, first = Window.partitionBy("rank").orderBy("range"), Window.unboundedPreceding
@@ -75,7 +84,7 @@ def suffix_ranks(suffixes: DataFrame, depth: int) -> DataFrame:
         split = pairs.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base, ["rank", "range"])
         # Stored, so that the join is dealt by both columns, and AQE can split a hot pair's rows.
         split = stored(split.select("rank", "next", (F.col("rank") + F.col("base") + F.col("inside")).alias("new")), f"split-{2 * k}")
-        s = s.join(split, ["rank", "next"]).select("doc", "pos", "need", F.col("new").alias("rank"), F.concat("ranks", F.array("new")).alias("ranks"))
+        s = s.join(split, ["rank", "next"]).select("doc", "pos", "need", "reach", "line", F.col("new").alias("rank"))
         s = stored(s, f"suffixes-{2 * k}")
         k, now = 2 * k, s.select(F.count_distinct("rank")).first()[0]
         if now == classes:
@@ -84,27 +93,49 @@ def suffix_ranks(suffixes: DataFrame, depth: int) -> DataFrame:
     return s
 
 
+def _common(a: Column, b: Column) -> Column:
+    """How many lines two lists share from the start; none with a list that is null."""
+    other = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(other > 0, other - 1).when(other == 0, F.size(b)).otherwise(0).cast("int")
+
+
+def lcp_array(array: DataFrame, depth: int) -> DataFrame:
+    """The suffix array by classes, of the suffixes that reach their ``need``: ``bucket, rank, first, n, need, lcp``.
+
+    ``first``: the class's first position; ``n``: its suffixes; ``lcp``: lines (of those needed) shared with
+    the class before, which is in the bucket before for a bucket's first class.
+    """
+    ahead = Window.partitionBy("doc").orderBy("pos").rangeBetween(0, depth - 1)
+    s = array.withColumn("lines", F.slice(F.collect_list("line").over(ahead), 1, F.col("need"))).where(F.col("need").isNotNull())
+    # All suffixes of a class share the lines they need.
+    c = s.groupBy("rank").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"), F.first("lines").alias("lines"))
+    c = stored(c.withColumn("bucket", F.floor(F.col("rank") / PLACES).cast("long")), "classes")
+    last = c.groupBy("bucket").agg(F.max_by("lines", "rank").alias("last"))
+    last = last.select("bucket", F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("bucket")).alias("last"))
+    before = F.coalesce(F.lag("lines").over(Window.partitionBy("bucket").orderBy("rank")), F.col("last"))
+    return c.join(last, "bucket").select("bucket", "rank", "first", "n", F.size("lines").alias("need"), _common(before, F.col("lines")).alias("lcp"))
+
+
+def lcp_intervals(lcps: DataFrame) -> DataFrame:
+    """``rank, interval, first, n``: an interval, named by its first rank, goes on while neighbours share the lines they need."""
+    c = lcps.withColumn("head", F.when(F.col("lcp") < F.col("need"), F.col("rank")))
+    first = Window.unboundedPreceding
+    over = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(first, -1)
+    open_ = c.groupBy("bucket").agg(F.max("head").alias("head")).select("bucket", F.max("head").over(over).alias("open"))
+    here = F.max("head").over(Window.partitionBy("bucket").orderBy("rank").rowsBetween(first, 0))
+    return c.join(open_, "bucket").select("rank", F.coalesce(here, F.col("open")).alias("interval"), "first", "n")
+
+
 def later_copies(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc, runs``: of each document that has any, the maximal runs (from, to) of lines to delete."""
     suffixes = stored(_ranked(_lines(docs, min_chars)), "repeated")
-    most = suffixes.agg(F.max("need")).first()[0] or 1
-    s = suffix_ranks(suffixes, most)
-    s = s.withColumn("level", F.least(F.floor(F.log2(F.col("need").cast("double")) + 1e-9).cast("int"), F.size("ranks") - 1))
-    # The prefix of `need` lines is its first and its last 2^level lines; with fewer levels than
-    # that (no class split any more) every class is as deep as it needs.
-    over = F.col("need") - F.expr("shiftleft(1, level)")
-    ends = s.select("doc", F.col("pos").alias("end"), F.col("ranks").alias("end_ranks"))
-    p = s.where(F.col("need").isNotNull()).withColumn("end", F.col("pos") + over)
-    same = p.where(over == 0).withColumn("second", F.element_at("ranks", F.col("level") + 1))
-    other = p.where(over > 0).join(ends, ["doc", "end"]).withColumn("second", F.element_at("end_ranks", F.col("level") + 1))
-    cols = ["doc", "pos", "need", F.element_at("ranks", F.col("level") + 1).alias("first"), "second"]
-    named = _whole(same.select(*cols).unionByName(other.select(*cols)), suffixes)
-    key = ["need", "first", "second"]
-    here = F.struct("doc", "pos")
-    # Stored, so that the join below reads plain exchanges, whose hot keys AQE splits.
-    named = stored(named, "named")
-    kept = stored(named.groupBy(*key).agg(F.min(here).alias("kept"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), "kept")
-    late = named.join(kept, key).where(here != F.col("kept")).select("doc", "pos", (F.col("pos") + F.col("need")).alias("to"))
+    depth = suffixes.agg(F.max("need")).first()[0] or 1
+    array = suffix_array(suffixes, depth)
+    # Stored, so that the joins below read plain exchanges, whose hot keys AQE splits.
+    intervals = stored(lcp_intervals(stored(lcp_array(array, depth), "lcp")), "intervals")
+    kept = intervals.groupBy("interval").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where(F.col("n") > 1).drop("n")
+    kept = stored(intervals.join(stored(kept, "kept"), "interval").select("rank", "kept"), "copies")
+    late = array.join(kept, "rank").where(F.struct("doc", "pos") != F.col("kept")).select("doc", "pos", (F.col("pos") + F.col("need")).alias("to"))
     doc = Window.partitionBy("doc").orderBy("pos")
     far = F.max("to").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     new = (far.isNull() | (F.col("pos") > far)).cast("int")
@@ -113,17 +144,6 @@ def later_copies(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return run.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
-def _whole(named: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Only positions from which `need` repeated lines follow each other without a break."""
-    n = Window.partitionBy("doc").orderBy("pos")
-    island = suffixes.select("doc", "pos", (F.col("pos") - F.row_number().over(n)).alias("island"))
-    edges = Window.partitionBy("doc", "island")
-    reach = island.select("doc", "pos", F.max("pos").over(edges).alias("last"))
-    short = named.where(F.col("need") == 1)
-    long_ = named.where(F.col("need") > 1).join(reach, ["doc", "pos"]).where(F.col("pos") + F.col("need") - 1 <= F.col("last")).drop("last")
-    return short.unionByName(long_)
-
-
 def _deleted(docs: DataFrame, min_chars: int) -> tuple[DataFrame, str, str, str, str]:
     """``docs`` with the text that is left, lines, removed lines and spans in columns of fresh names."""
     key, runs_, cut_, n_, gone_, spans_ = fresh(docs, "doc_key", "runs", "left", "n_lines", "n_removed", "n_spans")

@@ -153,6 +153,52 @@ def test_line_dedup_odd_rows(odd, empty):
     assert kept.columns == odd.columns and 2 not in {r["doc_id"] for r in kept.collect()}
 
 
+@pytest.mark.parametrize("places", [2, 1 << 13])
+def test_line_dedup_by_the_suffix_array(spark, monkeypatch, places):
+    """Places, common prefixes and intervals against sorted suffixes; small ranges of places hand their last class and open interval on."""
+    monkeypatch.setattr(linededup, "PLACES", places)
+    rng = np.random.default_rng(4)
+    docs = [[str(rng.choice(["a", "bb", "", "a long line that is common", "own"])) for _ in range(rng.integers(1, 30))] for _ in range(25)]
+    docs = [[f"own {i} {j}" if x == "own" else x for j, x in enumerate(d)] for i, d in enumerate(docs)] + [["a", "bb"] * 14, [""] * 30] * 2
+    df = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    suffixes = linededup._ranked(linededup._lines(df, 20)).cache()
+    rows = {(r["doc"]["doc_id"], r["pos"]): r for r in suffixes.collect()}
+    depth = max(r["need"] or 1 for r in rows.values())
+    assert depth == 21
+    lines = {(i, j): [rows[i, j + x]["line"] for x in range(r["reach"])] for (i, j), r in rows.items()}
+    assert all((i, j + r["reach"]) not in rows for (i, j), r in rows.items())
+    array = linededup.suffix_array(suffixes, depth)
+    order = sorted((r["rank"], r["doc"]["doc_id"], r["pos"]) for r in array.collect())
+    assert [lines[at[1:]][:depth] for at in order] == sorted(x[:depth] for x in lines.values())
+    assert all(rank == next(i for i, x in enumerate(order) if x[0] == rank) for rank, *_ in order)
+
+    def shared(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    lcps = linededup.lcp_array(array, depth)
+    found, before = sorted(lcps.collect(), key=lambda r: r["rank"]), []
+    assert len({r["bucket"] for r in found}) > 20 or places > 2
+    for r in found:
+        own = lines[r["first"]["doc"]["doc_id"], r["first"]["pos"]][: r["need"]]
+        assert r["lcp"] == shared(before, own)
+        before = own
+    want = defaultdict(set)
+    for at, r in rows.items():
+        if r["need"]:
+            want[tuple(lines[at][: r["need"]])].add(at)
+    got, sizes = defaultdict(set), Counter()
+    members = defaultdict(set)
+    for rank, *at in order:
+        members[rank].add(tuple(at))
+    for r in linededup.lcp_intervals(lcps).collect():
+        got[r["interval"]] |= members[r["rank"]]
+        sizes[r["interval"]] += r["n"]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and all(len(got[k]) == n for k, n in sizes.items())
+    late = {x for s in want.values() for at in sorted(s)[1:] for x in ((at[0], at[1] + i) for i in range(rows[at]["need"]))}
+    runs = {r["doc"]["doc_id"]: r["runs"] for r in linededup.later_copies(df).collect()}
+    assert {(i, j) for i, x in runs.items() for a, b in x for j in range(a, b)} == late and late
+
+
 # 5: licence scans
 
 
