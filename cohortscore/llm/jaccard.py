@@ -21,12 +21,13 @@ a 64-bit hash.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, stored
@@ -43,6 +44,9 @@ HOT = 4096  # from this count on, tokens have their region named by the census
 SEGMENT = 1 << 20
 HELD = 500_000  # tokens in a task's memory at once
 SENT = 8 << 20  # bytes of sets in a batch that leaves Python
+SHORT = 6  # first bytes of a class that stand for it where tokens meet
+BITS = 16  # of the bitmap for each document that is wanted, and
+MOST_BITS = 1 << 26  # in all
 LINK, MOVE = range(2)
 MEMBER, PIVOT = range(2)
 
@@ -225,24 +229,42 @@ def _census(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, cls binary, token long")
 
 
-def _pairs(region: np.ndarray, member: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray]:
-    """Distinct rows of two columns of 16-byte names, and how often each comes."""
-    both = np.ascontiguousarray(np.hstack([region, member])).view("V32").reshape(-1)
-    found, n = np.unique(both, return_counts=True)
-    raw = [x.tobytes() for x in found]
-    return [x[:16] for x in raw], [x[16:] for x in raw], n.astype(np.int64)
+def _planes(x: np.ndarray) -> bytes:
+    """The high bytes of all numbers, then the next ones: those of sorted numbers in a narrow range hardly need room when compressed."""
+    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _short(names: bytes, size: int) -> np.ndarray:
+    """Names of ``size`` bytes as numbers in the order of their bytes."""
+    wide = np.zeros((len(names) // size, 8), np.uint8)
+    wide[:, 8 - size :] = np.frombuffer(names, np.uint8).reshape(-1, size)
+    return wide.view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _pairs(region: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of two columns of short names, and how often each comes."""
+    order = np.lexsort((member, region))
+    region, member = region[order], member[order]
+    first = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (member[1:] != member[:-1])]))
+    return region[first], member[first], np.diff(np.append(first, len(region))).astype(np.int64)
 
 
 def _stars(docs: DataFrame, heavy: list[tuple[int, int, bytes]], buckets: int) -> DataFrame:
-    """``region, cls, shared``: the sets that share first tokens, and how many.
+    """``region, short, shared``: the sets that share first tokens, and how many.
 
     ``heavy``: tokens, their counts and a class that holds each, most frequent first.  A hot token's
     region is named by that class, so its occurrences need not meet; that of any other token by the
-    smallest class that has it among its first tokens.
+    smallest class that has it among its first tokens.  All names here are the first ``SHORT`` bytes
+    of a class: classes that share them are one, with the places and tokens of all of them, so no place
+    is lost, and bytes that meet are about half.
     """
     tokens_ = np.array([t for t, _, _ in heavy], np.int64).view(np.uint64)
-    order = np.argsort(tokens_)
-    names = np.frombuffer(b"".join(c for _, _, c in heavy), np.uint8).reshape(-1, 16)[order]
+    order, size = np.argsort(tokens_), SHORT
+    names = np.frombuffer(b"".join(c[:size] for _, _, c in heavy), np.uint8).reshape(-1, size)[order]
     hot_ = np.array([n >= HOT for _, n, _ in heavy], bool)[order]
     shared = docs.sparkSession.sparkContext.broadcast((tokens_[order], (len(order) - order).astype(np.uint64), names, hot_))
 
@@ -253,7 +275,7 @@ def _stars(docs: DataFrame, heavy: list[tuple[int, int, bytes]], buckets: int) -
         def flush() -> pa.RecordBatch:
             nonlocal sent
             t, o = np.concatenate(tokens), np.concatenate(owner)
-            c = np.frombuffer(b"".join(classes), np.uint8).reshape(-1, 16)
+            c = np.frombuffer(b"".join(x[:size] for x in classes), np.uint8).reshape(-1, size)
             rows = []
             if len(known):
                 at = np.minimum(np.searchsorted(known, t), len(known) - 1)
@@ -264,11 +286,12 @@ def _stars(docs: DataFrame, heavy: list[tuple[int, int, bytes]], buckets: int) -
                         sent += 1
                         rows.append((int(_mix(t[part[:1]] + np.uint64(sent))[0] % np.uint64(buckets)), None, c[o[part]].tobytes(), name[at[part]].tobytes()))
                     t, o = t[~direct], o[~direct]
-            b = (_mix(t) % np.uint64(buckets)).astype(np.int64)
-            order_ = np.lexsort((t, b))
-            t, o, b = t[order_], o[order_], b[order_]
+            t = _mix(t)  # one to one, and even: first tokens are small
+            order_ = np.argsort(t)
+            t, o = t[order_], o[order_]
+            b = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             edges = np.flatnonzero(np.diff(b, prepend=-1, append=-1)) if len(b) else []
-            rows += [(int(b[lo]), t[lo:hi].tobytes(), c[o[lo:hi]].tobytes(), None) for lo, hi in zip(edges, edges[1:], strict=False)]
+            rows += [(int(b[lo]), _planes(t[lo:hi]), c[o[lo:hi]].tobytes(), None) for lo, hi in zip(edges, edges[1:], strict=False)]
             for x in (tokens, owner, classes):
                 x.clear()
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -298,30 +321,28 @@ def _stars(docs: DataFrame, heavy: list[tuple[int, int, bytes]], buckets: int) -
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         met = pdf["region"].isna()
         straight = pdf[~met]
-        regions = [np.frombuffer(x, np.uint8).reshape(-1, 16) for x in straight["region"]]
-        members = [np.frombuffer(x, np.uint8).reshape(-1, 16) for x in straight["c"]]
+        regions, members = [_short(x, size) for x in straight["region"]], [_short(x, size) for x in straight["c"]]
         pdf = pdf[met]
         if len(pdf):
-            t = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["t"]])
-            c = np.concatenate([np.frombuffer(x, ">u8").reshape(-1, 2) for x in pdf["c"]]).astype(np.uint64)
-            order_ = np.lexsort((c[:, 1], c[:, 0], t))
+            t, c = np.concatenate([_numbers(x) for x in pdf["t"]]), np.concatenate([_short(x, size) for x in pdf["c"]])
+            order_ = np.lexsort((c, t))
             t, c = t[order_], c[order_]
             first = np.ones(len(t), bool)  # a set's copies of a token count once
-            first[1:] = (t[1:] != t[:-1]) | np.any(c[1:] != c[:-1], axis=1)
+            first[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
             t, c = t[first], c[first]
             starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
             sizes = np.diff(np.append(starts, len(t)))
             keep = np.repeat(sizes > 1, sizes)
-            raw = np.ascontiguousarray(c.astype(">u8")).view(np.uint8).reshape(-1, 16)
-            regions.append(np.repeat(raw[starts], sizes, axis=0)[keep])
-            members.append(raw[keep])
-        if not regions:
-            return pd.DataFrame({"region": [], "cls": [], "shared": []}).astype({"shared": "int64"})
+            regions.append(np.repeat(c[starts], sizes)[keep])
+            members.append(c[keep])
+        if not sum(map(len, regions)):
+            return pd.DataFrame({"region": [], "short": [], "shared": []}).astype({"shared": "int64"})
         r, c, n = _pairs(np.concatenate(regions), np.concatenate(members))
-        return pd.DataFrame({"region": r, "cls": c, "shared": n})
+        spelled = lambda short: [x.to_bytes(size, "big") for x in short.tolist()]
+        return pd.DataFrame({"region": spelled(r), "short": spelled(c), "shared": n})
 
     runs = docs.select("text").mapInArrow(emit, "bucket long, t binary, c binary, region binary")
-    return runs.groupBy("bucket").applyInPandas(meet, "region binary, cls binary, shared long").groupBy("region", "cls").agg(F.sum("shared").alias("shared"))
+    return runs.groupBy("bucket").applyInPandas(meet, "region binary, short binary, shared long").groupBy("region", "short").agg(F.sum("shared").alias("shared"))
 
 
 class _Union:
@@ -458,10 +479,28 @@ def _members(docs: DataFrame, want: DataFrame) -> DataFrame:
             yield out()
 
     names = [c.split()[0] for c in _PLACED.split(", ")]
-    joined = docs.select("doc_id", "text").join(want, docs["doc_id"].eqNullSafe(want["doc_id"])).select("text", "cls", "places")
+    likely = _sieved(docs.select("doc_id", "text"), want)
+    joined = likely.join(want, likely["doc_id"].eqNullSafe(want["doc_id"])).select("text", "cls", "places")
     return joined.mapInArrow(run, _PLACED)
 
 
+def _sieved(docs: DataFrame, want: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a doc_id of ``want``, and some others: those whose bit is set in a bitmap of bounded size.
+
+    Texts of the rest, most of all, need no shuffle.
+    """
+    each, bits = 1 << 15, 1 << 15
+    n = want.count()
+    while bits < min(MOST_BITS, BITS * n):
+        bits *= 2
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    page, place = F.floor(at / each).alias("page"), (at % each).alias("place")
+    pages = want.select(page, place).groupBy("page").agg(F.bitmap_construct_agg("place").alias("map"))
+    byte = "CAST(conv(hex(substring(map, CAST(place DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    found = docs.select("*", page, place).join(F.broadcast(pages), "page").where(F.expr(f"getbit({byte}, CAST(place % 8 AS INT)) = 1"))
+    return found.select(docs.columns)
+
+
 def _bucketed(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(_buckets(rows))))
 
@@ -577,12 +616,44 @@ def _components(links: DataFrame) -> DataFrame:
         edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
+def _bounded(places: DataFrame) -> DataFrame:
+    """``places`` with ``shared`` no larger than what some other member of the region shares that is near enough in size; those without one go.
+
+    Sizes of close sets are in one band (a power of 4/3) or in neighbouring ones.
+    """
+    nth = F.row_number().over(Window.partitionBy("region", "band").orderBy(F.desc("shared")))
+    two = places.select("region", "band", "shared").withColumn("nth", nth).where("nth <= 2")
+    best = two.groupBy("region", "band").agg(F.max("shared").alias("most"), F.max(F.when(F.col("nth") == 2, F.col("shared"))).alias("second"))
+    around = best.withColumn("to", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("to"))
+    here = F.col("to") == 0
+    around = around.groupBy("region", "band").agg(F.max(F.when(here, F.col("most"))).alias("most"), F.max(F.when(here, F.col("second"))).alias("second"), F.max(F.when(~here, F.col("most"))).alias("beside"))
+    other = F.greatest("beside", F.when(F.col("shared") == F.col("most"), F.col("second")).otherwise(F.col("most")))  # the greatest that is not null
+    return places.join(around, ["region", "band"]).withColumn("shared", F.least("shared", F.coalesce(other, F.lit(0)))).where("shared > 0").select(places.columns)
+
+
+def _needed(stars: DataFrame, reps: DataFrame) -> DataFrame:
+    """``region, cls, n``: places that hold all close pairs of classes together in some region.
+
+    Close sets share ``least_shared`` first tokens in all their common regions.  A class with fewer in
+    all its places (each bounded by what others share there) has none.  Common regions are no more than
+    either has: in some region both have their part of the tokens, least_shared / regions.  All other
+    places are needless.
+    """
+    named = reps.select(F.substring("cls", 1, SHORT).alias("short"), "cls", "n")
+    band = F.floor(F.log("n") / math.log(DEN / NUM)).cast("int")
+    places = stars.join(named, "short").select("region", "cls", "n", band.alias("band"), "shared")
+    own = Window.partitionBy("cls")
+    likely = _bounded(places).withColumn("all", F.sum("shared").over(own)).where(F.col("all") >= least_shared(F.col("n")))
+    likely = likely.withColumn("regions", F.count("*").over(own)).where(F.col("shared") * F.col("regions") >= least_shared(F.col("n")))
+    found = _bounded(stored(likely.select(places.columns), "likely")).select("region", "cls", "n")
+    # Classes of one short name did not meet as two: they have a region of their own.
+    alike = named.groupBy("short").agg(F.count("*").alias("k")).where("k > 1").select("short")
+    return found.unionByName(named.join(alike, "short").select(F.concat("short", F.encode(F.lit("="), "utf-8")).alias("region"), "cls", "n"))
+
+
 def _links(d: DataFrame, stars: DataFrame, reps: DataFrame) -> DataFrame:
     """``a, b``: links that connect all classes within EPS."""
-    # Close sets share least_shared tokens, in no more regions than either is in: in some region both
-    # have their share of them, least_shared / regions. All other places are needless.
-    places_of = stars.groupBy("cls").agg(F.count("*").alias("regions")).join(reps, "cls").select("cls", "regions", "n")
-    needed = stars.join(places_of, "cls").where(F.col("shared") * F.col("regions") >= least_shared(F.col("n"))).select("region", "cls", "n")
+    needed = _needed(stars, reps)
     sizes = needed.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("tokens")).where(F.col("k") > 1)
     needed = needed.join(sizes, "region").withColumn("chunks", _pieces(F.col("k"), F.col("tokens"))).drop("tokens", "n")
     needed = stored(needed, "regions")
@@ -591,7 +662,7 @@ def _links(d: DataFrame, stars: DataFrame, reps: DataFrame) -> DataFrame:
     cols = ["cls", "region", "chunk", "chunks", "role", "k"]
     places = needed.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))).withColumn("role", F.lit(MEMBER)).select(cols)
     places = places.unionByName(leads.withColumn("chunk", every).withColumn("role", F.lit(PIVOT)).select(cols))
-    want = places.groupBy("cls").agg(F.collect_list(F.struct(cols[1:])).alias("places")).join(reps.select("cls", "doc_id"), "cls")
+    want = stored(places.groupBy("cls").agg(F.collect_list(F.struct(cols[1:])).alias("places")).join(reps.select("cls", "doc_id"), "cls"), "places")
 
     found = stored(_voronoi(_members(d, want)), "cells")
     links = found.where(F.col("kind") == LINK).select("a", "b")

@@ -1,6 +1,7 @@
 """Each operator on odd rows, on an empty table, and against a plain version."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortscore.llm import ann, jaccard, langid, licenses, linededup, media, mixing, packing, queries, suffixdedup, tokens
+from cohortscore.llm import ann, common, jaccard, langid, licenses, linededup, media, mixing, packing, queries, suffixdedup, tokens
 
 from ..conftest import SF, same
 from . import brute
@@ -578,6 +579,50 @@ def test_jaccard_join_of_graded_copies(spark):
     _check_join(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+def test_jaccard_join_sends_no_sets_that_share_too_little(spark, monkeypatch):
+    """Each text shares a passage and many phrases with others, all in all too little: none is sent to a region."""
+    members, sent = jaccard._members, []
+    monkeypatch.setattr(jaccard, "_members", lambda docs, want: (sent.append(want.count()), members(docs, want))[1])
+    word = lambda *at: " ".join(f"w{x}" for x in at)
+    rows = []
+    for n in range(60):
+        phrases = [word(*(f"{k}p{(n + k * side) % 60}p{j}" for j in range(5))) for k in range(1, 21) for side in (0, 1)]
+        passage = word(*(f"{n // 2}s{j}" for j in range(40)))
+        rows.append((n, " ".join([passage, *(f"{x} {word(*(f'{n}r{i}r{j}' for j in range(9)))}" for i, x in enumerate(phrases))])))
+    _check_join(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    assert sent == [0]
+
+
+def test_jaccard_join_of_classes_with_one_short_name(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT", 1)
+    rng, rows = np.random.default_rng(4), []
+    for n in range(300):
+        w = [f"w{n // 3}x{i}" for i in range(40)]
+        w[rng.integers(0, 40)] = f"n{n}"
+        rows.append((n, " ".join(w)))
+    _check_join(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_jaccard_join_sends_texts_that_are_wanted(spark):
+    docs = spark.range(20_000).selectExpr("IF(id = 7, NULL, id) AS doc_id", "'x' AS text")
+    want = spark.range(300).selectExpr("IF(id = 7, NULL, id * 10) AS doc_id")
+    found = [r["doc_id"] for r in jaccard._sieved(docs, want).collect()]
+    assert {r["doc_id"] for r in want.collect()} <= set(found) and len(found) < 1000
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """The shuffles that made a table go with its write, whatever the driver's heap; the session's setting stays."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if x.endswith(".data")}
+    before, kept = files(), spark.conf.get(common.CLEANUP, None)
+    table = common.stored(spark.range(10_000).selectExpr("id % 100 AS k").repartition(4, "k").groupBy("k").count(), "counts")
+    deadline = time.time() + 10
+    while (left := files() - before) and time.time() < deadline:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.CLEANUP, None) == kept
+    assert table.count() == 100 and table.agg(F.sum("count")).first()[0] == 10_000
+
+
 def test_one_of_each(spark, odd):
     kept = jaccard.one_of_each(odd)
     got = [(r["doc_id"], r["text"]) for r in kept.collect()]
