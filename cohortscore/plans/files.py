@@ -52,7 +52,7 @@ def scan_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls written as trios of variant ranges, and loaded from all of them again."""
     empty = spark.createDataFrame([], "sample_id string, variant_id string, dosage int")
-    return reduce(DataFrame.unionByName, [dataset.load_calls(spark, p)[0] for p, _ in _trios(spark, sf_dir, {})], empty)
+    return reduce(DataFrame.unionByName, [dataset.named_calls(spark, p) for p, _ in _trios(spark, sf_dir, {})], empty)
 
 
 def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:

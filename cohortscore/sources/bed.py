@@ -62,14 +62,13 @@ class _Reader(DataSourceReader):
         width = -(-self.samples // 4)
         with _open(self.path) as f:
             f.seek(3 + lo * width)
-            raw = f.read((hi - lo) * width)
-        for v in range(lo, hi):
-            d = unpack(raw[(v - lo) * width : (v - lo + 1) * width], self.samples)
-            at = np.flatnonzero(d)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), v, np.int64)), pa.array(at.astype(np.int64)), pa.array(d[at].astype(np.int32), mask=d[at] < 0)],
-                names=["variant_index", "sample_index", "dosage"],
-            )
+            for v in range(lo, hi):
+                d = unpack(f.read(width), self.samples)
+                at = np.flatnonzero(d)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), v, np.int64)), pa.array(at.astype(np.int64)), pa.array(d[at].astype(np.int32), mask=d[at] < 0)],
+                    names=["variant_index", "sample_index", "dosage"],
+                )
 
 
 class BedSource(DataSource):

@@ -105,6 +105,12 @@ def load_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, li
     return _named(calls, names), variants, [r["sample_id"] for r in names.orderBy("sample_index").collect()]
 
 
+def named_calls(spark: SparkSession, path: str) -> DataFrame:
+    """``sample_id, variant_id, dosage`` of a file of any number of samples."""
+    calls, _, names = _opened(spark, path)
+    return _named(calls, names)
+
+
 def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls by sample_index, variants and ``sample_index, sample_id``, which are read once and kept in the shared folder."""
     source_of = {"vcf": _text_source, "bcf": _binary_source, "plink1": _bed_source}
@@ -189,9 +195,9 @@ def write_trios(calls: DataFrame, variants: DataFrame, samples: DataFrame, path:
     is counted, then ``ref``); those without are written as A and G.  Each part is a whole trio that its task
     writes alone, under a name of its own until it is complete, so a lost task is only run again.
     """
-    ids = [r["sample_id"] for r in samples.orderBy("ordinal").select("sample_id").collect()]  # the .fam file's lines
-    packed = bed.pack_calls(calls, samples)
-    blank = bed.pack(np.zeros(len(ids), np.int64))
+    name = F.col("sample_id").cast("string")
+    pieces, _ = _pieces(samples.select("ordinal", F.concat(name, F.lit(" "), name, F.lit(" 0 0 0 -9\n")).alias("text")), f"{path}-lines")  # the .fam file's
+    packed, n_samples = bed.pack_calls(calls, samples), samples.count()
     alleles = [F.coalesce(F.col(c).cast("string"), F.lit(d)).alias(c) if c in variants.columns else F.lit(d).alias(c) for c, d in (("alt", "A"), ("ref", "G"))]
     rows = variants.select("variant_id", "chrom", "pos", *alleles).join(packed, "variant_id", "left").repartitionByRange(parts, "chrom", "pos", "variant_id").sortWithinPartitions("chrom", "pos", "variant_id")
     rows = rows.select(F.spark_partition_id().alias("part"), F.col("chrom").cast("string").alias("chrom"), "pos", F.col("variant_id").cast("string").alias("variant_id"), "packed", "alt", "ref")
@@ -204,6 +210,7 @@ def write_trios(calls: DataFrame, variants: DataFrame, samples: DataFrame, path:
         fs, folder = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         fs.create_dir(folder)
         own, part, n = f"{folder}/.{uuid.uuid4().hex}", None, 0
+        blank = bed.pack(np.zeros(n_samples, np.int8))
         with fs.open_output_stream(f"{own}.bed") as calls_out, fs.open_output_stream(f"{own}.bim") as lines_out:
             calls_out.write(bed.MAGIC)
             for b in batches:
@@ -212,7 +219,10 @@ def write_trios(calls: DataFrame, variants: DataFrame, samples: DataFrame, path:
                     calls_out.write(raw if raw is not None else blank)
                     lines_out.write(f"{chrom}\t{name}\t0\t{pos}\t{alt}\t{ref}\n".encode())
         with fs.open_output_stream(f"{own}.fam") as f:
-            f.write("".join(f"{x} {x} 0 0 0 -9\n" for x in ids).encode())
+            for piece in pieces if part is not None else []:
+                with bgzf.open_file(piece) as lines_in:
+                    while raw := lines_in.read(1 << 20):
+                        f.write(raw)
         for suffix in ("bed", "bim", "fam"):
             if part is None:
                 fs.delete_file(f"{own}.{suffix}")
@@ -229,7 +239,12 @@ def name_pieces(named: DataFrame, path: str) -> tuple[list[str], int]:
 
     A header line may have millions of names: they go from tasks to tasks through files of ranges, not through the driver.
     """
-    rows = named.select("ordinal", F.concat(F.lit("\t"), F.col("name").cast("string")).alias("name")).repartitionByRange("ordinal").sortWithinPartitions("ordinal")
+    return _pieces(named.select("ordinal", F.concat(F.lit("\t"), F.col("name").cast("string")).alias("text")), path)
+
+
+def _pieces(texts: DataFrame, path: str) -> tuple[list[str], int]:
+    """Write the texts of ``texts`` (ordinal, text) in order below ``path``, and tell the files and their bytes in all."""
+    rows = texts.select("ordinal", "text").repartitionByRange("ordinal").sortWithinPartitions("ordinal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid

@@ -191,3 +191,19 @@ def test_names_of_samples_stay_out_of_the_plan(spark, tmp_path):
     (tmp_path / "b.vcf").write_text("\t".join([head, *names]) + "\n" + "\t".join([head, *names[:3]]) + "\n" + body + "\n")
     with pytest.raises(ValueError, match="header lines differ"):
         dataset.load_calls(spark, str(tmp_path / "b.vcf"))
+
+
+def test_transcoding_collects_no_names(spark, monkeypatch):
+    """The driver gets a row a trio and a row a range of names, not a row a sample."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    from cohortscore.plans import files
+
+    collected, collect = [], Frame.collect
+    monkeypatch.setattr(Frame, "collect", lambda self: (collected.append(collect(self)), collected[-1])[1])
+    got = {tuple(r) for r in collect(files.transcode(spark, SF))}
+    assert collected and max(len(x) for x in collected) <= 8 < spark.read.parquet(f"{SF}/customer.parquet").count()
+    collected.clear()
+    files.scan_bed(spark, SF)
+    assert collected and max(len(x) for x in collected) <= 8
+    assert got
