@@ -1,6 +1,9 @@
 import hashlib
+import os
+import time
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -49,3 +52,26 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
     assert len(ids) == len(ROWS) - 4 and not {3, 4, 5, 6} & set(ids)
     assert _stages(spark, empty, SF)[-1].count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_near_duplicates_leave_no_large_shuffle(spark, monkeypatch):
+    """The third stage's tables keep none of the shuffles of tokens, texts and sets that made them."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if x.endswith(".data")}
+    left = {}
+
+    def spied(df, name):
+        before, table, deadline = files(), stored(df, name), time.time() + 2
+        while True:
+            left[name] = sum(os.path.getsize(x) for x in files() - before if os.path.exists(x))
+            if not left[name] or time.time() > deadline:
+                return table
+            time.sleep(0.1)
+
+    monkeypatch.setattr(jaccard, "stored", spied)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 600)) for _ in range(200)]
+    rows = [(n, t, "en", "a") for n, t in enumerate([*texts, *(x + " end" for x in texts)])]
+    near = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "")
+    assert {r["doc_id"] for r in near.select("doc_id").collect()} == set(range(200))
+    assert {"stars", "cells"} <= set(left) and not any(left.values()), left
